@@ -31,7 +31,9 @@ def py_float(c) -> Column:
 
 
 def _try_double(s: Column) -> Column:
-    t = F.regexp_replace(s, r"(?U)^\s+|\s+$", "")
+    from .text import py_strip
+
+    t = py_strip(s)
     t = F.regexp_replace(t, r"(?i)^([+-]?)inf(inity)?$", "$1Infinity")
     t = F.regexp_replace(t, r"(?i)^[+-]?nan$", "NaN")
     return t.try_cast("double")
@@ -60,7 +62,8 @@ def py_float_str(c) -> Column:
     """
     x = as_col(c)
     dec = x.cast("decimal(38,18)").cast("string")
-    trimmed = F.regexp_replace(F.regexp_replace(dec, r"0+$", ""), r"\.$", ".0")
+    no_zeros = F.call_function("rtrim", F.lit("0"), dec)
+    trimmed = F.concat(no_zeros, F.when(no_zeros.endswith("."), F.lit("0")).otherwise(F.lit("")))
     # Spark prints tiny values as 1.5E-5; Python as 1.5e-05.
     sci = x.cast("string")
     sci = F.regexp_replace(sci, r"\.0E", "E")

@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ._util import as_col
+from .text import py_strip
 
 # ---- fixed values (must equal the reference's behaviour) -------------------
 # Regexes searched in the lowercased text, per currency code.
@@ -41,8 +42,11 @@ DEFAULT_CURRENCY = "INR"
 
 
 def currency_regex(code: str) -> str:
-    """One alternation per currency: any of its patterns is a hit."""
-    return "(?U)" + "|".join(f"(?:{p})" for p in CURRENCY_PATTERNS[code])
+    """One alternation per currency: any of its patterns is a hit.  Unicode
+    classes (``(?U)``, slow in Java) only where a pattern uses ``\\s``."""
+    pats = CURRENCY_PATTERNS[code]
+    flag = "(?U)" if any("\\s" in p for p in pats) else ""
+    return flag + "|".join(f"(?:{p})" for p in pats)
 
 
 def detect_currency(text, available: Sequence[str]) -> Column:
@@ -53,11 +57,10 @@ def detect_currency(text, available: Sequence[str]) -> Column:
     if not codes:
         return F.lit(None).cast("string")
     low = F.lower(t)
-    hits = F.filter(
-        F.array(*[F.when(low.rlike(currency_regex(c)), F.lit(c)) for c in codes]),
-        lambda x: x.isNotNull(),
-    )
-    return F.when((F.length(t) > 0) & (F.size(hits) == 1), F.get(hits, 0))
+    hit = {c: low.rlike(currency_regex(c)) for c in codes}
+    n_hits = sum((F.when(h, 1).otherwise(0) for h in hit.values()), F.lit(0))
+    only = F.coalesce(*[F.when(h, F.lit(c)) for c, h in hit.items()])
+    return F.when((F.length(t) > 0) & (n_hits == 1), only)
 
 
 def currency_symbol(code) -> Column:
@@ -104,7 +107,7 @@ def resolve_currency(withdrawal_text, deposit_text, remarks, available: Sequence
         return F.lit(available[0])
 
     def usable(c: Column) -> Column:
-        s = F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+        s = py_strip(c)
         return F.when((F.length(s) > 0) & (s != "nan"), s)
 
     options = [detect_currency(usable(as_col(x)), available) for x in (withdrawal_text, deposit_text, remarks)]

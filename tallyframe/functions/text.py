@@ -41,12 +41,15 @@ BLOCKED_REPLACEMENTS = [
 UNSAFE_DISPLAY_PATTERNS = [r"<script", r"javascript:", r"on\w+\s*=", r"<iframe", r"<object", r"<embed"]
 # ---------------------------------------------------------------------------
 
-_WS_EDGES = r"(?U)^\s+|\s+$"
+# Characters Python's ``str.isspace()`` accepts; ``str.strip()`` removes them.
+PY_WHITESPACE = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004"
+                 "\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
 
 
 def py_strip(c) -> Column:
-    """Python ``str.strip()``: remove Unicode whitespace at both ends."""
-    return F.regexp_replace(as_col(c), _WS_EDGES, "")
+    """Python ``str.strip()``: remove Unicode whitespace at both ends
+    (``btrim`` over the exact character set; no regex)."""
+    return F.btrim(as_col(c), F.lit(PY_WHITESPACE))
 
 
 def py_text(c) -> Column:

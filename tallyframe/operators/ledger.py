@@ -20,8 +20,9 @@ def first_per_key(df: DataFrame, key: str | Sequence[str], order: Sequence[str])
     """Keep the first row of every key by ``order``.
 
     ``min_by`` over a struct of the row is a partial aggregate: a hot key
-    (many copies of one transaction) is reduced map-side before the shuffle
-    instead of being sorted in one task as a window would."""
+    (many copies of one transaction) is reduced map-side to one row per task
+    before the shuffle, instead of being sorted whole in one task as a
+    window would."""
     keys = [key] if isinstance(key, str) else list(key)
     others = [c for c in df.columns if c not in keys]
     picked = df.groupBy(*keys).agg(

@@ -86,56 +86,77 @@ def detect_header_rows(cells: DataFrame, required: Sequence[str] = REQUIRED_COLU
     )
 
 
-def rows_after_header(cells: DataFrame, headers: DataFrame) -> DataFrame:
-    """S4 + S5: data rows below each file's header, keyed by header text
-    (``str(header)``: a missing header cell is ``nan``), empty rows dropped.
+def _last_index(keys: Column, key: Column) -> Column:
+    """1-based index of the last occurrence of ``key`` (dict semantics)."""
+    pos = F.array_position(F.reverse(keys), key)
+    return F.when(pos > 0, (F.size(keys) - pos + 1).cast("int"))
+
+
+def _fuzzy_index(keys: Column, test, last: bool) -> Column:
+    """Index of the value of the first/last distinct key passing ``test``
+    (distinct keys keep first-occurrence order, values the last one)."""
+    hits = F.filter(F.array_distinct(keys), test)
+    key = F.element_at(hits, -1) if last else F.get(hits, 0)
+    return F.when(F.size(hits) > 0, _last_index(keys, key))
+
+
+# Layout column -> (exact key) or fuzzy test; computed once per file.
+_EXACT = {"i_date": KEY_DATE, "i_remarks": KEY_REMARKS, "i_withdrawal": KEY_WITHDRAWAL,
+          "i_deposit": KEY_DEPOSIT, "i_balance": KEY_BALANCE, "i_sno": KEY_SNO}
 
-    Output: path, sheet_row, keys, cells (cells cut/padded to header width)."""
-    joined = cells.join(headers, "path").filter(F.col("sheet_row") > F.col("header_row"))
-    n = F.size("header")
+
+def header_layout(headers: DataFrame) -> DataFrame:
+    """Per file: header keys (``str(header)``; a missing cell is ``nan``),
+    width, and the cell index behind every key the cleaning reads.  All the
+    key matching happens here, on one row per file, not on every data row."""
     keys = F.transform("header", lambda h: F.coalesce(h, F.lit("nan")))
-    padded = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))),
-                         lambda i: F.try_element_at(F.col("cells"), i))
-    padded = F.when(n > 0, padded).otherwise(F.array().cast("array<string>"))
-    out = joined.select("path", "sheet_row", keys.alias("keys"), padded.alias("cells"))
-    non_empty = F.exists("cells", lambda c: c.isNotNull() & (py_strip(c) != ""))
-    return out.filter(non_empty)
+    k = F.col("keys")
+    norm = lambda x: F.lower(py_strip(x))
+    cols = [F.col("path"), F.col("header_row"), k, F.size(k).alias("width")]
+    cols += [_last_index(k, F.lit(v)).alias(n) for n, v in _EXACT.items()]
+    cols += [
+        _fuzzy_index(k, lambda x: norm(x) == "transaction date", last=False).alias("p2_date"),
+        _fuzzy_index(k, lambda x: norm(x).contains("withdrawal amount"), last=True).alias("p2_withdrawal"),
+        _fuzzy_index(k, lambda x: norm(x).contains("deposit amount"), last=True).alias("p2_deposit"),
+    ]
+    return headers.select("path", "header_row", keys.alias("keys")).select(*cols)
 
 
-def _value_of(keys: Column, cells: Column, key: Column) -> Column:
-    """Dict semantics: the value of ``key`` is its last occurrence."""
-    pos = F.array_position(F.reverse(keys), key)
-    idx = (F.size(keys) - pos + 1).cast("int")
-    return F.when(pos > 0, F.coalesce(F.try_element_at(cells, idx), F.lit("nan")))
+def rows_after_header(cells: DataFrame, headers: DataFrame) -> DataFrame:
+    """S4 + S5: data rows below each file's header with the file's layout;
+    rows whose cells (within the header width) are all missing or blank are
+    dropped.  The per-file layout is tiny; AQE turns this join into a
+    broadcast at runtime when its measured size allows."""
+    layout = header_layout(headers)
+    joined = cells.join(layout, "path").filter(F.col("sheet_row") > F.col("header_row"))
+    row = F.slice("cells", 1, F.greatest(F.col("width"), F.lit(1)))
+    return joined.filter(F.array_join(row, "").rlike(r"(?U)\S")).drop("header_row")
 
 
-def get_text(key_name: str, keys="keys", cells="cells") -> Column:
-    """``str(row.get(key, ""))``: '' when absent, 'nan' when the cell is empty."""
-    k, c = F.col(keys), F.col(cells)
-    return F.coalesce(_value_of(k, c, F.lit(key_name)), F.lit(""))
+def cell_text(index: str) -> Column:
+    """``str(row.get(key, ""))``: '' when the key is absent, 'nan' when the
+    cell is missing."""
+    i = F.col(index)
+    return F.when(i.isNull(), F.lit("")).otherwise(
+        F.coalesce(F.try_element_at(F.col("cells"), i), F.lit("nan")))
 
 
-def _fuzzy_value(keys: Column, cells: Column, test, last: bool) -> Column:
-    distinct = F.array_distinct(keys)
-    hits = F.filter(distinct, test)
-    key = F.element_at(hits, -1) if last else F.get(hits, 0)
-    return F.when(F.size(hits) > 0, _value_of(keys, cells, key))
+def get_text(key_name: str) -> Column:
+    """Text of a row field by its exact header key."""
+    name = {v: k for k, v in _EXACT.items()}[key_name]
+    return cell_text(name)
 
 
-def essential_fields(keys="keys", cells="cells") -> Column:
+def essential_fields() -> Column:
     """A date value and at least one Python-parsable amount."""
-    k, c = F.col(keys), F.col(cells)
-    date_v = _fuzzy_value(k, c, lambda x: F.lower(py_strip(x)) == "transaction date", last=False)
-    debit_v = _fuzzy_value(k, c, lambda x: F.lower(py_strip(x)).contains("withdrawal amount"), last=True)
-    credit_v = _fuzzy_value(k, c, lambda x: F.lower(py_strip(x)).contains("deposit amount"), last=True)
+    def value(idx: str) -> Column:
+        return F.when(F.col(idx).isNotNull(), F.try_element_at(F.col("cells"), F.col(idx)))
 
     def present(v: Column) -> Column:
-        return v.isNotNull() & ~py_strip(v).isin(*BLANK_TEXTS)
+        return F.coalesce(v.isNotNull() & ~py_strip(v).isin(*BLANK_TEXTS), F.lit(False))
 
-    has_date = F.coalesce(present(date_v), F.lit(False))
-    has_amount = F.coalesce(present(debit_v) & is_py_float(debit_v), F.lit(False)) | F.coalesce(
-        present(credit_v) & is_py_float(credit_v), F.lit(False))
-    return has_date & has_amount
+    d, w, c = value("p2_date"), value("p2_withdrawal"), value("p2_deposit")
+    return present(d) & ((present(w) & is_py_float(w)) | (present(c) & is_py_float(c)))
 
 
 def valid_rows(rows: DataFrame) -> DataFrame:
@@ -168,27 +189,43 @@ def typed_transactions(rows: DataFrame, currencies: Sequence[str] = ("INR",),
     """P5-P7 + F7: typed columns, ``is_valid`` flag and the transaction hash.
 
     Invalid rows (bad date, blank description) keep their raw data for the
-    skipped table; typed columns are null for them."""
-    date_txt = py_strip(get_text(KEY_DATE))
-    remarks_txt = py_strip(get_text(KEY_REMARKS))
-    w_txt, d_txt = get_text(KEY_WITHDRAWAL), get_text(KEY_DEPOSIT)
-    date = F.when((date_txt != "") & (date_txt != "nan"), parse_statement_date(date_txt))
-    description_ok = (remarks_txt != "") & (remarks_txt != "nan")
-    is_valid = date.isNotNull() & description_ok
-    debit = validate_amount(w_txt)
-    credit = validate_amount(d_txt)
-    typed = rows.select(
+    skipped table; typed columns are null for them.  Built in stages so each
+    parsed value is computed once and referenced, not re-inlined."""
+    base = rows.select(
         "*",
-        is_valid.alias("is_valid"),
-        F.when(is_valid, date).alias("transaction_date"),
-        F.when(is_valid, sanitize_text(remarks_txt, DESCRIPTION_MAX_LENGTH)).alias("description"),
-        F.when(is_valid, debit).alias("debit_amount"),
-        F.when(is_valid, credit).alias("credit_amount"),
-        F.when(is_valid, validate_amount(get_text(KEY_BALANCE))).alias("balance"),
-        F.when(is_valid, py_strip(get_text(KEY_SNO))).alias("reference_number"),
-        F.when(is_valid, F.when(debit > 0, F.lit("debit")).otherwise(F.lit("credit"))).alias("transaction_type"),
-        F.when(is_valid, resolve_currency(w_txt, d_txt, remarks_txt, currencies, decided_currency))
-        .alias("currency"),
+        py_strip(get_text(KEY_DATE)).alias("_date_txt"),
+        py_strip(get_text(KEY_REMARKS)).alias("_remarks_txt"),
+        get_text(KEY_WITHDRAWAL).alias("_w_txt"),
+        get_text(KEY_DEPOSIT).alias("_d_txt"),
+        get_text(KEY_BALANCE).alias("_b_txt"),
+        py_strip(get_text(KEY_SNO)).alias("_ref"),
+    )
+    parsed = base.select(
+        "*",
+        F.when((F.col("_date_txt") != "") & (F.col("_date_txt") != "nan"),
+               parse_statement_date(F.col("_date_txt"))).alias("_date"),
+        validate_amount(F.col("_w_txt")).alias("_debit"),
+        validate_amount(F.col("_d_txt")).alias("_credit"),
+        validate_amount(F.col("_b_txt")).alias("_balance"),
+        resolve_currency(F.col("_w_txt"), F.col("_d_txt"), F.col("_remarks_txt"), currencies,
+                         decided_currency).alias("_currency"),
+    )
+    flagged = parsed.withColumn(
+        "is_valid",
+        F.col("_date").isNotNull() & (F.col("_remarks_txt") != "") & (F.col("_remarks_txt") != "nan"))
+    v = F.col("is_valid")
+    typed = flagged.select(
+        *rows.columns,
+        "is_valid",
+        F.when(v, F.col("_date")).alias("transaction_date"),
+        F.when(v, sanitize_text(F.col("_remarks_txt"), DESCRIPTION_MAX_LENGTH)).alias("description"),
+        F.when(v, F.col("_debit")).alias("debit_amount"),
+        F.when(v, F.col("_credit")).alias("credit_amount"),
+        F.when(v, F.col("_balance")).alias("balance"),
+        F.when(v, F.col("_ref")).alias("reference_number"),
+        F.when(v, F.when(F.col("_debit") > 0, F.lit("debit")).otherwise(F.lit("credit")))
+        .alias("transaction_type"),
+        F.when(v, F.col("_currency")).alias("currency"),
     )
     return typed.withColumn(
         "transaction_hash",
@@ -198,7 +235,9 @@ def typed_transactions(rows: DataFrame, currencies: Sequence[str] = ("INR",),
 
 def raw_json(keys="keys", cells="cells") -> Column:
     """Raw row as JSON (dict semantics: last duplicate key wins)."""
-    k, c = F.col(keys), F.col(cells)
+    k = F.col(keys)
+    c = F.transform(F.sequence(F.lit(1), F.greatest(F.size(k), F.lit(1))),
+                    lambda i: F.try_element_at(F.col(cells), i))
     entries = F.arrays_zip(k.alias("key"), c.alias("value"))
     n = F.size(k)
     last = F.filter(entries, lambda e, i: ~F.array_contains(F.slice(k, i + 2, F.greatest(n, F.lit(1))), e["key"])

@@ -16,6 +16,7 @@ from ..functions.text import normalize_person
 from ..operators.ledger import first_per_key
 from ..operators.statements import clean_statements
 from ..sources.derived import PROCESSOR_CURRENCIES, statement_cells
+from ..session import stage
 from ..sources.tables import read_table
 
 TXN_COLUMNS = ["transaction_hash", "path", "sheet_row", "row_number", "transaction_date", "description",
@@ -24,8 +25,8 @@ TXN_COLUMNS = ["transaction_hash", "path", "sheet_row", "row_number", "transacti
 
 
 def cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every kept statement row, typed (valid and invalid)."""
-    return clean_statements(statement_cells(spark, sf_dir), PROCESSOR_CURRENCIES)
+    """Every kept statement row, typed (valid and invalid), staged."""
+    return stage(clean_statements(statement_cells(spark, sf_dir), PROCESSOR_CURRENCIES), "cleaned")
 
 
 def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:

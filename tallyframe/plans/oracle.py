@@ -172,3 +172,130 @@ def with_base(select: str) -> str:
 
 
 MONEY = "CAST(round(sum(CAST({x} AS DECIMAL(38,6))), 2) AS DOUBLE)"
+
+
+def rules_values() -> str:
+    from ..sources.derived import DERIVED_RULES
+    rows = []
+    for (i, name, pats, cat, proc, active) in DERIVED_RULES:
+        plist = "[" + ", ".join("'" + p.replace("'", "''") + "'" for p in pats) + "]"
+        rows.append(f"({i}, '{name}', {plist}, '{cat}', '{proc}', {str(active).lower()})")
+    return ("rules(id, enum_name, patterns, category, processor_type, is_active) AS (VALUES "
+            + ", ".join(rows) + ")")
+
+
+STOPWORDS_SQL = "['to', 'from', 'the', 'and', 'or', 'in', 'on', 'at', 'by', 'for']"
+
+
+def pattern_words(x: str) -> str:
+    words = f"regexp_split_to_array({strip(f'lower({x})')}, '\\s+')"
+    kept = f"list_filter({words}, lambda w: length(w) >= 3 AND NOT list_contains({STOPWORDS_SQL}, w))"
+    cleaned = f"list_transform({kept}, lambda w: regexp_replace(w, '[^\\p{{L}}\\p{{N}}]', '', 'g'))"
+    return f"list_filter({cleaned}, lambda w: length(w) >= 3)"
+
+
+def split_items(spec: str) -> str:
+    parts = f"list_transform(string_split({spec}, ','), lambda p: string_split({strip('p')}, ':'))"
+    ok = (f"list_filter({parts}, lambda a: len(a) = 2 AND {is_py_float('a[2]')} "
+          f"AND NOT isnan(TRY_CAST({strip('a[2]')} AS DOUBLE)) "
+          f"AND TRY_CAST({strip('a[2]')} AS DOUBLE) > 0 AND TRY_CAST({strip('a[2]')} AS DOUBLE) <= 100)")
+    return f"list_transform({ok}, lambda a: TRY_CAST({strip('a[2]')} AS DOUBLE))"
+
+
+def split_status(spec: str) -> str:
+    s = strip(f"coalesce({spec}, '')")
+    items = split_items(s)
+    total = f"coalesce(list_sum({items}), 0.0)"
+    return (f"(CASE WHEN {s} = '' THEN 'none' WHEN len({items}) = 0 OR {total} > 100 THEN 'rejected' "
+            f"ELSE 'ok' END)")
+
+
+CATEGORIES_SQL = ("['income', 'food', 'transport', 'shopping', 'entertainment', 'utilities', "
+                  "'healthcare', 'transfer', 'investment', 'other']")
+
+
+def ingest_ctes() -> str:
+    """Decisions, history, rule match and per-row outcome of the derived run."""
+    suggested = f"coalesce({pattern_words('h.description')}[1], 'transaction')"
+    choice = strip("coalesce(category_choice, '')")
+    return f"""
+valid AS (SELECT * FROM hashed WHERE is_valid),
+hist_tx AS (SELECT DISTINCT transaction_hash FROM valid WHERE transaction_date < TIMESTAMP '1996-01-01'),
+hist_sk AS (SELECT DISTINCT transaction_hash FROM valid
+            WHERE transaction_date >= TIMESTAMP '1996-01-01' AND transaction_date < TIMESTAMP '1996-07-01'
+              AND CAST(reference_number AS BIGINT) % 2 = 0),
+dec0 AS (SELECT transaction_hash, min(reference_number) AS reference_number, min(description) AS description,
+                CAST(min(reference_number) AS BIGINT) AS k
+         FROM valid GROUP BY transaction_hash),
+dec AS (
+  SELECT transaction_hash,
+         CASE WHEN k % 11 = 0 THEN 'skip' WHEN k % 19 = 0 THEN 'new_pattern' ELSE 'process' END AS action,
+         CASE WHEN contains(description, '2-HIGH') THEN '2' WHEN contains(description, '3-MEDIUM') THEN 'Travel'
+              WHEN contains(description, '5-LOW') THEN '99' ELSE '' END AS category_choice,
+         CASE WHEN k % 5 = 0 THEN '' WHEN k % 7 = 0 THEN 'ok' ELSE 'order ' || reference_number END AS reason,
+         CASE WHEN k % 4 = 0 THEN 'alice:50' WHEN k % 4 = 1 THEN 'alice:30, Bob :20'
+              WHEN k % 4 = 2 THEN 'alice:80,bob:40' ELSE '' END AS splits_spec,
+         lower(string_split(description, '-')[3]) AS pattern,
+         CASE WHEN k % 2 = 0 THEN lower(string_split(description, '-')[3]) || '_spend' ELSE '' END AS d_enum_name,
+         'shopping' AS d_enum_category
+  FROM dec0 WHERE k % 23 <> 0),
+{rules_values()},
+pats AS (SELECT id, enum_name, category, unnest(patterns) AS pattern,
+                generate_subscripts(patterns, 1) AS pos
+         FROM rules WHERE is_active AND processor_type = 'icici_bank'),
+hit AS (SELECT h.path, h.sheet_row, arg_min(p.id, p.id * 1000 + p.pos) AS enum_id
+        FROM hashed h JOIN pats p ON contains(lower(h.description), lower(p.pattern))
+        GROUP BY h.path, h.sheet_row),
+firsts AS (SELECT transaction_hash, min(path || chr(1) || lpad(CAST(sheet_row AS VARCHAR), 20, '0')) AS fk
+           FROM valid GROUP BY transaction_hash),
+o1 AS (
+  SELECT h.*, r.id AS enum_id, r.enum_name, r.category AS enum_category,
+         d.action, d.category_choice, d.reason, d.splits_spec, d.pattern AS d_pattern, d.d_enum_name,
+         d.d_enum_category,
+         t.transaction_hash IS NOT NULL AS in_tx, s.transaction_hash IS NOT NULL AS in_sk,
+         (h.path || chr(1) || lpad(CAST(h.sheet_row AS VARCHAR), 20, '0')) = f.fk AS is_first,
+         (r.id IS NOT NULL AND (d.action IS NULL OR d.action <> 'new_pattern')) AS matched,
+         CASE WHEN lower({strip("coalesce(d.pattern, '')")}) = '' THEN {suggested}
+              ELSE lower({strip("coalesce(d.pattern, '')")}) END AS np
+  FROM hashed h LEFT JOIN hit ON h.path = hit.path AND h.sheet_row = hit.sheet_row
+  LEFT JOIN rules r ON r.id = hit.enum_id
+  LEFT JOIN dec d ON d.transaction_hash = h.transaction_hash
+  LEFT JOIN hist_tx t ON t.transaction_hash = h.transaction_hash
+  LEFT JOIN hist_sk s ON s.transaction_hash = h.transaction_hash
+  LEFT JOIN firsts f ON f.transaction_hash = h.transaction_hash),
+o2 AS (
+  SELECT *,
+    CASE WHEN matched AND action = 'skip' THEN 'skipped' WHEN matched THEN 'processed'
+         WHEN action IS NULL THEN 'needs_review' WHEN action = 'skip' THEN 'skipped' ELSE 'processed' END AS decided,
+    CASE WHEN NOT matched AND action IS NOT NULL AND action <> 'skip' THEN
+         CASE WHEN length({strip("coalesce(d_enum_name, '')")}) >= 3 THEN {strip("coalesce(d_enum_name, '')")}
+              ELSE np || '_transaction' END END AS new_enum_name
+  FROM o1),
+o3 AS (
+  SELECT o2.*, er.id AS existing_enum_id,
+    CASE WHEN matched THEN enum_category ELSE coalesce(er.category, d_enum_category) END AS enum_cat
+  FROM o2 LEFT JOIN rules er ON er.enum_name = o2.new_enum_name AND er.processor_type = 'icici_bank'),
+o4 AS (
+  SELECT *,
+    CASE WHEN NOT is_valid THEN 'invalid' WHEN in_tx THEN 'duplicate' WHEN in_sk THEN 'auto_skipped'
+         WHEN transaction_type = 'credit' AND credit_amount IS NULL THEN 'error_skipped'
+         ELSE decided END AS own,
+    CASE WHEN {choice} = '' THEN enum_cat
+         WHEN regexp_full_match({choice}, '[0-9]+') THEN
+              coalesce(CASE WHEN TRY_CAST({choice} AS INTEGER) BETWEEN 1 AND 10
+                            THEN {CATEGORIES_SQL}[TRY_CAST({choice} AS INTEGER)] END, enum_cat)
+         WHEN length({choice}) >= 2 THEN lower({choice})
+         ELSE enum_cat END AS transaction_category,
+    CASE WHEN length({strip("coalesce(reason, '')")}) >= 3 THEN {strip("coalesce(reason, '')")}
+         WHEN matched THEN 'Transaction: ' || enum_name ELSE 'General transaction' END AS final_reason
+  FROM o3),
+outcomes AS (
+  SELECT *,
+    CASE WHEN is_valid AND NOT is_first AND own = 'processed' THEN 'duplicate'
+         WHEN is_valid AND NOT is_first AND own = 'skipped' THEN 'auto_skipped'
+         ELSE own END AS outcome
+  FROM o4)"""
+
+
+def with_ingest(select: str) -> str:
+    return "WITH " + ",".join([STATEMENT_ROWS, _kept(), _typed(), ingest_ctes()]) + "\n" + select

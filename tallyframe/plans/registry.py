@@ -38,3 +38,215 @@ SELECT person_name, {O.MONEY.format(x='amount')} AS unsettled_amount, count(*) A
 FROM splits WHERE is_settled = false GROUP BY person_name"""))
 def q_unsettled_by_person(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.unsettled_by_person(derived.splits(spark, sf_dir))
+
+
+CLEAN_COLS = ["path", "sheet_row", "row_number", "is_valid", "transaction_date", "description", "debit_amount",
+              "credit_amount", "balance", "reference_number", "transaction_type", "currency", "transaction_hash"]
+
+
+# ---- S3-S6, P1-P7, W1, F1, F3, F6, F7, F9: cleaned statement rows ----------
+@register("statement_clean", O.with_base(f"SELECT {', '.join(CLEAN_COLS)} FROM hashed"))
+def q_statement_clean(spark, sf_dir):
+    return derived.cleaned(spark, sf_dir).select(*CLEAN_COLS)
+
+
+# ---- S3/S6: header row per statement file ----------------------------------
+@register("statement_headers", f"""
+WITH files AS (
+  SELECT 'statements/' || lower(n_name) || '.csv' AS path FROM nation
+  UNION ALL SELECT 'statements/replay.csv'),
+head AS (
+  SELECT path, 0 AS sheet_row, ['Statement of account', NULL, 'x'] AS cells FROM files
+  UNION ALL
+  SELECT path, 1, [NULL, 'S No.', 'Transaction Date', 'Transaction Remarks', 'Withdrawal Amount (INR )',
+                   'Deposit Amount (INR )', 'Balance (INR )'] FROM files
+  UNION ALL
+  SELECT 'statements/' || lower(n.n_name) || '.csv', o.o_orderkey + 2,
+         [NULL, CAST(o.o_orderkey AS VARCHAR)]
+  FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey JOIN nation n ON c.c_nationkey = n.n_nationkey
+  WHERE o.o_orderkey + 2 < 20
+  UNION ALL
+  SELECT 'statements/replay.csv', o.o_orderkey + 2, [NULL, CAST(o.o_orderkey AS VARCHAR)]
+  FROM orders o WHERE o.o_orderkey % 10 = 0 AND o.o_orderkey + 2 < 20),
+scored AS (
+  SELECT path, sheet_row, cells,
+         len(list_filter(['transaction date', 'transaction remarks', 'withdrawal amount (inr )',
+                          'deposit amount (inr )', 'balance (inr )', 's no.'],
+             lambda r: len(list_filter(cells, lambda c: c IS NOT NULL AND contains(lower(trim(c)), r))) > 0)) AS score
+  FROM head)
+SELECT path, coalesce(min(sheet_row) FILTER (WHERE score >= 4.2), min(sheet_row)) AS header_row,
+       arg_min(list_aggregate(list_transform(cells, lambda c: coalesce(c, 'nan')), 'string_agg', '|'),
+               CASE WHEN score >= 4.2 THEN sheet_row ELSE 1000000 + sheet_row END) AS header_text
+FROM scored GROUP BY path""")
+def q_statement_headers(spark, sf_dir):
+    from ..operators.statements import detect_header_rows
+    from ..sources.derived import statement_cells
+    h = detect_header_rows(statement_cells(spark, sf_dir))
+    return h.select("path", "header_row", F.array_join(
+        F.transform("header", lambda c: F.coalesce(c, F.lit("nan"))), "|").alias("header_text"))
+
+
+# ---- U3: stored transactions (first copy per hash) -------------------------
+@register("stored_transactions", O.with_base(
+    "SELECT transaction_hash, path, sheet_row, transaction_date, debit_amount, credit_amount, currency FROM txn"))
+def q_stored_transactions(spark, sf_dir):
+    return derived.transactions(spark, sf_dir).select(
+        "transaction_hash", "path", "sheet_row", "transaction_date", "debit_amount", "credit_amount", "currency")
+
+
+# ---- A1 variant per currency (D7) ------------------------------------------
+@register("unsettled_by_person_currency", O.with_base(f"""
+SELECT person_name, currency, {O.MONEY.format(x='amount')} AS unsettled_amount, count(*) AS unsettled_count
+FROM splits WHERE is_settled = false GROUP BY person_name, currency"""))
+def q_unsettled_by_person_currency(spark, sf_dir):
+    return ledger.unsettled_by_person(derived.splits(spark, sf_dir), by_currency=True)
+
+
+_J_COLS = ("transaction_hash, transaction_date, description, debit_amount, credit_amount, transaction_type, "
+           "reference_number, person_name, percentage, amount, currency AS split_currency, is_settled AS split_settled")
+
+
+def _person_frames(spark, sf_dir):
+    t = derived.transactions(spark, sf_dir)
+    return t, derived.splits(spark, sf_dir, t)
+
+
+# ---- J4 + O1: unsettled transactions of one person -------------------------
+@register("unsettled_transactions", O.with_base(f"""
+SELECT {_J_COLS.replace('transaction_hash,', 's.transaction_hash,').replace('currency AS', 's.currency AS')}
+FROM txn t JOIN splits s ON s.transaction_hash = t.transaction_hash
+WHERE s.person_name = lower('{PERSON}') AND s.is_settled = false"""))
+def q_unsettled_transactions(spark, sf_dir):
+    t, s = _person_frames(spark, sf_dir)
+    return ledger.unsettled_transactions(t, s, PERSON).drop("split_id")
+
+
+# ---- J5 + P11: person history in a date range ------------------------------
+@register("person_history", O.with_base(f"""
+SELECT {_J_COLS.replace('transaction_hash,', 's.transaction_hash,').replace('currency AS', 's.currency AS')}
+FROM txn t JOIN splits s ON s.transaction_hash = t.transaction_hash
+WHERE s.person_name = lower('{PERSON}')
+  AND t.transaction_date >= TIMESTAMP '1996-01-01' AND t.transaction_date <= TIMESTAMP '1998-12-31'"""))
+def q_person_history(spark, sf_dir):
+    t, s = _person_frames(spark, sf_dir)
+    return ledger.person_transactions(t, s, PERSON, "1996-01-01", "1998-12-31").drop("split_id")
+
+
+# ---- A2: person total in a date range --------------------------------------
+@register("person_total", O.with_base(f"""
+SELECT coalesce({O.MONEY.format(x='s.amount')}, 0.0) AS total_amount
+FROM txn t JOIN splits s ON s.transaction_hash = t.transaction_hash
+WHERE s.person_name = lower('{PERSON}')
+  AND t.transaction_date >= TIMESTAMP '1996-01-01' AND t.transaction_date <= TIMESTAMP '1998-12-31'"""))
+def q_person_total(spark, sf_dir):
+    t, s = _person_frames(spark, sf_dir)
+    return ledger.person_total(t, s, PERSON, "1996-01-01", "1998-12-31")
+
+
+# ---- P10: transactions per currency ----------------------------------------
+@register("transactions_by_currency", O.with_base("SELECT currency, count(*) AS n FROM txn GROUP BY currency"))
+def q_transactions_by_currency(spark, sf_dir):
+    return ledger.by_currency(derived.transactions(spark, sf_dir))
+
+
+# ---- O3 + P10: newest 100 debits -------------------------------------------
+@register("recent_debits_top100", O.with_base("""
+SELECT transaction_hash, transaction_date, debit_amount FROM txn WHERE transaction_type = 'debit'
+ORDER BY transaction_date DESC, transaction_hash LIMIT 100"""))
+def q_recent_debits(spark, sf_dir):
+    return ledger.recent_transactions(derived.transactions(spark, sf_dir), 100, "debit").select(
+        "transaction_hash", "transaction_date", "debit_amount")
+
+
+# ---- J3: first matching rule per stored transaction ------------------------
+@register("rule_match", O.with_ingest("""
+SELECT h.transaction_hash, r.id AS enum_id, r.enum_name, r.category AS enum_category
+FROM txn h LEFT JOIN hit ON h.path = hit.path AND h.sheet_row = hit.sheet_row
+LEFT JOIN rules r ON r.id = hit.enum_id"""))
+def q_rule_match(spark, sf_dir):
+    from ..operators.rules import match_rules
+    from ..sources.derived import PROCESSOR, derived_rules
+    t = derived.transactions(spark, sf_dir)
+    return match_rules(t, derived_rules(spark), PROCESSOR).select(
+        "transaction_hash", "enum_id", "enum_name", "enum_category")
+
+
+# ---- E1 + P12-P14 + W2 + J1/J2: outcome per statement row -------------------
+@register("ingest_outcomes", O.with_ingest(f"""
+SELECT path, sheet_row, row_number, outcome,
+       CASE WHEN outcome = 'invalid' THEN 'Invalid transaction data'
+            WHEN outcome = 'skipped' AND matched THEN 'User chose to skip - existing pattern found but not used'
+            WHEN outcome = 'skipped' THEN 'User chose to skip - no pattern identified' END AS skip_reason,
+       CASE WHEN outcome = 'processed' THEN enum_cat END AS category,
+       CASE WHEN outcome = 'processed' THEN transaction_category END AS transaction_category,
+       CASE WHEN outcome = 'processed' THEN final_reason END AS reason,
+       CASE WHEN outcome = 'processed' THEN {O.split_status('splits_spec')} END AS split_status,
+       CASE WHEN outcome = 'processed' THEN coalesce(enum_id, existing_enum_id) END AS known_enum_id,
+       CASE WHEN outcome = 'processed' THEN new_enum_name END AS new_enum_name
+FROM outcomes"""))
+def q_ingest_outcomes(spark, sf_dir):
+    from . import ingest
+    o = ingest.run(spark, sf_dir)
+    p = F.col("outcome") == "processed"
+    return o.select("path", "sheet_row", "row_number", "outcome", "skip_reason",
+                    F.when(p, F.col("final_category")).alias("category"),
+                    F.when(p, F.col("transaction_category")).alias("transaction_category"),
+                    F.when(p, F.col("final_reason")).alias("reason"),
+                    F.when(p, F.col("split_status")).alias("split_status"),
+                    F.when(p, F.coalesce("enum_id", "existing_enum_id")).alias("known_enum_id"),
+                    F.when(p, F.col("new_enum_name")).alias("new_enum_name"))
+
+
+# ---- A3-A5: run counters, status and completion rate per file --------------
+@register("ingest_run_counters", O.with_ingest("""
+SELECT path, count(*) AS total_transactions,
+       count(*) FILTER (WHERE outcome = 'processed') AS processed_transactions,
+       count(*) FILTER (WHERE outcome IN ('skipped', 'invalid', 'error_skipped')) AS skipped_transactions,
+       count(*) FILTER (WHERE outcome = 'duplicate') AS duplicate_transactions,
+       count(*) FILTER (WHERE outcome = 'auto_skipped') AS auto_skipped_transactions,
+       count(*) FILTER (WHERE outcome = 'needs_review') AS needs_review_transactions,
+       CASE WHEN count(*) FILTER (WHERE outcome IN ('processed', 'skipped', 'invalid', 'error_skipped')) = count(*)
+            THEN 'completed' ELSE 'partially_completed' END AS status,
+       CASE WHEN count(*) FILTER (WHERE outcome IN ('processed', 'skipped', 'invalid', 'error_skipped')) = count(*)
+            THEN 'completed' ELSE 'partially_processed' END AS file_status,
+       CASE WHEN count(*) FILTER (WHERE outcome IN ('processed', 'skipped', 'invalid', 'error_skipped')) <> count(*)
+            THEN round(count(*) FILTER (WHERE outcome IN ('processed', 'skipped', 'invalid', 'error_skipped'))
+                       * 100.0 / count(*), 2) END AS completion_rate
+FROM outcomes GROUP BY path"""))
+def q_ingest_run_counters(spark, sf_dir):
+    from ..operators.outcomes import run_counters
+    from . import ingest
+    return run_counters(ingest.run(spark, sf_dir))
+
+
+# ---- K4 (create) + J8: rules first defined by this run ----------------------
+@register("new_rules", O.with_ingest("""
+SELECT 6 + row_number() OVER (ORDER BY path, sheet_row, new_enum_name) AS id, new_enum_name AS enum_name,
+       np AS pattern, enum_cat AS category
+FROM (SELECT *, row_number() OVER (PARTITION BY new_enum_name ORDER BY path, sheet_row) AS rk
+      FROM outcomes WHERE outcome = 'processed' AND new_enum_name IS NOT NULL AND existing_enum_id IS NULL)
+WHERE rk = 1"""))
+def q_new_rules(spark, sf_dir):
+    from ..operators.outcomes import new_rules
+    from ..sources.derived import PROCESSOR, derived_rules
+    from . import ingest
+    r = new_rules(ingest.run(spark, sf_dir), derived_rules(spark), PROCESSOR)
+    return r.select("id", "enum_name", F.col("patterns")[0].alias("pattern"), "category")
+
+
+# ---- F15 + A8: split specs of the decisions table --------------------------
+@register("split_specs", O.with_ingest(f"""
+SELECT transaction_hash, {O.split_status('splits_spec')} AS split_status,
+       CASE WHEN {O.split_status('splits_spec')} = 'ok'
+            THEN 100.0 - list_sum({O.split_items(O.strip("coalesce(splits_spec, '')"))}) END AS own_share,
+       CASE WHEN {O.split_status('splits_spec')} = 'ok'
+            THEN len({O.split_items(O.strip("coalesce(splits_spec, '')"))}) END AS n_splits
+FROM dec"""))
+def q_split_specs(spark, sf_dir):
+    from ..functions.splits import parse_splits
+    from ..sources.derived import derived_decisions
+    d = derived_decisions(derived.cleaned(spark, sf_dir).filter("is_valid"))
+    p = parse_splits(F.col("splits_spec"))
+    return d.select("transaction_hash", p["status"].alias("split_status"), p["own_share"].alias("own_share"),
+                    F.size(p["splits"]).alias("n_splits")).withColumn(
+        "n_splits", F.when(F.col("split_status") == "ok", F.col("n_splits")))

@@ -19,6 +19,10 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
+    # Keep generated methods under the JIT limit: a stage whose method would
+    # exceed it falls back to split expression code instead of running in
+    # the bytecode interpreter.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
@@ -49,7 +53,7 @@ def get_session(master: str | None = None, app_name: str = "tallyframe",
 
 def apply_runtime_defaults(spark: SparkSession) -> None:
     """Set SQL settings the engine's semantics depend on (session scoped)."""
-    for key in ("spark.sql.session.timeZone", "spark.sql.mapKeyDedupPolicy"):
+    for key in ("spark.sql.session.timeZone", "spark.sql.mapKeyDedupPolicy", "spark.sql.codegen.hugeMethodLimit"):
         spark.conf.set(key, DEFAULT_CONF[key])
 
 
@@ -67,3 +71,20 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
+
+
+def stage(df, name: str = "stage"):
+    """Cut the lineage of ``df`` at a natural staging point of a run.
+
+    Writes ``df`` as parquet under the shared checkpoint folder
+    (``spark.checkpoint.dir``) and reads it back: one computation, later
+    stages scan columnar staged rows (with pruning and pushdown) instead of
+    re-running the whole plan, and a lost executor costs a re-read, not a
+    recomputation from the raw files."""
+    import uuid
+
+    spark = df.sparkSession
+    root = ensure_checkpoint_dir(spark)
+    path = os.path.join(root, "staged", f"{name}-{uuid.uuid4().hex}")
+    df.write.mode("errorifexists").parquet(path)
+    return spark.read.parquet(path)
