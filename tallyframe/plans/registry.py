@@ -250,3 +250,107 @@ def q_split_specs(spark, sf_dir):
     return d.select("transaction_hash", p["status"].alias("split_status"), p["own_share"].alias("own_share"),
                     F.size(p["splits"]).alias("n_splits")).withColumn(
         "n_splits", F.when(F.col("split_status") == "ok", F.col("n_splits")))
+
+
+# ---- A6 + J7 + U2: categories found in rules and processed rows, merged ----
+@register("category_merge", O.with_ingest(f"""
+, found AS (
+  SELECT DISTINCT name FROM (
+    SELECT nullif(lower({O.strip('category')}), '') AS name FROM rules
+    UNION ALL
+    SELECT nullif(lower({O.strip('transaction_category')}), '') FROM outcomes WHERE outcome = 'processed')
+  WHERE name IS NOT NULL),
+tmpl AS (SELECT unnest({O.CATEGORIES_SQL}) AS name, generate_subscripts({O.CATEGORIES_SQL}, 1) AS pos)
+SELECT pos, name FROM tmpl
+UNION ALL
+SELECT 10 + row_number() OVER (ORDER BY name) AS pos, name FROM found
+WHERE lower(name) NOT IN (SELECT lower(name) FROM tmpl)""".replace("\n, found AS", ", found AS", 1)))
+def q_category_merge(spark, sf_dir):
+    from ..operators.categories import discovered_categories, merge_categories
+    from ..sources.derived import derived_rules
+    from ..sources.tables import category_template
+    from . import ingest
+    processed = ingest.run(spark, sf_dir).filter(F.col("outcome") == "processed")
+    found = discovered_categories(derived_rules(spark), processed)
+    return merge_categories(category_template(spark), found)
+
+
+ALL_CODES = ["USD", "EUR", "GBP", "INR", "JPY", "CNY", "AUD", "CAD", "CHF", "SGD"]
+
+
+# ---- F9 + F10: currency detected in each document (whole text) -------------
+@register("document_currency", f"""
+SELECT doc_id, {O.detect_currency('text', ALL_CODES)} AS currency
+FROM documents""")
+def q_document_currency(spark, sf_dir):
+    from ..functions.currency import detect_currency
+    from ..sources.tables import read_table
+    d = read_table(spark, sf_dir, "documents")
+    return d.select("doc_id", detect_currency(F.col("text"), ALL_CODES).alias("currency"))
+
+
+# ---- F3 + F19: sanitized page html (whole page), display safety -------------
+@register("page_sanitize", f"""
+SELECT page_id, sha256({O.sanitize('html', 100000000)}) AS sanitized_sha256,
+       length({O.sanitize('html', 100000000)}) AS sanitized_length,
+       NOT coalesce(regexp_matches(html, '<script|javascript:|on[\\p{{L}}\\p{{N}}_]+\\s*=|<iframe|<object|<embed', 'i'), false)
+         AS safe_for_display
+FROM pages""")
+def q_page_sanitize(spark, sf_dir):
+    from ..functions.text import is_safe_for_display, sanitize_text
+    from ..sources.tables import read_table
+    p = read_table(spark, sf_dir, "pages")
+    s = sanitize_text(F.col("html"))
+    return p.select("page_id", F.sha2(s, 256).alias("sanitized_sha256"), F.length(s).alias("sanitized_length"),
+                    is_safe_for_display(F.col("html")).alias("safe_for_display"))
+
+
+# ---- F20: credential-masked page urls ---------------------------------------
+@register("page_url_mask", """
+SELECT page_id,
+       CASE WHEN contains(url, '?') THEN split_part(url, '?', 1) || '?***'
+            WHEN contains(url, '@') AND contains(split_part(url, '@', 1), '://')
+            THEN split_part(split_part(url, '@', 1), '://', 1) || '://***@' || split_part(url, '@', 2)
+            ELSE url END AS masked_url
+FROM pages""")
+def q_page_url_mask(spark, sf_dir):
+    from ..functions.text import mask_url
+    from ..sources.tables import read_table
+    return read_table(spark, sf_dir, "pages").select("page_id", mask_url(F.col("url")).alias("masked_url"))
+
+
+# ---- F13: pattern suggestions of every document (whole text, first 5) ------
+@register("document_pattern_suggestions", f"""
+SELECT doc_id, array_to_string({O.pattern_words('text')}[1:5], ' ') AS suggestions,
+       coalesce({O.pattern_words('text')}[1], 'transaction') AS suggested_pattern
+FROM documents""")
+def q_document_pattern_suggestions(spark, sf_dir):
+    from ..functions.text import pattern_suggestions, suggested_pattern
+    from ..sources.tables import read_table
+    d = read_table(spark, sf_dir, "documents")
+    return d.select("doc_id", F.array_join(pattern_suggestions(F.col("text")), " ").alias("suggestions"),
+                    suggested_pattern(F.col("text")).alias("suggested_pattern"))
+
+
+# ---- F13 corpus-wide: top-50 candidate rule words (top-k is the feature) ---
+@register("candidate_pattern_words_top50", f"""
+SELECT word, count(*) AS n FROM (
+  SELECT unnest({O.pattern_words('text')}) AS word FROM conversations)
+GROUP BY word ORDER BY n DESC, word LIMIT 50""")
+def q_candidate_words(spark, sf_dir):
+    from ..functions.text import pattern_words
+    from ..sources.tables import read_table
+    c = read_table(spark, sf_dir, "conversations")
+    words = c.select(F.explode(pattern_words(F.col("text"))).alias("word"))
+    return words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "word").limit(50)
+
+
+# ---- U3 / W2 on documents: copies of one text, first copy kept --------------
+@register("document_duplicates", """
+SELECT sha256(text) AS text_hash, min(doc_id) AS first_doc_id, count(*) AS copies
+FROM documents GROUP BY sha256(text) HAVING count(*) > 1""")
+def q_document_duplicates(spark, sf_dir):
+    from ..sources.tables import read_table
+    d = read_table(spark, sf_dir, "documents").select(F.sha2("text", 256).alias("text_hash"), "doc_id")
+    return (d.groupBy("text_hash").agg(F.min("doc_id").alias("first_doc_id"), F.count(F.lit(1)).alias("copies"))
+            .filter(F.col("copies") > 1))
