@@ -41,12 +41,43 @@ DEFAULT_CURRENCY = "INR"
 # ---------------------------------------------------------------------------
 
 
-def currency_regex(code: str) -> str:
-    """One alternation per currency: any of its patterns is a hit.  Unicode
-    classes (``(?U)``, slow in Java) only where a pattern uses ``\\s``."""
+_META = set("\\.^$|?*+()[]{}")
+
+
+def _as_literal(pattern: str) -> str | None:
+    """The literal text a pattern matches, when it is a plain string once
+    escapes are removed (``rs\\.`` -> ``rs.``); otherwise None."""
+    out, i = [], 0
+    while i < len(pattern):
+        ch = pattern[i]
+        if ch == "\\" and i + 1 < len(pattern) and pattern[i + 1] in _META:
+            out.append(pattern[i + 1])
+            i += 2
+            continue
+        if ch in _META:
+            return None
+        out.append(ch)
+        i += 1
+    return "".join(out)
+
+
+def currency_test(low: Column, code: str) -> Column:
+    """True when any pattern of ``code`` occurs in the lowercased text.
+
+    Literal patterns are substring tests (no regex scan over whole texts).
+    A regex pattern is skipped when a literal pattern of the same currency
+    occurs verbatim inside it at its end (``us\\s+dollar`` ends with
+    ``dollar``): every match of it then contains that literal."""
     pats = CURRENCY_PATTERNS[code]
-    flag = "(?U)" if any("\\s" in p for p in pats) else ""
-    return flag + "|".join(f"(?:{p})" for p in pats)
+    lits = [x for x in (_as_literal(p) for p in pats) if x is not None]
+    test = F.lit(False)
+    for p in pats:
+        lit = _as_literal(p)
+        if lit is not None:
+            test = test | low.contains(lit)
+        elif not any(p.endswith(x) and x for x in lits):
+            test = test | low.rlike("(?U)" + p)
+    return test
 
 
 def detect_currency(text, available: Sequence[str]) -> Column:
@@ -57,7 +88,7 @@ def detect_currency(text, available: Sequence[str]) -> Column:
     if not codes:
         return F.lit(None).cast("string")
     low = F.lower(t)
-    hit = {c: low.rlike(currency_regex(c)) for c in codes}
+    hit = {c: currency_test(low, c) for c in codes}
     n_hits = sum((F.when(h, 1).otherwise(0) for h in hit.values()), F.lit(0))
     only = F.coalesce(*[F.when(h, F.lit(c)) for c, h in hit.items()])
     return F.when((F.length(t) > 0) & (n_hits == 1), only)
