@@ -80,18 +80,24 @@ def currency_test(low: Column, code: str) -> Column:
     return test
 
 
+def currency_tags(low: Column, available: Sequence[str]) -> Column:
+    """Comma-joined codes of every available currency hit in the (already
+    lowercased) text; each test is evaluated once.  Codes are three letters,
+    so exactly one hit <=> the result has length 3."""
+    codes = [c for c in dict.fromkeys(available) if c in CURRENCY_PATTERNS]
+    if not codes:
+        return F.lit("")
+    return F.concat_ws(",", *[F.when(currency_test(low, c), F.lit(c)) for c in codes])
+
+
+def single_hit(tags: Column) -> Column:
+    return F.when(F.length(tags) == 3, tags)
+
+
 def detect_currency(text, available: Sequence[str]) -> Column:
     """the single currency among ``available`` whose patterns hit the
     lowercased text; null when none or more than one hit."""
-    t = as_col(text)
-    codes = [c for c in dict.fromkeys(available) if c in CURRENCY_PATTERNS]
-    if not codes:
-        return F.lit(None).cast("string")
-    low = F.lower(t)
-    hit = {c: currency_test(low, c) for c in codes}
-    n_hits = sum((F.when(h, 1).otherwise(0) for h in hit.values()), F.lit(0))
-    only = F.coalesce(*[F.when(h, F.lit(c)) for c, h in hit.items()])
-    return F.when((F.length(t) > 0) & (n_hits == 1), only)
+    return single_hit(currency_tags(F.lower(as_col(text)), available))
 
 
 def currency_symbol(code) -> Column:

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.amounts import is_py_float, validate_amount
-from ..functions.currency import resolve_currency
+from ..functions.currency import currency_tags, single_hit
 from ..functions.dates import parse_statement_date
 from ..functions.hashing import transaction_hash
 from ..functions.text import is_header_like, py_strip, sanitize_text
@@ -184,6 +184,29 @@ def with_row_numbers(df: DataFrame, part: str = "path", order: str = "sheet_row"
             .drop("_bucket", "_offset"))
 
 
+def _usable_low(c: Column) -> Column:
+    s = py_strip(c)
+    return F.lower(F.when((F.length(s) > 0) & (s != "nan"), s))
+
+
+def _with_currency(df: DataFrame, currencies: Sequence[str], decided: Column | None) -> DataFrame:
+    """P7 in stages: lowered usable texts, then the hit tags of each text
+    (each evaluated once), then the first text with exactly one hit, the
+    decided currency, or the first configured one."""
+    currencies = list(currencies)
+    if len(currencies) == 1:
+        return df.withColumn("_currency", F.lit(currencies[0]))
+    low = df.select("*", _usable_low(F.col("_w_txt")).alias("_w_low"), _usable_low(F.col("_d_txt")).alias("_d_low"),
+                    _usable_low(F.col("_remarks_txt")).alias("_r_low"))
+    tags = low.select("*", *[currency_tags(F.col(f"_{k}_low"), currencies).alias(f"_{k}_tags") for k in "wdr"])
+    options = [single_hit(F.col(f"_{k}_tags")) for k in "wdr"]
+    if decided is not None:
+        options.append(decided)
+    options.append(F.lit(currencies[0]))
+    return tags.withColumn("_currency", F.coalesce(*options)).drop(
+        "_w_low", "_d_low", "_r_low", "_w_tags", "_d_tags", "_r_tags")
+
+
 def typed_transactions(rows: DataFrame, currencies: Sequence[str] = ("INR",),
                        decided_currency: Column | None = None) -> DataFrame:
     """P5-P7 + F7: typed columns, ``is_valid`` flag and the transaction hash.
@@ -207,9 +230,8 @@ def typed_transactions(rows: DataFrame, currencies: Sequence[str] = ("INR",),
         validate_amount(F.col("_w_txt")).alias("_debit"),
         validate_amount(F.col("_d_txt")).alias("_credit"),
         validate_amount(F.col("_b_txt")).alias("_balance"),
-        resolve_currency(F.col("_w_txt"), F.col("_d_txt"), F.col("_remarks_txt"), currencies,
-                         decided_currency).alias("_currency"),
     )
+    parsed = _with_currency(parsed, currencies, decided_currency)
     flagged = parsed.withColumn(
         "is_valid",
         F.col("_date").isNotNull() & (F.col("_remarks_txt") != "") & (F.col("_remarks_txt") != "nan"))
