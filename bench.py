@@ -55,7 +55,8 @@ def main() -> None:
     kept = {}
 
     def ingest_run():
-        out = ingest.run(spark, sf_dir)
+        kept["batch"] = derived.cleaned(spark, sf_dir)
+        out = ingest.run(spark, sf_dir, batch=kept["batch"])
         sinks.write_run(out, root, "run-1")
         kept["rows"] = spark.read.parquet(os.path.join(root, "processing_logs")).agg(
             F.sum("total_transactions")).first()[0]
@@ -66,7 +67,7 @@ def main() -> None:
     tables = os.path.join(scratch, "tables")
 
     def load():
-        t = derived.transactions(spark, sf_dir)
+        t = derived.transactions(spark, sf_dir, kept["batch"])
         t.write.parquet(os.path.join(tables, "transactions"))
         t = spark.read.parquet(os.path.join(tables, "transactions"))
         derived.splits(spark, sf_dir, t).write.parquet(os.path.join(tables, "transaction_splits"))

@@ -29,9 +29,11 @@ def cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stage(clean_statements(statement_cells(spark, sf_dir), PROCESSOR_CURRENCIES), "cleaned")
 
 
-def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stored transactions: first copy per hash by (path, sheet_row)."""
-    valid = cleaned(spark, sf_dir).filter("is_valid").select(*TXN_COLUMNS)
+def transactions(spark: SparkSession, sf_dir: str, batch: DataFrame | None = None) -> DataFrame:
+    """Stored transactions: first copy per hash by (path, sheet_row).
+    ``batch`` is an already cleaned (staged) frame to reuse."""
+    batch = batch if batch is not None else cleaned(spark, sf_dir)
+    valid = batch.filter("is_valid").select(*TXN_COLUMNS)
     return first_per_key(valid, "transaction_hash", ["path", "sheet_row"])
 
 

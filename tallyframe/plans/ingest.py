@@ -30,9 +30,11 @@ def history(batch: DataFrame) -> tuple[DataFrame, DataFrame]:
     return stored, skipped
 
 
-def run(spark: SparkSession, sf_dir: str, reprocess_skipped: bool = False) -> DataFrame:
-    """Outcome of every kept statement row of the derived run."""
-    batch = derived.cleaned(spark, sf_dir)
+def run(spark: SparkSession, sf_dir: str, reprocess_skipped: bool = False,
+        batch: DataFrame | None = None) -> DataFrame:
+    """Outcome of every kept statement row of the derived run (``batch``:
+    an already cleaned, staged frame to reuse)."""
+    batch = batch if batch is not None else derived.cleaned(spark, sf_dir)
     stored, skipped = history(batch)
     decisions = derived_decisions(batch.filter("is_valid"))
     return OUT.ingest_outcomes(batch, stored, skipped, decisions, derived_rules(spark), PROCESSOR,

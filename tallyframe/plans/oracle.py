@@ -233,7 +233,8 @@ dec AS (
          CASE WHEN contains(description, '2-HIGH') THEN '2' WHEN contains(description, '3-MEDIUM') THEN 'Travel'
               WHEN contains(description, '5-LOW') THEN '99' ELSE '' END AS category_choice,
          CASE WHEN k % 5 = 0 THEN '' WHEN k % 7 = 0 THEN 'ok' ELSE 'order ' || reference_number END AS reason,
-         CASE WHEN k % 4 = 0 THEN 'alice:50' WHEN k % 4 = 1 THEN 'alice:30, Bob :20'
+         CASE WHEN k % 4 = 0 THEN lower(string_split(description, '-')[3]) || ':50'
+              WHEN k % 4 = 1 THEN 'alice:30, ' || upper(string_split(description, '-')[3]) || ' :20'
               WHEN k % 4 = 2 THEN 'alice:80,bob:40' ELSE '' END AS splits_spec,
          lower(string_split(description, '-')[3]) AS pattern,
          CASE WHEN k % 2 = 0 THEN lower(string_split(description, '-')[3]) || '_spend' ELSE '' END AS d_enum_name,
@@ -299,3 +300,19 @@ outcomes AS (
 
 def with_ingest(select: str) -> str:
     return "WITH " + ",".join([STATEMENT_ROWS, _kept(), _typed(), ingest_ctes()]) + "\n" + select
+
+
+def split_structs(spec: str) -> str:
+    """Accepted split pieces as a list of {person, percentage} structs."""
+    s = strip(f"coalesce({spec}, '')")
+    parts = f"list_transform(string_split({s}, ','), lambda p: string_split({strip('p')}, ':'))"
+    ok = (f"list_filter({parts}, lambda a: len(a) = 2 AND {is_py_float('a[2]')} "
+          f"AND NOT isnan(TRY_CAST({strip('a[2]')} AS DOUBLE)) "
+          f"AND TRY_CAST({strip('a[2]')} AS DOUBLE) > 0 AND TRY_CAST({strip('a[2]')} AS DOUBLE) <= 100)")
+    return (f"list_transform({ok}, lambda a: {{'person': {strip('a[1]')}, "
+            f"'percentage': TRY_CAST({strip('a[2]')} AS DOUBLE)}})")
+
+
+SYMBOL_SQL = ("CASE {c} WHEN 'USD' THEN '$' WHEN 'EUR' THEN '€' WHEN 'GBP' THEN '£' WHEN 'INR' THEN '₹' "
+              "WHEN 'JPY' THEN '¥' WHEN 'CNY' THEN '¥' WHEN 'AUD' THEN 'A$' WHEN 'CAD' THEN 'C$' "
+              "WHEN 'CHF' THEN 'CHF' WHEN 'SGD' THEN 'S$' ELSE {c} END")

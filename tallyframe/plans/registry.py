@@ -354,3 +354,85 @@ def q_document_duplicates(spark, sf_dir):
     d = read_table(spark, sf_dir, "documents").select(F.sha2("text", 256).alias("text_hash"), "doc_id")
     return (d.groupBy("text_hash").agg(F.min("doc_id").alias("first_doc_id"), F.count(F.lit(1)).alias("copies"))
             .filter(F.col("copies") > 1))
+
+
+# ---- K5: split rows written by the ingest run (F15 + F16) -------------------
+@register("ingest_split_rows", O.with_ingest(f"""
+SELECT transaction_hash, lower({O.strip('s.person')}) AS person_name, s.percentage,
+       coalesce(nullif(debit_amount, 0.0), nullif(credit_amount, 0.0), 0.0) * (s.percentage / 100) AS amount,
+       coalesce(currency, 'INR') AS currency
+FROM (SELECT *, unnest({O.split_structs('splits_spec')}) AS s FROM outcomes
+      WHERE outcome = 'processed' AND {O.split_status('splits_spec')} = 'ok')"""))
+def q_ingest_split_rows(spark, sf_dir):
+    from . import ingest, sinks
+    from ..operators.ledger import explode_splits
+    tx = sinks.transactions_rows(ingest.run(spark, sf_dir))
+    return explode_splits(tx).select("transaction_hash", "person_name", "percentage", "amount", "currency")
+
+
+# ---- A1 over the run's own split rows (K5 -> A1) ----------------------------
+@register("ingest_unsettled_by_person", O.with_ingest(f"""
+SELECT person_name, {O.MONEY.format(x='amount')} AS unsettled_amount, count(*) AS unsettled_count FROM (
+  SELECT lower({O.strip('s.person')}) AS person_name,
+         coalesce(nullif(debit_amount, 0.0), nullif(credit_amount, 0.0), 0.0) * (s.percentage / 100) AS amount
+  FROM (SELECT *, unnest({O.split_structs('splits_spec')}) AS s FROM outcomes
+        WHERE outcome = 'processed' AND {O.split_status('splits_spec')} = 'ok'))
+GROUP BY person_name"""))
+def q_ingest_unsettled_by_person(spark, sf_dir):
+    from . import ingest, sinks
+    from ..operators.ledger import explode_splits
+    tx = sinks.transactions_rows(ingest.run(spark, sf_dir))
+    return ledger.unsettled_by_person(explode_splits(tx))
+
+
+# ---- P9: report lines of the stored transactions ---------------------------
+@register("report_lines", O.with_base(f"""
+SELECT transaction_hash, strftime(transaction_date, '%d/%m/%Y') AS date_text,
+       CASE WHEN length(description) > 80 THEN substring(description, 1, 77) || '...' ELSE description END
+         AS description_text,
+       CASE WHEN transaction_type = 'debit'
+            THEN {O.SYMBOL_SQL.format(c="coalesce(currency, 'INR')")} || format('{{:,.2f}}', debit_amount) || ' (DEBIT)'
+            ELSE {O.SYMBOL_SQL.format(c="coalesce(currency, 'INR')")} || format('{{:,.2f}}', credit_amount) || ' (CREDIT)'
+       END AS amount_text,
+       CASE WHEN coalesce(balance, 0.0) <> 0
+            THEN {O.SYMBOL_SQL.format(c="coalesce(currency, 'INR')")} || format('{{:,.2f}}', balance) END AS balance_text,
+       CASE WHEN coalesce(reference_number, '') <> '' THEN reference_number END AS reference_text,
+       coalesce(currency, 'INR') AS currency
+FROM txn"""))
+def q_report_lines(spark, sf_dir):
+    from ..operators.display import report_lines
+    return report_lines(derived.transactions(spark, sf_dir))
+
+
+# ---- F4 + F5: filename sanitizer and LIKE escape over page urls -------------
+@register("page_filename_sanitize", r"""
+SELECT page_id,
+  coalesce(regexp_replace(ltrim(regexp_replace(
+    regexp_replace(regexp_replace(regexp_replace(regexp_replace(
+      regexp_replace(regexp_replace(regexp_replace(regexp_replace(url,
+        '\.\./', '', 'g'), '\.\.\\', '', 'g'), '%2e%2e%2f', '', 'gi'), '%2e%2e%5c', '', 'gi'),
+      '[\\/]', '_', 'g'), '%2f', '_', 'gi'), '%5c', '_', 'gi'), '\.\.', '', 'g'),
+    '_+', '_', 'g'), '_'), '[\x00-\x1f\x7f]', '', 'g'), '') AS safe_name,
+  coalesce(replace(replace(url, '%', '\%'), '_', '\_'), '') AS like_pattern
+FROM pages""")
+def q_page_filename_sanitize(spark, sf_dir):
+    from ..functions.text import escape_like, sanitize_filename
+    from ..sources.tables import read_table
+    p = read_table(spark, sf_dir, "pages")
+    return p.select("page_id", sanitize_filename(F.col("url")).alias("safe_name"),
+                    escape_like(F.col("url")).alias("like_pattern"))
+
+
+# ---- ST3: streaming replay of the split rows equals batch A1 ----------------
+@register("stream_unsettled_by_person", ORACLE["unsettled_by_person"])
+def q_stream_unsettled_by_person(spark, sf_dir):
+    import uuid
+
+    from ..session import stage_path
+    from ..streaming.ingest_stream import live_unsettled
+    path = stage_path(derived.splits(spark, sf_dir).select(
+        F.lit(0).cast("long").alias("split_id"), "transaction_hash", "person_name", "percentage", "amount",
+        "currency", "is_settled"), "splits")
+    name = f"unsettled_live_{uuid.uuid4().hex[:8]}"
+    live_unsettled(spark, path, name).awaitTermination()
+    return spark.table(name)

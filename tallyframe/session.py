@@ -81,10 +81,14 @@ def stage(df, name: str = "stage"):
     stages scan columnar staged rows (with pruning and pushdown) instead of
     re-running the whole plan, and a lost executor costs a re-read, not a
     recomputation from the raw files."""
+    return df.sparkSession.read.parquet(stage_path(df, name))
+
+
+def stage_path(df, name: str = "stage") -> str:
+    """Write ``df`` under the shared checkpoint folder; return the folder."""
     import uuid
 
-    spark = df.sparkSession
-    root = ensure_checkpoint_dir(spark)
+    root = ensure_checkpoint_dir(df.sparkSession)
     path = os.path.join(root, "staged", f"{name}-{uuid.uuid4().hex}")
     df.write.mode("errorifexists").parquet(path)
-    return spark.read.parquet(path)
+    return path

@@ -136,11 +136,11 @@ def derived_decisions(typed: DataFrame) -> DataFrame:
               .otherwise(F.lit("")))
     reason = F.when(ref % 5 == 0, F.lit("")).when(ref % 7 == 0, F.lit("ok")).otherwise(
         F.concat(F.lit("order "), F.col("reference_number")))
-    splits = (F.when(ref % 4 == 0, F.lit("alice:50"))
-              .when(ref % 4 == 1, F.lit("alice:30, Bob :20"))
+    pattern = F.lower(F.element_at(F.split(desc, "-"), 3))
+    splits = (F.when(ref % 4 == 0, F.concat(pattern, F.lit(":50")))
+              .when(ref % 4 == 1, F.concat(F.lit("alice:30, "), F.upper(pattern), F.lit(" :20")))
               .when(ref % 4 == 2, F.lit("alice:80,bob:40"))
               .otherwise(F.lit("")))
-    pattern = F.lower(F.element_at(F.split(desc, "-"), 3))
     # Every 23rd order has no answer yet: it goes to review.
     return per_hash.filter(ref % 23 != 0).select(
         "transaction_hash",
