@@ -56,9 +56,12 @@ def validate_amount(c) -> Column:
 def py_float_str(c) -> Column:
     """Python ``str(float)`` for a double Column (null stays null).
 
-    Exact for 0 and 1e-4 <= |x| < 1e16: print the shortest decimal through a
-    decimal cast, strip trailing zeros, keep one ``.0``.  Tiny values use
-    Python's ``1e-05`` exponent style.
+    Exact for 0 and 1e-4 <= |x| < 1e16: print the decimal through a decimal
+    cast, strip trailing zeros, keep one ``.0``.  Tiny values use Python's
+    ``1e-05`` exponent style.  The digits come from the JVM's
+    ``Double.toString``, which before JDK 19 is not always the shortest form
+    for doubles needing 16-17 significant digits (e.g. 2**-24); amounts
+    parsed from statement text (<= 15 significant digits) are exact.
     """
     x = as_col(c)
     dec = x.cast("decimal(38,18)").cast("string")
