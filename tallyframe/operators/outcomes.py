@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.splits import parse_splits
+from ..session import sized_broadcast
 from . import rules as R
 
 OUTCOMES = ["processed", "skipped", "invalid", "duplicate", "auto_skipped", "error_skipped", "needs_review"]
@@ -61,12 +62,14 @@ def ingest_outcomes(batch: DataFrame, stored_hashes: DataFrame, skipped_hashes:
                      F.lit("auto_skipped"))
                .otherwise(own))
     split = parse_splits(F.col("splits_spec"))
-    out = rows.select(
+    # ``outcome`` is its own projection so the reason below references it
+    # instead of re-inlining the whole precedence chain.
+    decided = rows.select("*", outcome.alias("outcome"), F.coalesce(is_first, F.lit(False)).alias("first_copy"))
+    o = F.col("outcome")
+    out = decided.select(
         "*",
-        outcome.alias("outcome"),
-        F.when(outcome == "invalid", F.lit(R.INVALID_REASON))
-        .when(outcome == "skipped", F.col("_skip_reason")).alias("skip_reason"),
-        F.coalesce(is_first, F.lit(False)).alias("first_copy"),
+        F.when(o == "invalid", F.lit(R.INVALID_REASON)).when(o == "skipped", F.col("_skip_reason"))
+        .alias("skip_reason"),
         split.alias("_split"),
     )
     return out.select(
@@ -99,7 +102,7 @@ def with_enum_ids(outcomes: DataFrame, created: DataFrame) -> DataFrame:
     """Final enum id per processed row: matched rule, existing rule of the
     same name, or the rule this batch created."""
     ids = created.select(F.col("enum_name").alias("new_enum_name"), F.col("id").alias("_created_id"))
-    return (outcomes.join(ids, "new_enum_name", "left")
+    return (outcomes.join(sized_broadcast(ids), "new_enum_name", "left")
             .withColumn("enum_id", F.coalesce("enum_id", "existing_enum_id", "_created_id"))
             .drop("_created_id"))
 

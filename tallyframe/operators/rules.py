@@ -15,6 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import sized_broadcast
 from ..functions.text import enum_name_default, py_strip, reason_default, suggested_pattern
 
 # Largest number of (rule, pattern) pairs matched through a literal array.
@@ -105,7 +106,7 @@ def lookup_rule_ids(df: DataFrame, rules: DataFrame, processor: str) -> DataFram
     existing = rules.filter(F.col("processor_type") == processor).select(
         F.col("enum_name").alias("_new_enum_name"), F.col("id").alias("_existing_id"),
         F.col("category").alias("_existing_category"))
-    return df.join(existing, "_new_enum_name", "left")
+    return df.join(sized_broadcast(existing), "_new_enum_name", "left")
 
 
 def assign_new_rule_ids(new_rules: DataFrame, rules: DataFrame) -> DataFrame:

@@ -92,3 +92,17 @@ def stage_path(df, name: str = "stage") -> str:
     path = os.path.join(root, "staged", f"{name}-{uuid.uuid4().hex}")
     df.write.mode("errorifexists").parquet(path)
     return path
+
+
+# Largest dimension (in rows) that is broadcast after an explicit count.
+BROADCAST_MAX_ROWS = 1_000_000
+
+
+def sized_broadcast(df, max_rows: int = BROADCAST_MAX_ROWS):
+    """Broadcast ``df`` only when its row count is proven to be at most
+    ``max_rows`` (one cheap count of a dimension); otherwise return it
+    unchanged so the join shuffles (and AQE may still demote it)."""
+    from pyspark.sql import functions as F
+
+    n = df.limit(max_rows + 1).count()
+    return F.broadcast(df) if n <= max_rows else df
