@@ -70,7 +70,9 @@ sr0 AS (
               ELSE 'UPI-' || c.c_mktsegment || '-' || n.n_name || '-' || o.o_orderpriority ||
                    CASE WHEN o.o_orderkey % 13 = 0 THEN ' USD'
                         WHEN o.o_orderkey % 17 = 0 THEN ' <b>EUR & co</b>' ELSE '' END END AS remarks,
-         CASE WHEN o.o_orderstatus = 'F' THEN CAST(CAST(o.o_totalprice AS DECIMAL(14,2)) AS VARCHAR)
+         CASE WHEN o.o_orderstatus = 'F' AND o.o_orderkey % 53 = 0
+              THEN '-' || CAST(CAST(o.o_totalprice AS DECIMAL(14,2)) AS VARCHAR)
+              WHEN o.o_orderstatus = 'F' THEN CAST(CAST(o.o_totalprice AS DECIMAL(14,2)) AS VARCHAR)
               WHEN o.o_orderstatus = 'P' THEN format('{:,.2f}', o.o_totalprice) END AS withdrawal,
          CASE WHEN o.o_orderstatus = 'O' THEN CAST(CAST(o.o_totalprice AS DECIMAL(14,2)) AS VARCHAR) END AS deposit,
          CAST(CAST(c.c_acctbal AS DECIMAL(14,2)) AS VARCHAR) AS balance

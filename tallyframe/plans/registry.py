@@ -436,3 +436,47 @@ def q_stream_unsettled_by_person(spark, sf_dir):
     name = f"unsettled_live_{uuid.uuid4().hex[:8]}"
     live_unsettled(spark, path, name).awaitTermination()
     return spark.table(name)
+
+
+# ---- S7: per-file extract summary (header row, rows kept) -------------------
+@register("statement_extract_counts", O.with_base("""
+SELECT path, 1 AS header_row, count(*) AS valid_transactions,
+       count(*) FILTER (WHERE is_valid) AS typed_rows
+FROM hashed GROUP BY path"""))
+def q_statement_extract_counts(spark, sf_dir):
+    from ..operators.statements import detect_header_rows
+    from ..sources.derived import statement_cells
+    c = derived.cleaned(spark, sf_dir)
+    counts = c.groupBy("path").agg(F.count(F.lit(1)).alias("valid_transactions"),
+                                   F.count_if("is_valid").alias("typed_rows"))
+    headers = detect_header_rows(statement_cells(spark, sf_dir)).select("path", "header_row")
+    return counts.join(headers, "path").select("path", F.col("header_row").cast("int").alias("header_row"),
+                                               "valid_transactions", "typed_rows")
+
+
+# ---- A7: table counts of the stored state -----------------------------------
+@register("table_counts", O.with_base("""
+SELECT (SELECT count(*) FROM txn) AS transactions, (SELECT count(*) FROM splits) AS transaction_splits,
+       (SELECT count(*) FROM txn WHERE transaction_type = 'debit') AS debit_transactions"""))
+def q_table_counts(spark, sf_dir):
+    t = derived.transactions(spark, sf_dir)
+    s = derived.splits(spark, sf_dir, t)
+    none = F.lit(None).cast("int")
+    rows = t.select(F.lit(1).alias("t"), F.when(F.col("transaction_type") == "debit", 1).alias("d"),
+                    none.alias("s")).unionByName(s.select(none.alias("t"), none.alias("d"), F.lit(1).alias("s")))
+    return rows.agg(F.count("t").alias("transactions"), F.count("s").alias("transaction_splits"),
+                    F.count("d").alias("debit_transactions"))
+
+
+# ---- J6: processed rows enriched with their rule (FK join) -----------------
+@register("processed_with_rule", O.with_ingest("""
+SELECT o.path, o.sheet_row, coalesce(o.enum_id, o.existing_enum_id) AS enum_id, r.enum_name AS rule_name
+FROM outcomes o LEFT JOIN rules r ON r.id = coalesce(o.enum_id, o.existing_enum_id)
+WHERE o.outcome = 'processed'"""))
+def q_processed_with_rule(spark, sf_dir):
+    from ..sources.derived import derived_rules
+    from . import ingest
+    o = ingest.run(spark, sf_dir).filter(F.col("outcome") == "processed").select(
+        "path", "sheet_row", F.coalesce("enum_id", "existing_enum_id").alias("enum_id"))
+    return ledger.enrich(o, rules=derived_rules(spark)).select("path", "sheet_row", "enum_id",
+                                                                F.col("enum_name").alias("rule_name"))

@@ -64,7 +64,11 @@ def statement_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
                             F.col("o_orderpriority"), suffix))
     )
     status = F.col("o_orderstatus")
-    withdrawal = (F.when(status == "F", dec2_text(F.col("o_totalprice")))
+    # Every 53rd settled order is a reversal printed with a minus sign: it
+    # parses as a float (kept) but is not a valid amount, so the row is a
+    # credit without a credit amount (unrenderable).
+    withdrawal = (F.when((status == "F") & (k % 53 == 0), F.concat(F.lit("-"), dec2_text(F.col("o_totalprice"))))
+                  .when(status == "F", dec2_text(F.col("o_totalprice")))
                   .when(status == "P", F.format_number("o_totalprice", 2)))
     deposit = F.when(status == "O", dec2_text(F.col("o_totalprice")))
     rows = (
