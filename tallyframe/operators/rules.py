@@ -39,23 +39,21 @@ def match_rules(df: DataFrame, rules: DataFrame, processor: str, desc: str = "de
     substring of the lowercased description; nulls when none matches.  An
     empty pattern matches everything."""
     pats = active_patterns(rules, processor)
-    n = pats.count()
-    if n <= MAX_LITERAL_PATTERNS:
-        rows = pats.orderBy("id", "pos").collect()
-        lit = F.array(*[F.struct(F.lit(r["id"]).cast("long").alias("id"),
-                                 F.lit((r["pattern"] or "").lower()).alias("p"),
-                                 F.lit(r["enum_name"]).alias("enum_name"),
-                                 F.lit(r["category"]).alias("category")) for r in rows])
+    # One small job both proves the size bound and fetches the rules.
+    rows = pats.orderBy("id", "pos").limit(MAX_LITERAL_PATTERNS + 1).collect()
+    if len(rows) <= MAX_LITERAL_PATTERNS:
         if not rows:
             hit = F.lit(None).cast("struct<id:bigint,p:string,enum_name:string,category:string>")
         else:
+            lit = F.array(*[F.struct(F.lit(r["id"]).cast("long").alias("id"),
+                                     F.lit((r["pattern"] or "").lower()).alias("p"),
+                                     F.lit(r["enum_name"]).alias("enum_name"),
+                                     F.lit(r["category"]).alias("category")) for r in rows])
             low = F.lower(F.col(desc))
             hit = F.get(F.filter(lit, lambda r: low.contains(r["p"])), 0)
-        return (df.withColumn("_hit", F.when(F.col(desc).isNotNull(), hit))
-                .withColumn("enum_id", F.col("_hit.id"))
-                .withColumn("enum_name", F.col("_hit.enum_name"))
-                .withColumn("enum_category", F.col("_hit.category"))
-                .drop("_hit"))
+        hit = F.when(F.col(desc).isNotNull(), hit)
+        return df.select("*", hit["id"].alias("enum_id"), hit["enum_name"].alias("enum_name"),
+                         hit["category"].alias("enum_category"))
     return _match_rules_trigram(df, pats, desc, list(key))
 
 

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions._util import as_col
+from ..session import stage
 
 # ---- fixed values ----------------------------------------------------------
 # File extensions per configured file type; unknown types accept all three.
@@ -176,7 +177,10 @@ def read_statement_cells(spark: SparkSession, paths: DataFrame | list[str]) -> t
     else:
         raw = spark.read.format("binaryFile").load([r[0] for r in paths.select("file_path").collect()])
     raw = raw.select(_local_path(F.col("path")).alias("path"), "content")
-    parsed = raw.mapInPandas(_parse_files, CELLS_SCHEMA)
+    # Parse every workbook once: the cells feed header detection, the data
+    # rows and the bad-file list, so they are staged (shared checkpoint
+    # folder) instead of re-parsed by each consumer.
+    parsed = stage(raw.mapInPandas(_parse_files, CELLS_SCHEMA), "cells")
     good = parsed.filter(F.col("sheet_row") >= 0)
     bad = parsed.filter(F.col("sheet_row") < 0).select("path", F.col("cells")[0].alias("error"))
     return good, bad

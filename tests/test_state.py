@@ -142,3 +142,26 @@ def test_streaming_ingest_and_snapshot(spark, scratch):
     live = live_unsettled(spark, splits_dir, "live_test")
     live.awaitTermination()
     assert spark.sql("SELECT * FROM live_test").collect()[0]["unsettled_amount"] == 10.0
+
+
+def test_adapters_and_prefixed_tables(spark, scratch):
+    import pytest
+
+    from tallyframe.plans.adapters import get_adapter, make_adapter, register_adapter
+    from tallyframe.sources.tables import read_store, table_path
+    a = get_adapter("icici_bank")
+    assert a.currencies == ("INR",) and a.file_type == "excel"
+    register_adapter("multi_bank", make_adapter(["usd", "XX", "eur"]))
+    assert get_adapter("multi_bank").currencies == ("USD", "EUR")
+    with pytest.raises(ValueError):
+        get_adapter("nope")
+    cells = spark.createDataFrame([("f", 0, HEADER), ("f", 1, ["1", "01-01-2024", "x $5", "5", None, "1"])], CELLS)
+    row = cells.transform(get_adapter("multi_bank").transform).first()
+    assert row["currency"] == "USD" and row["is_valid"]
+    assert table_path(scratch, "transactions", "test_").endswith("test_transactions")
+    assert read_store(spark, scratch, "transactions", "test_").count() == 0
+    t = spark.createDataFrame([], "transaction_hash string")
+    from tallyframe.plans import sinks
+    from tallyframe.schemas import TRANSACTIONS
+    sinks.conform(t, TRANSACTIONS).write.parquet(table_path(scratch, "transactions", "test_"))
+    assert read_store(spark, scratch, "transactions", "test_").columns == TRANSACTIONS.fieldNames()
