@@ -27,7 +27,7 @@ def main() -> None:
 
     from tallyframe.functions.currency import detect_currency
     from tallyframe.functions.text import pattern_suggestions, sanitize_text
-    from tallyframe.operators import ledger
+    from tallyframe.operators import balances
     from tallyframe.operators.rules import match_rules
     from tallyframe.plans import derived, ingest, sinks
     from tallyframe.session import get_session
@@ -77,13 +77,13 @@ def main() -> None:
     sp = spark.read.parquet(os.path.join(tables, "transaction_splits"))
 
     # 3. queries
-    timed("unsettled_by_person", lambda: ledger.unsettled_by_person(sp).collect())
-    timed("unsettled_by_person_currency", lambda: ledger.unsettled_by_person(sp, by_currency=True).collect())
-    timed("unsettled_transactions", lambda: ledger.unsettled_transactions(tx, sp, person).collect())
-    timed("person_history", lambda: ledger.person_transactions(tx, sp, person, "1996-01-01", "1998-12-31").collect())
-    timed("person_total", lambda: ledger.person_total(tx, sp, person, "1996-01-01", "1998-12-31").collect())
-    timed("transactions_by_currency", lambda: ledger.by_currency(tx).collect())
-    timed("recent_debits_top100", lambda: ledger.recent_transactions(tx, 100, "debit").collect())
+    timed("unsettled_by_person", lambda: balances.unsettled_by_person(sp).collect())
+    timed("unsettled_by_person_currency", lambda: balances.unsettled_by_person(sp, by_currency=True).collect())
+    timed("unsettled_transactions", lambda: balances.unsettled_transactions(tx, sp, person).collect())
+    timed("person_history", lambda: balances.person_transactions(tx, sp, person, "1996-01-01", "1998-12-31").collect())
+    timed("person_total", lambda: balances.person_total(tx, sp, person, "1996-01-01", "1998-12-31").collect())
+    timed("transactions_by_currency", lambda: balances.by_currency(tx).collect())
+    timed("recent_debits_top100", lambda: balances.recent_transactions(tx, 100, "debit").collect())
     timed("rule_match", lambda: noop(match_rules(tx, derived_rules(spark), PROCESSOR)))
     docs = read_table(spark, sf_dir, "documents")
     timed("document_currency", lambda: noop(docs.select(

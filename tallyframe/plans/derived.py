@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.amounts import split_base_amount
 from ..functions.hashing import surrogate_id
 from ..functions.text import normalize_person
-from ..operators.ledger import first_per_key
+from ..operators.balances import first_per_key
 from ..operators.statements import clean_statements
 from ..sources.derived import PROCESSOR_CURRENCIES, statement_cells
 from ..session import stage

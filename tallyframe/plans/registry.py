@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import ledger
+from ..operators import balances
 from . import derived
 from . import oracle as O
 
@@ -37,7 +37,7 @@ PERSON = "Supplier#000000001"
 SELECT person_name, {O.MONEY.format(x='amount')} AS unsettled_amount, count(*) AS unsettled_count
 FROM splits WHERE is_settled = false GROUP BY person_name"""))
 def q_unsettled_by_person(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ledger.unsettled_by_person(derived.splits(spark, sf_dir))
+    return balances.unsettled_by_person(derived.splits(spark, sf_dir))
 
 
 CLEAN_COLS = ["path", "sheet_row", "row_number", "is_valid", "transaction_date", "description", "debit_amount",
@@ -99,7 +99,7 @@ def q_stored_transactions(spark, sf_dir):
 SELECT person_name, currency, {O.MONEY.format(x='amount')} AS unsettled_amount, count(*) AS unsettled_count
 FROM splits WHERE is_settled = false GROUP BY person_name, currency"""))
 def q_unsettled_by_person_currency(spark, sf_dir):
-    return ledger.unsettled_by_person(derived.splits(spark, sf_dir), by_currency=True)
+    return balances.unsettled_by_person(derived.splits(spark, sf_dir), by_currency=True)
 
 
 _J_COLS = ("transaction_hash, transaction_date, description, debit_amount, credit_amount, transaction_type, "
@@ -118,7 +118,7 @@ FROM txn t JOIN splits s ON s.transaction_hash = t.transaction_hash
 WHERE s.person_name = lower('{PERSON}') AND s.is_settled = false"""))
 def q_unsettled_transactions(spark, sf_dir):
     t, s = _person_frames(spark, sf_dir)
-    return ledger.unsettled_transactions(t, s, PERSON).drop("split_id")
+    return balances.unsettled_transactions(t, s, PERSON).drop("split_id")
 
 
 # ---- J5 + P11: person history in a date range ------------------------------
@@ -129,7 +129,7 @@ WHERE s.person_name = lower('{PERSON}')
   AND t.transaction_date >= TIMESTAMP '1996-01-01' AND t.transaction_date <= TIMESTAMP '1998-12-31'"""))
 def q_person_history(spark, sf_dir):
     t, s = _person_frames(spark, sf_dir)
-    return ledger.person_transactions(t, s, PERSON, "1996-01-01", "1998-12-31").drop("split_id")
+    return balances.person_transactions(t, s, PERSON, "1996-01-01", "1998-12-31").drop("split_id")
 
 
 # ---- A2: person total in a date range --------------------------------------
@@ -140,13 +140,13 @@ WHERE s.person_name = lower('{PERSON}')
   AND t.transaction_date >= TIMESTAMP '1996-01-01' AND t.transaction_date <= TIMESTAMP '1998-12-31'"""))
 def q_person_total(spark, sf_dir):
     t, s = _person_frames(spark, sf_dir)
-    return ledger.person_total(t, s, PERSON, "1996-01-01", "1998-12-31")
+    return balances.person_total(t, s, PERSON, "1996-01-01", "1998-12-31")
 
 
 # ---- P10: transactions per currency ----------------------------------------
 @register("transactions_by_currency", O.with_base("SELECT currency, count(*) AS n FROM txn GROUP BY currency"))
 def q_transactions_by_currency(spark, sf_dir):
-    return ledger.by_currency(derived.transactions(spark, sf_dir))
+    return balances.by_currency(derived.transactions(spark, sf_dir))
 
 
 # ---- O3 + P10: newest 100 debits -------------------------------------------
@@ -154,7 +154,7 @@ def q_transactions_by_currency(spark, sf_dir):
 SELECT transaction_hash, transaction_date, debit_amount FROM txn WHERE transaction_type = 'debit'
 ORDER BY transaction_date DESC, transaction_hash LIMIT 100"""))
 def q_recent_debits(spark, sf_dir):
-    return ledger.recent_transactions(derived.transactions(spark, sf_dir), 100, "debit").select(
+    return balances.recent_transactions(derived.transactions(spark, sf_dir), 100, "debit").select(
         "transaction_hash", "transaction_date", "debit_amount")
 
 
@@ -365,7 +365,7 @@ FROM (SELECT *, unnest({O.split_structs('splits_spec')}) AS s FROM outcomes
       WHERE outcome = 'processed' AND {O.split_status('splits_spec')} = 'ok')"""))
 def q_ingest_split_rows(spark, sf_dir):
     from . import ingest, sinks
-    from ..operators.ledger import explode_splits
+    from ..operators.balances import explode_splits
     tx = sinks.transactions_rows(ingest.run(spark, sf_dir))
     return explode_splits(tx).select("transaction_hash", "person_name", "percentage", "amount", "currency")
 
@@ -380,9 +380,9 @@ SELECT person_name, {O.MONEY.format(x='amount')} AS unsettled_amount, count(*) A
 GROUP BY person_name"""))
 def q_ingest_unsettled_by_person(spark, sf_dir):
     from . import ingest, sinks
-    from ..operators.ledger import explode_splits
+    from ..operators.balances import explode_splits
     tx = sinks.transactions_rows(ingest.run(spark, sf_dir))
-    return ledger.unsettled_by_person(explode_splits(tx))
+    return balances.unsettled_by_person(explode_splits(tx))
 
 
 # ---- P9: report lines of the stored transactions ---------------------------
@@ -478,5 +478,5 @@ def q_processed_with_rule(spark, sf_dir):
     from . import ingest
     o = ingest.run(spark, sf_dir).filter(F.col("outcome") == "processed").select(
         "path", "sheet_row", F.coalesce("enum_id", "existing_enum_id").alias("enum_id"))
-    return ledger.enrich(o, rules=derived_rules(spark)).select("path", "sheet_row", "enum_id",
+    return balances.enrich(o, rules=derived_rules(spark)).select("path", "sheet_row", "enum_id",
                                                                 F.col("enum_name").alias("rule_name"))

@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from ..functions.hashing import raw_row_hash, surrogate_id
 from ..functions.text import institution_display_name
-from ..operators.ledger import explode_splits, first_per_key
+from ..operators.balances import explode_splits, first_per_key
 from ..operators.outcomes import run_counters
 from ..operators.statements import raw_json
 from ..schemas import DEFAULTS, TABLES

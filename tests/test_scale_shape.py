@@ -4,7 +4,7 @@ task (no Window operator over the hash)."""
 
 from pyspark.sql import functions as F
 
-from tallyframe.operators.ledger import first_per_key
+from tallyframe.operators.balances import first_per_key
 from tallyframe.operators.outcomes import ingest_outcomes
 from tallyframe.schemas import DECISIONS, TRANSACTION_ENUMS
 

@@ -6,7 +6,7 @@ import zipfile
 from pyspark.sql import functions as F
 
 from tallyframe.operators.categories import add_category, discovered_categories, merge_categories
-from tallyframe.operators.ledger import explode_splits, first_per_key, unsettled_by_person
+from tallyframe.operators.balances import explode_splits, first_per_key, unsettled_by_person
 from tallyframe.plans import sinks
 from tallyframe.schemas import CELLS, TRANSACTION_ENUMS, TRANSACTION_SPLITS
 from tallyframe.sources import statements as ST
