@@ -1,4 +1,4 @@
-"""Ledger operators: first-occurrence dedup (U3), split rows (K5/F16),
+"""Balance operators: first-occurrence dedup (U3), split rows (K5/F16),
 and the shared-expense queries (A1, A2, J4, J5, P10, O1, O3, J6).
 
 Splits reference transactions by ``transaction_hash``.
