@@ -19,6 +19,7 @@ from ..functions.currency import currency_tags, single_hit
 from ..functions.dates import parse_statement_date
 from ..functions.hashing import transaction_hash
 from ..functions.text import is_header_like, py_strip, sanitize_text
+from ..session import stage
 
 # ---- fixed values (must equal the reference's behaviour) -------------------
 # Required statement headers (note the space before ")").
@@ -47,6 +48,7 @@ BLANK_TEXTS = ["", "nan", "None"]
 ROW_BUCKET = 1 << 20
 
 
+
 def header_score(cells: Column, required: Sequence[str]) -> Column:
     """Number of required names that are a substring of some non-null cell
     (cells lowercased and stripped)."""
@@ -125,9 +127,11 @@ def header_layout(headers: DataFrame) -> DataFrame:
 def rows_after_header(cells: DataFrame, headers: DataFrame) -> DataFrame:
     """S4 + S5: data rows below each file's header with the file's layout;
     rows whose cells (within the header width) are all missing or blank are
-    dropped.  The per-file layout is tiny; AQE turns this join into a
-    broadcast at runtime when its measured size allows."""
-    layout = header_layout(headers)
+    dropped.  The per-file layout (one row per file) is staged first: its
+    real file size then lets the planner broadcast it statically when small
+    (no shuffle of the cells); with very many files it is a shuffle join
+    whose hot-file partitions AQE splits."""
+    layout = stage(header_layout(headers), "layout")
     joined = cells.join(layout, "path").filter(F.col("sheet_row") > F.col("header_row"))
     row = F.slice("cells", 1, F.greatest(F.col("width"), F.lit(1)))
     return joined.filter(F.array_join(row, "").rlike(r"(?U)\S")).drop("header_row")
