@@ -480,3 +480,25 @@ def q_processed_with_rule(spark, sf_dir):
         "path", "sheet_row", F.coalesce("enum_id", "existing_enum_id").alias("enum_id"))
     return balances.enrich(o, rules=derived_rules(spark)).select("path", "sheet_row", "enum_id",
                                                                 F.col("enum_name").alias("rule_name"))
+
+
+# ---- S1 + S2/S10 + S8: statements written as CSV files, read back by the
+# file reader (one task per file), then cleaned ------------------------------
+@register("csv_statement_files", O.with_base("""
+SELECT path, row_number, is_valid, transaction_hash FROM hashed"""))
+def q_csv_statement_files(spark, sf_dir):
+    import os
+    import uuid
+
+    from ..operators.statements import clean_statements
+    from ..session import ensure_checkpoint_dir
+    from ..sources.derived import PROCESSOR_CURRENCIES, statement_cells, write_statement_csv
+    from ..sources.statements import discover_files, read_statement_cells
+    folder = os.path.join(ensure_checkpoint_dir(spark), "statement-files", uuid.uuid4().hex)
+    write_statement_csv(statement_cells(spark, sf_dir), folder)
+    files = discover_files(spark, folder, "csv")
+    cells, _bad = read_statement_cells(spark, files)
+    name = F.regexp_extract("path", r"file_id=([^/]+)/", 1)
+    cells = cells.withColumn("path", F.concat(F.lit("statements/"), name, F.lit(".csv")))
+    out = clean_statements(cells, PROCESSOR_CURRENCIES)
+    return out.select("path", "row_number", "is_valid", "transaction_hash")

@@ -157,3 +157,15 @@ def derived_decisions(typed: DataFrame) -> DataFrame:
         F.lit("shopping").alias("enum_category"),
         F.lit(None).cast("string").alias("currency"),
     )
+
+
+def write_statement_csv(cells: DataFrame, folder: str) -> None:
+    """Write statement cells as CSV files, one file per statement, rows in
+    sheet order (used to exercise the file readers on derived data).  Each
+    statement lands in ``<folder>/file_id=<name>/part-*.csv``."""
+    width = 7
+    padded = cells.select(
+        F.regexp_extract("path", r"([^/]+)\.csv$", 1).alias("file_id"), "sheet_row",
+        *[F.try_element_at(F.col("cells"), F.lit(i + 1)).alias(f"c{i}") for i in range(width)])
+    (padded.repartition("file_id").sortWithinPartitions("file_id", "sheet_row").drop("sheet_row")
+     .write.partitionBy("file_id").option("header", "false").csv(folder))
