@@ -502,3 +502,13 @@ def q_csv_statement_files(spark, sf_dir):
     cells = cells.withColumn("path", F.concat(F.lit("statements/"), name, F.lit(".csv")))
     out = clean_statements(cells, PROCESSOR_CURRENCIES)
     return out.select("path", "row_number", "is_valid", "transaction_hash")
+
+
+# ---- F23: JSON columns - the splits of processed rows as stored JSON -------
+@register("ingest_splits_json", O.with_ingest(f"""
+SELECT path, sheet_row, CAST(to_json({O.split_structs('splits_spec')}) AS VARCHAR) AS splits_json
+FROM outcomes WHERE outcome = 'processed' AND {O.split_status('splits_spec')} = 'ok'"""))
+def q_ingest_splits_json(spark, sf_dir):
+    from . import ingest
+    o = ingest.run(spark, sf_dir).filter((F.col("outcome") == "processed") & (F.col("split_status") == "ok"))
+    return o.select("path", "sheet_row", F.to_json("splits").alias("splits_json"))
