@@ -71,18 +71,6 @@ def discover_files(spark: SparkSession, root: str, file_type: str | None = None,
     return files.orderBy(F.desc("modified_at"), "file_path")
 
 
-def _cell_text(v) -> str | None:
-    """A cell as text: numbers the way pandas shows them (integral floats
-    keep ``.0`` only when stored as float)."""
-    if v is None:
-        return None
-    if isinstance(v, float):
-        if v != v:
-            return None
-        return repr(v)
-    return str(v)
-
-
 def _parse_xlsx(data: bytes):
     import io
     import re
