@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tallyframe.operators.balances import first_per_key
 from tallyframe.operators.outcomes import ingest_outcomes
-from tallyframe.schemas import DECISIONS, TRANSACTION_ENUMS
+from tallyframe.schemas import DECISIONS, TRANSACTION_ENUMS  # noqa: F401
 
 
 def _plan(df) -> str:
@@ -36,3 +36,36 @@ def test_first_per_key_is_an_aggregate(spark):
     plan = _plan(out)
     assert "Window" not in plan and "Aggregate" in plan
     assert out.filter("k = 'k'").first()["sheet_row"] == 0
+
+
+def test_row_numbers_across_buckets(spark):
+    from pyspark.sql import Window
+
+    from tallyframe.operators.statements import with_row_numbers
+    rows = [("a", r) for r in (0, 1, 3, 4, 5, 9, 10, 17, 40)] + [("b", r) for r in (2, 3, 8, 33)]
+    df = spark.createDataFrame(rows, "path string, sheet_row long")
+    got = {(r["path"], r["sheet_row"]): r["row_number"] for r in with_row_numbers(df, bucket=4).collect()}
+    w = Window.partitionBy("path").orderBy("sheet_row")
+    want = {(r["path"], r["sheet_row"]): r["rn"] for r in df.withColumn("rn", F.row_number().over(w)).collect()}
+    assert got == want
+
+
+def test_trigram_rule_path_matches_literal_path(spark, monkeypatch):
+    import tallyframe.operators.rules as R
+    rules = spark.createDataFrame([
+        (1, "food", ["swig", "zo"], "food", "p", True),
+        (2, "fuel", ["petrol pump", "hp"], "transport", "p", True),
+        (3, "off", ["swiggy"], "x", "p", False),
+        (4, "late", ["upi-"], "other", "p", True),
+    ], TRANSACTION_ENUMS)
+    descs = ["UPI-SWIGGY order", "HP petrol pump 12", "zomato", "nothing here", "UPI-transfer", "ab", None]
+    df = spark.createDataFrame([("f", i, d) for i, d in enumerate(descs)],
+                               "path string, sheet_row long, description string")
+    literal = {r["sheet_row"]: (r["enum_id"], r["enum_name"], r["enum_category"])
+               for r in R.match_rules(df, rules, "p").collect()}
+    monkeypatch.setattr(R, "MAX_LITERAL_PATTERNS", 0)
+    trigram = {r["sheet_row"]: (r["enum_id"], r["enum_name"], r["enum_category"])
+               for r in R.match_rules(df, rules, "p").collect()}
+    assert literal == trigram
+    assert literal[0][0] == 1 and literal[1][0] == 2 and literal[2][0] == 1 and literal[3][0] is None
+    assert literal[4][0] == 4 and literal[6][0] is None
