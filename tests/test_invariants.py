@@ -49,3 +49,36 @@ def test_rerun_and_counters(spark, scratch):
         F.abs(F.col("split_sum") + base * (100 - F.col("pct")) / 100 - base).alias("err"))
     assert check.count() > 0
     assert check.agg(F.max("err")).first()[0] < 1e-6
+
+
+@pytest.mark.skipif(not os.path.isdir(SF_SMALL), reason="driver tables not present")
+def test_stream_replay_equals_batch(spark, scratch):
+    from tallyframe.operators.outcomes import ingest_outcomes
+    from tallyframe.operators.statements import clean_statements
+    from tallyframe.plans import sinks
+    from tallyframe.session import stage
+    from tallyframe.sources.derived import (PROCESSOR, PROCESSOR_CURRENCIES, derived_decisions, derived_rules,
+                                            statement_cells)
+    from tallyframe.sources.tables import DEFAULT_CATEGORIES
+    from tallyframe.streaming.ingest_stream import start_ingest_stream
+
+    cells = statement_cells(spark, SF_SMALL)
+    inbox = os.path.join(scratch, "inbox")
+    cells.write.parquet(inbox)
+    cells = spark.read.parquet(inbox)
+    batch = clean_statements(cells, PROCESSOR_CURRENCIES)
+    decisions = derived_decisions(batch.filter("is_valid"))
+    decisions = stage(decisions, "decisions")  # fixed answers for both runs
+    rules = derived_rules(spark)
+    empty = spark.createDataFrame([], "transaction_hash string")
+    sinks.write_run(ingest_outcomes(batch, empty, empty, decisions, rules, PROCESSOR, DEFAULT_CATEGORIES),
+                    os.path.join(scratch, "batch"), "r1")
+    q = start_ingest_stream(spark, inbox, os.path.join(scratch, "stream"), os.path.join(scratch, "ck"), rules,
+                            decisions, PROCESSOR, DEFAULT_CATEGORIES, PROCESSOR_CURRENCIES)
+    q.awaitTermination()
+
+    def hashes(root):
+        return sorted(r[0] for r in spark.read.parquet(os.path.join(root, "transactions"))
+                      .select("transaction_hash").collect())
+    b, s = hashes(os.path.join(scratch, "batch")), hashes(os.path.join(scratch, "stream"))
+    assert len(b) > 0 and b == s
