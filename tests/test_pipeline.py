@@ -107,3 +107,10 @@ def test_outcome_precedence(spark):
     assert c["skipped_transactions"] == 3 and c["duplicate_transactions"] == 2
     assert c["auto_skipped_transactions"] == 2 and c["status"] == "partially_completed"
     assert c["completion_rate"] == round(4 * 100 / 9, 2)
+    again = ingest_outcomes(batch, stored, skipped, decisions, rules, "p", ["income", "food"],
+                            reprocess_skipped=True)
+    got2 = [r["outcome"] for r in again.orderBy("sheet_row").collect()]
+    # previously skipped hash is decided again (no rule, no answer -> review);
+    # a later copy of a decided skip is skipped again, not auto-skipped
+    assert got2 == ["duplicate", "processed", "needs_review", "skipped", "skipped", "duplicate",
+                    "error_skipped", "invalid", "needs_review"]
