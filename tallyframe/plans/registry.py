@@ -512,3 +512,25 @@ def q_ingest_splits_json(spark, sf_dir):
     from . import ingest
     o = ingest.run(spark, sf_dir).filter((F.col("outcome") == "processed") & (F.col("split_status") == "ok"))
     return o.select("path", "sheet_row", F.to_json("splits").alias("splits_json"))
+
+
+# ---- K6 + F8: skipped rows written by the run (raw row kept as JSON) -------
+@register("ingest_skipped_rows", O.with_ingest("""
+SELECT CASE WHEN outcome = 'invalid'
+            THEN sha256(concat_ws('_', raw_json, path, CAST(sheet_row AS VARCHAR)))
+            ELSE transaction_hash END AS transaction_hash,
+       raw_json AS raw_data, row_number, skip_reason
+FROM (
+  SELECT o.*, CAST(to_json(MAP(['nan', 'S No.', 'Transaction Date', 'Transaction Remarks',
+                                'Withdrawal Amount (INR )', 'Deposit Amount (INR )', 'Balance (INR )'],
+                               [NULL, k.s_no, k.txn_date, k.remarks, k.withdrawal, k.deposit, k.balance]))
+              AS VARCHAR) AS raw_json,
+         CASE WHEN o.outcome = 'invalid' THEN 'Invalid transaction data'
+              WHEN o.matched THEN 'User chose to skip - existing pattern found but not used'
+              ELSE 'User chose to skip - no pattern identified' END AS skip_reason
+  FROM outcomes o JOIN kept k ON k.path = o.path AND k.sheet_row = o.sheet_row
+  WHERE o.outcome IN ('invalid', 'skipped'))"""))
+def q_ingest_skipped_rows(spark, sf_dir):
+    from . import ingest, sinks
+    return sinks.skipped_rows(ingest.run(spark, sf_dir)).select(
+        "transaction_hash", "raw_data", "row_number", "skip_reason")
