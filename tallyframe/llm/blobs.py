@@ -24,12 +24,13 @@ class Combiner:
     """Gathers (hash, id) entries; ``flush`` yields one row per bucket.
 
     Of entries with equal hash only the smallest id is sent.  The other ids are
-    sent as (a, b) columns of the same row, which need no meeting with other
-    tasks: ``a`` the hash or the smallest id (``keep``), ``b`` the id.
+    sent as (a, b) columns of some row, for they need no meeting with other
+    tasks: ``b`` is the id, ``a`` is the hash or (``keep="id"``) the smallest id.
+    ``lead`` adds the smallest id of a repeated hash to (a, b), too.
     """
 
-    def __init__(self, buckets: int, keep: str):
-        self.buckets, self.keep = buckets, keep
+    def __init__(self, buckets: int, keep: str, lead: bool = False):
+        self.buckets, self.keep, self.lead = buckets, keep, lead
         self.hashes: list[np.ndarray] = []
         self.ids: list[np.ndarray] = []
         self.size = 0
@@ -51,8 +52,13 @@ class Combiner:
         order = np.lexsort((d, h))
         h, d = h[order], d[order]
         new = np.concatenate([[True], h[1:] != h[:-1]])
-        lead = d[np.flatnonzero(new)][np.cumsum(new) - 1]
+        group = np.cumsum(new) - 1
+        lead = d[np.flatnonzero(new)][group]
         rest = ~new & (d != lead)
+        if self.lead:
+            repeated = np.zeros(group[-1] + 1, dtype=bool)
+            repeated[group[rest]] = True
+            rest |= new & repeated[group]
         if self.keep == "hash":
             a, b = h[rest].view(np.int64), d[rest]
         else:
