@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyframe.llm.sharding import even_tree, grown, shard_rows
 from tallyframe.llm.similarity import ngram_jaccard_join
 from tallyframe.llm.substrings import substring_dedup
+from tallyframe.llm.topk import exact_top_k
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 #: DuckDB SQL of the queries that SQL can express.
@@ -37,3 +39,28 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (substring_dedup(table(spark, sf_dir, "documents"), window=13)
             .select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256")))
+
+
+@query("op4_weighted_hash_tree")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tree = even_tree(8)
+    return shard_rows(table(spark, sf_dir, "documents"), tree, grown(tree))
+
+
+@query("op6_exact_top_k", """
+with v as (
+  select vec_id, [cast(floor(256 * cast(x as double)) as bigint) for x in embedding] as v
+  from embeddings
+  where embedding is not null and len([x for x in embedding if x is null or not isfinite(x)]) = 0
+), s as (
+  select q.vec_id as query_id, c.vec_id as vec_id,
+         cast(list_sum([a[1] * a[2] for a in list_zip(q.v, c.v)]) as bigint) as score
+  from v q join v c on q.vec_id <> c.vec_id
+  where q.vec_id % 50 = 0
+)
+select query_id, cast(rank as integer) as rank, vec_id, score
+from (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s)
+where rank <= 5
+""")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_top_k(table(spark, sf_dir, "embeddings"), F.expr("vec_id % 50 = 0"), k=5)
