@@ -12,6 +12,7 @@ from tallyframe.llm.sharding import even_tree, grown, shard_rows
 from tallyframe.llm.similarity import ngram_jaccard_join
 from tallyframe.llm.substrings import substring_dedup
 from tallyframe.llm.topk import exact_top_k
+from tallyframe.llm.toxicity import held_out, labelled_texts, learn_lexicon, toxicity
 from tallyframe.llm.warc import read_warc, write_warc
 from tallyframe.session import ensure_checkpoint_dir
 
@@ -81,3 +82,11 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(stored, F.octet_length("payload").cast("long")).otherwise(F.col("payload_length")).alias("payload_bytes"),
         F.when(stored, F.sha1("payload")).otherwise(F.col("payload_digest")).alias("payload_digest"),
         "record_type", F.regexp_extract("refers_to", page, 1).try_cast("long").alias("refers_to"))
+
+
+@query("op5_toxicity")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    lexicon = learn_lexicon(labelled_texts(docs, table(spark, sf_dir, "labels")))
+    return (toxicity(docs, lexicon)
+            .select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted")))
