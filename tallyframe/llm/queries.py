@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyframe.llm.decontaminate import benchmark_leaks
 from tallyframe.llm.sharding import even_tree, grown, shard_rows
 from tallyframe.llm.similarity import ngram_jaccard_join
 from tallyframe.llm.substrings import substring_dedup
@@ -90,3 +91,8 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     lexicon = learn_lexicon(labelled_texts(docs, table(spark, sf_dir, "labels")))
     return (toxicity(docs, lexicon)
             .select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted")))
+
+
+@query("op9_benchmark_decontamination")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return benchmark_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
