@@ -14,7 +14,7 @@ import pyarrow as pa
 #: Entries gathered before a flush (16 bytes each).
 FLUSH_ENTRIES = 3_000_000
 #: Entries a bucket should hold.
-BUCKET_ENTRIES = 2_000_000
+BUCKET_ENTRIES = 4_000_000
 
 SCHEMA = "bucket int, hash binary, id binary, a binary, b binary"
 _ARROW = pa.schema([("bucket", pa.int32()), ("hash", pa.binary()), ("id", pa.binary()), ("a", pa.binary()), ("b", pa.binary())])

@@ -36,8 +36,8 @@ from tallyframe.llm.words import Words, mix, plain, shingle_sets, spans
 from tallyframe.session import stage
 
 #: Rows and n-grams of a block of the product.
-BLOCK_ROWS = 256
-BLOCK_GRAMS = 500_000
+BLOCK_ROWS = 1024
+BLOCK_GRAMS = 1_500_000
 #: Columns multiplied at a time.
 COLUMN_BLOCK = 4096
 
@@ -102,7 +102,7 @@ def _parts(k: int, percent: int, buckets: int):
 
 
 def _chain(table: pa.Table) -> pa.Table:
-    """Links from the smallest id of a part hash to the others of a bucket."""
+    """What a bucket's equal part hashes connect, as stars on the smallest ids."""
     h, d = blobs.unpack(table, "hash", np.uint64), blobs.unpack(table, "id", np.int64)
     a, b = blobs.unpack(table, "a", np.int64), blobs.unpack(table, "b", np.int64)
     order = np.lexsort((d, h))
@@ -110,16 +110,39 @@ def _chain(table: pa.Table) -> pa.Table:
     new = np.concatenate([[True], h[1:] != h[:-1]]) if len(h) else np.zeros(0, dtype=bool)
     lead = d[np.flatnonzero(new)][np.cumsum(new) - 1] if len(h) else d
     more = ~new & (d != lead)
-    both = np.stack([np.concatenate([a, lead[more]]), np.concatenate([b, d[more]])], axis=1)
-    both = np.unique(both, axis=0) if len(both) else both
-    return pa.table({"a": pa.array(both[:, 0], pa.int64()), "b": pa.array(both[:, 1], pa.int64())})
+    root, node = _stars(np.concatenate([a, lead[more]]), np.concatenate([b, d[more]]))
+    return pa.table({"a": pa.array(root, pa.int64()), "b": pa.array(node, pa.int64())})
+
+
+def _stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(smallest of its component, node) for the other nodes of the links."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    if not len(nodes):
+        return nodes, nodes
+    x, y = at[: len(a)], at[len(a):]
+    low = np.arange(len(nodes))
+    while True:
+        before = low.copy()
+        m = np.minimum(low[x], low[y])
+        np.minimum.at(low, x, m)
+        np.minimum.at(low, y, m)
+        np.minimum.at(low, before, low)  # a root follows its nodes
+        low = low[low]
+        if (low == before).all():
+            break
+    other = low != np.arange(len(nodes))
+    return nodes[low[other]], nodes[other]
 
 
 def overlaps(rows: list[np.ndarray], cols: list[np.ndarray]) -> np.ndarray:
     """Counts of common n-grams of every row with every column set: the product
-    of the two incidence blocks, over blocks of the columns that both use."""
-    left, right = np.concatenate(rows), np.concatenate(cols)
-    used = np.intersect1d(left, right)
+    of the two incidence blocks, over blocks of the columns that both use.  With
+    ``rows is cols`` a row's count with itself is of no use."""
+    if rows is cols:  # an n-gram of one row alone meets no other
+        used, times = np.unique(np.concatenate(rows), return_counts=True)
+        used = used[times > 1]
+    else:
+        used = np.intersect1d(np.concatenate(rows), np.concatenate(cols))
     out = np.zeros((len(rows), len(cols)), dtype=np.float32)
 
     def entries(sets):
@@ -131,12 +154,17 @@ def overlaps(rows: list[np.ndarray], cols: list[np.ndarray]) -> np.ndarray:
         order = np.argsort(at, kind="stable")
         return row[order], at[order]
 
-    (r, x), (c, y) = entries(rows), entries(cols)
+    (r, x) = entries(rows)
+    (c, y) = (r, x) if rows is cols else entries(cols)
     for lo in range(0, len(used), COLUMN_BLOCK):
         width = min(COLUMN_BLOCK, len(used) - lo)
-        m, n = np.zeros((len(rows), width), np.float32), np.zeros((len(cols), width), np.float32)
+        m = np.zeros((len(rows), width), np.float32)
         i, j = np.searchsorted(x, [lo, lo + width])
         m[r[i:j], x[i:j] - lo] = 1
+        if rows is cols:
+            out += m @ m.T
+            continue
+        n = np.zeros((len(cols), width), np.float32)
         i, j = np.searchsorted(y, [lo, lo + width])
         n[c[i:j], y[i:j] - lo] = 1
         out += m @ n.T
@@ -171,7 +199,8 @@ def _product(percent: int):
         a, b = [], []
         if left:
             size = np.array([len(s) for s in sets], dtype=np.int64)
-            n = overlaps([sets[i] for i in left], [sets[i] for i in right]).astype(np.int64)
+            lefts = [sets[i] for i in left]
+            n = overlaps(lefts, lefts if right is left else [sets[i] for i in right]).astype(np.int64)
             union = size[left][:, None] + size[right][None, :] - n
             i, j = np.nonzero(100 * n >= percent * union)
             a, b = ids[left][i], ids[right][j]
@@ -219,7 +248,7 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     total = known.agg(F.sum("n")).first()[0] or 0
     shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = blobs.n_buckets(int(total * (100 - percent) / 30), shuffles)
+    buckets = blobs.n_buckets(int(total * (100 - percent) / 30), min(shuffles, 12))
     chains = own.mapInArrow(_parts(words, percent, buckets), blobs.SCHEMA).groupBy("bucket").applyInArrow(_chain, "a long, b long")
     clusters = stage(connected_components(chains), "clusters")
 
