@@ -12,9 +12,9 @@ import numpy as np
 import pyarrow as pa
 
 #: Entries gathered before a flush (16 bytes each).
-FLUSH_ENTRIES = 3_000_000
+FLUSH_ENTRIES = 1_500_000
 #: Entries a bucket should hold.
-BUCKET_ENTRIES = 4_000_000
+BUCKET_ENTRIES = 3_000_000
 
 SCHEMA = "bucket int, hash binary, id binary, a binary, b binary"
 _ARROW = pa.schema([("bucket", pa.int32()), ("hash", pa.binary()), ("id", pa.binary()), ("a", pa.binary()), ("b", pa.binary())])
@@ -25,7 +25,8 @@ class Combiner:
 
     Of entries with equal hash only the smallest id is sent.  The other ids are
     sent as (a, b) columns of some row, for they need no meeting with other
-    tasks: ``b`` is the id, ``a`` is the hash or (``keep="id"``) the smallest id.
+    tasks: ``b`` is the id, ``a`` is the hash or (``keep="id"``) the smallest id
+    that it is connected with.
     ``lead`` adds the smallest id of a repeated hash to (a, b), too.
     """
 
@@ -49,22 +50,19 @@ class Combiner:
             return
         h, d = np.concatenate(self.hashes), np.concatenate(self.ids)
         self.hashes, self.ids, self.size = [], [], 0
-        order = np.lexsort((d, h))
-        h, d = h[order], d[order]
+        h, d, lead = grouped(h, d)
         new = np.concatenate([[True], h[1:] != h[:-1]])
-        group = np.cumsum(new) - 1
-        lead = d[np.flatnonzero(new)][group]
-        rest = ~new & (d != lead)
+        rest = d != lead
         if self.lead:
+            group = np.cumsum(new) - 1
             repeated = np.zeros(group[-1] + 1, dtype=bool)
             repeated[group[rest]] = True
-            rest |= new & repeated[group]
+            rest |= repeated[group]
         if self.keep == "hash":
             a, b = h[rest].view(np.int64), d[rest]
         else:
-            ab = np.unique(np.stack([lead[rest], d[rest]], axis=1), axis=0) if rest.any() else np.zeros((0, 2), np.int64)
-            a, b = ab[:, 0], ab[:, 1]
-        h, d = h[new], d[new]
+            a, b = stars(lead[rest], d[rest])
+        h, d = h[new], lead[new]
         # hashes are sorted: a bucket is a range of them
         which = bucket_of(h, self.buckets)
         cut = np.searchsorted(which, np.arange(self.buckets + 1))
@@ -94,5 +92,40 @@ def n_buckets(entries: int, least: int) -> int:
 
 
 def unpack(table: pa.Table, name: str, dtype) -> np.ndarray:
-    parts = [np.frombuffer(x, dtype=dtype) for x in table.column(name).to_pylist() if x]
+    """The numbers of all rows of a binary column, in one array."""
+    parts = []
+    for chunk in table.column(name).chunks:
+        if len(chunk):
+            at = np.frombuffer(chunk.buffers()[1], dtype=np.int32)[[chunk.offset, chunk.offset + len(chunk)]]
+            if at[1] > at[0]:
+                parts.append(np.frombuffer(chunk.buffers()[2], dtype=np.uint8)[at[0]: at[1]].view(dtype))
     return np.concatenate(parts) if parts else np.zeros(0, dtype=dtype)
+
+
+def grouped(h: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, id, smallest id of the hash) in the order of the hash."""
+    if not len(h):
+        return h, d, d
+    order = np.argsort(h)
+    h, d = h[order], d[order]
+    del order
+    at = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+    return h, d, np.repeat(np.minimum.reduceat(d, at), np.diff(np.append(at, len(h))))
+
+
+def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(smallest of its component, node) for the other nodes of the links (a, b)."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[: len(a)], at[len(a):]
+    low = np.arange(len(nodes))
+    while len(nodes):
+        before = low.copy()
+        m = np.minimum(low[x], low[y])
+        np.minimum.at(low, x, m)
+        np.minimum.at(low, y, m)
+        np.minimum.at(low, before, low)  # a root follows its nodes
+        low = low[low]
+        if (low == before).all():
+            break
+    other = low != np.arange(len(nodes))
+    return nodes[low[other]], nodes[other]

@@ -103,37 +103,14 @@ def _parts(k: int, percent: int, buckets: int):
 
 def _chain(table: pa.Table) -> pa.Table:
     """What a bucket's equal part hashes connect, as stars on the smallest ids."""
-    h, d = blobs.unpack(table, "hash", np.uint64), blobs.unpack(table, "id", np.int64)
-    a, b = blobs.unpack(table, "a", np.int64), blobs.unpack(table, "b", np.int64)
-    order = np.lexsort((d, h))
-    h, d = h[order], d[order]
-    new = np.concatenate([[True], h[1:] != h[:-1]]) if len(h) else np.zeros(0, dtype=bool)
-    lead = d[np.flatnonzero(new)][np.cumsum(new) - 1] if len(h) else d
-    more = ~new & (d != lead)
-    root, node = _stars(np.concatenate([a, lead[more]]), np.concatenate([b, d[more]]))
+    h, d, lead = blobs.grouped(blobs.unpack(table, "hash", np.uint64), blobs.unpack(table, "id", np.int64))
+    del h
+    more = d != lead
+    root, node = blobs.stars(np.concatenate([blobs.unpack(table, "a", np.int64), lead[more]]),
+                             np.concatenate([blobs.unpack(table, "b", np.int64), d[more]]))
     return pa.table({"a": pa.array(root, pa.int64()), "b": pa.array(node, pa.int64())})
 
 
-def _stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(smallest of its component, node) for the other nodes of the links."""
-    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
-    if not len(nodes):
-        return nodes, nodes
-    x, y = at[: len(a)], at[len(a):]
-    low = np.arange(len(nodes))
-    while True:
-        before = low.copy()
-        m = np.minimum(low[x], low[y])
-        np.minimum.at(low, x, m)
-        np.minimum.at(low, y, m)
-        np.minimum.at(low, before, low)  # a root follows its nodes
-        low = low[low]
-        if (low == before).all():
-            break
-    other = low != np.arange(len(nodes))
-    return nodes[low[other]], nodes[other]
-
-
 def overlaps(rows: list[np.ndarray], cols: list[np.ndarray]) -> np.ndarray:
     """Counts of common n-grams of every row with every column set: the product
     of the two incidence blocks, over blocks of the columns that both use.  With

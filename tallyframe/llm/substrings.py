@@ -83,18 +83,14 @@ def _by_doc(docs: np.ndarray, hashes: np.ndarray) -> pa.Table:
 
 
 def _entries(table: pa.Table):
-    h, d = blobs.unpack(table, "hash", np.uint64), blobs.unpack(table, "id", np.int64)
-    order = np.lexsort((d, h))
-    h, d = h[order], d[order]
-    new = np.concatenate([[True], h[1:] != h[:-1]]) if len(h) else np.zeros(0, dtype=bool)
-    lead = d[np.flatnonzero(new)][np.cumsum(new) - 1] if len(h) else d
-    return h, d, new, lead, blobs.unpack(table, "a", np.uint64), blobs.unpack(table, "b", np.int64)
+    return (*blobs.grouped(blobs.unpack(table, "hash", np.uint64), blobs.unpack(table, "id", np.int64)),
+            blobs.unpack(table, "a", np.uint64), blobs.unpack(table, "b", np.int64))
 
 
 def _shared(table: pa.Table) -> pa.Table:
     """Phrases that two or more documents hold, for each of them; (a, b) are those
     that a task has already seen twice."""
-    h, d, new, lead, a, b = _entries(table)
+    h, d, lead, a, b = _entries(table)
     other = d != lead
     common = np.unique(h[other])
     keep = np.isin(h, common) if len(common) else np.zeros(len(h), dtype=bool)
@@ -103,7 +99,7 @@ def _shared(table: pa.Table) -> pa.Table:
 
 def _repeats(table: pa.Table) -> pa.Table:
     """Windows of a document that also start in a document with a smaller id."""
-    h, d, new, lead, a, b = _entries(table)
+    h, d, lead, a, b = _entries(table)
     later = d > lead
     return _by_doc(np.concatenate([d[later], b]), np.concatenate([h[later], a]))
 
