@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyframe.llm.decontaminate import benchmark_leaks
+from tallyframe.llm.quality import fit_quality, hierarchical_quality
 from tallyframe.llm.sharding import even_tree, grown, shard_rows
 from tallyframe.llm.similarity import ngram_jaccard_join
 from tallyframe.llm.substrings import substring_dedup
@@ -96,3 +97,11 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_benchmark_decontamination")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return benchmark_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op2_quality_classifier")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents has no URL: the source is the host, language within it the path."""
+    docs = table(spark, sf_dir, "documents")
+    model = fit_quality(docs, table(spark, sf_dir, "labels"))
+    return hierarchical_quality(docs, model, F.col("source"), F.concat_ws("/", "source", "lang"))
