@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyframe.llm.decontaminate import benchmark_leaks
+from tallyframe.llm.html_text import main_text
 from tallyframe.llm.quality import fit_quality, hierarchical_quality
 from tallyframe.llm.sharding import even_tree, grown, shard_rows
 from tallyframe.llm.similarity import ngram_jaccard_join
@@ -105,3 +106,8 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = fit_quality(docs, table(spark, sf_dir, "labels"))
     return hierarchical_quality(docs, model, F.col("source"), F.concat_ws("/", "source", "lang"))
+
+
+@query("op7_html_extraction")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
