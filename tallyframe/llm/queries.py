@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tallyframe.llm.decontaminate import benchmark_leaks
 from tallyframe.llm.html_text import main_text
+from tallyframe.llm.packing import best_fit_packing
 from tallyframe.llm.quality import fit_quality, hierarchical_quality
 from tallyframe.llm.sharding import even_tree, grown, shard_rows
 from tallyframe.llm.similarity import ngram_jaccard_join
@@ -111,3 +112,8 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_html_extraction")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
+@query("op8_best_fit_packing")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_fit_packing(table(spark, sf_dir, "documents"))
