@@ -124,12 +124,12 @@ def _answer(k: int, left: pa.Table, right: pa.Table) -> pa.Table:
     empty = pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.int64())})
     if not len(left) or not len(right):
         return empty
-    x, q = _matrix(left.column("v")), _matrix(right.column("v"))
+    x, q = _matrix(left.column("v")), _matrix(right.column("w"))
     width = max(x.shape[1], q.shape[1])
     x, q = (np.pad(m, ((0, 0), (0, width - m.shape[1]))) for m in (x, q))
     tree = BallTree(left.column("vec_id").to_numpy(), x)
     out = []
-    query_ids = right.column("vec_id").to_numpy()
+    query_ids = right.column("query_id").to_numpy()
     floor = right.column("floor").to_numpy(zero_copy_only=False)
     floor = np.where(np.isnan(floor.astype(np.float64)), -np.inf, floor.astype(np.float64))
     for lo in range(0, len(q), QUERY_ROWS):
@@ -167,20 +167,18 @@ def exact_top_k(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id"
 
     def dealt(frame: DataFrame) -> DataFrame:
         """The shards' vectors, once for each group of queries."""
-        return frame.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+        return frame.select("vec_id", "v", "shard").withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
 
     def search(asked: DataFrame) -> DataFrame:
         return (dealt(rows).groupBy("shard", "group").cogroup(asked.groupBy("shard", "group"))
                 .applyInArrow(lambda a, b: _answer(k, a, b), _FOUND))
 
-    asked = queries.withColumn("group", group).withColumn("floor", F.lit(None).cast("double"))
-    own = stage(search(asked), "own")
+    asked = queries.select(F.col("vec_id").alias("query_id"), F.col("v").alias("w"), F.col("shard").alias("own"), group.alias("group"))
+    own = stage(search(asked.withColumnRenamed("own", "shard").withColumn("floor", F.lit(None).cast("double"))), "own")
     found = own
     if shards > 1:
-        kth = own.groupBy("query_id").agg(F.count("*").alias("c"), F.min("score").alias("m")).filter(F.col("c") >= k).select(F.col("query_id").alias("vec_id"), F.col("m").cast("double").alias("floor"))
-        others = (asked.drop("floor").join(kth, "vec_id", "left")
-                  .withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).filter("other <> shard")
-                  .drop("shard").withColumnRenamed("other", "shard"))
+        kth = own.groupBy("query_id").agg(F.count("*").alias("c"), F.min("score").alias("m")).filter(F.col("c") >= k).select("query_id", F.col("m").cast("double").alias("floor"))
+        others = asked.join(kth, "query_id", "left").withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).filter("shard <> own").drop("own")
         found = own.unionByName(search(others))
     ranked = found.distinct().withColumn("rank", F.expr("row_number() over (partition by query_id order by score desc, vec_id)").cast("int"))
     return ranked.filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
