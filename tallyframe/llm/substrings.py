@@ -136,10 +136,11 @@ def factors(starts: np.ndarray, window: int) -> list[tuple[int, int]]:
     return out
 
 
-def _parse(window: int):
+def _parse(window: int, as_is: bool):
     def run(batches):
         for batch in batches:
             found = batch.column(2).to_pylist()
+            text = batch.column(1)
             ids, n_words, n_removed, spans_out, kept = [], [], [], [], []
             for row, d, words, h, a, b, names in _rows(batch, window):
                 cut: list[tuple[int, int]] = []
@@ -155,11 +156,11 @@ def _parse(window: int):
                 n_words.append(b - a)
                 n_removed.append(int(b - a - keep.sum()))
                 spans_out.append([{"from": lo, "to": hi} for lo, hi in cut])
-                kept.append(_joined(words, a, keep))
+                kept.append(text[row].as_py() if as_is and not cut else _joined(words, a, keep))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids, pa.int64()), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()),
                  pa.array(spans_out, pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())]))),
-                 pa.array(kept, pa.string())], ["doc_id", "n_words", "n_removed", "spans", "kept"])
+                 pa.array(kept, pa.string()), batch.column(3)], ["doc_id", "n_words", "n_removed", "spans", "kept", "row"])
     return run
 
 
@@ -174,30 +175,36 @@ def _joined(words: Words, a: int, keep: np.ndarray) -> str:
     return b" ".join(pieces).decode("utf-8", "replace")
 
 
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13) -> DataFrame:
+def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13,
+                    carry: list[str] | None = None, as_is: bool = False) -> DataFrame:
     """Cut from every document the words of factors of at least ``window`` words
     that also start in a document with a smaller id (words unchanged).
 
-    Returns (doc_id, n_words, n_removed, spans, kept): one row per row of
-    ``docs``, whatever other columns it has; ``kept`` joins the words left by one
-    space, ``spans`` are word positions.  All factors are judged on the input.
-    Null or empty text: no words.  Null id: kept whole, and it is nobody's
-    reference.  Rows with equal id are no reference for each other.  An empty
-    table gives an empty result.
+    Returns (doc_id, n_words, n_removed, spans, kept, row): one row per row of
+    ``docs``; ``kept`` joins the words left by one space (``as_is``: a text without
+    a cut stays as it is, null too), ``spans`` are word positions, ``row`` is a struct
+    of the columns ``carry`` (null: none asked for).  All factors are judged on the
+    input.  Null or empty text: no words.  Null id: kept whole, and it is nobody's
+    reference.  Rows with equal id are no reference for each other.  An empty table
+    gives an empty result.
     """
     spark = docs.sparkSession
-    shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    some = own.filter("doc_id is not null")
-    size = some.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shuffles = min(int(spark.conf.get("spark.sql.shuffle.partitions")), 12)
+    row = F.struct(*[F.col(f"`{c}`") for c in carry]) if carry else F.lit(None).cast("int")
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), row.alias("row"))
+    # as computed columns both uses of this frame plan alike, and the exchange of the texts is shared
+    some = own.filter("doc_id is not null").select(F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.concat("text", F.lit("")).alias("text"),
+                                                   F.coalesce("row", F.lit(None)).alias("row"))
+    size = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = blobs.n_buckets(size // 24, shuffles)  # a fifth of the words at most
 
-    shared = (own.mapInArrow(_phrases(window, buckets), blobs.SCHEMA).groupBy("bucket").applyInArrow(_shared, _HITS)
+    shared = (own.select("doc_id", "text").mapInArrow(_phrases(window, buckets), blobs.SCHEMA).groupBy("bucket").applyInArrow(_shared, _HITS)
               .groupBy("doc_id").agg(F.collect_list("hashes").alias("hashes")))
-    again = (some.join(shared.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "hashes")
+    again = (some.join(shared.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "hashes", "row")
              .mapInArrow(_windows(window, buckets), blobs.SCHEMA).groupBy("bucket").applyInArrow(_repeats, _HITS)
              .groupBy("doc_id").agg(F.collect_list("hashes").alias("hashes")))
-    joined = some.join(again.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "text", "hashes")
-    rest = own.filter("doc_id is null").select("doc_id", "text", F.lit(None).cast("array<binary>").alias("hashes"))
+    joined = some.join(again.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "text", "hashes", "row")
+    rest = own.filter("doc_id is null").select("doc_id", "text", F.lit(None).cast("array<binary>").alias("hashes"), "row")
+    kind = own.schema["row"].dataType.simpleString()
     return joined.unionByName(rest).mapInArrow(
-        _parse(window), "doc_id long, n_words long, n_removed long, spans array<struct<from:long,to:long>>, kept string")
+        _parse(window, as_is), f"doc_id long, n_words long, n_removed long, spans array<struct<from:long,to:long>>, kept string, row {kind}")
