@@ -1,10 +1,10 @@
 """Scalar Column functions (F1-F23 of the survey)."""
 
-from .amounts import (is_py_float, money, py_float, py_float_str, split_base_amount,  # noqa: F401
+from .amounts import (is_py_float, py_float, py_float_str, split_base_amount,  # noqa: F401
                       validate_amount)
 from .currency import (CURRENCY_PATTERNS, CURRENCY_SYMBOLS, currency_symbol,  # noqa: F401
                        detect_currency, is_valid_currency_code, normalize_currency_config,
-                       normalize_currency_list, resolve_currency)
+                       normalize_currency_list)
 from .dates import parse_statement_date  # noqa: F401
 from .hashing import raw_row_hash, surrogate_id, transaction_hash  # noqa: F401
 from .splits import parse_split_items, parse_splits, split_total  # noqa: F401

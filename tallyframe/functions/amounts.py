@@ -8,10 +8,14 @@ transaction hashes are byte-identical to the reference's.
 
 from __future__ import annotations
 
+import sys
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ._util import as_col
+from .text import py_strip
 
 # ---- fixed values ----------------------------------------------------------
 # Characters removed before parsing an amount.
@@ -20,20 +24,29 @@ AMOUNT_STRIP_CHARS = ",₹$€"
 AMOUNT_LIMIT = 1e12
 # ---------------------------------------------------------------------------
 
-# Decimal literal with optional exponent, or Python's inf/nan spellings.
-_PY_FLOAT_RE = r"(?i)^\s*[+-]?((\d+\.?\d*|\.\d+)(e[+-]?\d+)?|inf|infinity|nan)\s*$"
+# Decimal digits of all scripts and what each is worth, by rule: Python reads them.
+_DIGITS = "".join(chr(c) for c in range(128, sys.maxunicode + 1) if unicodedata.category(chr(c)) == "Nd")
+_WORTH = "".join(str(unicodedata.digit(c)) for c in _DIGITS)
+# Digits with single underscores between them; a decimal literal with optional
+# exponent, or Python's inf/nan spellings.
+_D = r"[0-9](?:_?[0-9])*"
+_PY_FLOAT_RE = rf"^[+-]?((?:{_D}\.?(?:{_D})?|\.{_D})(?:[eE][+-]?{_D})?|[iI][nN][fF]|[iI][nN][fF][iI][nN][iI][tT][yY]|[nN][aA][nN])$"
 
 
 def py_float(c) -> Column:
     """Python ``float(text)`` or null where Python raises ValueError."""
-    s = as_col(c)
-    return F.when(s.rlike(_PY_FLOAT_RE), _try_double(s))
+    t = _plain_number(as_col(c))
+    return F.when(t.rlike(_PY_FLOAT_RE), _try_double(t))
 
 
-def _try_double(s: Column) -> Column:
-    from .text import py_strip
-
+def _plain_number(s: Column) -> Column:
+    """Number text without the white space around it, in ASCII digits."""
     t = py_strip(s)
+    return F.when(t.rlike(r"[^\x00-\x7F]"), F.translate(t, _DIGITS, _WORTH)).otherwise(t)
+
+
+def _try_double(t: Column) -> Column:
+    t = F.replace(t, F.lit("_"), F.lit(""))
     t = F.regexp_replace(t, r"(?i)^([+-]?)inf(inity)?$", "$1Infinity")
     t = F.regexp_replace(t, r"(?i)^[+-]?nan$", "NaN")
     return t.try_cast("double")
@@ -41,13 +54,13 @@ def _try_double(s: Column) -> Column:
 
 def is_py_float(c) -> Column:
     """True when ``float(text)`` succeeds in Python."""
-    return F.coalesce(as_col(c).rlike(_PY_FLOAT_RE), F.lit(False))
+    return F.coalesce(_plain_number(as_col(c)).rlike(_PY_FLOAT_RE), F.lit(False))
 
 
 def validate_amount(c) -> Column:
     """strip ``, ₹ $ €``, parse, keep 0 <= x <= 1e12 (NaN/inf -> null)."""
     s = as_col(c)
-    cleaned = F.translate(s, AMOUNT_STRIP_CHARS, "")
+    cleaned = _plain_number(F.translate(s, AMOUNT_STRIP_CHARS, ""))
     v = F.when(cleaned.rlike(_PY_FLOAT_RE), _try_double(cleaned))
     # ``between`` is false for NaN, so NaN and +-inf drop out here.
     return F.when(v.between(F.lit(0.0), F.lit(AMOUNT_LIMIT)) & ~F.isnan(v), v).cast("double")
@@ -90,8 +103,3 @@ def split_base_amount(debit, credit) -> Column:
     """F16: Python ``debit or credit or 0`` (0.0 and null fall through)."""
     d, c = as_col(debit), as_col(credit)
     return F.coalesce(F.nullif(d, F.lit(0.0)), F.nullif(c, F.lit(0.0)), F.lit(0.0))
-
-
-def money(c, scale: int = 2) -> Column:
-    """Round a double to cents through a decimal (HALF_UP), back to double."""
-    return F.round(as_col(c).cast("decimal(38,6)"), scale).cast("double")

@@ -132,23 +132,3 @@ def normalize_currency_config(value) -> list[str]:
         out = [x.upper() for x in value if valid(x)]
         return out or [DEFAULT_CURRENCY]
     return [DEFAULT_CURRENCY]
-
-
-def resolve_currency(withdrawal_text, deposit_text, remarks, available: Sequence[str],
-                     decided=None) -> Column:
-    """One configured currency -> it; else detection on the withdrawal
-    text, then the deposit text, then the remarks (each skipped when blank or
-    ``nan``); else the decided currency; else the first configured one."""
-    available = list(available)
-    if len(available) == 1:
-        return F.lit(available[0])
-
-    def usable(c: Column) -> Column:
-        s = py_strip(c)
-        return F.when((F.length(s) > 0) & (s != "nan"), s)
-
-    options = [detect_currency(usable(as_col(x)), available) for x in (withdrawal_text, deposit_text, remarks)]
-    if decided is not None:
-        options.append(as_col(decided))
-    options.append(F.lit(available[0]))
-    return F.coalesce(*options)

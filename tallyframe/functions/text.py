@@ -52,15 +52,6 @@ def py_strip(c) -> Column:
     return F.btrim(as_col(c), F.lit(PY_WHITESPACE))
 
 
-def py_text(c) -> Column:
-    """Text of a raw cell as Python ``str(value)`` would show a missing value.
-
-    Cells are strings already; a missing cell (null) shows as ``nan`` the way
-    a pandas NaN does when formatted.
-    """
-    return F.coalesce(as_col(c), F.lit("nan"))
-
-
 def html_escape(c) -> Column:
     """``html.escape(s, quote=True)``; ``&`` first so entities are not doubled."""
     x = as_col(c)

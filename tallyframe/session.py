@@ -7,6 +7,7 @@ fills in settings that are unset, so it never overrides cluster settings.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -52,22 +53,26 @@ def get_session(master: str | None = None, app_name: str = "tallyframe",
 
 
 def apply_runtime_defaults(spark: SparkSession) -> None:
-    """Set SQL settings the engine's semantics depend on (session scoped)."""
+    """Set the SQL settings that the engine's semantics depend on where the
+    user left them unset (session scoped)."""
     for key in ("spark.sql.session.timeZone", "spark.sql.mapKeyDedupPolicy", "spark.sql.codegen.hugeMethodLimit"):
-        spark.conf.set(key, DEFAULT_CONF[key])
+        if spark.conf.get(key, None) is None:
+            spark.conf.set(key, DEFAULT_CONF[key])
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    A cluster names a shared folder there; only when it is unset (tests,
-    local runs) a private scratch folder is created.
+    A cluster names a shared folder there; only a local master without the
+    setting (tests, local runs) gets a private scratch folder.  Elsewhere
+    executors would write to their own disks, so that is an error.
     """
     sc = spark.sparkContext
     configured = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not configured:
-        # Unset: local run or test.  Only here do we pick a folder ourselves.
-        configured = tempfile.mkdtemp(prefix="tallyframe-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        configured = tempfile.mkdtemp(prefix="tallyframe-ckpt-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
@@ -91,18 +96,7 @@ def stage_path(df, name: str = "stage") -> str:
     root = ensure_checkpoint_dir(df.sparkSession)
     path = os.path.join(root, "staged", f"{name}-{uuid.uuid4().hex}")
     df.write.mode("errorifexists").parquet(path)
+    # staged data live as long as the session
+    folder = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).deleteOnExit(folder)
     return path
-
-
-# Largest dimension (in rows) that is broadcast after an explicit count.
-BROADCAST_MAX_ROWS = 1_000_000
-
-
-def sized_broadcast(df, max_rows: int = BROADCAST_MAX_ROWS):
-    """Broadcast ``df`` only when its row count is proven to be at most
-    ``max_rows`` (one cheap count of a dimension); otherwise return it
-    unchanged so the join shuffles (and AQE may still demote it)."""
-    from pyspark.sql import functions as F
-
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df

@@ -33,6 +33,8 @@ DERIVED_RULES = [
     (4, "household_off", ["household"], "other", "icici_bank", False),
     (5, "other_bank_rule", ["building"], "shopping", "hdfc_bank", True),
     (6, "usd_payments", [" usd"], "transfer", "icici_bank", True),
+    # Never matches; decisions name it for new patterns, which then reuse it.
+    (7, "france_spend", ["never-printed"], "transfer", "icici_bank", False),
 ]
 # ---------------------------------------------------------------------------
 
@@ -67,7 +69,13 @@ def statement_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     # Every 53rd settled order is a reversal printed with a minus sign: it
     # parses as a float (kept) but is not a valid amount, so the row is a
     # credit without a credit amount (unrenderable).
-    withdrawal = (F.when((status == "F") & (k % 53 == 0), F.concat(F.lit("-"), dec2_text(F.col("o_totalprice"))))
+    # Others are printed with a no-break space, an underscore or full-width digits,
+    # which Python's float() reads.
+    price = dec2_text(F.col("o_totalprice"))
+    withdrawal = (F.when((status == "F") & (k % 53 == 0), F.concat(F.lit("-"), price))
+                  .when((status == "F") & (k % 59 == 0), F.concat(F.lit("\u00a0"), price))
+                  .when((status == "F") & (k % 61 == 0), F.regexp_replace(price, r"(\d)(\d{3}\.)", "$1_$2"))
+                  .when((status == "F") & (k % 67 == 0), F.translate(price, "0123456789", "０１２３４５６７８９"))
                   .when(status == "F", dec2_text(F.col("o_totalprice")))
                   .when(status == "P", F.format_number("o_totalprice", 2)))
     deposit = F.when(status == "O", dec2_text(F.col("o_totalprice")))
@@ -136,6 +144,7 @@ def derived_decisions(typed: DataFrame) -> DataFrame:
               .otherwise(F.lit("process")))
     choice = (F.when(desc.contains("2-HIGH"), F.lit("2"))
               .when(desc.contains("3-MEDIUM"), F.lit("Travel"))
+              .when(desc.contains("4-NOT"), F.lit("3"))
               .when(desc.contains("5-LOW"), F.lit("99"))
               .otherwise(F.lit("")))
     reason = F.when(ref % 5 == 0, F.lit("")).when(ref % 7 == 0, F.lit("ok")).otherwise(

@@ -71,6 +71,33 @@ def discover_files(spark: SparkSession, root: str, file_type: str | None = None,
     return files.orderBy(F.desc("modified_at"), "file_path")
 
 
+#: Rows of one frame handed back to Spark.
+FRAME_ROWS = 20_000
+
+
+def _first_sheet(z) -> str:
+    """The part of the first sheet in the workbook's own order, found through
+    its relationships; without these the lowest sheet number."""
+    import posixpath
+    import re
+    import xml.etree.ElementTree as ET
+
+    main = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+    rel = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
+    names = set(z.namelist())
+    if {"xl/workbook.xml", "xl/_rels/workbook.xml.rels"} <= names:
+        targets = {r.get("Id"): r.get("Target", "") for r in ET.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
+        for sheet in ET.fromstring(z.read("xl/workbook.xml")).iter(main + "sheet"):
+            target = targets.get(sheet.get(rel), "")
+            part = target.lstrip("/") if target.startswith("/") else posixpath.normpath(posixpath.join("xl", target))
+            if part in names:
+                return part
+    numbered = [(int(m[1]), n) for n in names if (m := re.match(r"xl/worksheets/sheet(\d+)\.xml$", n))]
+    if not numbered:
+        raise ValueError("workbook has no sheet")
+    return min(numbered)[1]
+
+
 def _parse_xlsx(data: bytes):
     import io
     import re
@@ -84,11 +111,7 @@ def _parse_xlsx(data: bytes):
             root = ET.fromstring(z.read("xl/sharedStrings.xml"))
             for si in root.findall("m:si", ns):
                 shared.append("".join(t.text or "" for t in si.iter("{%s}t" % ns["m"])))
-        sheets = sorted(n for n in z.namelist() if re.match(r"xl/worksheets/sheet\d+\.xml$", n))
-        if not sheets:
-            raise ValueError("workbook has no sheet")
-        first = "xl/worksheets/sheet1.xml" if "xl/worksheets/sheet1.xml" in sheets else sheets[0]
-        root = ET.fromstring(z.read(first))
+        root = ET.fromstring(z.read(_first_sheet(z)))
     rows = []
     for r in root.iter("{%s}row" % ns["m"]):
         cells = {}
@@ -124,7 +147,7 @@ def _parse_csv(data: bytes):
     import csv
     import io
 
-    text = data.decode("utf-8-sig", errors="replace")
+    text = data.decode("utf-8-sig")  # other bytes: the file is quarantined, not altered
     return [(i, [c if c != "" else None for c in row]) for i, row in enumerate(csv.reader(io.StringIO(text)))]
 
 
@@ -132,7 +155,6 @@ def _parse_files(batches):
     import pandas as pd
 
     for pdf in batches:
-        out_path, out_row, out_cells = [], [], []
         for path, content in zip(pdf["path"], pdf["content"]):
             low = path.lower()
             try:
@@ -143,15 +165,10 @@ def _parse_files(batches):
                 else:
                     raise ValueError("unsupported statement format")
             except Exception as exc:  # noqa: BLE001 - bad file becomes a row
-                out_path.append(path)
-                out_row.append(-1)
-                out_cells.append([f"{type(exc).__name__}: {exc}"])
-                continue
-            for idx, cells in rows:
-                out_path.append(path)
-                out_row.append(idx)
-                out_cells.append(cells)
-        yield pd.DataFrame({"path": out_path, "sheet_row": out_row, "cells": out_cells})
+                rows = [(-1, [f"{type(exc).__name__}: {exc}"])]
+            for lo in range(0, len(rows), FRAME_ROWS):
+                part = rows[lo: lo + FRAME_ROWS]
+                yield pd.DataFrame({"path": path, "sheet_row": [r for r, _ in part], "cells": [c for _, c in part]})
 
 
 def read_statement_cells(spark: SparkSession, paths: DataFrame | list[str]) -> tuple[DataFrame, DataFrame]:

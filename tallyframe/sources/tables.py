@@ -43,7 +43,3 @@ def category_template(spark: SparkSession, names: list[str] | None = None) -> Da
     """Ordered category dimension ``(pos, name)``; ``pos`` is 1-based."""
     names = list(names) if names is not None else list(DEFAULT_CATEGORIES)
     return spark.createDataFrame([(i + 1, n) for i, n in enumerate(names)], "pos int, name string")
-
-
-def empty_like(spark: SparkSession, name: str) -> DataFrame:
-    return spark.createDataFrame([], TABLES[name]).select(*[F.col(c) for c in TABLES[name].fieldNames()])

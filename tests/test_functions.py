@@ -86,11 +86,12 @@ def test_detect_currency(spark):
 
 
 def test_currency_priority(spark):
-    df = spark.createDataFrame([("$100", "", "€50 dinner")], "w string, d string, r string")
-    got = df.select(tf.resolve_currency("w", "d", "r", ["USD", "EUR", "GBP", "INR"])).first()[0]
-    assert got == "USD"
-    got = df.select(tf.resolve_currency("d", "d", "d", ["USD", "EUR"])).first()[0]
-    assert got == "USD"  # nothing detected -> first configured
+    from tallyframe.operators.statements import _with_currency
+
+    df = spark.createDataFrame([(1, "$100", "", "€50 dinner", "GBP"), (2, "", "", "", "GBP"), (3, "", "", "", None)],
+                               "i int, _w_txt string, _d_txt string, _remarks_txt string, decided string")
+    got = {r["i"]: r["_currency"] for r in _with_currency(df, ["USD", "EUR", "GBP", "INR"], F.col("decided")).collect()}
+    assert got == {1: "USD", 2: "GBP", 3: "USD"}  # detected, decided, first configured
 
 
 def test_currency_symbol_and_codes(spark):
@@ -153,3 +154,25 @@ def test_mask_url_and_misc(spark):
     assert run1(spark, ["  SHOPPING  ", "   ", None], tf.normalize_category) == ["shopping", None, None]
     assert run1(spark, [" John "], tf.normalize_person) == ["john"]
     assert run1(spark, ["snap"], lambda c: tf.from_base64(tf.to_base64(c))) == ["snap"]
+
+
+def test_amount_texts_that_python_reads(spark):
+    texts = ["\xa0100.00", "1_000", "1__0", "_1", "1_", "１２３.５", "\u30001e3\u2003", "٣", "1_0.2_5", "0x10", "1d", "ınf", "nan", " -5 "]
+
+    def python(t):
+        try:
+            v = float(t)
+        except ValueError:
+            return None
+        return v if 0 <= v <= 1e12 else None
+
+    assert run1(spark, texts, tf.validate_amount) == [python(t) for t in texts]
+
+    def reads(t):
+        try:
+            float(t)
+        except ValueError:
+            return False
+        return True
+
+    assert run1(spark, texts, tf.is_py_float) == [reads(t) for t in texts]
