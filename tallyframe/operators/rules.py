@@ -1,25 +1,25 @@
 """Rule matching (J3), rule lookup/upsert (J8, K4) and decision resolution
 (P12-P14).
 
-Rules are a dimension: the active rules of one processor are collected
-(after a count check) into a literal, ordered array, and each description is
-matched against it inside one projection - no join and no shuffle of the
-transactions.  Rule sets above the bound take an exact trigram-candidate
-join instead.
+Rules are a dimension.  Their patterns become Aho-Corasick automatons, one per
+block of ``BLOCK_PATTERNS`` patterns, and every description runs through them
+once: the cost follows the length of the descriptions, not the number of rules,
+and no transaction is shuffled.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import ahocorasick
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import sized_broadcast
 from ..functions.text import enum_name_default, py_strip, reason_default, suggested_pattern
 
-# Largest number of (rule, pattern) pairs matched through a literal array.
-MAX_LITERAL_PATTERNS = 5000
+# Patterns of one automaton (about 1 KB each); more rules make more of them.
+BLOCK_PATTERNS = 100_000
 NO_PATTERN_SKIP_REASON = "User chose to skip - no pattern identified"
 MATCH_SKIP_REASON = "User chose to skip - existing pattern found but not used"
 INVALID_REASON = "Invalid transaction data"
@@ -32,56 +32,53 @@ def active_patterns(rules: DataFrame, processor: str) -> DataFrame:
             .select("id", "enum_name", "category", F.posexplode("patterns").alias("pos", "pattern")))
 
 
-def match_rules(df: DataFrame, rules: DataFrame, processor: str, desc: str = "description",
-                key: Sequence[str] = ("path", "sheet_row")) -> DataFrame:
+def match_rules(df: DataFrame, rules: DataFrame, processor: str, desc: str = "description") -> DataFrame:
     """Add ``enum_id``, ``enum_name``, ``enum_category`` of the first
     active rule (by id, then pattern order) whose pattern, lowercased, is a
     substring of the lowercased description; nulls when none matches.  An
     empty pattern matches everything."""
-    pats = active_patterns(rules, processor)
-    # One small job both proves the size bound and fetches the rules.
-    rows = pats.orderBy("id", "pos").limit(MAX_LITERAL_PATTERNS + 1).collect()
-    if len(rows) <= MAX_LITERAL_PATTERNS:
-        if not rows:
-            hit = F.lit(None).cast("struct<id:bigint,p:string,enum_name:string,category:string>")
-        else:
-            lit = F.array(*[F.struct(F.lit(r["id"]).cast("long").alias("id"),
-                                     F.lit((r["pattern"] or "").lower()).alias("p"),
-                                     F.lit(r["enum_name"]).alias("enum_name"),
-                                     F.lit(r["category"]).alias("category")) for r in rows])
-            low = F.lower(F.col(desc))
-            hit = F.get(F.filter(lit, lambda r: low.contains(r["p"])), 0)
-        hit = F.when(F.col(desc).isNotNull(), hit)
-        return df.select("*", hit["id"].alias("enum_id"), hit["enum_name"].alias("enum_name"),
-                         hit["category"].alias("enum_category"))
-    return _match_rules_trigram(df, pats, desc, list(key))
-
-
-def _match_rules_trigram(df: DataFrame, pats: DataFrame, desc: str, key: list[str]) -> DataFrame:
-    """Exact large-rule-set path: a pattern of length >= 3 can only occur
-    in a description that contains its first trigram, so candidates come
-    from an equi-join on trigrams and are verified with a substring test;
-    shorter patterns are few and checked directly."""
+    pats = active_patterns(rules, processor).select(
+        "id", "pos", "enum_name", "category", F.lower(F.coalesce("pattern", F.lit(""))).alias("p"))
+    n = pats.count()
+    blocks = max(1, -(-n // BLOCK_PATTERNS))
     low = F.lower(F.col(desc))
-    p_low = F.lower(F.coalesce(F.col("pattern"), F.lit("")))
-    long_p = pats.filter(F.length(p_low) >= 3).select(
-        "id", "pos", "enum_name", "category", p_low.alias("p"), F.substring(p_low, 1, 3).alias("tri"))
-    short_p = pats.filter(F.length(p_low) < 3).select("id", "pos", "enum_name", "category", p_low.alias("p"))
-    base = df.select(*key, low.alias("_low"))
-    tris = base.select(*key, "_low", F.explode(F.array_distinct(F.transform(
-        F.sequence(F.lit(1), F.greatest(F.length("_low") - 2, F.lit(1))),
-        lambda i: F.substring("_low", i, 3)))).alias("tri"))
-    cand = tris.join(long_p, "tri").filter(F.col("_low").contains(F.col("p")))
-    cand = cand.select(*key, "id", "pos", "enum_name", "category")
-    short = base.join(F.broadcast(short_p), F.col("_low").contains(F.col("p"))).select(
-        *key, "id", "pos", "enum_name", "category")
-    best = cand.unionByName(short).groupBy(*key).agg(
-        F.min_by(F.struct("id", "enum_name", "category"), F.struct("id", "pos")).alias("_hit"))
-    return (df.join(best, key, "left")
-            .withColumn("enum_id", F.col("_hit.id"))
-            .withColumn("enum_name", F.col("_hit.enum_name"))
-            .withColumn("enum_category", F.col("_hit.category"))
-            .drop("_hit"))
+    hits = []
+    for b in range(blocks):
+        part = pats if blocks == 1 else pats.filter(F.pmod(F.xxhash64("id", "pos"), F.lit(blocks)) == b)
+        rows = sorted((r["id"], r["pos"], r["p"], r["enum_name"], r["category"]) for r in part.collect())
+        if rows:
+            hits.append(_first_match(df.sparkSession.sparkContext.broadcast(rows))(low))
+    none = F.lit(None).cast(_HIT)
+    hit = F.array_min(F.filter(F.array(*hits), lambda h: h.isNotNull())) if len(hits) > 1 else hits[0] if hits else none
+    out = df.withColumn("_hit", F.when(F.col(desc).isNotNull(), hit))
+    return out.select(*df.columns, F.col("_hit.id").alias("enum_id"), F.col("_hit.enum_name").alias("enum_name"),
+                      F.col("_hit.category").alias("enum_category"))
+
+
+_HIT = "struct<id:bigint,pos:int,enum_name:string,category:string>"
+
+
+def _first_match(rows):
+    """Arrow function: the first of the ranked patterns that a text contains."""
+    @F.pandas_udf(_HIT)
+    def first(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        ranked = rows.value
+        least: dict[str, int] = {}
+        for rank, r in enumerate(ranked):
+            least.setdefault(r[2], rank)
+        always = least.pop("", len(ranked))
+        auto = ahocorasick.Automaton()
+        for p, rank in least.items():
+            auto.add_word(p, rank)
+        if len(auto):
+            auto.make_automaton()
+        for batch in texts:
+            best = [min((rank for _, rank in auto.iter(t)), default=always) if t and len(auto) else always for t in batch]
+            best = [min(b, always) for b in best]
+            got = [ranked[b] if b < len(ranked) else (None,) * 5 for b in best]
+            out = pd.DataFrame(got, columns=["id", "pos", "p", "enum_name", "category"]).drop(columns="p")
+            yield out.astype({"id": "Int64", "pos": "Int32"})
+    return first
 
 
 def category_choice(choice: Column, enum_category: Column, categories: Sequence[str]) -> Column:
@@ -104,7 +101,7 @@ def lookup_rule_ids(df: DataFrame, rules: DataFrame, processor: str) -> DataFram
     existing = rules.filter(F.col("processor_type") == processor).select(
         F.col("enum_name").alias("_new_enum_name"), F.col("id").alias("_existing_id"),
         F.col("category").alias("_existing_category"))
-    return df.join(sized_broadcast(existing), "_new_enum_name", "left")
+    return df.join(existing, "_new_enum_name", "left")
 
 
 def assign_new_rule_ids(new_rules: DataFrame, rules: DataFrame) -> DataFrame:
@@ -123,6 +120,12 @@ def resolve_decisions(df: DataFrame, categories: Sequence[str]) -> DataFrame:
     Expects columns enum_id/enum_name/enum_category (match), and the decision
     columns (action, category_choice, reason, splits_spec, pattern,
     enum_name as ``d_enum_name``, enum_category as ``d_enum_category``)."""
+    # under a match the category answers 2 and 3 mean skip and new pattern
+    choice = F.when(F.col("enum_id").isNotNull(), py_strip(F.coalesce(F.col("category_choice"), F.lit(""))))
+    df = df.withColumn("action", F.when(F.col("action") != "process", F.col("action")).when(choice == "2", F.lit("skip"))
+                       .when(choice == "3", F.lit("new_pattern")).otherwise(F.col("action")))
+    # the new pattern's own category answer is not asked twice
+    df = df.withColumn("category_choice", F.when(choice.isin("2", "3"), F.lit("")).otherwise(F.col("category_choice")))
     has_decision = F.col("action").isNotNull()
     matched = F.col("enum_id").isNotNull() & (F.col("action").isNull() | (F.col("action") != "new_pattern"))
     pattern = F.lower(py_strip(F.coalesce(F.col("pattern"), F.lit(""))))

@@ -50,7 +50,7 @@ def test_row_numbers_across_buckets(spark):
     assert got == want
 
 
-def test_trigram_rule_path_matches_literal_path(spark, monkeypatch):
+def test_rule_blocks_agree(spark, monkeypatch):
     import tallyframe.operators.rules as R
     rules = spark.createDataFrame([
         (1, "food", ["swig", "zo"], "food", "p", True),
@@ -61,11 +61,15 @@ def test_trigram_rule_path_matches_literal_path(spark, monkeypatch):
     descs = ["UPI-SWIGGY order", "HP petrol pump 12", "zomato", "nothing here", "UPI-transfer", "ab", None]
     df = spark.createDataFrame([("f", i, d) for i, d in enumerate(descs)],
                                "path string, sheet_row long, description string")
-    literal = {r["sheet_row"]: (r["enum_id"], r["enum_name"], r["enum_category"])
+    one = {r["sheet_row"]: (r["enum_id"], r["enum_name"], r["enum_category"])
                for r in R.match_rules(df, rules, "p").collect()}
-    monkeypatch.setattr(R, "MAX_LITERAL_PATTERNS", 0)
-    trigram = {r["sheet_row"]: (r["enum_id"], r["enum_name"], r["enum_category"])
+    monkeypatch.setattr(R, "BLOCK_PATTERNS", 2)
+    many = {r["sheet_row"]: (r["enum_id"], r["enum_name"], r["enum_category"])
                for r in R.match_rules(df, rules, "p").collect()}
-    assert literal == trigram
-    assert literal[0][0] == 1 and literal[1][0] == 2 and literal[2][0] == 1 and literal[3][0] is None
-    assert literal[4][0] == 4 and literal[6][0] is None
+    assert one == many
+    assert one[0][0] == 1 and one[1][0] == 2 and one[2][0] == 1 and one[3][0] is None
+    assert one[4][0] == 4 and one[6][0] is None
+    monkeypatch.undo()
+    everything = rules.unionByName(spark.createDataFrame([(0, "all", [""], "other", "p", True)], TRANSACTION_ENUMS))
+    assert {r["enum_id"] for r in R.match_rules(df, everything, "p").collect()} == {0, None}
+    assert {r["enum_id"] for r in R.match_rules(df, rules.limit(0), "p").collect()} == {None}
