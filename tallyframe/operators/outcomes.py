@@ -21,7 +21,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.splits import parse_splits
-from ..session import sized_broadcast
 from . import rules as R
 
 OUTCOMES = ["processed", "skipped", "invalid", "duplicate", "auto_skipped", "error_skipped", "needs_review"]
@@ -77,6 +76,8 @@ def ingest_outcomes(batch: DataFrame, stored_hashes: DataFrame, skipped_hashes:
         F.col("_new_enum_name").alias("new_enum_name"),
         F.col("_new_pattern").alias("new_pattern"),
         F.col("_existing_id").alias("existing_enum_id"),
+        # the rule that the row uses: the match, unless a new pattern was asked for
+        F.when(F.col("_matched"), F.col("enum_id")).otherwise(F.col("_existing_id")).alias("used_enum_id"),
         F.col("_split.status").alias("split_status"),
         F.col("_split.splits").alias("splits"),
     )
@@ -99,11 +100,11 @@ def new_rules(outcomes: DataFrame, rules: DataFrame, processor: str) -> DataFram
 
 
 def with_enum_ids(outcomes: DataFrame, created: DataFrame) -> DataFrame:
-    """Final enum id per processed row: matched rule, existing rule of the
-    same name, or the rule this batch created."""
+    """Final ``used_enum_id`` per row: the matched rule, or for a new pattern the
+    existing rule of the same name or the rule that this batch created."""
     ids = created.select(F.col("enum_name").alias("new_enum_name"), F.col("id").alias("_created_id"))
-    return (outcomes.join(sized_broadcast(ids), "new_enum_name", "left")
-            .withColumn("enum_id", F.coalesce("enum_id", "existing_enum_id", "_created_id"))
+    return (outcomes.join(ids, "new_enum_name", "left")
+            .withColumn("used_enum_id", F.coalesce("used_enum_id", "_created_id"))
             .drop("_created_id"))
 
 

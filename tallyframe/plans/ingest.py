@@ -31,11 +31,14 @@ def history(batch: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def run(spark: SparkSession, sf_dir: str, reprocess_skipped: bool = False,
-        batch: DataFrame | None = None) -> DataFrame:
+        batch: DataFrame | None = None, stored: DataFrame | None = None, skipped: DataFrame | None = None) -> DataFrame:
     """Outcome of every kept statement row of the derived run (``batch``:
-    an already cleaned, staged frame to reuse)."""
+    an already cleaned, staged frame to reuse; ``stored`` and ``skipped``: rows of
+    earlier runs besides the derived history)."""
     batch = batch if batch is not None else derived.cleaned(spark, sf_dir)
-    stored, skipped = history(batch)
+    past = history(batch)
+    stored, skipped = (p if more is None else p.unionByName(more.select("transaction_hash"))
+                       for p, more in zip(past, (stored, skipped)))
     decisions = derived_decisions(batch.filter("is_valid"))
     return OUT.ingest_outcomes(batch, stored, skipped, decisions, derived_rules(spark), PROCESSOR,
                                DEFAULT_CATEGORIES, reprocess_skipped)

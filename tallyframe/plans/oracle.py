@@ -7,11 +7,39 @@ cell arrays, so they check the Spark cell pipeline independently.
 
 from __future__ import annotations
 
-from ..functions.currency import CURRENCY_PATTERNS
-from ..sources.derived import PROCESSOR_CURRENCIES
+# ---- fixed values, written out apart from the code that they check ----------
+CURRENCY_PATTERNS = {
+    "USD": [r"\$", r"usd", r"dollar", r"united states", r"us\s+dollar"],
+    "EUR": [r"€", r"eur", r"euro", r"european"],
+    "GBP": [r"£", r"gbp", r"pound", r"sterling", r"british"],
+    "INR": [r"₹", r"inr", r"rupee", r"rs\.", r"indian"],
+    "JPY": [r"¥", r"jpy", r"yen", r"japanese"],
+    "CNY": [r"¥", r"cny", r"yuan", r"rmb", r"chinese"],
+    "AUD": [r"aud", r"australian", r"a\$"],
+    "CAD": [r"cad", r"canadian", r"c\$"],
+    "CHF": [r"chf", r"swiss", r"franc"],
+    "SGD": [r"sgd", r"singapore", r"s\$"],
+}
+PROCESSOR_CURRENCIES = ["INR", "USD", "EUR", "GBP"]
+RULES_SQL = """rules(id, enum_name, patterns, category, processor_type, is_active) AS (VALUES
+  (1, 'furniture_shop', ['furniture'], 'shopping', 'icici_bank', true),
+  (2, 'machines', ['machin', 'nation_1'], 'utilities', 'icici_bank', true),
+  (3, 'cars', ['automobile', '-urgent'], 'transport', 'icici_bank', true),
+  (4, 'household_off', ['household'], 'other', 'icici_bank', false),
+  (5, 'other_bank_rule', ['building'], 'shopping', 'hdfc_bank', true),
+  (6, 'usd_payments', [' usd'], 'transfer', 'icici_bank', true),
+  (7, 'france_spend', ['never-printed'], 'transfer', 'icici_bank', false))"""
+# ---------------------------------------------------------------------------
 
 STRIP = "regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
-PY_FLOAT_RE = "^\\s*[+-]?((\\d+\\.?\\d*|\\.\\d+)(e[+-]?\\d+)?|inf|infinity|nan)\\s*$"
+_D = "\\d(_?\\d)*"
+PY_FLOAT_RE = f"^[+-]?(({_D}\\.?({_D})?|\\.{_D})(e[+-]?{_D})?|inf|infinity|nan)$"
+
+
+def number_text(x: str) -> str:
+    """What float() reads: ASCII digits, no (also no-break) space around."""
+    return (f"regexp_replace(translate({x}, '０１２３４５６７８９', '0123456789'), "
+            "'^[\\s\\x{a0}]+|[\\s\\x{a0}]+$', '', 'g')")
 
 
 def strip(x: str) -> str:
@@ -19,14 +47,14 @@ def strip(x: str) -> str:
 
 
 def validate_amount(x: str) -> str:
-    cleaned = f"translate({x}, ',₹$€', '')"
-    v = f"TRY_CAST({strip(cleaned)} AS DOUBLE)"
+    cleaned = number_text(f"translate({x}, ',₹$€', '')")
+    v = f"TRY_CAST(replace({cleaned}, '_', '') AS DOUBLE)"
     return (f"(CASE WHEN regexp_matches({cleaned}, '{PY_FLOAT_RE}', 'i') AND NOT isnan({v}) "
             f"AND {v} BETWEEN 0 AND 1e12 THEN {v} END)")
 
 
 def is_py_float(x: str) -> str:
-    return f"coalesce(regexp_matches({x}, '{PY_FLOAT_RE}', 'i'), false)"
+    return f"coalesce(regexp_matches({number_text(x)}, '{PY_FLOAT_RE}', 'i'), false)"
 
 
 def sanitize(x: str, max_len: int = 1000) -> str:
@@ -72,6 +100,12 @@ sr0 AS (
                         WHEN o.o_orderkey % 17 = 0 THEN ' <b>EUR & co</b>' ELSE '' END END AS remarks,
          CASE WHEN o.o_orderstatus = 'F' AND o.o_orderkey % 53 = 0
               THEN '-' || CAST(CAST(o.o_totalprice AS DECIMAL(14,2)) AS VARCHAR)
+              WHEN o.o_orderstatus = 'F' AND o.o_orderkey % 59 = 0
+              THEN chr(160) || CAST(CAST(o.o_totalprice AS DECIMAL(14,2)) AS VARCHAR)
+              WHEN o.o_orderstatus = 'F' AND o.o_orderkey % 61 = 0
+              THEN regexp_replace(CAST(CAST(o.o_totalprice AS DECIMAL(14,2)) AS VARCHAR), '(\\d)(\\d{3}\\.)', '\\1_\\2')
+              WHEN o.o_orderstatus = 'F' AND o.o_orderkey % 67 = 0
+              THEN translate(CAST(CAST(o.o_totalprice AS DECIMAL(14,2)) AS VARCHAR), '0123456789', '０１２３４５６７８９')
               WHEN o.o_orderstatus = 'F' THEN CAST(CAST(o.o_totalprice AS DECIMAL(14,2)) AS VARCHAR)
               WHEN o.o_orderstatus = 'P' THEN format('{:,.2f}', o.o_totalprice) END AS withdrawal,
          CASE WHEN o.o_orderstatus = 'O' THEN CAST(CAST(o.o_totalprice AS DECIMAL(14,2)) AS VARCHAR) END AS deposit,
@@ -176,16 +210,6 @@ def with_base(select: str) -> str:
 MONEY = "CAST(round(sum(CAST({x} AS DECIMAL(38,6))), 2) AS DOUBLE)"
 
 
-def rules_values() -> str:
-    from ..sources.derived import DERIVED_RULES
-    rows = []
-    for (i, name, pats, cat, proc, active) in DERIVED_RULES:
-        plist = "[" + ", ".join("'" + p.replace("'", "''") + "'" for p in pats) + "]"
-        rows.append(f"({i}, '{name}', {plist}, '{cat}', '{proc}', {str(active).lower()})")
-    return ("rules(id, enum_name, patterns, category, processor_type, is_active) AS (VALUES "
-            + ", ".join(rows) + ")")
-
-
 STOPWORDS_SQL = "['to', 'from', 'the', 'and', 'or', 'in', 'on', 'at', 'by', 'for']"
 
 
@@ -233,6 +257,7 @@ dec AS (
   SELECT transaction_hash,
          CASE WHEN k % 11 = 0 THEN 'skip' WHEN k % 19 = 0 THEN 'new_pattern' ELSE 'process' END AS action,
          CASE WHEN contains(description, '2-HIGH') THEN '2' WHEN contains(description, '3-MEDIUM') THEN 'Travel'
+              WHEN contains(description, '4-NOT') THEN '3'
               WHEN contains(description, '5-LOW') THEN '99' ELSE '' END AS category_choice,
          CASE WHEN k % 5 = 0 THEN '' WHEN k % 7 = 0 THEN 'ok' ELSE 'order ' || reference_number END AS reason,
          CASE WHEN k % 4 = 0 THEN lower(string_split(description, '-')[3]) || ':50'
@@ -242,7 +267,7 @@ dec AS (
          CASE WHEN k % 2 = 0 THEN lower(string_split(description, '-')[3]) || '_spend' ELSE '' END AS d_enum_name,
          'shopping' AS d_enum_category
   FROM dec0 WHERE k % 23 <> 0),
-{rules_values()},
+{RULES_SQL},
 pats AS (SELECT id, enum_name, category, unnest(patterns) AS pattern,
                 generate_subscripts(patterns, 1) AS pos
          FROM rules WHERE is_active AND processor_type = 'icici_bank'),
@@ -253,11 +278,16 @@ firsts AS (SELECT transaction_hash, min(path || chr(1) || lpad(CAST(sheet_row AS
            FROM valid GROUP BY transaction_hash),
 o1 AS (
   SELECT h.*, r.id AS enum_id, r.enum_name, r.category AS enum_category,
-         d.action, d.category_choice, d.reason, d.splits_spec, d.pattern AS d_pattern, d.d_enum_name,
+         CASE WHEN d.action = 'process' AND r.id IS NOT NULL AND d.category_choice = '2' THEN 'skip'
+              WHEN d.action = 'process' AND r.id IS NOT NULL AND d.category_choice = '3' THEN 'new_pattern'
+              ELSE d.action END AS action,
+         CASE WHEN r.id IS NOT NULL AND d.category_choice IN ('2', '3') THEN '' ELSE d.category_choice END AS category_choice,
+         d.reason, d.splits_spec, d.pattern AS d_pattern, d.d_enum_name,
          d.d_enum_category,
          t.transaction_hash IS NOT NULL AS in_tx, s.transaction_hash IS NOT NULL AS in_sk,
          (h.path || chr(1) || lpad(CAST(h.sheet_row AS VARCHAR), 20, '0')) = f.fk AS is_first,
-         (r.id IS NOT NULL AND (d.action IS NULL OR d.action <> 'new_pattern')) AS matched,
+         (r.id IS NOT NULL AND (d.action IS NULL OR NOT (d.action = 'new_pattern'
+            OR (d.action = 'process' AND d.category_choice = '3')))) AS matched,
          CASE WHEN lower({strip("coalesce(d.pattern, '')")}) = '' THEN {suggested}
               ELSE lower({strip("coalesce(d.pattern, '')")}) END AS np
   FROM hashed h LEFT JOIN hit ON h.path = hit.path AND h.sheet_row = hit.sheet_row
@@ -275,7 +305,7 @@ o2 AS (
               ELSE np || '_transaction' END END AS new_enum_name
   FROM o1),
 o3 AS (
-  SELECT o2.*, er.id AS existing_enum_id,
+  SELECT o2.*, er.id AS existing_enum_id, CASE WHEN matched THEN enum_id ELSE er.id END AS used_enum_id,
     CASE WHEN matched THEN enum_category ELSE coalesce(er.category, d_enum_category) END AS enum_cat
   FROM o2 LEFT JOIN rules er ON er.enum_name = o2.new_enum_name AND er.processor_type = 'icici_bank'),
 o4 AS (
@@ -297,7 +327,13 @@ outcomes AS (
     CASE WHEN is_valid AND NOT is_first AND own = 'processed' THEN 'duplicate'
          WHEN is_valid AND NOT is_first AND own = 'skipped' THEN 'auto_skipped'
          ELSE own END AS outcome
-  FROM o4)"""
+  FROM o4),
+created AS (
+  SELECT 7 + row_number() OVER (ORDER BY path, sheet_row, new_enum_name) AS id, new_enum_name AS enum_name,
+         np AS pattern, enum_cat AS category
+  FROM (SELECT *, row_number() OVER (PARTITION BY new_enum_name ORDER BY path, sheet_row) AS rk
+        FROM outcomes WHERE outcome = 'processed' AND new_enum_name IS NOT NULL AND existing_enum_id IS NULL)
+  WHERE rk = 1)"""
 
 
 def with_ingest(select: str) -> str:

@@ -181,7 +181,7 @@ SELECT path, sheet_row, row_number, outcome,
        CASE WHEN outcome = 'processed' THEN transaction_category END AS transaction_category,
        CASE WHEN outcome = 'processed' THEN final_reason END AS reason,
        CASE WHEN outcome = 'processed' THEN {O.split_status('splits_spec')} END AS split_status,
-       CASE WHEN outcome = 'processed' THEN coalesce(enum_id, existing_enum_id) END AS known_enum_id,
+       CASE WHEN outcome = 'processed' THEN used_enum_id END AS known_enum_id,
        CASE WHEN outcome = 'processed' THEN new_enum_name END AS new_enum_name
 FROM outcomes"""))
 def q_ingest_outcomes(spark, sf_dir):
@@ -193,7 +193,7 @@ def q_ingest_outcomes(spark, sf_dir):
                     F.when(p, F.col("transaction_category")).alias("transaction_category"),
                     F.when(p, F.col("final_reason")).alias("reason"),
                     F.when(p, F.col("split_status")).alias("split_status"),
-                    F.when(p, F.coalesce("enum_id", "existing_enum_id")).alias("known_enum_id"),
+                    F.when(p, F.col("used_enum_id")).alias("known_enum_id"),
                     F.when(p, F.col("new_enum_name")).alias("new_enum_name"))
 
 
@@ -220,12 +220,7 @@ def q_ingest_run_counters(spark, sf_dir):
 
 
 # ---- K4 (create) + J8: rules first defined by this run ----------------------
-@register("new_rules", O.with_ingest("""
-SELECT 6 + row_number() OVER (ORDER BY path, sheet_row, new_enum_name) AS id, new_enum_name AS enum_name,
-       np AS pattern, enum_cat AS category
-FROM (SELECT *, row_number() OVER (PARTITION BY new_enum_name ORDER BY path, sheet_row) AS rk
-      FROM outcomes WHERE outcome = 'processed' AND new_enum_name IS NOT NULL AND existing_enum_id IS NULL)
-WHERE rk = 1"""))
+@register("new_rules", O.with_ingest("SELECT * FROM created"))
 def q_new_rules(spark, sf_dir):
     from ..operators.outcomes import new_rules
     from ..sources.derived import PROCESSOR, derived_rules
@@ -345,6 +340,43 @@ def q_candidate_words(spark, sf_dir):
     return words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "word").limit(50)
 
 
+# ---- F13 corpus-wide: all candidate rule words with their counts ------------
+@register("candidate_pattern_words", f"""
+SELECT word, count(*) AS n FROM (
+  SELECT unnest({O.pattern_words('text')}) AS word FROM conversations)
+GROUP BY word""")
+def q_candidate_words_all(spark, sf_dir):
+    from ..functions.text import pattern_words
+    from ..sources.tables import read_table
+    c = read_table(spark, sf_dir, "conversations")
+    words = c.select(F.explode(pattern_words(F.col("text"))).alias("word"))
+    return words.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+
+
+# ---- J3 with very many rules: a rule per long word of the benchmark items ---
+@register("rule_match_many", r"""
+WITH words AS (
+  SELECT DISTINCT word FROM (SELECT unnest(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+')) AS word FROM benchmark)
+  WHERE length(word) >= 5),
+many AS (SELECT row_number() OVER (ORDER BY sha256(word)) AS id, word FROM words)
+SELECT d.doc_id, min(m.id) AS enum_id, arg_min(m.word, m.id) AS enum_name
+FROM documents d LEFT JOIN many m ON contains(lower(d.text), m.word) GROUP BY d.doc_id""")
+def q_rule_match_many(spark, sf_dir):
+    from pyspark.sql import Window
+
+    from ..operators.rules import match_rules
+    from ..sources.tables import read_table
+    words = (read_table(spark, sf_dir, "benchmark")
+             .select(F.explode(F.split(F.lower("text"), r"[^\p{L}\p{N}]+")).alias("word"))
+             .filter(F.length("word") >= 5).distinct())
+    rules = words.select(  # a dimension: one row per word of the benchmark
+        F.row_number().over(Window.orderBy(F.sha2("word", 256))).cast("long").alias("id"), F.col("word").alias("enum_name"),
+        F.array("word").alias("patterns"), F.lit("other").alias("category"), F.lit("p").alias("processor_type"),
+        F.lit(True).alias("is_active"))
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return match_rules(docs, rules, "p", desc="text").select("doc_id", "enum_id", "enum_name")
+
+
 # ---- U3 / W2 on documents: copies of one text, first copy kept --------------
 @register("document_duplicates", """
 SELECT sha256(text) AS text_hash, min(doc_id) AS first_doc_id, count(*) AS copies
@@ -426,16 +458,14 @@ def q_page_filename_sanitize(spark, sf_dir):
 # ---- ST3: streaming replay of the split rows equals batch A1 ----------------
 @register("stream_unsettled_by_person", ORACLE["unsettled_by_person"])
 def q_stream_unsettled_by_person(spark, sf_dir):
-    import uuid
-
     from ..session import stage_path
-    from ..streaming.ingest_stream import live_unsettled
+    from ..streaming.ingest_stream import live_unsettled, read_live
     path = stage_path(derived.splits(spark, sf_dir).select(
         F.lit(0).cast("long").alias("split_id"), "transaction_hash", "person_name", "percentage", "amount",
         "currency", "is_settled"), "splits")
-    name = f"unsettled_live_{uuid.uuid4().hex[:8]}"
-    live_unsettled(spark, path, name).awaitTermination()
-    return spark.table(name)
+    out = _scratch(spark, "live")
+    live_unsettled(spark, path, out, _scratch(spark, "live-checkpoint")).awaitTermination()
+    return read_live(spark, out)
 
 
 # ---- S7: per-file extract summary (header row, rows kept) -------------------
@@ -470,14 +500,14 @@ def q_table_counts(spark, sf_dir):
 
 # ---- J6: processed rows enriched with their rule (FK join) -----------------
 @register("processed_with_rule", O.with_ingest("""
-SELECT o.path, o.sheet_row, coalesce(o.enum_id, o.existing_enum_id) AS enum_id, r.enum_name AS rule_name
-FROM outcomes o LEFT JOIN rules r ON r.id = coalesce(o.enum_id, o.existing_enum_id)
+SELECT o.path, o.sheet_row, o.used_enum_id AS enum_id, r.enum_name AS rule_name
+FROM outcomes o LEFT JOIN rules r ON r.id = o.used_enum_id
 WHERE o.outcome = 'processed'"""))
 def q_processed_with_rule(spark, sf_dir):
     from ..sources.derived import derived_rules
     from . import ingest
     o = ingest.run(spark, sf_dir).filter(F.col("outcome") == "processed").select(
-        "path", "sheet_row", F.coalesce("enum_id", "existing_enum_id").alias("enum_id"))
+        "path", "sheet_row", F.col("used_enum_id").alias("enum_id"))
     return balances.enrich(o, rules=derived_rules(spark)).select("path", "sheet_row", "enum_id",
                                                                 F.col("enum_name").alias("rule_name"))
 
@@ -534,3 +564,82 @@ def q_ingest_skipped_rows(spark, sf_dir):
     from . import ingest, sinks
     return sinks.skipped_rows(ingest.run(spark, sf_dir)).select(
         "transaction_hash", "raw_data", "row_number", "skip_reason")
+
+
+def _scratch(spark, name: str) -> str:
+    import os
+    import uuid
+
+    from ..session import ensure_checkpoint_dir
+    return os.path.join(ensure_checkpoint_dir(spark), name, uuid.uuid4().hex)
+
+
+# ---- K4 + K5 + ST2: a run written twice under one id; the stored rows and the
+# rules they point to ---------------------------------------------------------
+@register("stored_enum_ids", O.with_ingest("""
+SELECT o.transaction_hash, coalesce(o.used_enum_id, c.id) AS enum_id, coalesce(r.enum_name, c.enum_name) AS rule_name,
+       o.enum_cat AS category, o.transaction_category, o.final_reason AS reason
+FROM outcomes o LEFT JOIN rules r ON r.id = o.used_enum_id
+LEFT JOIN created c ON o.used_enum_id IS NULL AND c.enum_name = o.new_enum_name
+WHERE o.outcome = 'processed'"""))
+def q_stored_enum_ids(spark, sf_dir):
+    from ..sources.derived import PROCESSOR, derived_rules
+    from . import ingest, sinks
+    root = _scratch(spark, "store")
+    batch, rules = derived.cleaned(spark, sf_dir), derived_rules(spark)
+    for _ in range(2):  # the second time with what the first has stored
+        stored = sinks.read_table(spark, root, "transactions", without_run="r1")
+        skipped = sinks.read_table(spark, root, "skipped_transactions", without_run="r1")
+        out = ingest.run(spark, sf_dir, batch=batch, stored=stored, skipped=skipped)
+        sinks.write_run(out, root, "r1", rules=rules, processor=PROCESSOR)
+    known = rules.unionByName(sinks.read_table(spark, root, "transaction_enums").select(*rules.columns))
+    names = known.select(F.col("id").alias("enum_id"), F.col("enum_name").alias("rule_name"))
+    return sinks.read_table(spark, root, "transactions").join(names, "enum_id", "left").select(
+        "transaction_hash", "enum_id", "rule_name", "category", "transaction_category", "reason")
+
+
+# ---- E2 + K1-K3, K7: statement files and one unreadable file through the whole
+# file pipeline; status and log of every file ---------------------------------
+@register("file_pipeline_status", O.with_ingest("""
+, plain AS (
+  SELECT h.path, h.sheet_row, h.is_valid, h.transaction_hash, o.own,
+         row_number() OVER (PARTITION BY h.transaction_hash ORDER BY h.path, h.sheet_row) = 1 AS first_copy,
+         CASE WHEN NOT h.is_valid THEN 'invalid'
+              WHEN o.transaction_type = 'credit' AND o.credit_amount IS NULL THEN 'error_skipped'
+              ELSE o.decided END AS alone
+  FROM hashed h JOIN o4 o ON o.path = h.path AND o.sheet_row = h.sheet_row),
+judged AS (
+  SELECT path, CASE WHEN is_valid AND NOT first_copy AND alone = 'processed' THEN 'duplicate'
+                    WHEN is_valid AND NOT first_copy AND alone = 'skipped' THEN 'auto_skipped' ELSE alone END AS outcome
+  FROM plain),
+per_file AS (
+  SELECT path, count(*) AS total_transactions,
+         count(*) FILTER (WHERE outcome = 'processed') AS processed_transactions,
+         count(*) FILTER (WHERE outcome IN ('skipped', 'invalid', 'error_skipped')) AS skipped_transactions,
+         count(*) FILTER (WHERE outcome = 'duplicate') AS duplicate_transactions
+  FROM judged GROUP BY path)
+SELECT regexp_extract(path, '([^/]+)[.]csv$', 1) AS name,
+       CASE WHEN processed_transactions + skipped_transactions = total_transactions THEN 'completed'
+            ELSE 'partially_processed' END AS processing_status,
+       total_transactions, processed_transactions, skipped_transactions, duplicate_transactions, true AS timed
+FROM per_file
+UNION ALL SELECT 'broken', 'failed', NULL, NULL, NULL, NULL, NULL""".replace("\n, plain", ", plain", 1)))
+def q_file_pipeline_status(spark, sf_dir):
+    from ..sources.derived import (PROCESSOR, PROCESSOR_CURRENCIES, derived_decisions, derived_rules,
+                                   statement_cells, write_statement_csv)
+    from ..sources.tables import DEFAULT_CATEGORIES
+    from . import sinks
+    from .adapters import make_adapter, register_adapter
+    from .file_pipeline import process_files
+    folder, root = _scratch(spark, "statement-files"), _scratch(spark, "store")
+    write_statement_csv(statement_cells(spark, sf_dir), folder)
+    spark.range(3).write.option("encoding", "UTF-16").csv(f"{folder}/file_id=broken")
+    register_adapter(PROCESSOR, make_adapter(PROCESSOR_CURRENCIES, "csv"))
+    for run in ("r1", "r2"):  # the second finds the unreadable file only
+        process_files(spark, folder, root, PROCESSOR, derived_rules(spark), derived_decisions, DEFAULT_CATEGORIES, run, "csv")
+    name = F.regexp_extract("file_path", r"file_id=([^/]+)/", 1)
+    files = sinks.read_table(spark, root, "processed_files").select("processed_file_id", name.alias("name"), "processing_status").distinct()
+    log = sinks.read_table(spark, root, "processing_logs")
+    return (files.join(log, "processed_file_id", "left")
+            .select("name", "processing_status", "total_transactions", "processed_transactions", "skipped_transactions",
+                    "duplicate_transactions", (F.col("processing_time") > 0).alias("timed")).distinct())

@@ -1,15 +1,20 @@
 """Sinks and state changes (K1-K11) over Parquet table folders.
 
 Plain Parquet has no MERGE, so every upsert is "new rows + old rows not
-replaced (left_anti), written as a new version".  Run outputs are written
-once from one staged outcome frame, each table under
-``<root>/<table>/run_id=<id>``; re-running a run id overwrites only that
-partition (dynamic partition overwrite), so a retried run is idempotent.
+replaced (left_anti), written as a new version".  A run writes all its tables
+from one staged outcome frame under ``<table>/run_id=<id>/attempt=<uuid>`` and
+then names the attempt in ``_runs/run_id=<id>``.  Readers see named attempts
+only, so the tables of a run appear together, an interrupted run shows nothing,
+and a repeated run replaces its first attempt as a whole, with empty tables too.
+A run's own rows must be left out of the history it is judged against
+(``read_table(..., without_run=...)``).
 """
 
 from __future__ import annotations
 
 import os
+import time
+import uuid
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,16 +24,19 @@ from pyspark.sql import types as T
 from ..functions.hashing import raw_row_hash, surrogate_id
 from ..functions.text import institution_display_name
 from ..operators.balances import explode_splits, first_per_key
-from ..operators.outcomes import run_counters
+from ..operators.outcomes import new_rules, run_counters, with_enum_ids
 from ..operators.statements import raw_json
 from ..schemas import DEFAULTS, TABLES
 from ..session import stage
 
 
-def _write_run(df: DataFrame, root: str, table: str, run_id: str) -> None:
-    (df.withColumn("run_id", F.lit(run_id))
-     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("run_id").parquet(os.path.join(root, table)))
+#: Tables that a run writes.
+RUN_TABLES = ("transactions", "transaction_splits", "skipped_transactions", "processing_logs", "transaction_enums",
+              "institutions", "processed_files", "bad_files", "categories")
+
+
+def _attempt_path(root: str, table: str, run_id: str, attempt: str) -> str:
+    return os.path.join(root, table, f"run_id={run_id}", f"attempt={attempt}")
 
 
 def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
@@ -54,7 +62,7 @@ def transactions_rows(outcomes: DataFrame, institution_id: int | None = None) ->
         surrogate_id(F.col("path")).alias("processed_file_id"),
         "transaction_date", "description", "debit_amount", "credit_amount", "balance", "reference_number",
         "transaction_type", F.coalesce("currency", F.lit("INR")).alias("currency"),
-        F.col("enum_id").cast("long").alias("enum_id"),
+        F.col("used_enum_id").cast("long").alias("enum_id"),
         F.col("final_category").alias("category"), "transaction_category",
         F.col("final_reason").alias("reason"),
         F.when(F.col("split_status") == "ok", splits).alias("splits"),
@@ -87,22 +95,58 @@ def log_rows(outcomes: DataFrame, seconds: float | None = None) -> DataFrame:
     return conform(rows, TABLES["processing_logs"])
 
 
-def write_run(outcomes: DataFrame, root: str, run_id: str, institution_id: int | None = None) -> dict:
-    """K5-K7: stage the outcome once, then append transactions, their
-    split rows, skipped rows and the log for this run."""
-    staged = stage(outcomes, "outcomes")
-    tx = transactions_rows(staged, institution_id)
-    _write_run(tx, root, "transactions", run_id)
-    tx_back = read_table(staged.sparkSession, root, "transactions").filter(F.col("run_id") == run_id)
-    _write_run(explode_splits(tx_back), root, "transaction_splits", run_id)
-    _write_run(skipped_rows(staged, institution_id), root, "skipped_transactions", run_id)
-    _write_run(log_rows(staged), root, "processing_logs", run_id)
-    return {t: os.path.join(root, t) for t in ("transactions", "transaction_splits", "skipped_transactions",
-                                               "processing_logs")}
+def write_run(outcomes: DataFrame, root: str, run_id: str, institution_id: int | None = None,
+              rules: DataFrame | None = None, processor: str | None = None, started: float | None = None,
+              others: dict[str, DataFrame] | None = None) -> dict:
+    """K4-K7: stage the outcome once, then write transactions, their split rows,
+    skipped rows, the log and - given the ``rules`` that the run matched against -
+    the rules it learned, and publish them together with ``others``, by table.
 
+    ``started``: when the run began (``time.time()``); the log then has the seconds."""
+    spark = outcomes.sparkSession
+    attempt = "a" + uuid.uuid4().hex
+    staged = stage(outcomes, "outcomes")
 
-def read_table(spark: SparkSession, root: str, table: str) -> DataFrame:
-    return spark.read.parquet(os.path.join(root, table))
+    def put(df: DataFrame, table: str) -> str:
+        path = _attempt_path(root, table, run_id, attempt)
+        df.write.mode("overwrite").parquet(path)
+        return path
+
+    if rules is not None:
+        learned = spark.read.parquet(put(conform(new_rules(staged, rules, processor), TABLES["transaction_enums"]), "transaction_enums"))
+        staged = with_enum_ids(staged, learned)
+    tx = spark.read.parquet(put(transactions_rows(staged, institution_id), "transactions"))
+    put(explode_splits(tx), "transaction_splits")
+    put(skipped_rows(staged, institution_id), "skipped_transactions")
+    for table, rows in (others or {}).items():
+        put(rows, table)
+    put(log_rows(staged, time.time() - started if started else None), "processing_logs")
+    marker = spark.range(1).select(F.lit(attempt).alias("attempt"), F.current_timestamp().alias("published_at"))
+    marker.coalesce(1).write.mode("overwrite").parquet(os.path.join(root, "_runs", f"run_id={run_id}"))
+    return {t: os.path.join(root, t) for t in RUN_TABLES}
+
+
+def _absent(exc: Exception) -> bool:
+    return any(x in str(exc) for x in ("PATH_NOT_FOUND", "does not exist", "UNABLE_TO_INFER"))
+
+
+def read_table(spark: SparkSession, root: str, table: str, without_run: str | None = None) -> DataFrame:
+    """The rows of a table; of a table that runs write, those of the published
+    attempts, but for the run ``without_run``.  A run table that no run has
+    written is empty."""
+    try:
+        rows = spark.read.parquet(os.path.join(root, table))
+        if "attempt" not in rows.columns:
+            return rows
+        runs = spark.read.parquet(os.path.join(root, "_runs")).select("run_id", "attempt")
+    except Exception as exc:  # noqa: BLE001 - not created yet
+        if table in RUN_TABLES and _absent(exc):
+            empty = spark.createDataFrame([], TABLES.get(table, "path string, error string"))
+            return empty.withColumn("run_id", F.lit(None).cast("string"))
+        raise
+    if without_run is not None:
+        runs = runs.filter(F.col("run_id") != without_run)
+    return rows.join(runs, ["run_id", "attempt"], "left_semi").drop("attempt")
 
 
 def institution_row(spark: SparkSession, processor: str, institution_type: str = "bank") -> DataFrame:
@@ -155,8 +199,9 @@ def settle_splits(splits: DataFrame, settlements: DataFrame) -> tuple[DataFrame,
 # ---- K10: snapshots ---------------------------------------------------------
 
 def snapshot_id(now: datetime | None = None) -> str:
-    """Snapshot name in ``yyyy-MM-dd_HH-mm-ss`` (UTC)."""
-    return (now or datetime.now(timezone.utc)).strftime("%Y-%m-%d_%H-%M-%S")
+    """Snapshot name in ``yyyy-MM-dd_HH-mm-ss`` (UTC), with microseconds and a
+    random part, so that two in one second differ."""
+    return (now or datetime.now(timezone.utc)).strftime("%Y-%m-%d_%H-%M-%S.%f_") + uuid.uuid4().hex[:6]
 
 
 def create_snapshot(spark: SparkSession, root: str, tables: list[str], sid: str | None = None,
@@ -183,7 +228,8 @@ def restore_snapshot(spark: SparkSession, root: str, tables: list[str], sid: str
     """Restore the latest (or the named) snapshot into ``target`` (a new
     version folder; the current state is snapshotted first)."""
     if sid is None:
-        sid = snapshot_history(spark, root).first()[0]
+        log = snapshot_history(spark, root)
+        sid = log.filter(~F.col("snapshot_id").endswith("_before_restore")).first()[0]
     create_snapshot(spark, root, tables, sid=snapshot_id() + "_before_restore", reason=f"before restore of {sid}")
     target = target or os.path.join(root, f"_restored_{sid}")
     for t in tables:

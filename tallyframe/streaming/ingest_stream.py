@@ -7,7 +7,9 @@ as batch mode inside ``foreachBatch`` and appends the run's tables.
 ST2: dedup state lives in the stored tables, not in streaming state: every
 micro-batch anti-joins against all stored hashes, so the state does not
 grow in executor memory and a restarted query picks it up from storage.
-Re-delivered batches are idempotent (outputs are keyed by batch id).
+Re-delivered batches are idempotent: a batch leaves its own earlier rows out of
+its history and publishes all its tables together.  A file must arrive as a whole
+(one parquet file per statement): its header is looked for in its batch.
 
 ST3: unsettled amount per person as a streaming aggregate over split rows.
 """
@@ -24,15 +26,7 @@ from ..operators.outcomes import ingest_outcomes
 from ..operators.statements import clean_statements
 from ..plans import sinks
 from ..schemas import CELLS, DECISIONS, TRANSACTION_SPLITS
-
-
-def _stored_hashes(spark: SparkSession, root: str, table: str) -> DataFrame:
-    try:
-        return spark.read.parquet(f"{root}/{table}").select("transaction_hash")
-    except Exception as exc:  # noqa: BLE001 - table not created yet
-        if "PATH_NOT_FOUND" in str(exc) or "does not exist" in str(exc) or "UNABLE_TO_INFER" in str(exc):
-            return spark.createDataFrame([], "transaction_hash string")
-        raise
+from ..session import stage
 
 
 def start_ingest_stream(spark: SparkSession, inbox: str, root: str, checkpoint: str, rules: DataFrame,
@@ -44,23 +38,40 @@ def start_ingest_stream(spark: SparkSession, inbox: str, root: str, checkpoint:
 
     def run_batch(batch: DataFrame, batch_id: int) -> None:
         s = batch.sparkSession
-        cleaned = clean_statements(batch, currencies)
-        out = ingest_outcomes(cleaned, _stored_hashes(s, root, "transactions"),
-                              _stored_hashes(s, root, "skipped_transactions"), decisions, rules, processor,
-                              categories)
-        sinks.write_run(out, root, f"batch-{batch_id:08d}")
+        run_id = f"batch-{batch_id:08d}"
+
+        def history(table: str) -> DataFrame:
+            return sinks.read_table(s, root, table, without_run=run_id)
+
+        learned = history("transaction_enums").select(*rules.columns)
+        known = rules.unionByName(learned)
+        cleaned = stage(clean_statements(batch, currencies), "cleaned")
+        out = ingest_outcomes(cleaned, history("transactions"), history("skipped_transactions"), decisions, known,
+                              processor, categories)
+        sinks.write_run(out, root, run_id, rules=known, processor=processor)
 
     writer = cells.writeStream.foreachBatch(run_batch).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="30 seconds")
     return writer.start()
 
 
-def live_unsettled(spark: SparkSession, splits_dir: str, query_name: str = "unsettled_live") -> StreamingQuery:
-    """ST3: unsettled amount and count per person, updated as split rows
-    arrive (complete mode into an in-memory table for the dashboard)."""
+def live_unsettled(spark: SparkSession, splits_dir: str, out: str, checkpoint: str) -> StreamingQuery:
+    """ST3: unsettled amount and count per person, kept up to date as split rows
+    arrive; every micro-batch writes the whole result as a new version of a table."""
     splits = spark.readStream.schema(TRANSACTION_SPLITS).parquet(splits_dir)
     agg = (splits.filter(F.col("is_settled") == F.lit(False)).groupBy("person_name")
            .agg(F.round(F.sum(F.col("amount").cast("decimal(38,6)")), 2).cast("double").alias("unsettled_amount"),
                 F.count(F.lit(1)).alias("unsettled_count")))
-    return (agg.writeStream.outputMode("complete").format("memory").queryName(query_name)
+
+    def put(rows: DataFrame, batch_id: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{out}/version={batch_id}")
+
+    return (agg.writeStream.outputMode("complete").foreachBatch(put).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
+
+
+def read_live(spark: SparkSession, out: str) -> DataFrame:
+    """The newest version that ``live_unsettled`` has written."""
+    rows = spark.read.parquet(out)
+    newest = rows.agg(F.max("version")).first()[0]  # one number, from the partition names
+    return rows.filter(F.col("version") == newest).drop("version")

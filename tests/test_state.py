@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tallyframe.operators.categories import add_category, discovered_categories, merge_categories
 from tallyframe.operators.balances import explode_splits, first_per_key, unsettled_by_person
 from tallyframe.plans import sinks
-from tallyframe.schemas import CELLS, TRANSACTION_ENUMS, TRANSACTION_SPLITS
+from tallyframe.schemas import CELLS, DECISIONS, TRANSACTION_ENUMS, TRANSACTION_SPLITS
 from tallyframe.sources import statements as ST
 from tallyframe.sources.tables import category_template
 
@@ -114,7 +114,7 @@ def test_file_sources(spark, scratch):
 
 
 def test_streaming_ingest_and_snapshot(spark, scratch):
-    from tallyframe.streaming.ingest_stream import live_unsettled, start_ingest_stream
+    from tallyframe.streaming.ingest_stream import live_unsettled, read_live, start_ingest_stream
     inbox, root = os.path.join(scratch, "inbox"), os.path.join(scratch, "store")
     rules = spark.createDataFrame([(1, "food", ["swiggy"], "food", "p", True)], TRANSACTION_ENUMS)
 
@@ -139,9 +139,9 @@ def test_streaming_ingest_and_snapshot(spark, scratch):
     assert spark.read.parquet(os.path.join(target, "transactions")).count() == 2
     splits_dir = os.path.join(scratch, "splits")
     spark.createDataFrame([(1, "h", "john", 50.0, 10.0, "INR", False)], TRANSACTION_SPLITS).write.parquet(splits_dir)
-    live = live_unsettled(spark, splits_dir, "live_test")
-    live.awaitTermination()
-    assert spark.sql("SELECT * FROM live_test").collect()[0]["unsettled_amount"] == 10.0
+    out = os.path.join(scratch, "live")
+    live_unsettled(spark, splits_dir, out, os.path.join(scratch, "ck-live")).awaitTermination()
+    assert read_live(spark, out).collect()[0]["unsettled_amount"] == 10.0
 
 
 def test_adapters_and_prefixed_tables(spark, scratch):
@@ -165,3 +165,70 @@ def test_adapters_and_prefixed_tables(spark, scratch):
     from tallyframe.schemas import TRANSACTIONS
     sinks.conform(t, TRANSACTIONS).write.parquet(table_path(scratch, "transactions", "test_"))
     assert read_store(spark, scratch, "transactions", "test_").columns == TRANSACTIONS.fieldNames()
+
+
+def _rows(spark, root):
+    tables = ("transactions", "transaction_splits", "skipped_transactions", "processing_logs", "transaction_enums")
+    return {t: sorted(map(str, sinks.read_table(spark, root, t).drop("processing_time").collect())) for t in tables}
+
+
+def test_batch_delivered_again_and_interrupted(spark, scratch, monkeypatch):
+    import pytest
+
+    from tallyframe.streaming.ingest_stream import start_ingest_stream
+    inbox, root = os.path.join(scratch, "inbox"), os.path.join(scratch, "store")
+    rules = spark.createDataFrame([(1, "food", ["swiggy"], "food", "p", True)], TRANSACTION_ENUMS)
+    data = [["t"], HEADER, ["1", "01-01-2024", "UPI-SWIGGY", "250", None, "1"], ["2", "bad date", "UPI", "250", None, "1"],
+            ["3", "03-01-2024", "UPI-RENT", "9", None, "1"], ["3", "03-01-2024", "UPI-RENT", "9", None, "1"]]
+    spark.createDataFrame([("s.csv", i, r) for i, r in enumerate(data)], CELLS).coalesce(1).write.parquet(inbox)
+    from tallyframe.operators.statements import clean_statements
+    hashes = [r["transaction_hash"] for r in clean_statements(spark.read.parquet(inbox)).filter("reference_number = '3'").collect()]
+    decisions = spark.createDataFrame([(hashes[0], "new_pattern", "", "rent", "", "rent", "", "other", None)], DECISIONS)
+
+    def deliver(checkpoint):
+        start_ingest_stream(spark, inbox, root, os.path.join(scratch, checkpoint), rules, decisions, "p", ["food"]).awaitTermination()
+
+    for step in ("transactions_rows", "skipped_rows", "log_rows"):  # nothing of a broken batch is seen
+        with monkeypatch.context() as m, pytest.raises(Exception):
+            m.setattr(sinks, step, lambda *a: 1 / 0)
+            deliver("ck-" + step)
+        assert all(not rows for rows in _rows(spark, root).values())
+    deliver("ck1")
+    first = _rows(spark, root)
+    assert [len(rows) for rows in first.values()] == [2, 0, 1, 1, 1]
+    rent = sinks.read_table(spark, root, "transactions").filter("reference_number = '3'").first()
+    assert rent["enum_id"] == 2  # the rule that the batch learned
+    deliver("ck2")  # the same batch id once more
+    assert _rows(spark, root) == first
+
+
+def test_file_pipeline_goes_on_after_a_bad_file(spark, scratch):
+    import zipfile
+
+    from tallyframe.plans.file_pipeline import process_files
+    inbox, root = os.path.join(scratch, "inbox"), os.path.join(scratch, "store")
+    os.makedirs(inbox)
+    with open(os.path.join(inbox, "good.csv"), "w") as f:
+        f.write("title\n" + ",".join(x or "" for x in HEADER) + "\n1,01-01-2024,UPI-SWIGGY,250,,1\n")
+    with open(os.path.join(inbox, "bad.csv"), "wb") as f:
+        f.write(b"\xff\xfe\x00broken")
+    with zipfile.ZipFile(os.path.join(inbox, "sheets.xlsx"), "w") as z:  # the second part is the first sheet
+        main = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
+        z.writestr("xl/workbook.xml", f'<workbook xmlns="{main}" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships">'
+                   '<sheets><sheet name="b" sheetId="2" r:id="r2"/><sheet name="a" sheetId="1" r:id="r1"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">'
+                   '<Relationship Id="r1" Target="worksheets/sheet1.xml"/><Relationship Id="r2" Target="worksheets/sheet10.xml"/></Relationships>')
+        row = "".join(f'<c t="inlineStr"><is><t>{x or ""}</t></is></c>' for x in HEADER)
+        body = "".join(f'<c t="inlineStr"><is><t>{x}</t></is></c>' for x in ["7", "02-01-2024", "UPI-RENT", "5", "", "1"])
+        z.writestr("xl/worksheets/sheet10.xml", f'<worksheet xmlns="{main}"><sheetData><row r="1">{row}</row><row r="2">{body}</row></sheetData></worksheet>')
+        z.writestr("xl/worksheets/sheet1.xml", f'<worksheet xmlns="{main}"><sheetData/></worksheet>')
+    rules = spark.createDataFrame([(1, "food", ["swiggy"], "food", "icici_bank", True)], TRANSACTION_ENUMS)
+    none = lambda rows: spark.createDataFrame([], DECISIONS)
+    for run in ("r1", "r2"):
+        process_files(spark, inbox, root, "icici_bank", rules, none, ["food"], run)
+    files = {(r["file_name"], r["processing_status"], r["run_id"]) for r in sinks.read_table(spark, root, "processed_files").collect()}
+    assert files == {("good.csv", "completed", "r1"), ("sheets.xlsx", "partially_processed", "r1"), ("bad.csv", "failed", "r1"), ("bad.csv", "failed", "r2")}
+    assert sinks.read_table(spark, root, "transactions").count() == 1
+    assert sinks.read_table(spark, root, "institutions").count() == 1
+    assert {os.path.basename(r["path"]) for r in sinks.read_table(spark, root, "bad_files").collect()} == {"bad.csv"}
+    assert sinks.read_table(spark, root, "processing_logs").filter("processing_time is null").count() == 0
