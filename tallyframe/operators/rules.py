@@ -49,7 +49,7 @@ def match_rules(df: DataFrame, rules: DataFrame, processor: str, desc: str = "de
         if rows:
             hits.append(_first_match(df.sparkSession.sparkContext.broadcast(rows))(low))
     none = F.lit(None).cast(_HIT)
-    hit = F.array_min(F.filter(F.array(*hits), lambda h: h.isNotNull())) if len(hits) > 1 else hits[0] if hits else none
+    hit = F.array_min(F.filter(F.array(*hits), lambda h: h["id"].isNotNull())) if len(hits) > 1 else hits[0] if hits else none
     out = df.withColumn("_hit", F.when(F.col(desc).isNotNull(), hit))
     return out.select(*df.columns, F.col("_hit.id").alias("enum_id"), F.col("_hit.enum_name").alias("enum_name"),
                       F.col("_hit.category").alias("enum_category"))
