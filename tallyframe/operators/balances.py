@@ -19,11 +19,17 @@ from ..functions.text import normalize_person
 def first_per_key(df: DataFrame, key: str | Sequence[str], order: Sequence[str]) -> DataFrame:
     """Keep the first row of every key by ``order``.
 
+    A single numeric ``order`` column that is unique within a key is a hash
+    aggregate of that number and a semi-join of the rows; otherwise
+
     ``min_by`` over a struct of the row is a partial aggregate: a hot key
     (many copies of one transaction) is reduced map-side to one row per task
     before the shuffle, instead of being sorted whole in one task as a
     window would."""
     keys = [key] if isinstance(key, str) else list(key)
+    if len(order) == 1 and dict(df.dtypes)[order[0]] in ("bigint", "int"):
+        first = df.groupBy(*keys).agg(F.min(order[0]).alias(order[0]))
+        return df.join(first, [*keys, order[0]], "left_semi")
     others = [c for c in df.columns if c not in keys]
     picked = df.groupBy(*keys).agg(
         F.min_by(F.struct(*others), F.struct(*[F.col(c) for c in order])).alias("_row"))

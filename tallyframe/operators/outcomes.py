@@ -31,10 +31,11 @@ def ingest_outcomes(batch: DataFrame, stored_hashes: DataFrame, skipped_hashes:
                     categories: Sequence[str], reprocess_skipped: bool = False) -> DataFrame:
     """One row per kept statement row with ``outcome`` and the fields the
     sinks write.  ``batch`` is the output of ``clean_statements``."""
+    if "position" not in batch.columns:  # a frame that was not cleaned from files
+        batch = batch.withColumn("position", F.struct("path", "sheet_row"))
     matched = R.match_rules(batch, rules, processor)
     valid = matched.filter("is_valid")
-    per_hash = valid.groupBy("transaction_hash").agg(
-        F.min(F.struct("path", "sheet_row")).alias("_first"))
+    per_hash = valid.groupBy("transaction_hash").agg(F.min("position").alias("_first"))
     flags = (per_hash
              .join(stored_hashes.select("transaction_hash").distinct().withColumn("_in_tx", F.lit(True)),
                    "transaction_hash", "left")
@@ -43,7 +44,8 @@ def ingest_outcomes(batch: DataFrame, stored_hashes: DataFrame, skipped_hashes:
              .join(decisions.withColumnRenamed("enum_name", "d_enum_name")
                    .withColumnRenamed("enum_category", "d_enum_category")
                    .withColumnRenamed("currency", "d_currency"), "transaction_hash", "left"))
-    rows = matched.join(flags, "transaction_hash", "left")
+    # invalid rows have no hash: they pass by the join instead of meeting in one task
+    rows = valid.join(flags, "transaction_hash").unionByName(matched.filter(~F.col("is_valid")), allowMissingColumns=True)
     rows = R.resolve_decisions(rows, categories)
     rows = R.lookup_rule_ids(rows, rules, processor)
     rows = R.finish_decisions(rows, categories)
@@ -55,7 +57,7 @@ def ingest_outcomes(batch: DataFrame, stored_hashes: DataFrame, skipped_hashes:
            .when(in_sk, F.lit("auto_skipped"))
            .when(unrenderable, F.lit("error_skipped"))
            .otherwise(F.col("_decided")))
-    is_first = F.struct("path", "sheet_row") == F.col("_first")
+    is_first = F.col("position") == F.col("_first")
     outcome = (F.when(F.col("is_valid") & ~is_first & (own == "processed"), F.lit("duplicate"))
                .when(F.col("is_valid") & ~is_first & (own == "skipped") & F.lit(not reprocess_skipped),
                      F.lit("auto_skipped"))

@@ -121,7 +121,9 @@ def header_layout(headers: DataFrame) -> DataFrame:
         _fuzzy_index(k, lambda x: norm(x).contains("withdrawal amount"), last=True).alias("p2_withdrawal"),
         _fuzzy_index(k, lambda x: norm(x).contains("deposit amount"), last=True).alias("p2_deposit"),
     ]
-    return headers.select("path", "header_row", keys.alias("keys")).select(*cols)
+    # files in path order: with the sheet row, one sortable number per row
+    number = F.row_number().over(Window.orderBy("path")).cast("long")
+    return headers.select("path", "header_row", keys.alias("keys")).select(*cols, number.alias("file_no"))
 
 
 def rows_after_header(cells: DataFrame, headers: DataFrame) -> DataFrame:
@@ -133,6 +135,7 @@ def rows_after_header(cells: DataFrame, headers: DataFrame) -> DataFrame:
     whose hot-file partitions AQE splits."""
     layout = stage(header_layout(headers), "layout")
     joined = cells.join(layout, "path").filter(F.col("sheet_row") > F.col("header_row"))
+    joined = joined.withColumn("position", F.col("file_no") * F.lit(1 << 40) + F.col("sheet_row")).drop("file_no")
     row = F.slice("cells", 1, F.greatest(F.col("width"), F.lit(1)))
     return joined.filter(F.array_join(row, "").rlike(r"(?U)\S")).drop("header_row")
 

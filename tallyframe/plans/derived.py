@@ -26,15 +26,16 @@ TXN_COLUMNS = ["transaction_hash", "path", "sheet_row", "row_number", "transacti
 
 def cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every kept statement row, typed (valid and invalid), staged."""
-    return stage(clean_statements(statement_cells(spark, sf_dir), PROCESSOR_CURRENCIES), "cleaned")
+    cells = stage(statement_cells(spark, sf_dir), "cells")  # header, layout, counts and rows read these
+    return stage(clean_statements(cells, PROCESSOR_CURRENCIES), "cleaned")
 
 
 def transactions(spark: SparkSession, sf_dir: str, batch: DataFrame | None = None) -> DataFrame:
     """Stored transactions: first copy per hash by (path, sheet_row).
     ``batch`` is an already cleaned (staged) frame to reuse."""
     batch = batch if batch is not None else cleaned(spark, sf_dir)
-    valid = batch.filter("is_valid").select(*TXN_COLUMNS)
-    return first_per_key(valid, "transaction_hash", ["path", "sheet_row"])
+    valid = batch.filter("is_valid").select(*TXN_COLUMNS, "position")
+    return first_per_key(valid, "transaction_hash", ["position"]).drop("position")
 
 
 def splits(spark: SparkSession, sf_dir: str, txns: DataFrame | None = None) -> DataFrame:

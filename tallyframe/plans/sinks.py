@@ -80,8 +80,8 @@ def skipped_rows(outcomes: DataFrame, institution_id: int | None = None) -> Data
                  ).otherwise(F.col("transaction_hash"))
     rows = s.select(key.alias("transaction_hash"), F.lit(institution_id).cast("long").alias("institution_id"),
                     surrogate_id(F.col("path")).alias("processed_file_id"), raw_json().alias("raw_data"),
-                    F.col("row_number").cast("long").alias("row_number"), "skip_reason", "path", "sheet_row")
-    rows = first_per_key(rows, "transaction_hash", ["path", "sheet_row"])
+                    F.col("row_number").cast("long").alias("row_number"), "skip_reason", "position")
+    rows = first_per_key(rows, "transaction_hash", ["position"])
     return conform(rows, TABLES["skipped_transactions"])
 
 
