@@ -154,11 +154,13 @@ def best_cut(rates: list[tuple[float, int]]) -> float:
 
 
 def learn_lexicon(texts: DataFrame, text_col: str = "text", label_col: str = "label", least_toxic: int = 3,
-                  least_leaning: float = 30.0) -> Lexicon:
+                  least_leaning: float = 30.0, least_share: float = 0.04) -> Lexicon:
     """A lexicon from texts with a 0/1 label.
 
     A term is kept if ``least_toxic`` toxic texts have it and its counts lean to
-    them with a G-squared of ``least_leaning``; its weight is its log odds.  An
+    them with a G-squared of ``least_leaning``, and of ``least_share`` of the best
+    term's (chance grows with the number of texts, but less than that); its
+    weight is its log odds.  An
     exception is a pair of neighbours around a kept word that three clean texts
     have and no toxic one.  Null labels are passed over; null texts are empty;
     without toxic or clean texts the lexicon is empty.
@@ -173,8 +175,8 @@ def learn_lexicon(texts: DataFrame, text_col: str = "text", label_col: str = "la
     weight = F.log((toxic + 0.1) / (total.toxic + 1.0)) - F.log((clean + 0.1) / (total.clean + 1.0))
     leaning = _leaning(toxic, clean, total.toxic, total.clean)
     kept = (counts.filter((F.col("term") != "") & (toxic >= least_toxic) & (toxic * total.clean > clean * total.toxic) & (leaning >= least_leaning))
-            .select("term", weight.alias("w")).orderBy(leaning.desc(), "term").limit(MAX_TERMS))
-    terms = {r.term: float(r.w) for r in kept.collect()}
+            .select("term", weight.alias("w"), leaning.alias("leaning")).orderBy(F.desc("leaning"), "term").limit(MAX_TERMS)).collect()
+    terms = {r.term: float(r.w) for r in kept if r.leaning >= least_share * kept[0].leaning}
     if not terms:
         return Lexicon({})
     seen = stage(rows.mapInArrow(_second_look(terms), "label int, rate double, pairs array<string>"), "seen")
