@@ -643,3 +643,111 @@ def q_file_pipeline_status(spark, sf_dir):
     return (files.join(log, "processed_file_id", "left")
             .select("name", "processing_status", "total_transactions", "processed_transactions", "skipped_transactions",
                     "duplicate_transactions", (F.col("processing_time") > 0).alias("timed")).distinct())
+
+
+# ---- F11 + F12 + F18: codes and names cut from the orders ------------------
+@register("order_currency_codes", r"""
+SELECT o_orderkey,
+       regexp_full_match(substring(o_orderpriority, 3, 3), '\p{L}{3}') AS is_code,
+       CASE WHEN regexp_full_match(substring(o_orderpriority, 3, 3), '\p{L}{3}')
+            THEN upper(substring(o_orderpriority, 3, 3)) || CASE WHEN o_orderkey % 2 = 0 THEN ',EUR' ELSE '' END
+            WHEN o_orderkey % 2 = 0 THEN 'EUR' ELSE 'INR' END AS codes,
+       upper(substring(lower(replace(o_orderpriority, '-', '_')), 1, 1)) || substring(lower(replace(o_orderpriority, '-', ' ')), 2, 1)
+         || upper(substring(o_orderpriority, 3, 1)) || substring(lower(o_orderpriority), 4, 3) AS shown
+FROM orders""")
+def q_order_currency_codes(spark, sf_dir):
+    from ..functions.currency import is_valid_currency_code, normalize_currency_list
+    from ..functions.text import institution_display_name
+    from ..sources.tables import read_table
+    code = F.substring("o_orderpriority", 3, 3)
+    # an odd order's second code is too long
+    codes = F.array(code, F.when(F.col("o_orderkey") % 2 == 0, F.lit("eur")).otherwise(F.lit("euro")))
+    shown = F.substring(institution_display_name(F.lower(F.translate("o_orderpriority", "-", "_"))), 1, 6)
+    return read_table(spark, sf_dir, "orders").select(
+        "o_orderkey", is_valid_currency_code(code).alias("is_code"),
+        F.array_join(normalize_currency_list(codes), ",").alias("codes"), shown.alias("shown"))
+
+
+# ---- S9: path guard over the pages' urls, some moved to guarded places -------
+@register("page_path_safety", r"""
+WITH p AS (
+  SELECT page_id, CASE page_id % 7 WHEN 0 THEN '/etc/' || url WHEN 1 THEN '/tmp/x/' || url WHEN 2 THEN '/data/../' || url
+                  WHEN 3 THEN '/usr/tmp/' || url WHEN 4 THEN '~/' || url WHEN 5 THEN '' ELSE '/data/' || url END AS path
+  FROM pages)
+SELECT page_id, length(path) > 0 AND NOT regexp_matches(lower(path), '\.\.|~|%2e%2e')
+       AND (regexp_matches(path, '/tmp/|/var/folders/') OR NOT regexp_matches(path, '^(/etc/|/var/log/|/var/lib/|/usr/|/bin/|/sbin/)')) AS safe
+FROM p""")
+def q_page_path_safety(spark, sf_dir):
+    from ..sources.statements import is_safe_path
+    from ..sources.tables import read_table
+    k, url = F.col("page_id") % 7, F.col("url")
+    path = F.when(k == 5, F.lit(""))
+    for i, prefix in enumerate(["/etc/", "/tmp/x/", "/data/../", "/usr/tmp/", "~/", "", "/data/"]):
+        path = path.when(k == i, F.concat(F.lit(prefix), url))
+    return read_table(spark, sf_dir, "pages").select("page_id", is_safe_path(path).alias("safe"))
+
+
+# ---- F22: base64 of whole pages, decoded again ------------------------------
+@register("page_base64", """
+SELECT page_id, sha256(to_base64(encode(html))) AS encoded_sha256, sha256(html) AS decoded_sha256 FROM pages""")
+def q_page_base64(spark, sf_dir):
+    from ..functions.text import from_base64, to_base64
+    from ..sources.tables import read_table
+    p = read_table(spark, sf_dir, "pages").select("page_id", F.regexp_replace(to_base64(F.col("html")), r"\s", "").alias("e"))
+    return p.select("page_id", F.sha2("e", 256).alias("encoded_sha256"), F.sha2(from_base64(F.col("e")), 256).alias("decoded_sha256"))
+
+
+# ---- K8 + A1: splits settled by a list, one id of which no split has ---------
+@register("settled_splits", O.with_base(f"""
+SELECT person_name, count(*) AS n, count(*) FILTER (WHERE is_settled OR l_linenumber % 3 = 0) AS settled, 1 AS unmatched
+FROM splits GROUP BY person_name"""))
+def q_settled_splits(spark, sf_dir):
+    from . import sinks
+    sp = derived.splits(spark, sf_dir).select("split_id", "transaction_hash", "person_name", "is_settled")
+    from ..functions.hashing import surrogate_id
+    hashes = sp.select("transaction_hash").distinct()
+    line = F.explode(F.array(F.lit(3), F.lit(6)).cast("array<bigint>"))  # an order has 7 lines at most
+    settle = (hashes.select("transaction_hash", line.alias("line"))
+              .select(surrogate_id(F.col("transaction_hash"), F.col("line")).alias("split_id"))
+              .join(sp.select("split_id"), "split_id", "left_semi").withColumn("is_settled", F.lit(True)))
+    nowhere = spark.range(1).select(F.lit(-1).cast("long").alias("split_id"), F.lit(True).alias("is_settled"))
+    updated, unmatched = sinks.settle_splits(sp, settle.unionByName(nowhere))
+    n = unmatched.count()  # one number
+    return (updated.groupBy("person_name").agg(F.count("*").alias("n"), F.count_if("is_settled").alias("settled"))
+            .withColumn("unmatched", F.lit(n).cast("int")))
+
+
+# ---- K10 + K11 + O6: an old table conformed, snapshotted twice, restored ------
+@register("restored_snapshot", O.with_base("""
+SELECT transaction_hash, transaction_date, debit_amount, 'INR' AS currency, false AS is_settled, 2 AS snapshots FROM txn"""))
+def q_restored_snapshot(spark, sf_dir):
+    import os
+
+    from ..schemas import TABLES
+    from . import sinks
+    root = _scratch(spark, "store")
+    old = derived.transactions(spark, sf_dir).drop("currency")  # a table from before currencies were kept
+    sinks.conform(old, TABLES["transactions"]).write.parquet(os.path.join(root, "transactions"))
+    sinks.create_snapshot(spark, root, ["transactions"])
+    spark.read.parquet(os.path.join(root, "transactions")).limit(0).write.mode("overwrite").parquet(os.path.join(root, "transactions"))
+    target = sinks.restore_snapshot(spark, root, ["transactions"])  # keeps the emptied table first
+    n = sinks.snapshot_history(spark, root).count()
+    return spark.read.parquet(os.path.join(target, "transactions")).select(
+        "transaction_hash", "transaction_date", "debit_amount", "currency", "is_settled", F.lit(n).cast("int").alias("snapshots"))
+
+
+# ---- K9: categories named by decisions, added one by one --------------------
+@register("added_categories", """
+WITH names AS (SELECT DISTINCT lower(trim(c_mktsegment)) AS name FROM customer)
+SELECT 1 AS pos, 'food' AS name UNION ALL SELECT 2, 'other'
+UNION ALL SELECT 2 + row_number() OVER (ORDER BY name), name FROM names""")
+def q_added_categories(spark, sf_dir):
+    from ..operators.categories import add_category
+    from ..sources.tables import category_template, read_table
+    template = category_template(spark, ["food", "other"])
+    current = template
+    # market segments: a handful by the schema
+    for r in read_table(spark, sf_dir, "customer").select("c_mktsegment").distinct().orderBy("c_mktsegment").collect():
+        for name in (f" {r[0]} ", r[0].lower()):  # the second is there already
+            current = add_category(current, template, name)
+    return current
