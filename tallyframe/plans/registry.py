@@ -706,7 +706,7 @@ def q_settled_splits(spark, sf_dir):
     sp = derived.splits(spark, sf_dir).select("split_id", "transaction_hash", "person_name", "is_settled")
     from ..functions.hashing import surrogate_id
     hashes = sp.select("transaction_hash").distinct()
-    line = F.explode(F.array(F.lit(3), F.lit(6)).cast("array<bigint>"))  # an order has 7 lines at most
+    line = F.explode(F.array(F.lit(3), F.lit(6)))  # an order has 7 lines at most
     settle = (hashes.select("transaction_hash", line.alias("line"))
               .select(surrogate_id(F.col("transaction_hash"), F.col("line")).alias("split_id"))
               .join(sp.select("split_id"), "split_id", "left_semi").withColumn("is_settled", F.lit(True)))
