@@ -3,14 +3,18 @@
 The full incidence matrix has a row per document and a column per n-gram hash.
 Which row blocks can hold a link at all is settled first, exactly:
 
-1. *Size-derived bound.*  A pair that links at similarity t differs in at most
+1. *Column sums.*  Tasks count n-grams into ``SLOTS`` counters; columns whose summed
+   counter stands out are common.
+2. *Size-derived bound.*  A pair that links at similarity t differs in at most
    ``(1 - t) / (1 + t) * (|A| + |B|)`` columns.  The hash space is cut into more
-   parts than that, so a linked pair has an identical non-empty part; sizes are
-   banded (ratio t), a document hashes its parts for its own band and for the
-   next, so both sides of a pair meet in the band of the larger one.
-2. Documents with an equal part hash are chained to the smallest id (combined
-   before the shuffle, so a hot part costs one entry per task) and the chains'
-   connected components are the candidate clusters: no link leaves one.
+   parts than that, so a linked pair has an identical non-empty part, also when
+   common columns are left out; a document that is left with too few parts
+   uses its full parts as well.  Sizes are banded (ratio t), a document hashes
+   its parts for its own band and for the next, so both sides of a pair meet in
+   the band of the larger one.  Documents with an equal part are chained to the
+   smallest id (combined before the shuffle, so a hot part costs one entry a
+   task) and the chains' connected components are the candidate clusters: no link
+   leaves one, and lines that many documents share chain nothing.
 3. Documents with equal n-gram sets are one class, only its smallest id goes on.
 4. A cluster is cut into blocks of bounded rows and columns (by size band and a
    hash).  For each pair of blocks whose bands are compatible, one task
@@ -40,6 +44,11 @@ BLOCK_ROWS = 1024
 BLOCK_GRAMS = 1_500_000
 #: Columns multiplied at a time.
 COLUMN_BLOCK = 4096
+#: Counters of the column sums (a power of two); a byte for each is broadcast.
+SLOTS = 1 << 21
+_SLOT_SHIFT = np.uint64(64 - SLOTS.bit_length() + 1)
+#: Rows that a task's counters are sent in.
+SLICES = 16
 
 
 def band_of(n: int, percent: int) -> int:
@@ -55,16 +64,33 @@ def band_parts(band: int, percent: int) -> tuple[int, int]:
     return math.ceil(differ * 1.1) + 3, differ
 
 
-def part_hashes(grams: np.ndarray, band: int, percent: int) -> np.ndarray:
-    """Hashes of the non-empty parts of a sorted set, for pairs of ``band``."""
-    parts, differ = band_parts(band, percent)
+def _parts_of(grams: np.ndarray, parts: int, tag: int) -> np.ndarray:
+    """A hash of each non-empty part of a sorted set."""
+    if not len(grams):
+        return grams
     which = ((grams >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
     at = np.flatnonzero(np.concatenate([[True], which[1:] != which[:-1]]))
-    sums = np.add.reduceat(mix(grams), at)
-    out = mix(sums + which[at] * np.uint64(0xD6E8FEB86659FD93) + np.uint64(band * 0x9E3779B1 + 7))
-    if len(at) <= differ:  # too few to be sure of a common one: such sets meet in one more
-        out = np.append(out, mix(np.array([band * 2 + 1], dtype=np.uint64)))
-    return out
+    return mix(np.add.reduceat(mix(grams), at) + which[at] * np.uint64(0xD6E8FEB86659FD93) + np.uint64(tag * 0x9E3779B1 + 7))
+
+
+def part_hashes(grams: np.ndarray, common: np.ndarray, band: int, percent: int) -> np.ndarray:
+    """Part hashes of a sorted set for pairs of ``band``: of the parts without
+    common columns, and where these are too few to be sure of an identical one,
+    of the full parts; if these are too few as well, one that such sets share."""
+    parts, differ = band_parts(band, percent)
+    out = _parts_of(grams[~common], parts, 3 * band)
+    if len(out) > differ:
+        return out
+    full = _parts_of(grams, parts, 3 * band + 1)
+    if len(full) <= differ:
+        full = np.append(full, mix(np.array([3 * band + 2], dtype=np.uint64)))
+    return np.concatenate([out, full])
+
+
+def common_slots(counts: np.ndarray) -> np.ndarray:
+    """Whether a counter stands out from the noise of an even spread."""
+    mean = counts.sum() / len(counts)
+    return counts > mean + 4 * math.sqrt(mean) + 8
 
 
 def _sets_of(batch: pa.RecordBatch, k: int):
@@ -76,24 +102,65 @@ def _sets_of(batch: pa.RecordBatch, k: int):
             yield d, s
 
 
+_PROFILE = "doc_id long, n long, f1 long, f2 long, slice int, slots binary, counts binary"
+_PROFILE_ARROW = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()),
+                            ("slice", pa.int32()), ("slots", pa.binary()), ("counts", pa.binary())])
+
+
 def _profiles(k: int):
+    """A row per document (size and fingerprint of its set), and at last the
+    task's counters that are not zero, in slices."""
     def run(batches):
+        counts = np.zeros(SLOTS, dtype=np.uint32)
+        waiting, held = [], 0
+
+        def count():
+            slots, times = np.unique(np.concatenate(waiting) >> _SLOT_SHIFT, return_counts=True)
+            counts[slots] += times.astype(np.uint32)
+
         for batch in batches:
-            rows = [(d, len(s), int(s.sum(dtype=np.uint64).view(np.int64)), int(mix(s).sum(dtype=np.uint64).view(np.int64)))
-                    for d, s in _sets_of(batch, k)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(4)], ["doc_id", "n", "f1", "f2"])
+            rows = []
+            for d, s in _sets_of(batch, k):
+                rows.append((d, len(s), int(s.sum(dtype=np.uint64).view(np.int64)), int(mix(s).sum(dtype=np.uint64).view(np.int64))))
+                waiting.append(s)
+                held += len(s)
+                if held > 500_000:
+                    count()
+                    waiting, held = [], 0
+            yield _profile_rows([pa.array([r[i] for r in rows], pa.int64()) for i in range(4)], len(rows))
+        if held:
+            count()
+        size = SLOTS // SLICES
+        for i in range(SLICES):
+            part = counts[i * size: (i + 1) * size]
+            at = np.flatnonzero(part).astype(np.uint32)
+            if len(at):
+                times = np.minimum(part[at], 65535).astype(np.uint16)
+                yield pa.RecordBatch.from_pylist([{"slice": i, "slots": at.tobytes(), "counts": times.tobytes()}], schema=_PROFILE_ARROW)
     return run
 
 
-def _parts(k: int, percent: int, buckets: int):
+def _profile_rows(columns, n: int) -> pa.RecordBatch:
+    rest = [pa.nulls(n, f.type) for f in list(_PROFILE_ARROW)[4:]]
+    return pa.RecordBatch.from_arrays([*columns, *rest], schema=_PROFILE_ARROW)
+
+
+def _sum_counters(table: pa.Table) -> pa.Table:
+    total = np.zeros(SLOTS // SLICES, dtype=np.int64)
+    for slots, counts in zip(table.column("slots").to_pylist(), table.column("counts").to_pylist(), strict=True):
+        total[np.frombuffer(slots, dtype=np.uint32)] += np.frombuffer(counts, dtype=np.uint16)
+    return pa.table({"slice": table.column("slice").slice(0, 1), "counts": pa.array([total.tobytes()], pa.binary())})
+
+
+def _parts(k: int, percent: int, buckets: int, slots):
     def run(batches):
         box = blobs.Combiner(buckets, keep="id")
         for batch in batches:
             for d, s in _sets_of(batch, k):
                 if d is None or not len(s):
                     continue
-                band = band_of(len(s), percent)
-                h = np.concatenate([part_hashes(s, band, percent), part_hashes(s, band + 1, percent)])
+                band, common = band_of(len(s), percent), slots.value[s >> _SLOT_SHIFT]
+                h = np.concatenate([part_hashes(s, common, band + i, percent) for i in (0, 1)])
                 box.add(h, np.full(len(h), d, dtype=np.int64))
                 if box.full:
                     yield from box.flush()
@@ -102,7 +169,7 @@ def _parts(k: int, percent: int, buckets: int):
 
 
 def _chain(table: pa.Table) -> pa.Table:
-    """What a bucket's equal part hashes connect, as stars on the smallest ids."""
+    """What a bucket's equal parts connect, as stars on the smallest ids."""
     h, d, lead = blobs.grouped(blobs.unpack(table, "hash", np.uint64), blobs.unpack(table, "id", np.int64))
     del h
     more = d != lead
@@ -216,7 +283,13 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     spark = docs.sparkSession
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    profile = stage(own.mapInArrow(_profiles(words), "doc_id long, n long, f1 long, f2 long"), "profiles")
+    profile = stage(own.mapInArrow(_profiles(words), _PROFILE), "profiles")
+    sums = profile.filter("slice is not null").select("slice", "slots", "counts").groupBy("slice").applyInArrow(_sum_counters, "slice int, counts binary")
+    counts = np.zeros(SLOTS, dtype=np.int64)
+    for r in sums.collect():  # 8 bytes a slot, whatever the input
+        counts[r["slice"] * (SLOTS // SLICES): (r["slice"] + 1) * (SLOTS // SLICES)] = np.frombuffer(r["counts"], dtype=np.int64)
+    slots = spark.sparkContext.broadcast(common_slots(counts))
+    profile = profile.filter("slice is null").select("doc_id", "n", "f1", "f2")
 
     known = profile.filter("doc_id is not null and n > 0")
     classes = known.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last"))
@@ -225,8 +298,8 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     total = known.agg(F.sum("n")).first()[0] or 0
     shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = blobs.n_buckets(int(total * (100 - percent) / 30), min(shuffles, 12))
-    chains = own.mapInArrow(_parts(words, percent, buckets), blobs.SCHEMA).groupBy("bucket").applyInArrow(_chain, "a long, b long")
+    buckets = blobs.n_buckets(total * (100 - percent) // 30, min(shuffles, 12))
+    chains = own.mapInArrow(_parts(words, percent, buckets, slots), blobs.SCHEMA).groupBy("bucket").applyInArrow(_chain, "a long, b long")
     clusters = stage(connected_components(chains), "clusters")
 
     # members that stand for a class, with their blocks

@@ -196,7 +196,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     some = own.filter("doc_id is not null").select(F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.concat("text", F.lit("")).alias("text"),
                                                    F.coalesce("row", F.lit(None)).alias("row"))
     size = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = blobs.n_buckets(size // 24, shuffles)  # a fifth of the words at most
+    buckets = blobs.n_buckets(size // 16, shuffles)  # a fifth of the words, and the windows in the same order
 
     shared = (own.select("doc_id", "text").mapInArrow(_phrases(window, buckets), blobs.SCHEMA).groupBy("bucket").applyInArrow(_shared, _HITS)
               .groupBy("doc_id").agg(F.collect_list("hashes").alias("hashes")))

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from tallyframe.llm import similarity
@@ -61,17 +62,25 @@ def test_empty_table(spark):
 
 
 def test_linked_sets_share_a_part():
-    import numpy as np
-
     rng = np.random.default_rng(1)
-    for _ in range(300):
+    linked = 0
+    for _ in range(400):
         n = int(rng.integers(1, 400))
         a = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64) * np.uint64(2))
-        drop = int(0.14 * len(a))
+        drop = int(rng.uniform(0, 0.16) * len(a))
         b = np.sort(np.concatenate([a[drop:], rng.integers(0, 2**63, drop // 8, dtype=np.uint64)]))
         both = len(np.intersect1d(a, b))
-        if 100 * both < 85 * (len(a) + len(b) - both):
-            continue
-        top = max(similarity.band_of(len(a), 85), similarity.band_of(len(b), 85))
-        bands = [{x for d in (0, 1) for x in similarity.part_hashes(s, similarity.band_of(len(s), 85) + d, 85).tolist()} for s in (a, b)]
-        assert bands[0] & bands[1], (len(a), len(b), top)
+        if 100 * both >= 85 * (len(a) + len(b) - both):
+            linked += 1
+            some = rng.uniform(0, 1)  # this share of all columns is common
+            parts = [{x for i in (0, 1) for x in similarity.part_hashes(s, similarity.mix(s) < np.uint64(int(some * 2**64)), similarity.band_of(len(s), 85) + i, 85).tolist()}
+                     for s in (a, b)]
+            assert parts[0] & parts[1]
+    assert linked > 200
+
+
+def test_common_counters_stand_out():
+    counts = np.random.default_rng(0).poisson(50, similarity.SLOTS)
+    counts[:10] += 100
+    found = similarity.common_slots(counts)
+    assert found[:10].all() and found.mean() < 1e-4
