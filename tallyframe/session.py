@@ -25,6 +25,8 @@ DEFAULT_CONF = {
     # the bytecode interpreter.
     "spark.sql.codegen.hugeMethodLimit": "8000",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Whole texts travel to Python: fewer rows at a time.
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }
@@ -55,7 +57,8 @@ def get_session(master: str | None = None, app_name: str = "tallyframe",
 def apply_runtime_defaults(spark: SparkSession) -> None:
     """Set the SQL settings that the engine's semantics depend on where the
     user left them unset (session scoped)."""
-    for key in ("spark.sql.session.timeZone", "spark.sql.mapKeyDedupPolicy", "spark.sql.codegen.hugeMethodLimit"):
+    for key in ("spark.sql.session.timeZone", "spark.sql.mapKeyDedupPolicy", "spark.sql.codegen.hugeMethodLimit",
+                "spark.sql.execution.arrow.maxRecordsPerBatch"):
         if spark.conf.get(key, None) is None:
             spark.conf.set(key, DEFAULT_CONF[key])
 
