@@ -42,7 +42,9 @@ BOILERPLATE = frozenset(
     "nav navbar navigation menu breadcrumb breadcrumbs header masthead topbar footer foot sidebar aside widget widgets ad ads adv advert adverts "
     "advertisement advertising sponsor sponsored promo promotion banner notice notices alert cookie cookies consent gdpr popup modal overlay "
     "comment comments commentlist disqus reply replies respond discussion share sharing social related recommended recommendations newsletter subscribe signup "
-    "login search pagination pager skip complementary contentinfo".split())
+    "login search pagination pager skip complementary contentinfo sidenav submenu toolbar adbox adslot adunit adsense copyright colophon feedback".split())
+# Class prefixes that tell about a layout, not about the element.
+LAYOUT = ("with-", "has-", "no-", "without-", "is-")
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|textarea|title|xmp|iframe|noembed|noframes|noscript|template|svg|math)\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*(?<!/)>.*?(?:</(?P=raw)\s*>|\Z)"
@@ -125,10 +127,12 @@ class Page:
         classes: list[str] = []
         if attrs and "=" in attrs:
             for key, a, b, c in _ATTR.findall(attrs):
-                value = (a or b or c).lower()
-                words.update(_NAME.findall(value))
+                values = (a or b or c).lower().split()
+                for v in values:
+                    if not v.startswith(LAYOUT):
+                        words.update(_NAME.findall(v))
                 if key.lower() == "class":
-                    classes += sorted(re.sub(r"\d+", "#", v) for v in value.split())
+                    classes += sorted(re.sub(r"\d+", "#", v) for v in values)
             marks = "".join("." + v for v in classes)
         dropped = name in DROPPED or (name not in ("html", "body", "article", "main") and not words.isdisjoint(BOILERPLATE))
         path = f"{self._stack[-1][4]}>{name}{marks}" if self._stack else name + marks

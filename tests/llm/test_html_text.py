@@ -14,6 +14,7 @@ TAIL = '<div id="comments"><p>nice post, reader says with many words in it</p></
     ("<article><h1>A<p>un<i>closed<p>para &eacute;&#x41;", "A unclosed para éA"),
     ('<div class="post-12"><p>long main text of the page</p><ul><li>x<li>y</ul></div>', "long main text of the page x y"),
     ("<main><!-- <p>gone</p> --><p>kept text</p><style>p{}</style><section class=comments><p>reader</p></section></main>", "kept text"),
+    ('<div class="content with-sidebar"><p>the text of the page</p><div class="adbox">Buy</div></div>', "the text of the page"),
     ("<table><tr><td>left cell text of the page that is long enough<td>right</table>", "left cell text of the page that is long enough"),
 ])
 def test_page_shapes(article, text):
