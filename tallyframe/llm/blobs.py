@@ -99,13 +99,16 @@ def planes(x: np.ndarray) -> bytes:
 
 def unpack(table: pa.Table, name: str, dtype) -> np.ndarray:
     """The numbers of all rows of a binary column, in one array."""
-    parts = []
-    for x in table.column(name):
-        raw = np.frombuffer(x.as_buffer(), dtype=np.uint8)
-        if len(raw):
-            part = np.ascontiguousarray(raw.reshape(8, -1).T).view(dtype).ravel()
-            parts.append(np.cumsum(part, dtype=dtype) if name == "hash" else part)
-    return np.concatenate(parts) if parts else np.zeros(0, dtype=dtype)
+    raws = [np.frombuffer(x.as_buffer(), dtype=np.uint8) for x in table.column(name)]
+    out, at = np.empty(sum(map(len, raws)) // 8, dtype=dtype), 0
+    for raw in raws:
+        part = out[at: at + len(raw) // 8]
+        if len(part):
+            part.view(np.uint8).reshape(-1, 8)[:] = raw.reshape(8, -1).T
+            if name == "hash":
+                np.cumsum(part, out=part)
+        at += len(part)
+    return out
 
 
 def grouped(h: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -44,7 +44,7 @@ BLOCK_ROWS = 1024
 BLOCK_GRAMS = 1_500_000
 #: Columns multiplied at a time.
 COLUMN_BLOCK = 4096
-#: Counters of the column sums (a power of two); a byte for each is broadcast.
+#: Counters of the column sums (a power of two); a bit for each is broadcast.
 SLOTS = 1 << 21
 _SLOT_SHIFT = np.uint64(64 - SLOTS.bit_length() + 1)
 #: Rows that a task's counters are sent in.
@@ -87,9 +87,10 @@ def part_hashes(grams: np.ndarray, common: np.ndarray, band: int, percent: int)
     return np.concatenate([out, full])
 
 
-def common_slots(counts: np.ndarray) -> np.ndarray:
-    """Whether a counter stands out from the noise of an even spread."""
-    mean = counts.sum() / len(counts)
+def common_slots(counts: np.ndarray, entries: int) -> np.ndarray:
+    """Whether a counter stands out from the noise of an even spread of all
+    ``entries`` over ``SLOTS``."""
+    mean = entries / SLOTS
     return counts > mean + 4 * math.sqrt(mean) + 8
 
 
@@ -145,21 +146,27 @@ def _profile_rows(columns, n: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*columns, *rest], schema=_PROFILE_ARROW)
 
 
-def _sum_counters(table: pa.Table) -> pa.Table:
-    total = np.zeros(SLOTS // SLICES, dtype=np.int64)
-    for slots, counts in zip(table.column("slots").to_pylist(), table.column("counts").to_pylist(), strict=True):
-        total[np.frombuffer(slots, dtype=np.uint32)] += np.frombuffer(counts, dtype=np.uint16)
-    return pa.table({"slice": table.column("slice").slice(0, 1), "counts": pa.array([total.tobytes()], pa.binary())})
+def _common(entries: int):
+    """Bits of the counters of a slice that stand out."""
+    def run(table: pa.Table) -> pa.Table:
+        size = SLOTS // SLICES
+        total = np.zeros(size, dtype=np.int64)
+        for slots, counts in zip(table.column("slots"), table.column("counts"), strict=True):
+            total[np.frombuffer(slots.as_buffer(), dtype=np.uint32)] += np.frombuffer(counts.as_buffer(), dtype=np.uint16)
+        bits = np.packbits(common_slots(total, entries)).tobytes()
+        return pa.table({"slice": table.column("slice").slice(0, 1), "bits": pa.array([bits], pa.binary())})
+    return run
 
 
 def _parts(k: int, percent: int, buckets: int, slots):
     def run(batches):
         box = blobs.Combiner(buckets, keep="id")
+        stands_out = np.unpackbits(np.frombuffer(slots.value, dtype=np.uint8)).astype(bool)
         for batch in batches:
             for d, s in _sets_of(batch, k):
                 if d is None or not len(s):
                     continue
-                band, common = band_of(len(s), percent), slots.value[s >> _SLOT_SHIFT]
+                band, common = band_of(len(s), percent), stands_out[s >> _SLOT_SHIFT]
                 h = np.concatenate([part_hashes(s, common, band + i, percent) for i in (0, 1)])
                 box.add(h, np.full(len(h), d, dtype=np.int64))
                 if box.full:
@@ -284,11 +291,11 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     spark = docs.sparkSession
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     profile = stage(own.mapInArrow(_profiles(words), _PROFILE), "profiles")
-    sums = profile.filter("slice is not null").select("slice", "slots", "counts").groupBy("slice").applyInArrow(_sum_counters, "slice int, counts binary")
-    counts = np.zeros(SLOTS, dtype=np.int64)
-    for r in sums.collect():  # 8 bytes a slot, whatever the input
-        counts[r["slice"] * (SLOTS // SLICES): (r["slice"] + 1) * (SLOTS // SLICES)] = np.frombuffer(r["counts"], dtype=np.int64)
-    slots = spark.sparkContext.broadcast(common_slots(counts))
+    total = profile.agg(F.sum("n")).first()[0] or 0
+    bits = (profile.filter("slice is not null").select("slice", "slots", "counts").groupBy("slice")
+            .applyInArrow(_common(total), "slice int, bits binary").collect())  # a bit a slot, whatever the input
+    found = {r["slice"]: bytes(r["bits"]) for r in bits}
+    slots = spark.sparkContext.broadcast(b"".join(found.get(i, bytes(SLOTS // SLICES // 8)) for i in range(SLICES)))
     profile = profile.filter("slice is null").select("doc_id", "n", "f1", "f2")
 
     known = profile.filter("doc_id is not null and n > 0")
@@ -296,7 +303,6 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     copies = known.join(classes.filter("rep < last"), ["n", "f1", "f2"]).filter("doc_id <> rep").select("rep", "doc_id", "n", "f1").distinct()
     copies = stage(copies, "copies")
 
-    total = known.agg(F.sum("n")).first()[0] or 0
     shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = blobs.n_buckets(total * (100 - percent) // 30, min(shuffles, 12))
     chains = own.mapInArrow(_parts(words, percent, buckets, slots), blobs.SCHEMA).groupBy("bucket").applyInArrow(_chain, "a long, b long")

@@ -87,7 +87,7 @@ def _count(batches):
             total[label] += 1
             for t in _features(fold(text).split()):
                 tally.setdefault(t, [0, 0])[label] += 1
-        if len(tally) > 500_000:
+        if len(tally) > 200_000:
             yield _counts(tally)
             tally = {}
     tally[""] = total
