@@ -16,7 +16,7 @@ from tallyframe.llm.packing import best_fit_packing
 from tallyframe.llm.similarity import ngram_jaccard_join
 from tallyframe.llm.substrings import substring_dedup
 from tallyframe.llm.toxicity import labelled_texts, learn_lexicon, toxicity
-from tallyframe.session import stage
+from tallyframe.session import apply_runtime_defaults, stage
 
 #: Scores from here on are toxic.
 TOXIC = 0.3
@@ -29,6 +29,7 @@ ORACLE_SQL = None
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the learned lexicon scores as toxic go."""
+    apply_runtime_defaults(spark)
     lexicon = learn_lexicon(labelled_texts(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
     return toxicity(docs, lexicon, keep=docs.columns).filter(F.col("score") < TOXIC).drop("score")
 
