@@ -75,11 +75,13 @@ def _phrases(window: int, buckets: int):
 
 
 def _by_doc(docs: np.ndarray, hashes: np.ndarray) -> pa.Table:
-    order = np.lexsort((hashes, docs))
+    """A row per document with its hashes."""
+    order = np.argsort(docs, kind="stable")
     docs, hashes = docs[order], hashes[order]
     at = np.flatnonzero(np.concatenate([[True], docs[1:] != docs[:-1]])) if len(docs) else np.zeros(0, np.int64)
-    parts = [x.tobytes() for x in np.split(hashes, at[1:])] if len(docs) else []
-    return pa.table({"doc_id": pa.array(docs[at], pa.int64()), "hashes": pa.array(parts, pa.binary())})
+    ends = np.append(at, len(docs)).astype(np.int32) * 8
+    packed = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(ends), pa.py_buffer(hashes)])
+    return pa.table({"doc_id": pa.array(docs[at], pa.int64()), "hashes": packed})
 
 
 def _entries(table: pa.Table):
@@ -91,10 +93,12 @@ def _shared(table: pa.Table) -> pa.Table:
     """Phrases that two or more documents hold, for each of them; (a, b) are those
     that a task has already seen twice."""
     h, d, lead, a, b = _entries(table)
-    other = d != lead
-    common = np.unique(h[other])
-    keep = np.isin(h, common) if len(common) else np.zeros(len(h), dtype=bool)
-    return _by_doc(np.concatenate([d[keep], b]), np.concatenate([h[keep], a]))
+    keep = d != lead
+    if len(h):  # the first holder as well
+        at = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+        keep = np.repeat(np.logical_or.reduceat(keep, at), np.diff(np.append(at, len(h))))
+    d, h = d[keep], h[keep]
+    return _by_doc(np.concatenate([d, b]), np.concatenate([h, a]))
 
 
 def _repeats(table: pa.Table) -> pa.Table:
@@ -196,7 +200,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     some = own.filter("doc_id is not null").select(F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.concat("text", F.lit("")).alias("text"),
                                                    F.coalesce("row", F.lit(None)).alias("row"))
     size = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = blobs.n_buckets(size // 16, shuffles)  # a fifth of the words, and the windows in the same order
+    buckets = blobs.n_buckets(size // 10, shuffles)  # a fifth of the words, and the windows in the same order
 
     shared = (own.select("doc_id", "text").mapInArrow(_phrases(window, buckets), blobs.SCHEMA).groupBy("bucket").applyInArrow(_shared, _HITS)
               .groupBy("doc_id").agg(F.collect_list("hashes").alias("hashes")))
