@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from tallyframe.session import stage
 
 MASKS = ("1101111011", "101110111", "1110110111")
-#: Seeds that are broadcast at once (about 150 bytes each with anchor and item).
+#: Seeds that are broadcast at once (some hundred bytes each, with the words around them).
 SEED_BLOCK = 200_000
 REACH = 8
 PERCENT = 80
@@ -51,9 +51,11 @@ def _contiguous(n: int) -> str:
     return "1" * n
 
 
-def seeds(benchmark: DataFrame, masks: tuple[str, ...], item_col: str, text_col: str) -> DataFrame:
-    """(item_id, item, mask, seed, q, anchor, off): a row per window and mask;
-    an item shorter than every mask has one seed of all its words."""
+def seeds(benchmark: DataFrame, masks: tuple[str, ...], reach: int, item_col: str, text_col: str) -> DataFrame:
+    """(item_id, n, mask, seed, q, anchor, off, near): a row per window and mask;
+    an item shorter than every mask has one seed of all its words.  ``near`` has
+    the item's words from ``reach`` before the window to ``reach`` after it, null
+    beyond the item's n words, so a row's size does not follow the item's."""
     items = (benchmark.select(F.col(item_col).cast("long").alias("item_id"), tokens(F.col(text_col)).alias("item"))
              .filter("item_id is not null and size(item) > 0").distinct())
     shortest = min(map(len, masks))
@@ -65,7 +67,9 @@ def seeds(benchmark: DataFrame, masks: tuple[str, ...], item_col: str, text_col:
         # the longest counting word, the first of equally long ones
         best = F.array_max(F.array(*[F.struct(F.length(F.get("item", F.col("q") + i)).alias("l"), F.lit(-i).alias("i")) for i in _cares(mask)]))
         rows = rows.withColumn("off", -best["i"])
-        out.append(rows.select("item_id", "item", F.lit(mask).alias("mask"), _seed(F.col("item"), F.col("q"), mask).alias("seed"), "q",
+        near = F.transform(F.sequence(F.col("q") - reach, F.col("q") + (n + reach - 1)),
+                           lambda i: F.when((i >= 0) & (i < F.size("item")), F.get("item", i)))
+        out.append(rows.select("item_id", F.size("item").alias("n"), near.alias("near"), F.lit(mask).alias("mask"), _seed(F.col("item"), F.col("q"), mask).alias("seed"), "q",
                                F.get("item", F.col("q") + F.col("off")).alias("anchor"), "off"))
     return reduce(DataFrame.unionByName, out)
 
@@ -82,7 +86,7 @@ def _stretches(reach: int, percent: int) -> Column:
         inside = F.filter(part, lambda e: e.isNotNull())
         n, same = F.size(inside), F.size(F.filter(inside, lambda e: e))
         share = (F.lit(100) * same / F.greatest(n, F.lit(1))).cast("int")
-        ok = (n >= F.least(F.size("item"), F.col("span") + reach)) & (share >= percent)
+        ok = (n >= F.least(F.col("n"), F.col("span") + reach)) & (share >= percent)
         lo = F.greatest(F.col("q") - before, F.lit(0))
         out.append(F.when(ok, F.struct(share.alias("percent"), lo.alias("lo"), (lo + n).alias("hi"))))
     return F.array_max(F.array(*out))
@@ -103,7 +107,7 @@ def benchmark_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id
     result.
     """
     spark = docs.sparkSession
-    known = stage(seeds(benchmark, masks, item_col, item_text_col), "seeds")
+    known = stage(seeds(benchmark, masks, reach, item_col, item_text_col), "seeds")
     n, blocks = known.count(), 1
     blocks = max(1, -(-n // SEED_BLOCK))
     every = [r.mask for r in known.select("mask").distinct().collect()]  # at most one a mask
@@ -118,17 +122,15 @@ def benchmark_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id
         hashed = reduce(lambda out, m: F.when(F.col("mask") == m, _seed(F.col("words"), F.col("p"), m)).otherwise(out), every, F.lit(None).cast("long"))
         near = (near.filter((F.col("p") >= 0) & (F.col("p") + F.length("mask") <= F.size("words")))
                 .select("doc_id", "words", "mask", "p", hashed.alias("seed")))
-        hits = near.join(F.broadcast(part.select("mask", "seed", "item_id", "item", "q")), ["mask", "seed"])
-        found.append(hits.select("doc_id", "words", "item_id", "item", "q", (F.col("p") - F.col("q")).alias("diagonal"), F.length("mask").alias("span")))
+        hits = near.join(F.broadcast(part.select("mask", "seed", "item_id", "n", "near", "q")), ["mask", "seed"])
+        found.append(hits.select("doc_id", "words", "item_id", "n", "near", "q", "p", F.length("mask").alias("span")))
     if not found or not every:
         return spark.createDataFrame([], "doc_id long, item_id long, hits long, matched_percent int, first_word int, last_word int")
     hits = reduce(DataFrame.unionByName, found)
-    start = F.col("q") - reach
-    equal = F.transform(F.sequence(start, F.col("q") + F.col("span") + reach - 1), lambda i: F.when(
-        (i >= 0) & (i < F.size("item")),
-        F.coalesce((i + F.col("diagonal") >= 0) & (F.get("item", i) == F.get("words", i + F.col("diagonal"))), F.lit(False))))
+    at = F.col("p") - reach
+    equal = F.transform("near", lambda w, i: F.when(w.isNotNull(), F.coalesce((at + i >= 0) & (F.get("words", at + i) == w), F.lit(False))))
     # one short array for each hit, then narrow rows alone
-    flagged = hits.select("doc_id", "item_id", F.size("item").alias("n"), "q", "span", "diagonal", "item", equal.alias("equal"))
+    flagged = hits.select("doc_id", "item_id", "n", "q", "span", (F.col("p") - F.col("q")).alias("diagonal"), equal.alias("equal"))
     # a filter on a generated column stays above the join, which thus stays in generated code
     best = flagged.select("*", F.explode_outer(F.array(_stretches(reach, percent))).alias("best"))
     verified = (best.filter("best is not null")
