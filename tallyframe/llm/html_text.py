@@ -2,10 +2,14 @@
 
 1. Every page's containers are scored: text outside boilerplate that lies in
    their paragraphs, less what is inside links.
-2. The best container's path - tags with classes, digits generalised - is the
-   page's vote.  Spark adds up votes per host and path and picks the winner.
-3. Every page is extracted anew from the containers on its host's winning path;
-   where the page has none, or hardly any of its text there, from its own best.
+2. The best container, widened to the article that it is part of, has a path -
+   tags with classes, digits generalised - that is the page's vote.  Spark adds up
+   votes per host and path and picks the winner.
+3. Every page is extracted anew: the containers on its host's winning path choose
+   the region; where the page has none, or hardly any of its text there, its own
+   best does.  The region is the smallest container around all that was chosen,
+   widened to its article, and is kept whole, with the text that stands beside it
+   in the elements around it (a title, a lead); only boilerplate goes.
 
 Pages are read by a tokenizer of a few patterns and a stack of open elements;
 one page is in memory at a time.
@@ -45,22 +49,39 @@ BOILERPLATE = frozenset(
     "login search pagination pager skip complementary contentinfo sidenav submenu toolbar adbox adslot adunit adsense copyright colophon feedback".split())
 # Class prefixes that tell about a layout, not about the element.
 LAYOUT = ("with-", "has-", "no-", "without-", "is-")
+# Elements that are a part of what encloses them.
+PARTS = ("section", "blockquote")
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|textarea|title|xmp|iframe|noembed|noframes|noscript|template|svg|math)\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*(?<!/)>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<(?P<close>/)?(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<[!?][^>]*>|</[^>]*>", re.S | re.I)
 _ATTR = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _NAME = re.compile(r"[a-z]+")
+_WHOLE = re.compile(r"(?:^|>)(?:(?:article|main)(?:[.][^>]*)?|(?!body\b)[^>.]+(?:[.][^>]*)?[.](?:content|article|post|entry|story|main|body)(?:[-_]#)?(?:[.][^>]*)?)$")
 
 
 class Container:
-    """An open or closed element that may hold the main text."""
+    """An open or closed element that may hold the main text; ``beside`` has the
+    places of its unlinked text outside inner containers."""
 
-    __slots__ = ("path", "first", "last", "text", "linked", "own")
+    __slots__ = ("path", "first", "last", "parent", "text", "linked", "own", "beside")
 
-    def __init__(self, path: str, first: int):
-        self.path, self.first, self.last = path, first, -1
+    def __init__(self, path: str, first: int, parent: Container | None = None):
+        self.path, self.first, self.last, self.parent = path, first, -1, parent
         self.text = self.linked = self.own = 0
+        self.beside: list[int] = []
+
+    @property
+    def tag(self) -> str:
+        return self.path.rpartition(">")[2].partition(".")[0]
+
+    def around(self) -> list[Container]:
+        """The containers around this one, from the inside out."""
+        out, box = [], self.parent
+        while box is not None:
+            out.append(box)
+            box = box.parent
+        return out
 
 
 class Page:
@@ -72,6 +93,7 @@ class Page:
     def __init__(self, source: str):
         self.pieces: list[str | None] = []
         self.containers: list[Container] = []
+        self.root = Container("", 0)
         self._stack: list[tuple[str, Container | None, bool, bool, str]] = []  # name, container, dropped, link, path
         self._dropped = self._links = 0
         at = 0
@@ -91,6 +113,7 @@ class Page:
             self._text(source[at:])
         while self._stack:
             self._pop()
+        self.root.last = len(self.pieces)
 
     def _text(self, raw: str) -> None:
         if self._dropped:
@@ -99,14 +122,18 @@ class Page:
         self.pieces.append(text)
         n = len(text) - text.count(" ") if not text.isspace() else 0
         if n:
+            self.root.text += n
             direct = True
             for _, box, _, _, _ in reversed(self._stack):
                 if box is not None:
                     box.text += n
                     box.linked += n if self._links else 0
-                    if direct:
-                        box.own += 0 if self._links else n
-                        direct = False
+                    if direct and not self._links:
+                        box.own += n
+                        box.beside.append(len(self.pieces) - 1)
+                    direct = False
+            if direct and not self._links:
+                self.root.beside.append(len(self.pieces) - 1)
 
     def _start(self, name: str, attrs: str) -> None:
         if name == "br":
@@ -138,7 +165,7 @@ class Page:
         path = f"{self._stack[-1][4]}>{name}{marks}" if self._stack else name + marks
         box = None
         if name in CONTAINER and not self._dropped and not dropped:
-            box = Container(path, len(self.pieces))
+            box = Container(path, len(self.pieces), next((b for _, b, _, _, _ in reversed(self._stack) if b is not None), self.root))
             self.containers.append(box)
         self._dropped += dropped
         self._links += name == "a"
@@ -176,27 +203,53 @@ class Page:
                 return  # a stray inline end tag closes no block
 
     def best(self) -> Container | None:
-        """The container with the highest score; the outer one of equal ones."""
-        return max(self.containers, key=lambda c: (score(c), -c.first), default=None)
-
-    def text(self, boxes: list[Container]) -> str:
-        """The blocks of some containers in page order, an inner one only once."""
-        out, upto = [], 0
-        for box in sorted(boxes, key=lambda c: (c.first, -c.last)):
-            if box.last <= upto:
-                continue
+        """The article of the container with the highest score; the outer one of
+        equal ones."""
+        box = max(self.containers, key=lambda c: (score(c), -c.first), default=None)
+        return None if box is None else whole(box)
+
+    def enclosing(self, boxes: list[Container]) -> Container:
+        """The article of the smallest container around all of ``boxes``."""
+        first, last = min(c.first for c in boxes), max(c.last for c in boxes)
+        return whole(next((c for c in [boxes[0], *boxes[0].around()] if c.first <= first and c.last >= last), self.root))
+
+    def text(self, region: Container) -> str:
+        """The blocks of a region and those beside it in the containers around
+        it, in page order."""
+        spans = [(region.first, region.last)]
+        upto = 0
+        for i in sorted(i for c in region.around() for i in c.beside):
+            if i >= upto:
+                first, upto = i, i + 1
+                while first and self.pieces[first - 1] is not None:
+                    first -= 1
+                while upto < len(self.pieces) and self.pieces[upto] is not None:
+                    upto += 1
+                spans.append((first, upto))
+        out = []
+        for first, last in sorted(spans):
             run: list[str] = []
-            for piece in [*self.pieces[max(box.first, upto): box.last], None]:
+            for piece in [*self.pieces[first:last], None]:
                 if piece is not None:
                     run.append(piece)
                 elif run:
                     if block := " ".join("".join(run).split()):
                         out.append(block)
                     run = []
-            upto = box.last
         return " ".join(out)
 
 
+def whole(box: Container) -> Container:
+    """The outermost article around a container (by element or class), else the
+    container; a part is widened to what it is a part of."""
+    for c in box.around():
+        if _WHOLE.search(c.path):
+            box = c
+    while box.tag in PARTS and box.parent is not None:
+        box = box.parent
+    return box
+
+
 def score(box: Container) -> float:
     """Text of the container's own blocks counts whole, that of inner containers
     little; linked text counts against it."""
@@ -229,14 +282,14 @@ def extract(source: str, path: str | None) -> str:
     page = Page(source)
     best = page.best()
     if best is None:
-        # no container at all: everything outside boilerplate
-        whole = Container("", 0)
-        whole.last = len(page.pieces)
-        return page.text([whole])
-    agreed = [c for c in page.containers if c.path == path] if path else []
-    if agreed and sum(c.text for c in agreed) >= 0.5 * best.text:
-        return page.text(agreed)
-    return page.text([best])
+        return page.text(page.root)  # no container at all: everything outside boilerplate
+    chosen = [c for c in page.containers if c.path == path and c.text] if path else []
+    if not chosen or page.enclosing(chosen).text < 0.5 * best.text:
+        chosen = [best]
+    if best.tag in ("article", "main"):
+        # the page's own articles are never cut
+        chosen += [best, *(c for c in page.containers if c.tag == best.tag and c.text)]
+    return page.text(page.enclosing(chosen))
 
 
 def _extracts(batches):

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from tallyframe.llm.html_text import Page, extract, main_text
@@ -44,3 +46,37 @@ def test_hosts_agree(spark):
     assert dict(got)["None"] == " ".join(["again main"] * 9) and dict(got)["7"] == "" and dict(got)["8"] == ""
     assert len(dict(got)["10"]) == 20_000 * 11 - 1
     assert main_text(spark.createDataFrame([], PAGES)).count() == 0
+
+
+def test_no_part_of_an_article_is_lost():
+    rng = random.Random(7)
+    for _ in range(300):
+        parts, want = [], []
+        for i in range(rng.randrange(1, 5)):
+            text = " ".join(f"w{i}x{j}" for j in range(rng.randrange(1, 60)))
+            shape = rng.choice(["<p>{}</p>", "<h1>{}</h1>", '<section class="part-{i}"><p>{}</p></section>', "<section class=body><p>{}</p></section>",
+                                "<div class=body>{}</div>", "<blockquote>{}</blockquote>", "<div><div><p>{}</p></div></div>"])
+            parts.append(shape.format(text, i=i) + rng.choice(["", '<div class="ad">Buy</div>', "<nav><a href=x>go</a></nav>"]))
+            want.append(text)
+        tag = rng.choice(["article", "main", 'div class="post-7"'])
+        page = f"<html><body>{BOILER}<{tag}>{''.join(parts)}</{tag.split()[0]}>{TAIL}</body></html>"
+        outer = "html>body>" + ("div.post-#" if " " in tag else tag)
+        for path in (None, outer, outer + ">section.body", outer + ">section.part-#", outer + ">div.body", "html>body>gone"):
+            assert extract(page, path) == " ".join(want), (page, path)
+
+
+def test_lead_and_sections_without_an_article():
+    lead, body = "lead words " * 9, "body words " * 11
+    want = " ".join((lead + body).split())
+    for html in (f"<body><section class=intro>{lead}</section><section class=body>{body}</section>", f"<body><h1>{lead}</h1><div class=body>{body}</div>",
+                 f"<section>{lead}</section><section>{body}</section>", f"<article>{lead}</article><article class=x>{body}</article>",
+                 f"<body><main><h1>{lead}</h1><article>{body}</article></main>"):
+        for path in (None, "body>section.body", "body>div.body", "section", "article.x"):
+            assert extract(html, path) == want, (html, path)
+
+
+def test_lead_and_section_on_a_host_whose_pages_have_the_section(spark):
+    section = "<article><section class=body><p>" + "body text " * 11 + "</p></section></article>"
+    rows = [(i, f"http://z.example/{i}", section) for i in range(5)] + [(5, "http://z.example/5", section.replace("<section", "<p>" + "lead text " * 9 + "</p><section"))]
+    got = {r.page_id: r.text for r in main_text(spark.createDataFrame(rows, PAGES)).collect()}
+    assert got[5] == " ".join(["lead text"] * 9 + ["body text"] * 11) and got[0] == " ".join(["body text"] * 11)
