@@ -40,6 +40,25 @@ def test_learns_and_scores_held_out_rows(spark):
     assert texts.count() < len(rows)
 
 
+def test_rare_toxic_words_beside_a_frequent_one(spark):
+    rng = random.Random(5)
+
+    def name(n):
+        return "".join(rng.choice("bcdfghjklmnpqrstvwz") for _ in range(n))
+
+    rare, rows = [name(7) for _ in range(40)], []
+    for i in range(6000):
+        w = [f"w{chr(97 + rng.randrange(26))}{chr(97 + rng.randrange(26))}" for _ in range(rng.randrange(8, 60))]
+        toxic = int(i % 4 == 0)
+        if toxic:
+            w.insert(rng.randrange(len(w)), "frequentfool" if rng.random() < 0.6 else rng.choice(rare))
+        rows.append((" ".join(w), toxic))
+    lexicon = learn_lexicon(spark.createDataFrame(rows, "text string, label int"))
+    docs = spark.createDataFrame([(i, f"wab wcd wef {w} wgh wij") for i, w in enumerate([*rare, "frequentfool", "wxy"])], DOCS)
+    got = {r.doc_id: r.score for r in toxicity(docs, lexicon).collect()}
+    assert [i for i in range(41) if got[i] < 0.3] == [] and got[41] < 0.3
+
+
 def test_folding_and_exceptions():
     assert fold("Ѕtupіd 1D10T, ﬁne") == " stupid idiot fine "
     assert fold("st​upid") == " stupid "
