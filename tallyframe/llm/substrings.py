@@ -1,18 +1,22 @@
-"""Substring dedup by relative Lempel-Ziv parsing against indexed reference blocks.
+"""Substring dedup by window hashing against indexed reference blocks.
 
 The reference of a document is every document with a smaller id.  It is
-indexed in blocks (ranges of a 64-bit hash space, one task each), and every
-document is parsed against every block:
+indexed in blocks (ranges of a 64-bit hash space, one task each), and the windows
+of every document are looked up in all blocks:
 
 1. *Phrase index.*  Each window of ``window`` words is named by the smallest hash
    among its 5-word phrases.  Blocks of the phrase index tell which phrases occur in
    two or more documents; only windows named by such a phrase can repeat.
-2. *Factor boundaries.*  The hash of each remaining window is looked up in the
-   blocks of the window index, which know the smallest id it starts in: a factor
-   of at least ``window`` words starts at a word when an earlier document holds
-   the window there.
-3. *Greedy parse.*  Neighbouring starts grow into maximal factors; the words of a
-   factor are the duplicate span and go.
+2. *Window index.*  The hash of each remaining window is looked up in the blocks
+   of the window index, which know the smallest id it occurs in: it is a hit if
+   that document is an earlier one.
+3. *Spans.*  Hits that overlap or touch are united; the words of a span go.
+
+This is not a relative Lempel-Ziv parse: no longest match is searched and no
+reference text is compared, a window hash stands for its words.  A span is a
+union of windows, each held by an earlier document, not always by the same one.
+The words covered are those of all repeated windows, which a greedy parse, whose
+factors don't overlap, would in part leave.
 
 Phrases and windows are combined per task before they are shuffled, so a passage
 that a third of all documents holds costs one entry per task in its block.  The
