@@ -8,8 +8,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import public_tokenizers
+
+from tallyframe.llm.bpe import bpe_decode, bpe_encode, share_vocabulary
 from tallyframe.llm.decontaminate import benchmark_leaks
 from tallyframe.llm.html_text import main_text
+from tallyframe.llm.negatives import hard_negatives
 from tallyframe.llm.packing import best_fit_packing
 from tallyframe.llm.quality import fit_quality, hierarchical_quality
 from tallyframe.llm.sharding import even_tree, grown, shard_rows
@@ -117,3 +121,40 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_best_fit_packing")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing(table(spark, sf_dir, "documents"))
+
+
+@query("op11_hard_negatives", """
+with v as (
+  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+         [cast(floor(256 * cast(x as double)) as bigint) for x in embedding] as v
+  from embeddings
+  where label is not null and embedding is not null and len([x for x in embedding if x is null or not isfinite(x)]) = 0
+), s as (
+  select a.vec_id as anchor_id, c.vec_id as vec_id, a.label = c.label as same,
+         cast(list_sum([z[1] * z[2] for z in list_zip(a.v, c.v)]) as bigint) as score
+  from v a join v c on a.vec_id <> c.vec_id
+  where a.vec_id % 50 = 0
+), p as (
+  select anchor_id, vec_id as positive_id, score as positive_score
+  from (select *, row_number() over (partition by anchor_id order by score desc, vec_id) as r from s where same) where r <= 5
+)
+select anchor_id, positive_id, cast(rank as integer) as rank, negative_id, positive_score, negative_score
+from (select p.*, s.vec_id as negative_id, s.score as negative_score,
+             row_number() over (partition by p.anchor_id, positive_id order by s.score desc, s.vec_id) as rank
+      from p join s on s.anchor_id = p.anchor_id and not s.same
+        and 50 * positive_score <= 100 * s.score and 100 * s.score <= 95 * positive_score)
+where rank <= 3
+""")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores beyond a long would be null."""
+    label = F.expr("case when vec_id % 7 = 0 then (label + 1) % 10 else label end")
+    return (hard_negatives(table(spark, sf_dir, "embeddings"), F.expr("vec_id % 50 = 0"), label, positives=5, negatives=3, low_percent=50, high_percent=95)
+            .withColumns({c: F.col(c).try_cast("long") for c in ("positive_score", "negative_score")}))
+
+
+@query("op13_byte_bpe")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = share_vocabulary(spark, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    both = bpe_decode(bpe_encode(table(spark, sf_dir, "documents"), vocabulary), vocabulary)
+    return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"),
+                       F.sha2("decoded", 256).alias("decoded_sha256"))
