@@ -22,6 +22,7 @@ from tallyframe.llm.substrings import substring_dedup
 from tallyframe.llm.topk import exact_top_k
 from tallyframe.llm.toxicity import held_out, labelled_texts, learn_lexicon, toxicity
 from tallyframe.llm.warc import read_warc, write_warc
+from tallyframe.llm.whitening import whitening
 from tallyframe.session import ensure_checkpoint_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -158,3 +159,10 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = bpe_decode(bpe_encode(table(spark, sf_dir, "documents"), vocabulary), vocabulary)
     return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"),
                        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query("op12_embedding_whitening")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A deviation beyond a long would be null."""
+    return (whitening(table(spark, sf_dir, "embeddings"), components=4)
+            .withColumn("deviation", F.col("deviation").try_cast("long")))
