@@ -11,8 +11,12 @@
    widened to its article, and is kept whole, with the text that stands beside it
    in the elements around it (a title, a lead); only boilerplate goes.
 
-Pages are read by a tokenizer of a few patterns and a stack of open elements;
-one page is in memory at a time.
+Boilerplate is what an element of that kind holds (nav, footer, form, ...) or one
+with a class or role that is a boilerplate word as a whole; an id counts only outside
+articles and never on what an author writes (headings, paragraphs, lists' items).
+
+Pages are read by a linear tokenizer and a stack of open elements; one page is in
+memory at a time.
 """
 
 from __future__ import annotations
@@ -41,39 +45,126 @@ SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "
             "option": {"option"}, "tbody": {"thead", "tbody", "tr", "td", "th"}, "tfoot": {"tbody", "tr", "td", "th"}}
 SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "option": {"select"},
          "tbody": {"table"}, "tfoot": {"table"}}
-# Words in a class, id or role that mark boilerplate.
+HIDES_P = CONTAINER | {"button", "table", "td", "th"}
+# Words that mark boilerplate where they make up a whole class, id or role.
 BOILERPLATE = frozenset(
     "nav navbar navigation menu breadcrumb breadcrumbs header masthead topbar footer foot sidebar aside widget widgets ad ads adv advert adverts "
     "advertisement advertising sponsor sponsored promo promotion banner notice notices alert cookie cookies consent gdpr popup modal overlay "
     "comment comments commentlist disqus reply replies respond discussion share sharing social related recommended recommendations newsletter subscribe signup "
     "login search pagination pager skip complementary contentinfo sidenav submenu toolbar adbox adslot adunit adsense copyright colophon feedback".split())
-# Class prefixes that tell about a layout, not about the element.
-LAYOUT = ("with-", "has-", "no-", "without-", "is-")
+# Words that only say where or how such a part is laid out.
+PLACE = frozenset(
+    "site page main global primary secondary top bottom left right upper lower inner outer first last sub mini mobile desktop sticky fixed "
+    "box bar list wrap wrapper container area block section item items link links unit slot post posts entry form policy panel region "
+    "row col column group holder module component text title body content icon icons button buttons icn js u c m l".split())
+# Elements whose id never marks boilerplate: what an author writes.
+WRITTEN = frozenset("h1 h2 h3 h4 h5 h6 p blockquote li dt dd pre figure figcaption table td th tr a span b i em strong code".split())
 # Elements that are a part of what encloses them.
 PARTS = ("section", "blockquote")
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|textarea|title|xmp|iframe|noembed|noframes|noscript|template|svg|math)\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*(?<!/)>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<close>/)?(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<[!?][^>]*>|</[^>]*>", re.S | re.I)
-_ATTR = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+_COMMON = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:\s++[^\s"'<>/=]++(?:="[^"<>]*+")?+)*+)\s*+(/?)>""")
+_ATTR = re.compile(r"""([^\s"'<>/=]++)(?:="([^"]*+)")?+""")
+_GAP = re.compile(r"[\s/]*+")
+_KEY = re.compile(r"=?+[^\s/>=]*+")
+_EQUALS = re.compile(r"\s*+=\s*+")
+_BARE = re.compile(r"[^\s>]*+")
 _NAME = re.compile(r"[a-z]+")
-_WHOLE = re.compile(r"(?:^|>)(?:(?:article|main)(?:[.][^>]*)?|(?!body\b)[^>.]+(?:[.][^>]*)?[.](?:content|article|post|entry|story|main|body)(?:[-_]#)?(?:[.][^>]*)?)$")
+_RAW_END = {name: re.compile(rf"</{name}[^>a-zA-Z]*+(?:[\s/][^>]*+)?+>", re.I) for name in RAW}
+_MAIN_CLASS = re.compile(r"(?:content|article|post|entry|story|main|body)(?:[-_]#)?$")
+
+
+def tags(source: str):
+    """(text before, name, attributes as (key, value), closing, self-closing) of every
+    tag, and the text behind the last one; comments, declarations and the contents
+    of raw elements go.  Attribute values end where the HTML standard says: an
+    unquoted one at white space or ``>``, whatever quotes are in it.  A quote that is
+    never closed opens no value.  Linear in the length of the page."""
+    n = len(source)
+    last = {'"': source.rfind('"'), "'": source.rfind("'")}
+    at = begin = 0
+    parts: list[str] = []  # text since the last tag
+    while True:
+        i = source.find("<", at)
+        if i < 0 or i + 1 >= n:
+            parts.append(source[begin:])
+            yield "".join(parts), "", [], False, False
+            return
+        nxt = source[i + 1]
+        if nxt in "!?" or nxt == "/" and not source[i + 2: i + 3].isalpha():
+            mark = "-->" if source.startswith("<!--", i) else ">"
+            end = source.find(mark, i + 2)
+            parts.append(source[begin:i])
+            # an open comment hides all that follows
+            at = begin = n if end < 0 else end + len(mark)
+            continue
+        if not (nxt == "/" or nxt.isascii() and nxt.isalpha()):
+            at = i + 1  # a sign in the text
+            continue
+        m = _COMMON.match(source, i)
+        if m:
+            closing, name, own, end = bool(m[1]), m[2].lower(), bool(m[4]), m.end()
+            attrs = [(k.lower(), v) for k, v in _ATTR.findall(m[3])] if m[3] and not closing else []
+        else:
+            closing = nxt == "/"
+            m = _BARE_NAME.match(source, i + 1 + closing)
+            name, p, attrs, own = m[0].lower(), m.end(), [], False
+            while True:
+                gap = _GAP.match(source, p).end()
+                own = source.find("/", p, gap) >= 0
+                p = gap
+                if p >= n or source[p] == ">":
+                    break
+                m = _KEY.match(source, p)
+                key, p, value = m[0].lower(), max(m.end(), p + 1), ""
+                if m := _EQUALS.match(source, p):
+                    p = m.end()
+                    quote = source[p: p + 1]
+                    if quote in last and quote and p < last[quote]:
+                        close = source.index(quote, p + 1)
+                        value, p = source[p + 1: close], close + 1
+                    else:
+                        m = _BARE.match(source, p)
+                        value, p = m[0], m.end()
+                attrs.append((key, value))
+            end = min(p + 1, n)
+        parts.append(source[begin:i])
+        at = begin = end
+        if name in RAW and not closing and not own:  # goes with all that is in it
+            m = _RAW_END[name].search(source, end)
+            at = begin = m.end() if m else n
+            continue
+        yield "".join(parts), name, attrs, closing, own
+        parts = []
+
+
+_BARE_NAME = re.compile(r"[a-zA-Z][^\s/>]*+")
+
+
+def marks_boilerplate(value: str) -> bool:
+    """Whether one of the tokens of a class, id or role is boilerplate as a whole:
+    ``ad``, ``site-nav``, ``comment-list``, but not ``comment-free`` or ``with-sidebar``."""
+    for token in value.lower().split():
+        words = set(_NAME.findall(token))
+        if not words.isdisjoint(BOILERPLATE) and words <= BOILERPLATE | PLACE:
+            return True
+    return False
 
 
 class Container:
     """An open or closed element that may hold the main text; ``beside`` has the
-    places of its unlinked text outside inner containers."""
+    places of its unlinked text outside inner containers.  ``node`` is its path in
+    the page's tree of paths."""
 
-    __slots__ = ("path", "first", "last", "parent", "text", "linked", "own", "beside")
+    __slots__ = ("page", "node", "tag", "article", "first", "last", "parent", "text", "linked", "own", "beside")
 
-    def __init__(self, path: str, first: int, parent: Container | None = None):
-        self.path, self.first, self.last, self.parent = path, first, -1, parent
+    def __init__(self, page: Page, node: int, tag: str, article: bool, first: int, parent: Container | None = None):
+        self.page, self.node, self.tag, self.article, self.first, self.last, self.parent = page, node, tag, article, first, -1, parent
         self.text = self.linked = self.own = 0
         self.beside: list[int] = []
 
     @property
-    def tag(self) -> str:
-        return self.path.rpartition(">")[2].partition(".")[0]
+    def path(self) -> str:
+        return self.page.path(self.node)
 
     def around(self) -> list[Container]:
         """The containers around this one, from the inside out."""
@@ -88,32 +179,32 @@ class Page:
     """The blocks of a page's text outside boilerplate, and its containers.
 
     ``pieces`` are text runs, with None where a block ends; a container covers
-    the pieces ``first:last``."""
+    the pieces ``first:last``.  Paths are nodes of a tree of labels (tag and
+    classes); the work per tag does not depend on how deep it lies."""
 
     def __init__(self, source: str):
         self.pieces: list[str | None] = []
         self.containers: list[Container] = []
-        self.root = Container("", 0)
-        self._stack: list[tuple[str, Container | None, bool, bool, str]] = []  # name, container, dropped, link, path
-        self._dropped = self._links = 0
-        at = 0
-        for m in _TOKEN.finditer(source):
-            if m.start() > at:
-                self._text(source[at: m.start()])
-            at = m.end()
-            if m["name"]:
-                name = m["name"].lower()
-                if m["close"]:
+        self.root = Container(self, 0, "", False, 0)
+        self._labels: list[tuple[int, str]] = [(-1, "")]  # parent node, label
+        self._nodes: dict[tuple[int, str], int] = {}
+        self._stack: list[tuple[str, Container | None, bool, bool, int, bool]] = []  # name, container, dropped, link, node, article
+        self._open: list[Container] = [self.root]
+        self._places: dict[str, list[int]] = {}  # where in the stack a name is open
+        self._blocks: list[int] = []  # and where blocks are
+        self._dropped = self._links = self._articles = 0
+        self._total = self._linked = 0
+        for text, name, attrs, closing, own in tags(source):
+            if text:
+                self._text(text)
+            if name:
+                if closing:
                     self._end(name)
                 else:
-                    self._start(name, m["attrs"])
-            elif m["raw"]:
-                continue
-        if at < len(source):
-            self._text(source[at:])
+                    self._start(name, attrs, own)
         while self._stack:
             self._pop()
-        self.root.last = len(self.pieces)
+        self.root.last, self.root.text = len(self.pieces), self._total
 
     def _text(self, raw: str) -> None:
         if self._dropped:
@@ -122,85 +213,107 @@ class Page:
         self.pieces.append(text)
         n = len(text) - text.count(" ") if not text.isspace() else 0
         if n:
-            self.root.text += n
-            direct = True
-            for _, box, _, _, _ in reversed(self._stack):
-                if box is not None:
-                    box.text += n
-                    box.linked += n if self._links else 0
-                    if direct and not self._links:
-                        box.own += n
-                        box.beside.append(len(self.pieces) - 1)
-                    direct = False
-            if direct and not self._links:
-                self.root.beside.append(len(self.pieces) - 1)
-
-    def _start(self, name: str, attrs: str) -> None:
+            self._total += n
+            if self._links:
+                self._linked += n
+            else:
+                box = self._open[-1]
+                box.own += n
+                box.beside.append(len(self.pieces) - 1)
+
+    def _start(self, name: str, attrs, own: bool = False) -> None:
         if name == "br":
             if not self._dropped:
                 self.pieces.append(" ")
             return
         if name in CLOSES_P:
-            self._close("p", {"button", "table", "td", "th"} | CONTAINER)
+            self._close("p", HIDES_P)
         if name in SIBLINGS:
             for other in SIBLINGS[name]:
                 self._close(other, SCOPE[name])
         if name in BLOCK and not self._dropped:
             self.pieces.append(None)
-        if name in VOID or attrs.endswith("/") and name not in BLOCK:
+        if name in VOID or own and name not in BLOCK:
             return
-        marks = ""
-        words: set[str] = set()
         classes: list[str] = []
-        if attrs and "=" in attrs:
-            for key, a, b, c in _ATTR.findall(attrs):
-                values = (a or b or c).lower().split()
-                for v in values:
-                    if not v.startswith(LAYOUT):
-                        words.update(_NAME.findall(v))
-                if key.lower() == "class":
-                    classes += sorted(re.sub(r"\d+", "#", v) for v in values)
-            marks = "".join("." + v for v in classes)
-        dropped = name in DROPPED or (name not in ("html", "body", "article", "main") and not words.isdisjoint(BOILERPLATE))
-        path = f"{self._stack[-1][4]}>{name}{marks}" if self._stack else name + marks
+        dropped = name in DROPPED
+        for key, value in attrs:
+            if key == "class":
+                classes += sorted(re.sub(r"\d+", "#", v).replace(">", "") for v in value.lower().split())
+            # the parts of an article are named by its author: no id of theirs counts
+            if not dropped and value and name not in ("html", "body", "article", "main") and (
+                    key in ("class", "role") or key == "id" and not self._articles and name not in WRITTEN):
+                dropped = marks_boilerplate(value)
+        label = name + "".join("." + v for v in classes)
+        article = name in ("article", "main") or name in CONTAINER and name != "body" and any(_MAIN_CLASS.match(v) for v in classes)
+        parent = self._stack[-1][4] if self._stack else 0
+        node = self._nodes.setdefault((parent, label), len(self._labels))
+        if node == len(self._labels):
+            self._labels.append((parent, label))
         box = None
         if name in CONTAINER and not self._dropped and not dropped:
-            box = Container(path, len(self.pieces), next((b for _, b, _, _, _ in reversed(self._stack) if b is not None), self.root))
+            box = Container(self, node, name, article, len(self.pieces), self._open[-1])
+            box.text, box.linked = -self._total, -self._linked
             self.containers.append(box)
+            self._open.append(box)
         self._dropped += dropped
         self._links += name == "a"
-        self._stack.append((name, box, dropped, name == "a", path))
+        self._articles += article
+        self._places.setdefault(name, []).append(len(self._stack))
+        if name in BLOCK:
+            self._blocks.append(len(self._stack))
+        self._stack.append((name, box, dropped, name == "a", node, article))
 
     def _pop(self) -> None:
-        name, box, dropped, link, _ = self._stack.pop()
+        name, box, dropped, link, _, article = self._stack.pop()
+        self._places[name].pop()
         self._dropped -= dropped
         self._links -= link
+        self._articles -= article
         if box is not None:
+            self._open.pop()
             box.last = len(self.pieces)
-        if name in BLOCK and not self._dropped:
-            self.pieces.append(None)
+            box.text += self._total
+            box.linked += self._linked
+        if name in BLOCK:
+            self._blocks.pop()
+            if not self._dropped:
+                self.pieces.append(None)
+
+    def path(self, node: int) -> str:
+        out = []
+        while node > 0:
+            node, label = self._labels[node]
+            out.append(label)
+        return ">".join(reversed(out))
+
+    def node(self, path: str) -> int | None:
+        """The node of a path, if the page has it."""
+        at: int | None = 0
+        for label in path.split(">"):
+            at = self._nodes.get((at, label))
+            if at is None:
+                return None
+        return at
 
     def _close(self, name: str, scope) -> None:
         """Close an open ``name`` that no element of ``scope`` hides."""
-        for i in range(len(self._stack) - 1, -1, -1):
-            if self._stack[i][0] == name:
-                while len(self._stack) > i:
-                    self._pop()
-                return
-            if self._stack[i][0] in scope:
-                return
+        at = self._places.get(name)
+        if at and all(not (p := self._places.get(other)) or p[-1] < at[-1] for other in scope):
+            place = at[-1]
+            while len(self._stack) > place:
+                self._pop()
 
     def _end(self, name: str) -> None:
         if name == "br":
-            self._start("br", "")
+            self._start("br", [])
             return
-        for i in range(len(self._stack) - 1, -1, -1):
-            if self._stack[i][0] == name:
-                while len(self._stack) > i:
-                    self._pop()
-                return
-            if name not in BLOCK and self._stack[i][0] in BLOCK:
-                return  # a stray inline end tag closes no block
+        at = self._places.get(name)
+        # a stray inline end tag closes no block
+        if at and (name in BLOCK or not self._blocks or self._blocks[-1] < at[-1]):
+            place = at[-1]
+            while len(self._stack) > place:
+                self._pop()
 
     def best(self) -> Container | None:
         """The article of the container with the highest score; the outer one of
@@ -243,7 +356,7 @@ def whole(box: Container) -> Container:
     """The outermost article around a container (by element or class), else the
     container; a part is widened to what it is a part of."""
     for c in box.around():
-        if _WHOLE.search(c.path):
+        if c.article:
             box = c
     while box.tag in PARTS and box.parent is not None:
         box = box.parent
@@ -254,8 +367,7 @@ def score(box: Container) -> float:
     """Text of the container's own blocks counts whole, that of inner containers
     little; linked text counts against it."""
     own, inner = box.own, box.text - box.linked - box.own
-    bonus = 1.5 if re.search(r"(^|>)(article|main)[^>]*$|[.](content|article|post|entry|story|main|body)[^>]*$", box.path) else 1.0
-    return bonus * (own + 0.35 * inner) * (1 - box.linked / max(box.text, 1))
+    return (1.5 if box.article else 1.0) * (own + 0.35 * inner) * (1 - box.linked / max(box.text, 1))
 
 
 def host_of(url):
@@ -267,7 +379,8 @@ def _votes(batches):
     for batch in batches:
         tally: dict[tuple[str, str], list[int]] = {}
         for host, source in zip(batch.column(0).to_pylist(), plain(batch.column(1)).to_pylist(), strict=True):
-            best = Page(source).best()
+            page = Page(source)
+            best = page.best()
             if best is not None and best.text:
                 cell = tally.setdefault((host, best.path), [0, 0])
                 cell[0] += 1
@@ -283,7 +396,8 @@ def extract(source: str, path: str | None) -> str:
     best = page.best()
     if best is None:
         return page.text(page.root)  # no container at all: everything outside boilerplate
-    chosen = [c for c in page.containers if c.path == path and c.text] if path else []
+    node = page.node(path) if path else None
+    chosen = [c for c in page.containers if c.node == node and c.text] if node else []
     if not chosen or page.enclosing(chosen).text < 0.5 * best.text:
         chosen = [best]
     if best.tag in ("article", "main"):

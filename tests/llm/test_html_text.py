@@ -80,3 +80,37 @@ def test_lead_and_section_on_a_host_whose_pages_have_the_section(spark):
     rows = [(i, f"http://z.example/{i}", section) for i in range(5)] + [(5, "http://z.example/5", section.replace("<section", "<p>" + "lead text " * 9 + "</p><section"))]
     got = {r.page_id: r.text for r in main_text(spark.createDataFrame(rows, PAGES)).collect()}
     assert got[5] == " ".join(["lead text"] * 9 + ["body text"] * 11) and got[0] == " ".join(["body text"] * 11)
+
+
+def test_what_an_author_names_stays():
+    from tallyframe.llm.html_text import BOILERPLATE
+    for word in sorted(BOILERPLATE):
+        article = (f'<article><h2 id="{word}-work">head</h2><p id="{word}">one</p><section id="{word}"><p data-role="{word}">two</p></section>'
+                   f'<blockquote class="{word}-xyz" data-class="{word}">three</blockquote><ul class="{word}-of-restaurant" id={word}s><li>four</ul></article>')
+        for html in (article, BOILER + article + TAIL):
+            assert extract(html, None) == "head one two three four", word
+
+
+def test_whole_classes_and_roles_go():
+    for token in ("ad", "site-nav", "comment-list", "post-comments", "sidebar-left", "share-buttons", "cookie_banner", "related-posts"):
+        assert extract(f'<article><p>kept</p><div class="x {token}">gone</div><p>too</p></article>', None) == "kept too", token
+    assert extract('<article><p>kept</p><div role="complementary">gone</div></article>', None) == "kept"
+    assert extract('<div id="sidebar">gone</div><div class="text"><p>kept</p></div><div id=comments>gone</div>', None) == "kept"
+
+
+def test_attribute_values_as_in_the_standard():
+    assert extract("<p title=it's>Hello world</p><p>don't stop</p>", None) == "Hello world don't stop"
+    assert extract('<p title="a>b" class=\'x">\'>one</p><p a=b"c>two</p><a href=/x/>three</a>', None) == "one two three"
+    assert extract('<p title="never closed>one</p><p>two', None) == "one two"
+    assert extract("<p>a</p><script>no</script ><p>c<style>no</style x>d", None) == "a cd"
+
+
+@pytest.mark.parametrize("html", [
+    "<div>" * 200_000 + "text", "<p title=\"a'b>text" * 55_000, "<p title='x\">t" * 70_000, ("<p title='x>t") * 80_000, "<b><div>" + "<i>" * 140_000 + "</b>" * 140_000,
+    "<i>" * 140_000 + "<p>a" * 140_000, "<" * 1_000_000, "<!--" * 250_000, "<!" * 400_000, "<a " + "=" * 900_000, "<a " + "b " * 450_000 + ">x", "<script>" * 120_000,
+    "<ul><li>" * 120_000 + "x", '<div class="a b">' * 60_000 + "text"], ids=lambda h: h[:12])
+def test_long_pages_take_linear_time(html):
+    import time
+    start = time.process_time()
+    extract(html, "html>body>article")
+    assert time.process_time() - start < 15  # seconds at most for a megabyte; quadratic steps take minutes
