@@ -58,7 +58,9 @@ PLACE = frozenset(
     "box bar list wrap wrapper container area block section item items link links unit slot post posts entry form policy panel region "
     "row col column group holder module component text title body content icon icons button buttons icn js u c m l".split())
 # Elements whose id never marks boilerplate: what an author writes.
-WRITTEN = frozenset("h1 h2 h3 h4 h5 h6 p blockquote li dt dd pre figure figcaption table td th tr a span b i em strong code".split())
+WRITTEN = frozenset("h1 h2 h3 h4 h5 h6 section p blockquote li dt dd pre figure figcaption table td th tr a span b i em strong code".split())
+# Ids of the readers' part, which stands inside articles too.
+READERS = frozenset("comment comments commentlist disqus respond replies discussion".split())
 # Elements that are a part of what encloses them.
 PARTS = ("section", "blockquote")
 
@@ -69,7 +71,7 @@ _KEY = re.compile(r"=?+[^\s/>=]*+")
 _EQUALS = re.compile(r"\s*+=\s*+")
 _BARE = re.compile(r"[^\s>]*+")
 _NAME = re.compile(r"[a-z]+")
-_RAW_END = {name: re.compile(rf"</{name}[^>a-zA-Z]*+(?:[\s/][^>]*+)?+>", re.I) for name in RAW}
+_RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*+>", re.I) for name in RAW}
 _MAIN_CLASS = re.compile(r"(?:content|article|post|entry|story|main|body)(?:[-_]#)?$")
 
 
@@ -188,11 +190,11 @@ class Page:
         self.root = Container(self, 0, "", False, 0)
         self._labels: list[tuple[int, str]] = [(-1, "")]  # parent node, label
         self._nodes: dict[tuple[int, str], int] = {}
-        self._stack: list[tuple[str, Container | None, bool, bool, int, bool]] = []  # name, container, dropped, link, node, article
+        self._stack: list[tuple[str, Container | None, bool, bool, int]] = []  # name, container, dropped, link, node
         self._open: list[Container] = [self.root]
         self._places: dict[str, list[int]] = {}  # where in the stack a name is open
         self._blocks: list[int] = []  # and where blocks are
-        self._dropped = self._links = self._articles = 0
+        self._dropped = self._links = 0
         self._total = self._linked = 0
         for text, name, attrs, closing, own in tags(source):
             if text:
@@ -240,10 +242,13 @@ class Page:
         for key, value in attrs:
             if key == "class":
                 classes += sorted(re.sub(r"\d+", "#", v).replace(">", "") for v in value.lower().split())
-            # the parts of an article are named by its author: no id of theirs counts
-            if not dropped and value and name not in ("html", "body", "article", "main") and (
-                    key in ("class", "role") or key == "id" and not self._articles and name not in WRITTEN):
+            if dropped or not value or name in ("html", "body", "article", "main"):
+                continue
+            if key in ("class", "role"):
                 dropped = marks_boilerplate(value)
+            elif key == "id" and name not in WRITTEN:
+                # the parts of an article are named by its author: no id counts there but the readers'
+                dropped = marks_boilerplate(value) and (not self._places.get("article") or name == "div" and not READERS.isdisjoint(_NAME.findall(value.lower())))
         label = name + "".join("." + v for v in classes)
         article = name in ("article", "main") or name in CONTAINER and name != "body" and any(_MAIN_CLASS.match(v) for v in classes)
         parent = self._stack[-1][4] if self._stack else 0
@@ -258,18 +263,16 @@ class Page:
             self._open.append(box)
         self._dropped += dropped
         self._links += name == "a"
-        self._articles += article
         self._places.setdefault(name, []).append(len(self._stack))
         if name in BLOCK:
             self._blocks.append(len(self._stack))
-        self._stack.append((name, box, dropped, name == "a", node, article))
+        self._stack.append((name, box, dropped, name == "a", node))
 
     def _pop(self) -> None:
-        name, box, dropped, link, _, article = self._stack.pop()
+        name, box, dropped, link, _ = self._stack.pop()
         self._places[name].pop()
         self._dropped -= dropped
         self._links -= link
-        self._articles -= article
         if box is not None:
             self._open.pop()
             box.last = len(self.pieces)
