@@ -27,19 +27,20 @@ def _stars(pairs: DataFrame, upward: bool) -> DataFrame:
     return other.unionByName(low.select("u", F.col("m").alias("v")))
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """(a, b) links to (node, component): one row per node that has a link to
     another; the component is its smallest node.
 
     Null ends and loops are no links.  Repeated and mirrored links count once.
-    Without links the result is empty.
+    Without links the result is empty.  Rounds go on until one changes nothing (the
+    stars of all components; about the logarithm of the longest path's length).
     """
     e = (edges.filter("a is not null and b is not null and a <> b")
          .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     e = stage(e, "links")
     state = (F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")))
     seen = e.agg(*state).first()
-    for _ in range(max_rounds):
+    while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         e = _stars(both, upward=True).distinct()
         e = stage(_stars(e, upward=False).distinct(), "links")

@@ -241,7 +241,7 @@ def _packer(bits: int, groups: int):
     return run
 
 
-def integer_vectors(vectors: DataFrame, vector_col: str) -> Column:
+def integer_vectors(vector_col: str) -> Column:
     """floor(256 x) of every component, kept within ``LARGEST``; null where the
     vector is null or holds a null or non-finite component."""
     x = F.col(vector_col).cast("array<double>")
@@ -270,7 +270,7 @@ def hard_negatives(vectors: DataFrame, is_anchor: Column, label: Column, positiv
     negative_score), scores as decimal(38,0).
     """
     rows = (vectors.select(F.col(id_col).cast("long").alias("vec_id"), label.cast("string").alias("label"),
-                           integer_vectors(vectors, vector_col).alias("v"), F.coalesce(is_anchor, F.lit(False)).alias("anchor"))
+                           integer_vectors(vector_col).alias("v"), F.coalesce(is_anchor, F.lit(False)).alias("anchor"))
             .filter("vec_id is not null and label is not null and v is not null")
             .groupBy("vec_id").agg(F.min(F.struct("label", "v", "anchor")).alias("r")).select("vec_id", "r.*"))
     rows = stage(rows, "vectors")

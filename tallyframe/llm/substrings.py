@@ -29,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyframe.llm import blobs
 from tallyframe.llm.words import Words, grams, plain, spans
@@ -213,6 +214,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
              .groupBy("doc_id").agg(F.collect_list("hashes").alias("hashes")))
     joined = some.join(again.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "text", "hashes", "row")
     rest = own.filter("doc_id is null").select("doc_id", "text", F.lit(None).cast("array<binary>").alias("hashes"), "row")
-    kind = own.schema["row"].dataType.simpleString()
-    return joined.unionByName(rest).mapInArrow(
-        _parse(window, as_is), f"doc_id long, n_words long, n_removed long, spans array<struct<from:long,to:long>>, kept string, row {kind}")
+    span = T.StructType([T.StructField("from", T.LongType()), T.StructField("to", T.LongType())])
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()),
+                           T.StructField("spans", T.ArrayType(span)), T.StructField("kept", T.StringType()), own.schema["row"]])
+    return joined.unionByName(rest).mapInArrow(_parse(window, as_is), schema)

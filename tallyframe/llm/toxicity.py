@@ -27,6 +27,7 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyframe.llm.words import plain
 from tallyframe.session import stage
@@ -361,8 +362,8 @@ def toxicity(docs: DataFrame, lexicon: Lexicon, keep: list[str] | None = None, t
     """
     cols = [c for c in (keep or ["doc_id"]) if c != "score"]
     rows = docs.select(*[F.col(f"`{c}`") for c in cols], F.col(text_col).alias("__text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return rows.mapInArrow(_score(lexicon), f"{schema}, score double")
+    schema = T.StructType([*rows.schema.fields[:-1], T.StructField("score", T.DoubleType())])
+    return rows.mapInArrow(_score(lexicon), schema)
 
 
 def labelled_texts(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", limit: int = MAX_LABELLED) -> DataFrame:

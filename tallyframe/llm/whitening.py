@@ -347,7 +347,7 @@ def whitening(vectors: DataFrame, components: int = 4, id_col: str = "vec_id", v
     identity.
     """
     spark = vectors.sparkSession
-    rows = stage(vectors.select(F.col(id_col).alias("vec_id"), integer_vectors(vectors, vector_col).alias("v")).filter("v is not null"), "rows")
+    rows = stage(vectors.select(F.col(id_col).alias("vec_id"), integer_vectors(vector_col).alias("v")).filter("v is not null"), "rows")
     width = int(rows.agg(F.coalesce(F.max(F.size("v")), F.lit(0))).first()[0])  # one number
     filled = F.when(F.size("v") < width, F.concat("v", F.array_repeat(F.lit(0).cast("long"), F.lit(width) - F.size("v")))).otherwise(F.col("v"))
     fit = stage(rows.select(filled.alias("v")).distinct(), "fit")

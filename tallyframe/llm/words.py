@@ -7,6 +7,7 @@ follows the longest text, never the batch.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,25 +20,11 @@ _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 32
 
-_rng = np.random.default_rng(20240229)
-_BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_STEP = 0x9E3779B97F4A7C15 | 1
-_STEP_INV = pow(_STEP, -1, 2**64)
-_PLACE = _rng.integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_powers: dict[int, np.ndarray] = {}
-
-
-def _power(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64."""
-    have = _powers.get(base)
-    if have is None or len(have) < n:
-        out = np.ones(1, dtype=np.uint64)
-        while len(out) < n:
-            out = np.concatenate([out, out * np.uint64(pow(base, len(out), 2**64))])
-        if len(out) > 4 * CHUNK_BYTES:  # a very long text: not worth keeping
-            return out
-        _powers[base] = have = out
-    return have
+#: Words of more bytes are hashed one by one.
+LONG_WORD = 1024
+_SEED, _ODD, _BLOCK = np.uint64(0x2545F4914F6CDD1D), np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95)
+_MASK = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=np.uint64)
+_places = np.zeros(0, dtype=np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -49,6 +36,14 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def places(n: int) -> np.ndarray:
+    """Odd multipliers for the first ``n`` places of a run."""
+    global _places
+    if len(_places) < n:
+        _places = mix(np.arange(1, max(64, 2 * n) + 1, dtype=np.uint64) * _ODD + _SEED) | np.uint64(1)
+    return _places[:n]
+
+
 def spans(text: pa.Array, max_bytes: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
     """Row ranges of at most ``max_bytes`` of text, at least one row each."""
     offsets = np.frombuffer(text.buffers()[1], dtype=np.int32)[text.offset: text.offset + len(text) + 1]
@@ -96,14 +91,25 @@ class Words:
         return len(self.start)
 
     def hashes(self) -> np.ndarray:
-        """A 64-bit hash per word, the same for equal words everywhere."""
+        """A 64-bit hash per word, the same for equal words everywhere: a chain over
+        the word's 8-byte blocks, each mixed with what was before (words that differ
+        in a regular way, for which sums of powers would agree, do not meet)."""
         if not len(self.start):
             return np.zeros(0, dtype=np.uint64)
-        n = len(self.data)
-        sums = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum(_BYTE[self.data] * _power(_STEP, n)[:n], out=sums[1:])
-        h = (sums[self.end] - sums[self.start]) * _power(_STEP_INV, n)[self.start]
-        return mix(h + (self.end - self.start).astype(np.uint64) * _PLACE[63])
+        padded = np.concatenate([self.data, np.zeros(8, dtype=np.uint8)])
+        block_at = np.ndarray(shape=(len(self.data) + 1,), dtype="<u8", buffer=padded, strides=(1,))
+        left = self.end - self.start
+        out = mix(left.astype(np.uint64) * _ODD + _SEED)
+        on = np.flatnonzero(left <= LONG_WORD)
+        pos, left, h = self.start[on], left[on], out[on]
+        while len(on):
+            h = mix(h ^ mix((block_at[pos] & _MASK[np.minimum(left, 8)]) + _BLOCK))
+            more = left > 8
+            out[on[~more]] = h[~more]
+            on, pos, left, h = on[more], pos[more] + 8, left[more] - 8, h[more]
+        for i in np.flatnonzero(self.end - self.start > LONG_WORD):
+            out[i] = int.from_bytes(hashlib.blake2b(self.word(i), digest_size=8).digest(), "little")
+        return out
 
     def word(self, i: int) -> bytes:
         return self.data[self.start[i]: self.end[i]].tobytes()
@@ -115,9 +121,10 @@ def grams(word_hash: np.ndarray, k: int) -> np.ndarray:
     n = len(word_hash) - k + 1
     if n <= 0:
         return np.zeros(0, dtype=np.uint64)
-    out = word_hash[:n] * _PLACE[0]
+    place = places(k)
+    out = word_hash[:n] * place[0]
     for j in range(1, k):
-        out = out + word_hash[j: n + j] * _PLACE[j]
+        out += word_hash[j: n + j] * place[j]
     return mix(out)
 
 
@@ -136,7 +143,7 @@ def shingle_sets(words: Words, k: int) -> list[np.ndarray]:
                 s = s[np.concatenate([[True], s[1:] != s[:-1]])]
             out.append(s)
         elif n:
-            out.append(mix((h[lo:hi] * _PLACE[:n]).sum(dtype=np.uint64, keepdims=True) + np.uint64(n)))
+            out.append(mix((h[lo:hi] * places(n)).sum(dtype=np.uint64, keepdims=True) + np.uint64(n)))
         else:
             out.append(np.zeros(0, dtype=np.uint64))
     return out

@@ -84,3 +84,21 @@ def test_common_counters_stand_out():
     counts[:10] += 100
     found = similarity.common_slots(counts, int(counts.sum()))
     assert found[:10].all() and found.mean() < 1e-4
+
+
+def test_words_that_sums_of_powers_take_as_equal(spark):
+    from tests.llm.test_substrings import thue_morse
+    a, b = thue_morse(1024)
+    docs = {1: " ".join([a] * 6), 2: " ".join([b] * 6), 3: " ".join([a] * 6)}
+    got = {r.doc_id: r.component_id for r in ngram_jaccard_join(spark.createDataFrame(list(docs.items()), "doc_id long, text string"), words=4, percent=85).collect()}
+    assert got == {1: 1, 2: 2, 3: 1}
+
+
+def test_a_long_path_is_one_component(spark):
+    from tallyframe.llm.graph import connected_components
+    n = 1500
+    order = list(range(n))
+    random.Random(1).shuffle(order)
+    links = spark.createDataFrame(list(zip(order, order[1:])), "a long, b long")
+    got = connected_components(links).collect()
+    assert len(got) == n and {r["component"] for r in got} == {0}

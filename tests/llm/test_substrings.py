@@ -56,3 +56,27 @@ def test_factors():
     import numpy as np
 
     assert factors(np.array([0, 1, 2, 20, 33, 60]), 13) == [(0, 15), (20, 46), (60, 73)]
+
+
+def thue_morse(n):
+    """Two words that every sum of powers modulo 2**64 takes as equal."""
+    a = "a"
+    while len(a) < n:
+        a += a.translate(str.maketrans("ab", "ba"))
+    return a, a.translate(str.maketrans("ab", "ba"))
+
+
+@pytest.mark.parametrize("window", [13, 100])
+def test_words_that_sums_of_powers_take_as_equal(spark, window):
+    a, b = thue_morse(1024)
+    rows = [(1, " ".join([a] * window)), (2, " ".join([b] * window)), (3, " ".join([a] * window) + " x"), (4, " ".join(f"w{i}" for i in range(150)))]
+    rows += [(5, "y " + rows[3][1]), (6, " ".join(rows[3][1].split()[: window - 1]))]
+    got = {r.doc_id: digest(r) for r in substring_dedup(spark.createDataFrame(rows, SCHEMA), window=window).collect()}
+    assert got == {d: e for (d, _), e in zip(rows, cut(rows, window), strict=True)}
+    assert got[2][1] == 0 and got[3][1] == window
+
+
+def test_columns_of_any_name_are_carried(spark):
+    df = spark.createDataFrame([(1, "t", "a", [1, 2], {"k": 1.5})], "doc_id long, text string, `my col` string, `a-b` array<int>, `m.n` map<string,double>")
+    row = substring_dedup(df, carry=["my col", "a-b", "m.n"]).first().row
+    assert row["my col"] == "a" and row["a-b"] == [1, 2] and row["m.n"] == {"k": 1.5}
