@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions.text import normalize_category
+from .numbering import dense_number
 
 
 def discovered_categories(rules: DataFrame, transactions: DataFrame) -> DataFrame:
@@ -25,9 +25,8 @@ def merge_categories(template: DataFrame, found: DataFrame) -> DataFrame:
     new = (found.select("name").distinct()
            .join(known, F.lower(F.col("name")) == F.col("_low"), "left_anti"))
     n_template = template.agg(F.count(F.lit(1))).first()[0]  # one number: the template size
-    ranked = new.select("name", F.row_number().over(Window.orderBy("name")).alias("_r"))
-    return template.select("pos", "name").unionByName(
-        ranked.select((F.col("_r") + F.lit(n_template)).cast("int").alias("pos"), "name"))
+    ranked = dense_number(new.select("name"), ["name"], "pos", n_template)
+    return template.select("pos", "name").unionByName(ranked.select(F.col("pos").cast("int").alias("pos"), "name"))
 
 
 def add_category(current: DataFrame, template: DataFrame, name: str) -> DataFrame:
@@ -40,7 +39,7 @@ def add_category(current: DataFrame, template: DataFrame, name: str) -> DataFram
     tnames = template.select(F.lower("name").alias("_low"))
     custom = current.join(tnames, F.lower(F.col("name")) == F.col("_low"), "left_anti").select("pos", "name")
     n_template = template.count()
-    custom = custom.select((F.row_number().over(Window.orderBy("pos")) + F.lit(n_template)).alias("pos"), "name")
+    custom = dense_number(custom.withColumnRenamed("pos", "_pos"), ["_pos", "name"], "pos", n_template)
     n_custom = custom.count()
     spark = current.sparkSession
     extra = spark.createDataFrame([(n_template + n_custom + 1, name)], "pos int, name string")

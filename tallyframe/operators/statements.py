@@ -20,6 +20,7 @@ from ..functions.dates import parse_statement_date
 from ..functions.hashing import transaction_hash
 from ..functions.text import is_header_like, py_strip, sanitize_text
 from ..session import stage
+from .numbering import dense_number
 
 # ---- fixed values (must equal the reference's behaviour) -------------------
 # Required statement headers (note the space before ")").
@@ -122,8 +123,7 @@ def header_layout(headers: DataFrame) -> DataFrame:
         _fuzzy_index(k, lambda x: norm(x).contains("deposit amount"), last=True).alias("p2_deposit"),
     ]
     # files in path order: with the sheet row, one sortable number per row
-    number = F.row_number().over(Window.orderBy("path")).cast("long")
-    return headers.select("path", "header_row", keys.alias("keys")).select(*cols, number.alias("file_no"))
+    return dense_number(headers.select("path", "header_row", keys.alias("keys")).select(*cols), ["path"], "file_no")
 
 
 def rows_after_header(cells: DataFrame, headers: DataFrame) -> DataFrame:
@@ -196,22 +196,21 @@ def _usable_low(c: Column) -> Column:
     return F.lower(F.when((F.length(s) > 0) & (s != "nan"), s))
 
 
-def _with_currency(df: DataFrame, currencies: Sequence[str], decided: Column | None) -> DataFrame:
+def _with_currency(df: DataFrame, currencies: Sequence[str], decided: Column | None = None) -> DataFrame:
     """P7 in stages: lowered usable texts, then the hit tags of each text
-    (each evaluated once), then the first text with exactly one hit, the
-    decided currency, or the first configured one."""
+    (each evaluated once), then the first text with exactly one hit, the decided
+    currency, or the first configured one.  ``_known`` is false for the last: there
+    a row's decision may still name another (``ingest_outcomes``)."""
     currencies = list(currencies)
     if len(currencies) == 1:
-        return df.withColumn("_currency", F.lit(currencies[0]))
+        return df.withColumns({"_currency": F.lit(currencies[0]), "_known": F.lit(True)})
     low = df.select("*", _usable_low(F.col("_w_txt")).alias("_w_low"), _usable_low(F.col("_d_txt")).alias("_d_low"),
                     _usable_low(F.col("_remarks_txt")).alias("_r_low"))
     tags = low.select("*", *[currency_tags(F.col(f"_{k}_low"), currencies).alias(f"_{k}_tags") for k in "wdr"])
-    options = [single_hit(F.col(f"_{k}_tags")) for k in "wdr"]
-    if decided is not None:
-        options.append(decided)
-    options.append(F.lit(currencies[0]))
-    return tags.withColumn("_currency", F.coalesce(*options)).drop(
-        "_w_low", "_d_low", "_r_low", "_w_tags", "_d_tags", "_r_tags")
+    found = tags.withColumn("_found", F.coalesce(*[single_hit(F.col(f"_{k}_tags")) for k in "wdr"]))
+    answer = F.coalesce("_found", decided) if decided is not None else F.col("_found")
+    return found.withColumns({"_currency": F.coalesce(answer, F.lit(currencies[0])), "_known": answer.isNotNull()}).drop(
+        "_w_low", "_d_low", "_r_low", "_w_tags", "_d_tags", "_r_tags", "_found")
 
 
 def typed_transactions(rows: DataFrame, currencies: Sequence[str] = ("INR",),
@@ -255,6 +254,7 @@ def typed_transactions(rows: DataFrame, currencies: Sequence[str] = ("INR",),
         F.when(v, F.when(F.col("_debit") > 0, F.lit("debit")).otherwise(F.lit("credit")))
         .alias("transaction_type"),
         F.when(v, F.col("_currency")).alias("currency"),
+        F.when(v, F.col("_known")).alias("currency_known"),
     )
     return typed.withColumn(
         "transaction_hash",

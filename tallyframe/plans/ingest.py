@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import outcomes as OUT
-from ..sources.derived import PROCESSOR, derived_decisions, derived_rules
+from ..sources.derived import PROCESSOR, PROCESSOR_CURRENCIES, derived_decisions, derived_rules
 from ..sources.tables import DEFAULT_CATEGORIES
 from . import derived
 
@@ -31,7 +31,8 @@ def history(batch: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def run(spark: SparkSession, sf_dir: str, reprocess_skipped: bool = False,
-        batch: DataFrame | None = None, stored: DataFrame | None = None, skipped: DataFrame | None = None) -> DataFrame:
+        batch: DataFrame | None = None, stored: DataFrame | None = None, skipped: DataFrame | None = None,
+        rules_at_once: bool = False) -> DataFrame:
     """Outcome of every kept statement row of the derived run (``batch``:
     an already cleaned, staged frame to reuse; ``stored`` and ``skipped``: rows of
     earlier runs besides the derived history)."""
@@ -41,4 +42,4 @@ def run(spark: SparkSession, sf_dir: str, reprocess_skipped: bool = False,
                        for p, more in zip(past, (stored, skipped)))
     decisions = derived_decisions(batch.filter("is_valid"))
     return OUT.ingest_outcomes(batch, stored, skipped, decisions, derived_rules(spark), PROCESSOR,
-                               DEFAULT_CATEGORIES, reprocess_skipped)
+                               DEFAULT_CATEGORIES, reprocess_skipped, PROCESSOR_CURRENCIES, rules_at_once)

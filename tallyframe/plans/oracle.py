@@ -146,8 +146,7 @@ def _typed() -> str:
             f"THEN try_strptime({dt}, '%d/%m/%Y') END)")
     rm = strip(py_text("remarks"))
     w, dp = py_text("withdrawal"), py_text("deposit")
-    cur = (f"coalesce({detect_currency(usable(w))}, {detect_currency(usable(dp))}, "
-           f"{detect_currency(usable(rm))}, '{PROCESSOR_CURRENCIES[0]}')")
+    cur = f"coalesce({detect_currency(usable(w))}, {detect_currency(usable(dp))}, {detect_currency(usable(rm))})"
     return f"""
 typed0 AS (
   SELECT path, sheet_row, row_number,
@@ -156,7 +155,7 @@ typed0 AS (
          {validate_amount(dp)} AS credit_amount,
          {validate_amount(py_text('balance'))} AS balance,
          {strip(py_text('s_no'))} AS ref,
-         {cur} AS cur
+         coalesce({cur}, '{PROCESSOR_CURRENCIES[0]}') AS cur, {cur} IS NOT NULL AS cur_known
   FROM kept
 ),
 typed AS (
@@ -170,6 +169,7 @@ typed AS (
          CASE WHEN d0 IS NOT NULL AND rm <> '' AND rm <> 'nan' THEN ref END AS reference_number,
          CASE WHEN d0 IS NOT NULL AND rm <> '' AND rm <> 'nan' THEN
               CASE WHEN debit_amount > 0 THEN 'debit' ELSE 'credit' END END AS transaction_type,
+         cur_known,
          CASE WHEN d0 IS NOT NULL AND rm <> '' AND rm <> 'nan' THEN cur END AS currency
   FROM typed0
 ),
@@ -265,7 +265,8 @@ dec AS (
               WHEN k % 4 = 2 THEN 'alice:80,bob:40' ELSE '' END AS splits_spec,
          lower(string_split(description, '-')[3]) AS pattern,
          CASE WHEN k % 2 = 0 THEN lower(string_split(description, '-')[3]) || '_spend' ELSE '' END AS d_enum_name,
-         'shopping' AS d_enum_category
+         'shopping' AS d_enum_category,
+         CASE WHEN k % 29 = 0 THEN 'gbp' WHEN k % 31 = 0 THEN 'JPY' END AS d_currency
   FROM dec0 WHERE k % 23 <> 0),
 {RULES_SQL},
 pats AS (SELECT id, enum_name, category, unnest(patterns) AS pattern,
@@ -277,7 +278,8 @@ hit AS (SELECT h.path, h.sheet_row, arg_min(p.id, p.id * 1000 + p.pos) AS enum_i
 firsts AS (SELECT transaction_hash, min(path || chr(1) || lpad(CAST(sheet_row AS VARCHAR), 20, '0')) AS fk
            FROM valid GROUP BY transaction_hash),
 o1 AS (
-  SELECT h.*, r.id AS enum_id, r.enum_name, r.category AS enum_category,
+  SELECT h.* REPLACE (CASE WHEN NOT h.cur_known AND upper(d.d_currency) IN ('INR', 'USD', 'EUR', 'GBP')
+                           THEN upper(d.d_currency) ELSE h.currency END AS currency), r.id AS enum_id, r.enum_name, r.category AS enum_category,
          CASE WHEN d.action = 'process' AND r.id IS NOT NULL AND d.category_choice = '2' THEN 'skip'
               WHEN d.action = 'process' AND r.id IS NOT NULL AND d.category_choice = '3' THEN 'new_pattern'
               ELSE d.action END AS action,
@@ -298,8 +300,8 @@ o1 AS (
   LEFT JOIN firsts f ON f.transaction_hash = h.transaction_hash),
 o2 AS (
   SELECT *,
-    CASE WHEN matched AND action = 'skip' THEN 'skipped' WHEN matched THEN 'processed'
-         WHEN action IS NULL THEN 'needs_review' WHEN action = 'skip' THEN 'skipped' ELSE 'processed' END AS decided,
+    CASE WHEN action = 'skip' THEN 'skipped' WHEN length({strip("coalesce(reason, '')")}) IN (1, 2) THEN 'needs_review'
+         WHEN matched THEN 'processed' WHEN action IS NULL THEN 'needs_review' ELSE 'processed' END AS decided,
     CASE WHEN NOT matched AND action IS NOT NULL AND action <> 'skip' THEN
          CASE WHEN length({strip("coalesce(d_enum_name, '')")}) >= 3 THEN {strip("coalesce(d_enum_name, '')")}
               ELSE np || '_transaction' END END AS new_enum_name
@@ -340,6 +342,68 @@ def with_ingest(select: str) -> str:
     return "WITH " + ",".join([STATEMENT_ROWS, _kept(), _typed(), ingest_ctes()]) + "\n" + select
 
 
+def with_all_answers(select: str) -> str:
+    """As ``with_ingest``, with a proper decision for every transaction."""
+    text = with_ingest(select)
+    for old, new in (("FROM dec0 WHERE k % 23 <> 0", "FROM dec0"), ("THEN 'ok' ELSE", "THEN 'okay' ELSE")):
+        assert old in text
+        text = text.replace(old, new)
+    return text
+
+
+def with_rules_at_once(select: str) -> str:
+    """As ``with_ingest``, rows taken one by one: a rule counts from the row after the
+    one that creates it.  ``w3`` walks the rows that have a decision in order, with the
+    rules created so far as its state."""
+    short = f"length({strip("coalesce(c.reason, '')")}) IN (1, 2)"
+    walk = f"""
+pos AS (SELECT path, sheet_row, row_number() OVER (ORDER BY path, sheet_row) AS i FROM hashed),
+walked AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY p.i) AS step, p.i, lower(h.description) AS low, hit.enum_id IS NOT NULL AS old_hit, d.action, d.category_choice AS choice,
+         d.reason, d.d_enum_category AS category,
+         CASE WHEN lower({strip("coalesce(d.pattern, '')")}) = '' THEN coalesce({pattern_words('h.description')}[1], 'transaction')
+              ELSE lower({strip("coalesce(d.pattern, '')")}) END AS np, {strip("coalesce(d.d_enum_name, '')")} AS given
+  FROM hashed h JOIN pos p ON p.path = h.path AND p.sheet_row = h.sheet_row JOIN dec d ON d.transaction_hash = h.transaction_hash
+  JOIN firsts f ON f.transaction_hash = h.transaction_hash AND f.fk = (h.path || chr(1) || lpad(CAST(h.sheet_row AS VARCHAR), 20, '0'))
+  LEFT JOIN hit ON h.path = hit.path AND h.sheet_row = hit.sheet_row
+  WHERE h.transaction_hash NOT IN (SELECT transaction_hash FROM hist_tx) AND h.transaction_hash NOT IN (SELECT transaction_hash FROM hist_sk)
+    AND NOT (h.transaction_type = 'credit' AND h.credit_amount IS NULL)),
+w3 AS (
+  SELECT CAST(0 AS BIGINT) AS step, CAST([] AS STRUCT(name VARCHAR, pattern VARCHAR, category VARCHAR, born BIGINT)[]) AS made
+  UNION ALL
+  SELECT step, CASE WHEN act <> 'skip' AND NOT short AND (NOT hit OR act = 'new_pattern') AND name NOT IN (SELECT enum_name FROM rules WHERE processor_type = 'icici_bank')
+                         AND NOT list_contains(list_transform(made, lambda r: r.name), name)
+                    THEN list_append(made, {{'name': name, 'pattern': np, 'category': category, 'born': i}}) ELSE made END
+  FROM (SELECT *, CASE WHEN hit AND action = 'process' AND choice = '2' THEN 'skip' WHEN hit AND action = 'process' AND choice = '3' THEN 'new_pattern' ELSE action END AS act
+        FROM (SELECT c.step, w.made, c.i, c.np, c.action, c.choice, c.category, {short} AS short, CASE WHEN length(c.given) >= 3 THEN c.given ELSE c.np || '_transaction' END AS name,
+                     c.old_hit OR len(list_filter(w.made, lambda r: contains(c.low, r.pattern))) > 0 AS hit
+              FROM w3 w JOIN walked c ON c.step = w.step + 1))),
+made AS (SELECT 7 + row_number() OVER (ORDER BY r.born) AS id, r.name AS enum_name, r.pattern, r.category, r.born
+         FROM (SELECT unnest(made) AS r FROM w3 WHERE step = (SELECT max(step) FROM w3))),
+allrules AS (SELECT id, enum_name, category, processor_type, CAST(NULL AS BIGINT) AS born FROM rules UNION ALL SELECT id, enum_name, category, 'icici_bank', born FROM made),
+hit_all AS (
+  SELECT p.path, p.sheet_row, coalesce(any_value(hit.enum_id), min(m.id)) AS enum_id
+  FROM hashed h JOIN pos p ON p.path = h.path AND p.sheet_row = h.sheet_row LEFT JOIN hit ON h.path = hit.path AND h.sheet_row = hit.sheet_row
+  LEFT JOIN made m ON m.born < p.i AND contains(lower(h.description), m.pattern)
+  GROUP BY p.path, p.sheet_row),
+o1 AS ("""
+    text = ingest_ctes()
+    for old, new in (
+            ("\no1 AS (", walk), ("LEFT JOIN hit ON h.path = hit.path AND h.sheet_row = hit.sheet_row\n  LEFT JOIN rules r ON r.id = hit.enum_id\n  LEFT JOIN dec d",
+                                  "JOIN pos pp ON pp.path = h.path AND pp.sheet_row = h.sheet_row\n  LEFT JOIN hit_all hit ON h.path = hit.path AND h.sheet_row = hit.sheet_row\n"
+                                  "  LEFT JOIN allrules r ON r.id = hit.enum_id\n  LEFT JOIN dec d"),
+            (", r.id AS enum_id, r.enum_name,", ", pp.i, r.id AS enum_id, r.enum_name,"),
+            ("LEFT JOIN rules er ON er.enum_name = o2.new_enum_name AND er.processor_type = 'icici_bank'",
+             "LEFT JOIN allrules er ON er.enum_name = o2.new_enum_name AND er.processor_type = 'icici_bank' AND (er.born IS NULL OR er.born < o2.i)"),
+            ("outcomes AS (\n  SELECT *,", "settled AS (SELECT transaction_hash, min(i) AS first_i FROM o4 WHERE own IN ('processed', 'skipped') GROUP BY transaction_hash),\n"
+                                            "outcomes AS (\n  SELECT o4.*,"),
+            ("NOT is_first AND own = 'processed'", "i <> first_i AND own = 'processed'"), ("NOT is_first AND own = 'skipped'", "i <> first_i AND own = 'skipped'"),
+            ("         ELSE own END AS outcome\n  FROM o4)", "         ELSE own END AS outcome\n  FROM o4 LEFT JOIN settled ON settled.transaction_hash = o4.transaction_hash)")):
+        assert text.count(old) == 1, old
+        text = text.replace(old, new)
+    return "WITH RECURSIVE " + ",".join([STATEMENT_ROWS, _kept(), _typed(), text]) + "\n" + select
+
+
 def split_structs(spec: str) -> str:
     """Accepted split pieces as a list of {person, percentage} structs."""
     s = strip(f"coalesce({spec}, '')")

@@ -362,15 +362,14 @@ many AS (SELECT row_number() OVER (ORDER BY sha256(word)) AS id, word FROM words
 SELECT d.doc_id, min(m.id) AS enum_id, arg_min(m.word, m.id) AS enum_name
 FROM documents d LEFT JOIN many m ON contains(lower(d.text), m.word) GROUP BY d.doc_id""")
 def q_rule_match_many(spark, sf_dir):
-    from pyspark.sql import Window
-
+    from ..operators.numbering import dense_number
     from ..operators.rules import match_rules
     from ..sources.tables import read_table
     words = (read_table(spark, sf_dir, "benchmark")
              .select(F.explode(F.split(F.lower("text"), r"[^\p{L}\p{N}]+")).alias("word"))
              .filter(F.length("word") >= 5).distinct())
-    rules = words.select(  # a dimension: one row per word of the benchmark
-        F.row_number().over(Window.orderBy(F.sha2("word", 256))).cast("long").alias("id"), F.col("word").alias("enum_name"),
+    numbered = dense_number(words.withColumn("h", F.sha2("word", 256)), ["h"], "id")
+    rules = numbered.select("id", F.col("word").alias("enum_name"),
         F.array("word").alias("patterns"), F.lit("other").alias("category"), F.lit("p").alias("processor_type"),
         F.lit(True).alias("is_active"))
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -751,3 +750,69 @@ def q_added_categories(spark, sf_dir):
         for name in (f" {r[0]} ", r[0].lower()):  # the second is there already
             current = add_category(current, template, name)
     return current
+
+
+# ---- W3: rules seen by the rows after the one that creates them, one row after the other
+@register("rules_at_once", O.with_rules_at_once("""
+SELECT o.path, o.sheet_row, o.outcome, CASE WHEN o.outcome = 'processed' THEN coalesce(o.used_enum_id, m.id) END AS enum_id,
+       CASE WHEN o.outcome = 'processed' THEN o.enum_cat END AS category,
+       CASE WHEN o.outcome = 'processed' THEN o.final_reason END AS reason
+FROM outcomes o LEFT JOIN made m ON m.enum_name = o.new_enum_name AND m.born = o.i"""))
+def q_rules_at_once(spark, sf_dir):
+    from ..operators.outcomes import new_rules, with_enum_ids
+    from ..session import stage
+    from ..sources.derived import PROCESSOR, derived_rules
+    from . import ingest
+    o = stage(ingest.run(spark, sf_dir, rules_at_once=True), "outcomes")
+    o = with_enum_ids(o, new_rules(o, derived_rules(spark), PROCESSOR))
+    p = F.col("outcome") == "processed"
+    return o.select("path", "sheet_row", "outcome", F.when(p, F.col("used_enum_id")).alias("enum_id"),
+                    F.when(p, F.col("final_category")).alias("category"), F.when(p, F.col("final_reason")).alias("reason"))
+
+
+# ---- P12 + E2 + P14: rows without an acceptable answer wait in the review table; a second
+# run without new files gets the answers and stores them as one run would have ----------
+@register("reviewed_later", O.with_all_answers("""
+, plain AS (
+  SELECT o.*, row_number() OVER (PARTITION BY o.transaction_hash ORDER BY o.path, o.sheet_row) = 1 AS first_copy,
+         CASE WHEN NOT o.is_valid THEN 'invalid' WHEN o.transaction_type = 'credit' AND o.credit_amount IS NULL THEN 'error_skipped' ELSE o.decided END AS alone
+  FROM o4 o),
+judged AS (
+  SELECT *, CASE WHEN is_valid AND NOT first_copy AND alone = 'processed' THEN 'duplicate'
+                 WHEN is_valid AND NOT first_copy AND alone = 'skipped' THEN 'auto_skipped' ELSE alone END AS result
+  FROM plain),
+per_file AS (
+  SELECT path, count(*) AS total, count(*) FILTER (WHERE result = 'processed') AS processed,
+         count(*) FILTER (WHERE result IN ('skipped', 'invalid', 'error_skipped')) AS skipped,
+         count(*) FILTER (WHERE result = 'duplicate') AS duplicates, count(*) FILTER (WHERE result = 'auto_skipped') AS auto_skipped
+  FROM judged GROUP BY path)
+SELECT j.transaction_hash, j.result AS outcome, j.final_reason AS reason, j.transaction_category, j.currency,
+       coalesce(r.enum_name, j.new_enum_name) AS rule_name, regexp_extract(j.path, '([^/]+)[.]csv$', 1) AS name,
+       CASE WHEN f.processed + f.skipped = f.total THEN 'completed' ELSE 'partially_processed' END AS processing_status,
+       f.total, f.processed, f.skipped, f.duplicates, f.auto_skipped
+FROM judged j JOIN per_file f ON f.path = j.path LEFT JOIN rules r ON r.id = j.used_enum_id
+WHERE j.result = 'processed'""".replace("\n, plain", ", plain", 1)))
+def q_reviewed_later(spark, sf_dir):
+    from ..sources.derived import (PROCESSOR, PROCESSOR_CURRENCIES, derived_decisions, derived_rules,
+                                   statement_cells, write_statement_csv)
+    from ..sources.tables import DEFAULT_CATEGORIES
+    from . import sinks
+    from .adapters import make_adapter, register_adapter
+    from .file_pipeline import process_files
+    folder, root = _scratch(spark, "statement-files"), _scratch(spark, "store")
+    write_statement_csv(statement_cells(spark, sf_dir), folder)
+    register_adapter(PROCESSOR, make_adapter(PROCESSOR_CURRENCIES, "csv"))
+    rules = derived_rules(spark)
+    process_files(spark, folder, root, PROCESSOR, rules, derived_decisions, DEFAULT_CATEGORIES, "r1", "csv", auto_match=False)
+    process_files(spark, folder, root, PROCESSOR, rules, lambda rows: derived_decisions(rows, complete=True), DEFAULT_CATEGORIES, "r2", "csv", auto_match=False)
+    known = rules.unionByName(sinks.read_table(spark, root, "transaction_enums").select(*rules.columns))
+    files = sinks.read_latest(spark, root, "processed_files", "processed_file_id").select(
+        "processed_file_id", F.regexp_extract("file_path", r"file_id=([^/]+)/", 1).alias("name"), "processing_status")
+    logs = sinks.read_latest(spark, root, "processing_logs", "processed_file_id").select(
+        "processed_file_id", F.col("total_transactions").alias("total"), F.col("processed_transactions").alias("processed"),
+        F.col("skipped_transactions").alias("skipped"), F.col("duplicate_transactions").alias("duplicates"), F.col("duplicate_skipped").alias("auto_skipped"))
+    names = known.select(F.col("id").alias("enum_id"), F.col("enum_name").alias("rule_name"))
+    return (sinks.read_table(spark, root, "transactions").join(files, "processed_file_id", "left").join(logs, "processed_file_id", "left")
+            .join(names, "enum_id", "left")
+            .select("transaction_hash", F.lit("processed").alias("outcome"), "reason", "transaction_category", "currency", "rule_name", "name",
+                    "processing_status", "total", "processed", "skipped", "duplicates", "auto_skipped"))

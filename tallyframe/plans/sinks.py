@@ -3,20 +3,30 @@
 Plain Parquet has no MERGE, so every upsert is "new rows + old rows not
 replaced (left_anti), written as a new version".  A run writes all its tables
 from one staged outcome frame under ``<table>/run_id=<id>/attempt=<uuid>`` and
-then names the attempt in ``_runs/run_id=<id>``.  Readers see named attempts
-only, so the tables of a run appear together, an interrupted run shows nothing,
-and a repeated run replaces its first attempt as a whole, with empty tables too.
-A run's own rows must be left out of the history it is judged against
-(``read_table(..., without_run=...)``).
+then publishes the attempt: a new file ``_manifest/<version>.json``, created only
+if that version is absent, names run and attempt.  Nothing published is ever
+touched again.  Readers take the newest named attempt of each run, so the tables
+of a run appear together, a writer killed at any point leaves what readers saw
+before, and a repeated run replaces its first attempt as a whole, with empty tables
+too.  ``vacuum`` removes what no manifest names.  A run's own rows must be left out
+of the history it is judged against (``read_table(..., without_run=...)``).
+
+Rows that await a decision go to ``review_rows``; ``pending_rows`` are those that
+no later run has stored or skipped, and a run takes them in again (``reenter``).
+Files and logs are dimensions with a row per run that says something new about
+them; ``read_latest`` gives the newest row of each.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import time
 import uuid
 from datetime import datetime, timezone
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,7 +42,11 @@ from ..session import stage
 
 #: Tables that a run writes.
 RUN_TABLES = ("transactions", "transaction_splits", "skipped_transactions", "processing_logs", "transaction_enums",
-              "institutions", "processed_files", "bad_files", "categories")
+              "institutions", "processed_files", "bad_files", "categories", "review_rows")
+
+#: Rows of a new file come after those of every published run.
+NEWEST = (1 << 63) - 1
+_MANIFEST = "version long, run_id string, attempt string, complete boolean"
 
 
 def _attempt_path(root: str, table: str, run_id: str, attempt: str) -> str:
@@ -95,17 +109,73 @@ def log_rows(outcomes: DataFrame, seconds: float | None = None) -> DataFrame:
     return conform(rows, TABLES["processing_logs"])
 
 
+# ---- rows that await a decision ---------------------------------------------
+
+def review_rows(outcomes: DataFrame) -> DataFrame:
+    """Undecided rows of this run's own files, with what a later run needs of them."""
+    rows = outcomes.filter(F.col("outcome") == "needs_review")
+    if "reentered" in rows.columns:  # those are in the table already
+        rows = rows.filter(~F.col("reentered")).withColumn("file_position", F.col("position.at"))
+    else:
+        rows = rows.withColumn("file_position", F.col("position").cast("long"))
+    return conform(rows, TABLES["review_rows"])
+
+
+def pending_rows(spark: SparkSession, root: str, without_run: str | None = None) -> DataFrame:
+    """Rows under review that no run has stored or skipped since, shaped as cleaned
+    statement rows, with the version of their own run as ``batch_version``."""
+    rows = read_table(spark, root, "review_rows", without_run, versions=True)
+    for table in ("transactions", "skipped_transactions"):
+        done = read_table(spark, root, table, without_run).select("transaction_hash")
+        rows = rows.join(done, "transaction_hash", "left_anti")
+    return rows.withColumnRenamed("run_version", "batch_version").withColumn("is_valid", F.lit(True)).drop("run_id")
+
+
+def reenter(cleaned: DataFrame, pending: DataFrame) -> DataFrame:
+    """New cleaned rows and pending ones as one batch: pending rows come first, in the
+    order of their runs, and are judged by the rules that their own run had
+    (``batch_version``)."""
+    new = cleaned.withColumns({"batch_version": F.lit(NEWEST), "reentered": F.lit(False),
+                               "position": F.struct(F.lit(NEWEST).alias("run"), F.col("position").cast("long").alias("at"))})
+    old = pending.withColumns({"reentered": F.lit(True),
+                               "position": F.struct(F.col("batch_version").alias("run"), F.col("file_position").alias("at"))}).drop("file_position")
+    return new.unionByName(old, allowMissingColumns=True)
+
+
+def revised_logs(outcomes: DataFrame, logs: DataFrame) -> DataFrame:
+    """K7 for files of earlier runs whose pending rows were decided: their newest log
+    with these rows counted anew."""
+    decided = outcomes.filter(F.col("reentered") & (F.col("outcome") != "needs_review"))
+    more = log_rows(decided).drop("total_transactions", "processing_time")
+    counts = [c for c in more.columns if c != "processed_file_id"]
+    more = more.select("processed_file_id", *[F.col(c).alias(f"_{c}") for c in counts])
+    both = logs.join(more, "processed_file_id")
+    return conform(both.select("processed_file_id", "total_transactions", "processing_time",
+                               *[(F.col(c) + F.col(f"_{c}")).alias(c) for c in counts]), TABLES["processing_logs"])
+
+
+def log_status(logs: DataFrame) -> DataFrame:
+    """A4 from a log: (processed_file_id, processing_status)."""
+    done = F.col("processed_transactions") + F.col("skipped_transactions") == F.col("total_transactions")
+    return logs.select("processed_file_id", F.when(done, F.lit("completed")).otherwise(F.lit("partially_processed")).alias("processing_status"))
+
+
 def write_run(outcomes: DataFrame, root: str, run_id: str, institution_id: int | None = None,
               rules: DataFrame | None = None, processor: str | None = None, started: float | None = None,
               others: dict[str, DataFrame] | None = None) -> dict:
     """K4-K7: stage the outcome once, then write transactions, their split rows,
-    skipped rows, the log and - given the ``rules`` that the run matched against -
-    the rules it learned, and publish them together with ``others``, by table.
+    skipped rows, rows under review, the log and - given the ``rules`` that the run
+    matched against - the rules it learned, and publish them together with
+    ``others``, by table.
+
+    Where pending rows were taken in again, the logs and the status of their files
+    are brought up to date (K3).
 
     ``started``: when the run began (``time.time()``); the log then has the seconds."""
     spark = outcomes.sparkSession
     attempt = "a" + uuid.uuid4().hex
     staged = stage(outcomes, "outcomes")
+    others = dict(others or {})
 
     def put(df: DataFrame, table: str) -> str:
         path = _attempt_path(root, table, run_id, attempt)
@@ -117,38 +187,127 @@ def write_run(outcomes: DataFrame, root: str, run_id: str, institution_id: int |
         staged = with_enum_ids(staged, learned)
     tx = spark.read.parquet(put(transactions_rows(staged, institution_id), "transactions"))
     put(explode_splits(tx), "transaction_splits")
-    put(skipped_rows(staged, institution_id), "skipped_transactions")
-    for table, rows in (others or {}).items():
+    # Rows that are on record stay as they are
+    on_record = read_table(spark, root, "skipped_transactions", run_id).select("transaction_hash")
+    put(skipped_rows(staged, institution_id).join(on_record, "transaction_hash", "left_anti").select(*TABLES["skipped_transactions"].fieldNames()), "skipped_transactions")
+    put(review_rows(staged), "review_rows")
+    logs = log_rows(staged.filter(~F.col("reentered")) if "reentered" in staged.columns else staged, time.time() - started if started else None)
+    if "reentered" in staged.columns:
+        revised = stage(revised_logs(staged, read_latest(spark, root, "processing_logs", "processed_file_id", run_id)), "revised")
+        files = read_latest(spark, root, "processed_files", "processed_file_id", run_id)
+        files = update_status(files.join(revised, "processed_file_id", "left_semi"), log_status(revised))
+        mine = conform(files, TABLES["processed_files"])
+        others["processed_files"] = others["processed_files"].unionByName(mine) if "processed_files" in others else mine
+        logs = logs.unionByName(revised)
+    for table, rows in others.items():
         put(rows, table)
-    put(log_rows(staged, time.time() - started if started else None), "processing_logs")
-    marker = spark.range(1).select(F.lit(attempt).alias("attempt"), F.current_timestamp().alias("published_at"))
-    marker.coalesce(1).write.mode("overwrite").parquet(os.path.join(root, "_runs", f"run_id={run_id}"))
+    put(logs, "processing_logs")
+    publish(spark, root, run_id, attempt)
     return {t: os.path.join(root, t) for t in RUN_TABLES}
 
 
-def _absent(exc: Exception) -> bool:
-    return any(x in str(exc) for x in ("PATH_NOT_FOUND", "does not exist", "UNABLE_TO_INFER"))
-
-
-def read_table(spark: SparkSession, root: str, table: str, without_run: str | None = None) -> DataFrame:
+# ---- the manifest -------------------------------------------------------------
+
+def _folder(spark: SparkSession, path: str):
+    """(file system, path) of a folder, by Hadoop's API."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, at = _folder(spark, path)
+    return fs.exists(at)
+
+
+def _names(spark: SparkSession, path: str) -> list[str]:
+    fs, at = _folder(spark, path)
+    return [s.getPath().getName() for s in fs.listStatus(at)] if fs.exists(at) else []
+
+
+def publish(spark: SparkSession, root: str, run_id: str, attempt: str) -> int:
+    """Name an attempt in the next free version of the manifest; returns the version.
+    The file is created only if it is absent: of two writers one takes the next."""
+    folder = os.path.join(root, "_manifest")
+    while True:
+        version = 1 + max((int(n.split(".")[0]) for n in _names(spark, folder) if n.endswith(".json")), default=0)
+        fs, at = _folder(spark, os.path.join(folder, f"{version:012d}.json"))
+        try:
+            out = fs.create(at, False)
+        except Py4JJavaError as exc:
+            if "FileAlreadyExists" in exc.java_exception.getClass().getName() or "already exists" in str(exc.java_exception.getMessage()):
+                continue
+            raise
+        # one line, read only when whole: a writer killed before close publishes nothing
+        out.write(json.dumps({"version": version, "run_id": run_id, "attempt": attempt, "complete": True}).encode())
+        out.close()
+        return version
+
+
+def published(spark: SparkSession, root: str) -> DataFrame:
+    """(run_id, attempt, run_version): the newest attempt of every run."""
+    if not _names(spark, os.path.join(root, "_manifest")):
+        return spark.createDataFrame([], "run_id string, attempt string, run_version long")
+    lines = spark.read.schema(_MANIFEST).option("mode", "DROPMALFORMED").json(os.path.join(root, "_manifest"))
+    return (lines.filter("complete").groupBy("run_id")
+            .agg(F.max_by("attempt", "version").alias("attempt"), F.max("version").alias("run_version")))
+
+
+def vacuum(spark: SparkSession, root: str, keep_seconds: float = 7 * 86400) -> list[str]:
+    """Remove attempts that the manifest does not name (broken or replaced ones) and
+    that were last written more than ``keep_seconds`` ago; returns their paths."""
+    named = {(r["run_id"], r["attempt"]) for r in published(spark, root).collect()}  # a row per run
+    gone = []
+    for table in RUN_TABLES:
+        for run in _names(spark, os.path.join(root, table)):
+            for attempt in _names(spark, os.path.join(root, table, run)):
+                key = (run.partition("=")[2], attempt.partition("=")[2])
+                path = os.path.join(root, table, run, attempt)
+                fs, at = _folder(spark, path)
+                if attempt.startswith("attempt=") and key not in named and fs.getFileStatus(at).getModificationTime() < 1000 * (time.time() - keep_seconds):
+                    fs.delete(at, True)
+                    gone.append(path)
+    return gone
+
+
+def read_table(spark: SparkSession, root: str, table: str, without_run: str | None = None, versions: bool = False) -> DataFrame:
     """The rows of a table; of a table that runs write, those of the published
-    attempts, but for the run ``without_run``.  A run table that no run has
-    written is empty."""
-    try:
-        rows = spark.read.parquet(os.path.join(root, table))
-        if "attempt" not in rows.columns:
-            return rows
-        runs = spark.read.parquet(os.path.join(root, "_runs")).select("run_id", "attempt")
-    except Exception as exc:  # noqa: BLE001 - not created yet
-        if table in RUN_TABLES and _absent(exc):
-            empty = spark.createDataFrame([], TABLES.get(table, "path string, error string"))
-            return empty.withColumn("run_id", F.lit(None).cast("string"))
-        raise
+    attempts, but for the run ``without_run``, with ``versions`` also the
+    ``run_version`` that published them.  A run table that no run has written is
+    empty; any other table that is not there is an error."""
+    path = os.path.join(root, table)
+    rows = None
+    if table not in RUN_TABLES or _names(spark, path):
+        try:
+            rows = spark.read.parquet(path)
+        except AnalysisException as exc:
+            # folders without a data file: an attempt broken off at its start
+            if table not in RUN_TABLES or exc.getCondition() != "UNABLE_TO_INFER_SCHEMA":
+                raise
+    if rows is None:
+        rows = spark.createDataFrame([], TABLES.get(table) or _OTHER_TABLES[table]).withColumn("run_id", F.lit(None).cast("string"))
+        return rows.withColumn("run_version", F.lit(None).cast("long")) if versions else rows
+    if "attempt" not in rows.columns:
+        return rows
+    runs = published(spark, root)
     if without_run is not None:
         runs = runs.filter(F.col("run_id") != without_run)
+    if versions:
+        return rows.join(runs, ["run_id", "attempt"]).drop("attempt")
     return rows.join(runs, ["run_id", "attempt"], "left_semi").drop("attempt")
 
 
+#: Run tables whose schema is not among the stored ones.
+_OTHER_TABLES = {"bad_files": "path string, error string", "categories": "pos int, name string"}
+
+
+def read_latest(spark: SparkSession, root: str, table: str, key: str, without_run: str | None = None) -> DataFrame:
+    """The newest published row of every ``key``, by a hash aggregate."""
+    rows = read_table(spark, root, table, without_run, versions=True)
+    others = [c for c in rows.columns if c not in (key, "run_version")]
+    newest = rows.groupBy(key).agg(F.max_by(F.struct(*others), "run_version").alias("_r"))
+    return newest.select(key, *[F.col(f"_r.{c}").alias(c) for c in others])
+
+
 def institution_row(spark: SparkSession, processor: str, institution_type: str = "bank") -> DataFrame:
     """K1: the institution of a processor, keyed by (name, type)."""
     df = spark.range(1).select(F.lit(processor).alias("processor"))

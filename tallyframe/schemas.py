@@ -92,6 +92,26 @@ PROCESSING_LOGS = T.StructType([
     T.StructField("processing_time", T.DoubleType()),
 ])
 
+# Rows that await a decision: what a later run needs to judge them.
+REVIEW_ROWS = T.StructType([
+    T.StructField("transaction_hash", T.StringType(), False),
+    T.StructField("path", T.StringType()),
+    T.StructField("sheet_row", T.LongType()),
+    T.StructField("row_number", T.LongType()),
+    T.StructField("file_position", T.LongType()),
+    T.StructField("keys", T.ArrayType(T.StringType())),
+    T.StructField("cells", T.ArrayType(T.StringType())),
+    T.StructField("transaction_date", T.TimestampType()),
+    T.StructField("description", T.StringType()),
+    T.StructField("debit_amount", T.DoubleType()),
+    T.StructField("credit_amount", T.DoubleType()),
+    T.StructField("balance", T.DoubleType()),
+    T.StructField("reference_number", T.StringType()),
+    T.StructField("transaction_type", T.StringType()),
+    T.StructField("currency", T.StringType()),
+    T.StructField("currency_known", T.BooleanType()),
+])
+
 # Raw statement cells as produced by every source.
 CELLS = T.StructType([
     T.StructField("path", T.StringType(), False),
@@ -120,6 +140,7 @@ TABLES = {
     "transaction_splits": TRANSACTION_SPLITS,
     "skipped_transactions": SKIPPED_TRANSACTIONS,
     "processing_logs": PROCESSING_LOGS,
+    "review_rows": REVIEW_ROWS,
 }
 
 # Column defaults used when conforming older tables.

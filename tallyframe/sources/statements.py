@@ -171,7 +171,7 @@ def _parse_files(batches):
                 yield pd.DataFrame({"path": path, "sheet_row": [r for r, _ in part], "cells": [c for _, c in part]})
 
 
-def read_statement_cells(spark: SparkSession, paths: DataFrame | list[str]) -> tuple[DataFrame, DataFrame]:
+def read_statement_cells(spark: SparkSession, paths: DataFrame | list[str], folder: str | None = None) -> tuple[DataFrame, DataFrame]:
     """S2 + S10: ``(cells, bad_files)`` for the given files.
 
     ``cells`` rows are ``(path, sheet_row, cells)``, with the first sheet

@@ -198,8 +198,15 @@ def test_batch_delivered_again_and_interrupted(spark, scratch, monkeypatch):
     assert [len(rows) for rows in first.values()] == [2, 0, 1, 1, 1]
     rent = sinks.read_table(spark, root, "transactions").filter("reference_number = '3'").first()
     assert rent["enum_id"] == 2  # the rule that the batch learned
-    deliver("ck2")  # the same batch id once more
+    os.remove(os.path.join(scratch, "ck1", "commits", "0"))  # stopped before the commit: the same batch once more
+    for crc in [f for f in os.listdir(os.path.join(scratch, "ck1", "commits")) if f.endswith("crc")]:
+        os.remove(os.path.join(scratch, "ck1", "commits", crc))
+    deliver("ck1")
     assert _rows(spark, root) == first
+    deliver("ck2")  # another stream over the same files: nothing of the first is touched, its rows are duplicates
+    again = _rows(spark, root)
+    assert {t: again[t] for t in again if t != "processing_logs"} == {t: first[t] for t in first if t != "processing_logs"}
+    assert len(again["processing_logs"]) == 2
 
 
 def test_file_pipeline_goes_on_after_a_bad_file(spark, scratch):
