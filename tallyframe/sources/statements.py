@@ -2,9 +2,10 @@
 readers that turn workbooks/CSV files into ``(path, sheet_row, cells)``
 (S2, S10).
 
-A workbook is a zip archive and cannot be split, so each file is parsed by
-one task (``binaryFile`` + ``mapInPandas``); everything after that - header
-detection, cleaning, dedup - is distributed DataFrame work.  openpyxl is not
+A CSV file is read in byte ranges by many tasks (``csv_split``).  A workbook is a
+zip archive and cannot be split, so each is parsed by one task (``binaryFile`` +
+``mapInPandas``), as a stream of rows; everything after that - header detection,
+cleaning, dedup - is distributed DataFrame work.  openpyxl is not
 available, so ``.xlsx`` sheets are read with ``zipfile`` + ``xml.etree``;
 legacy ``.xls`` (BIFF) is not decoded and such files go to the bad-files
 output.
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions._util import as_col
 from ..session import stage
+from .csv_split import read_csv_cells
 
 # ---- fixed values ----------------------------------------------------------
 # File extensions per configured file type; unknown types accept all three.
@@ -62,7 +64,8 @@ def discover_files(spark: SparkSession, root: str, file_type: str | None = None,
     exts = EXTENSIONS.get(file_type or "", DEFAULT_EXTENSIONS)
     files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
              .select(_local_path(F.col("path")).alias("file_path"), F.col("length").alias("file_size"),
-                     F.col("modificationTime").alias("modified_at")))
+                     F.col("modificationTime").alias("modified_at"), F.col("_metadata.file_path").alias("file_uri"),
+                     F.lit(root).alias("folder")))
     files = files.filter(F.lower("file_path").rlike(r"\.(" + "|".join(exts) + r")$"))
     files = files.filter(is_safe_path(F.col("file_path")))
     files = files.withColumn("file_name", F.element_at(F.split("file_path", "/"), -1))
@@ -98,94 +101,129 @@ def _first_sheet(z) -> str:
     return min(numbered)[1]
 
 
-def _parse_xlsx(data: bytes):
+class _SharedStrings:
+    """A workbook's shared strings as one buffer of bytes and offsets."""
+
+    def __init__(self, stream):
+        import array
+        import xml.etree.ElementTree as ET
+
+        self.text, self.at, root = bytearray(), array.array("Q", [0]), None
+        for event, el in ET.iterparse(stream, ("start", "end")):
+            root = el if root is None else root
+            if event == "end" and el.tag == _MAIN + "si":
+                self.text += "".join(t.text or "" for t in el.iter(_MAIN + "t")).encode()
+                self.at.append(len(self.text))
+                root.clear()  # what has been read goes
+
+    def __getitem__(self, i: int) -> str:
+        if not 0 <= i < len(self.at) - 1:
+            raise IndexError("no such shared string")
+        return self.text[self.at[i]: self.at[i + 1]].decode()
+
+
+_MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+
+
+def _xlsx_rows(data: bytes):
+    """(row index, cells) of the first sheet, one row in memory at a time."""
     import io
-    import re
     import xml.etree.ElementTree as ET
     import zipfile
 
-    ns = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main"}
     with zipfile.ZipFile(io.BytesIO(data)) as z:
-        shared = []
+        shared = None
         if "xl/sharedStrings.xml" in z.namelist():
-            root = ET.fromstring(z.read("xl/sharedStrings.xml"))
-            for si in root.findall("m:si", ns):
-                shared.append("".join(t.text or "" for t in si.iter("{%s}t" % ns["m"])))
-        root = ET.fromstring(z.read(_first_sheet(z)))
-    rows = []
-    for r in root.iter("{%s}row" % ns["m"]):
-        cells = {}
-        for c in r.findall("m:c", ns):
-            ref = c.get("r", "")
-            letters = re.match(r"[A-Z]+", ref)
-            col = 0
-            for ch in (letters.group(0) if letters else ""):
-                col = col * 26 + (ord(ch) - 64)
-            t = c.get("t")
-            v = c.find("m:v", ns)
-            if t == "s" and v is not None:
-                val = shared[int(v.text)]
-            elif t == "inlineStr":
-                val = "".join(x.text or "" for x in c.iter("{%s}t" % ns["m"]))
-            elif v is not None and v.text is not None:
-                txt = v.text
-                if t in ("str", "b", "e"):
-                    val = txt
-                else:
-                    num = float(txt)
-                    val = str(int(num)) if num.is_integer() and "." not in txt and "E" not in txt.upper() else repr(num)
+            with z.open("xl/sharedStrings.xml") as f:
+                shared = _SharedStrings(f)
+        sheet, seen = None, 0
+        with z.open(_first_sheet(z)) as f:
+            for event, el in ET.iterparse(f, ("start", "end")):
+                if event == "start" and el.tag == _MAIN + "sheetData":
+                    sheet = el
+                elif event == "end" and el.tag == _MAIN + "row":
+                    yield int(el.get("r", seen + 1)) - 1, _xlsx_cells(el, shared)
+                    seen += 1
+                    if sheet is not None:
+                        sheet.clear()
+
+
+def _xlsx_cells(row, shared) -> list:
+    cells: dict[int, str | None] = {}
+    for c in row.findall(_MAIN + "c"):
+        col = 0
+        for ch in c.get("r", ""):
+            if not "A" <= ch <= "Z":
+                break
+            col = col * 26 + (ord(ch) - 64)
+        t = c.get("t")
+        v = c.find(_MAIN + "v")
+        if t == "s" and v is not None:
+            val = shared[int(v.text)]
+        elif t == "inlineStr":
+            val = "".join(x.text or "" for x in c.iter(_MAIN + "t"))
+        elif v is not None and v.text is not None:
+            txt = v.text
+            if t in ("str", "b", "e"):
+                val = txt
             else:
-                val = None
-            cells[col - 1 if col else len(cells)] = val
-        idx = int(r.get("r", len(rows) + 1)) - 1
-        width = max(cells) + 1 if cells else 0
-        rows.append((idx, [cells.get(i) for i in range(width)]))
-    return rows
-
-
-def _parse_csv(data: bytes):
-    import csv
-    import io
-
-    text = data.decode("utf-8-sig")  # other bytes: the file is quarantined, not altered
-    return [(i, [c if c != "" else None for c in row]) for i, row in enumerate(csv.reader(io.StringIO(text)))]
+                num = float(txt)
+                val = str(int(num)) if num.is_integer() and "." not in txt and "E" not in txt.upper() else repr(num)
+        else:
+            val = None
+        cells[col - 1 if col else len(cells)] = val
+    return [cells.get(i) for i in range(max(cells) + 1 if cells else 0)]
 
 
 def _parse_files(batches):
+    """Cells of workbooks in frames of bounded size; a file that cannot be read to its
+    end has a row -1 with the error (its other rows are left out by the caller)."""
     import pandas as pd
 
+    def frame(path, rows):
+        return pd.DataFrame({"path": path, "sheet_row": [r for r, _ in rows], "cells": [c for _, c in rows]})
+
     for pdf in batches:
         for path, content in zip(pdf["path"], pdf["content"]):
-            low = path.lower()
+            rows: list[tuple] = []
             try:
-                if low.endswith(".xlsx"):
-                    rows = _parse_xlsx(bytes(content))
-                elif low.endswith(".csv"):
-                    rows = _parse_csv(bytes(content))
-                else:
+                if not path.lower().endswith(".xlsx"):
                     raise ValueError("unsupported statement format")
+                for row in _xlsx_rows(bytes(content)):
+                    rows.append(row)
+                    if len(rows) == FRAME_ROWS:
+                        yield frame(path, rows)
+                        rows = []
             except Exception as exc:  # noqa: BLE001 - bad file becomes a row
                 rows = [(-1, [f"{type(exc).__name__}: {exc}"])]
-            for lo in range(0, len(rows), FRAME_ROWS):
-                part = rows[lo: lo + FRAME_ROWS]
-                yield pd.DataFrame({"path": path, "sheet_row": [r for r, _ in part], "cells": [c for _, c in part]})
+            if rows:
+                yield frame(path, rows)
 
 
-def read_statement_cells(spark: SparkSession, paths: DataFrame | list[str], folder: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """S2 + S10: ``(cells, bad_files)`` for the given files.
+def read_statement_cells(spark: SparkSession, files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """S2 + S10: ``(cells, bad_files)`` for files found by ``discover_files``.
 
     ``cells`` rows are ``(path, sheet_row, cells)``, with the first sheet
     row as a header candidate (D1).  A file that cannot be parsed becomes a
-    row of ``bad_files`` instead of failing the job (D13)."""
-    if isinstance(paths, list):
-        raw = spark.read.format("binaryFile").load(paths)
-    else:
-        raw = spark.read.format("binaryFile").load([r[0] for r in paths.select("file_path").collect()])
-    raw = raw.select(_local_path(F.col("path")).alias("path"), "content")
-    # Parse every workbook once: the cells feed header detection, the data
-    # rows and the bad-file list, so they are staged (shared checkpoint
-    # folder) instead of re-parsed by each consumer.
-    parsed = stage(raw.mapInPandas(_parse_files, CELLS_SCHEMA), "cells")
-    good = parsed.filter(F.col("sheet_row") >= 0)
-    bad = parsed.filter(F.col("sheet_row") < 0).select("path", F.col("cells")[0].alias("error"))
+    row of ``bad_files`` instead of failing the job (D13).  The folder is read as a
+    whole and joined with the list of files: no path goes through the driver."""
+    known = stage(files.select("file_uri", "file_path", "folder"), "listed")
+    first = known.first()
+    if first is None:
+        return spark.createDataFrame([], CELLS_SCHEMA), spark.createDataFrame([], BAD_SCHEMA)
+    is_csv = F.lower("file_path").endswith(".csv")
+    found = []
+    if not known.filter(is_csv).isEmpty():
+        found.append(read_csv_cells(spark, first["folder"], known.filter(is_csv)))
+    if not known.filter(~is_csv).isEmpty():
+        raw = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.[xX][lL][sS]*").load(first["folder"])
+               .withColumn("path", _local_path(F.col("path"))))
+        raw = raw.join(known.filter(~is_csv).select(F.col("file_path").alias("path")), "path", "left_semi").select("path", "content")
+        found.append(raw.mapInPandas(_parse_files, CELLS_SCHEMA))
+    # Parse every file once: the cells feed header detection, the data rows and the
+    # bad-file list, so they are staged (shared checkpoint folder) instead of
+    # re-parsed by each consumer.
+    parsed = stage(found[0] if len(found) == 1 else found[0].unionByName(found[1]), "cells")
+    bad = parsed.filter(F.col("sheet_row") < 0).groupBy("path").agg(F.min(F.col("cells")[0]).alias("error"))
+    good = parsed.filter(F.col("sheet_row") >= 0).join(bad, "path", "left_anti")
     return good, bad
