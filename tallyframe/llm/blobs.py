@@ -18,6 +18,8 @@ FLUSH_ENTRIES = 1_000_000
 BUCKET_ENTRIES = 3_000_000
 
 SCHEMA = "bucket int, hash binary, id binary, a binary, b binary"
+#: With a smallest id beside each (a, b): ``keep="lead"``.
+LEAD_SCHEMA = SCHEMA + ", c binary"
 _ARROW = pa.schema([("bucket", pa.int32()), ("hash", pa.binary()), ("id", pa.binary()), ("a", pa.binary()), ("b", pa.binary())])
 
 
@@ -27,7 +29,8 @@ class Combiner:
     Of entries with equal hash only the smallest id is sent.  The other ids are
     sent as (a, b) columns of some row, for they need no meeting with other
     tasks: ``b`` is the id, ``a`` is the hash or (``keep="id"``) the smallest id
-    that it is connected with.
+    that it is connected with.  ``keep="lead"`` is the hash, with the smallest id of
+    the flush that has it as ``c``.
     ``lead`` adds the smallest id of a repeated hash to (a, b), too.
     """
 
@@ -59,16 +62,18 @@ class Combiner:
             repeated = np.zeros(group[-1] + 1, dtype=bool)
             repeated[group[rest]] = True
             rest |= repeated[group]
-        if self.keep == "hash":
+        if self.keep in ("hash", "lead"):
             a, b = h[rest].view(np.int64), d[rest]
         else:
             a, b = stars(lead[rest], d[rest])
+        c = lead[rest]
         h, d = h[new], lead[new]
         # hashes are sorted: a bucket is a range of them
         which = bucket_of(h, self.buckets)
         cut = np.searchsorted(which, np.arange(self.buckets + 1))
         step = -(-len(a) // self.buckets) if len(a) else 0
-        out = {k: [] for k in _ARROW.names}
+        schema = _ARROW.append(pa.field("c", pa.binary())) if self.keep == "lead" else _ARROW
+        out = {k: [] for k in schema.names}
         for k in range(self.buckets):
             lo, hi, x, y = cut[k], cut[k + 1], k * step, (k + 1) * step
             if lo == hi and x >= len(a):
@@ -78,8 +83,10 @@ class Combiner:
             out["id"].append(planes(d[lo:hi]))
             out["a"].append(planes(a[x:y]))
             out["b"].append(planes(b[x:y]))
+            if self.keep == "lead":
+                out["c"].append(planes(c[x:y]))
         # rows of bounded size for the transfer
-        table = pa.table(out, schema=_ARROW)
+        table = pa.table(out, schema=schema)
         yield from table.to_batches(max_chunksize=64)
 
 

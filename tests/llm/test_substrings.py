@@ -1,9 +1,10 @@
 import hashlib
 import random
 
+import pyarrow as pa
 import pytest
 
-from tallyframe.llm.substrings import factors, substring_dedup
+from tallyframe.llm.substrings import parse_block, substring_dedup, united
 from tests.llm.brute import cut, with_clash
 
 SCHEMA = "doc_id long, text string"
@@ -52,10 +53,64 @@ def test_empty_table(spark):
     assert substring_dedup(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
-def test_factors():
-    import numpy as np
-
-    assert factors(np.array([0, 1, 2, 20, 33, 60]), 13) == [(0, 15), (20, 46), (60, 73)]
+def test_united():
+    assert united([(s, s + 13) for s in (60, 0, 1, 2, 20, 33)]) == [(0, 15), (20, 46), (60, 73)]
+
+
+def greedy(block, ids, doc, d, window):
+    """Factors of a document against one block of (id, words), in plain Python: at each
+    window of the block the first place of the smallest id, as long as words agree; then
+    the first window that is not inside."""
+    place = {}
+    for r, w in sorted(zip(ids, block)):
+        for j in range(len(w) - window + 1):
+            place.setdefault(tuple(w[j:j + window]), (r, j, w))
+    out, i = [], 0
+    while i + window <= len(doc):
+        r, j, w = place.get(tuple(doc[i:i + window]), (d, 0, []))
+        if r >= d:
+            i += 1
+            continue
+        n = window
+        while i + n < len(doc) and j + n < len(w) and doc[i + n] == w[j + n]:
+            n += 1
+        out.append((i, i + n, r, j))
+        i += n - window + 1
+    return out
+
+
+def test_parse_of_a_block_equals_plain_python():
+    rng = random.Random(11)
+    for window in (2, 5):
+        for _ in range(60):
+            library = [[f"w{rng.randrange(4)}" for _ in range(rng.randrange(0, 40))] for _ in range(5)]
+            ids = rng.sample(range(20), 5)
+            docs = [[f"w{rng.randrange(4)}" for _ in range(rng.randrange(0, 60))] for _ in range(4)]
+            asked = pa.table({"doc_id": pa.array([3, 9, 15, 30], pa.int64()), "key": pa.array([7, 8, 9, 10], pa.int64()), "start": pa.array([0, 100, 0, 5], pa.int64()),
+                              "words": pa.array([" ".join(w).encode() for w in docs], pa.binary())})
+            references = pa.table({"doc_id": pa.array(ids, pa.int64()), "words": pa.array([" ".join(w).encode() for w in library], pa.binary())})
+            want = [(d, k, s + lo, s + hi, r, j) for (d, k, s), w in zip([(3, 7, 0), (9, 8, 100), (15, 9, 0), (30, 10, 5)], docs) for lo, hi, r, j in greedy(library, ids, w, d, window)]
+            assert parse_block(window, asked, references) == want
+
+
+def test_factors_are_stretches_of_their_references(spark):
+    rng = random.Random(12)
+    passages = [[f"p{i}x{j}" for j in range(rng.randrange(13, 60))] for i in range(6)]
+    docs = {d: sum(([f"u{rng.randrange(10**6)}" for _ in range(rng.randrange(5))] + rng.choice(passages)[rng.randrange(6):] for _ in range(rng.randrange(5))), []) for d in range(60)}
+    rows = [(d, " \n".join(w)) for d, w in docs.items()] + [(7, "other " + " ".join(passages[0]))]
+    found = substring_dedup(spark.createDataFrame(rows, SCHEMA).repartition(4)).collect()
+    n = 0
+    for r in found:
+        w = docs[r.doc_id] if r.n_words == len(docs[r.doc_id]) and r.doc_id != 7 else None
+        for f in r.factors:
+            assert f["to"] - f["from"] >= 13 and f["reference"] < r.doc_id
+            if w is not None and f["reference"] != 7:
+                n += 1
+                v, j, size = docs[f["reference"]], f["reference_from"], f["to"] - f["from"]
+                assert w[f["from"]: f["to"]] == v[j: j + size]
+        assert [(s["from"], s["to"]) for s in r.spans] == united([(f["from"], f["to"]) for f in r.factors])
+    assert n > 50
+    assert sorted((r.doc_id, *digest(r)) for r in found) == sorted((d, *e) for (d, _), e in zip(rows, cut(rows, 13), strict=True))
 
 
 def thue_morse(n):
