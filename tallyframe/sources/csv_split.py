@@ -13,7 +13,8 @@ it begins.  Whether a line break ends a record depends on all quotes before it,
 3. Lines that are a record go straight to the parser; lines of one record that are
    apart, maybe in different ranges, are put together by a grouping of these alone.
 
-Records and row numbers are those of Python's ``csv.reader`` over the whole file.
+Records and row numbers are those of Python's ``csv.reader`` over the whole file; a
+field that is still open at the end of the file ends there, without a last line break.
 """
 
 from __future__ import annotations
@@ -32,9 +33,9 @@ from ..session import stage
 #: Bytes of a record of several lines; a longer one is a quote that is never closed.
 MAX_RECORD = 16 << 20
 
-_LINES = ("file_path string, block long, line_no long, line binary, out_open boolean, out_closed boolean, out_record long, "
+_LINES = ("file_uri string, block long, line_no long, line binary, out_open boolean, out_closed boolean, out_record long, "
           "in_open boolean, in_closed boolean, in_record long")
-_LINES_ARROW = pa.schema([("file_path", pa.string()), ("block", pa.int64()), ("line_no", pa.int64()), ("line", pa.binary()), ("out_open", pa.bool_()),
+_LINES_ARROW = pa.schema([("file_uri", pa.string()), ("block", pa.int64()), ("line_no", pa.int64()), ("line", pa.binary()), ("out_open", pa.bool_()),
                           ("out_closed", pa.bool_()), ("out_record", pa.int64()), ("in_open", pa.bool_()), ("in_closed", pa.bool_()), ("in_record", pa.int64())])
 _QUOTED = re.compile(rb'(?:[^"]|"")*+')
 
@@ -103,7 +104,8 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, cells = [], []
         for record, text in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
             try:
-                found = list(csv.reader(io.StringIO(text.decode("utf-8") + "\n")))
+                end = "" if inside_after(text, False) else "\n"
+                found = list(csv.reader(io.StringIO(text.decode("utf-8") + end)))
                 if len(found) != 1:
                     raise csv.Error("line break outside of quotes")
                 rows.append(record - 1)
@@ -114,13 +116,16 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.int64()), pa.array(cells, pa.list_(pa.string()))], ["path", "sheet_row", "cells"])
 
 
-def read_csv_cells(spark: SparkSession, folder: str, files: DataFrame) -> DataFrame:
+def read_csv_cells(spark: SparkSession, folder: str, files: DataFrame, since: str | None = None) -> DataFrame:
     """(path, sheet_row, cells) of the CSV statements under ``folder`` that ``files``
-    (file_uri, file_path) names; rows with sheet_row -1 tell why a file cannot be read."""
-    text = (spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.[cC][sS][vV]").option("lineSep", "\n").text(folder)
+    (file_uri, file_path) names; rows with sheet_row -1 tell why a file cannot be read.
+    Files that were last changed up to ``since`` are not opened."""
+    # lines are numbered straight from the reader: a join before could change their order
+    reader = spark.read.option("modifiedAfter", since) if since else spark.read
+    text = (reader.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.[cC][sS][vV]").option("lineSep", "\n").text(folder)
             .select(F.col("_metadata.file_path").alias("file_uri"), F.col("_metadata.file_block_start").alias("block"), F.col("value").cast("binary").alias("line")))
-    lines = text.join(files.select("file_uri", "file_path"), "file_uri").select("file_path", "block", "line")
-    lines = stage(lines.mapInArrow(_scan, _LINES), "lines")
+    lines = text.mapInArrow(_scan, _LINES).join(files.select("file_uri", "file_path"), "file_uri").drop("file_uri")
+    lines = stage(lines, "lines")
     known = lines.join(_block_starts(lines), ["file_path", "block"])
 
     def either(name: str):

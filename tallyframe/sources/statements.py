@@ -207,16 +207,18 @@ def read_statement_cells(spark: SparkSession, files: DataFrame) -> tuple[DataFra
     row as a header candidate (D1).  A file that cannot be parsed becomes a
     row of ``bad_files`` instead of failing the job (D13).  The folder is read as a
     whole and joined with the list of files: no path goes through the driver."""
-    known = stage(files.select("file_uri", "file_path", "folder"), "listed")
-    first = known.first()
-    if first is None:
+    known = stage(files.select("file_uri", "file_path", "folder", "modified_at"), "listed")
+    # one row; files older than the oldest of these are passed over by the readers
+    first = known.agg(F.min("folder").alias("folder"), F.date_format(F.min("modified_at") - F.expr("interval 1 second"), "yyyy-MM-dd'T'HH:mm:ss").alias("since")).first()
+    if first["folder"] is None:
         return spark.createDataFrame([], CELLS_SCHEMA), spark.createDataFrame([], BAD_SCHEMA)
     is_csv = F.lower("file_path").endswith(".csv")
     found = []
     if not known.filter(is_csv).isEmpty():
-        found.append(read_csv_cells(spark, first["folder"], known.filter(is_csv)))
+        found.append(read_csv_cells(spark, first["folder"], known.filter(is_csv), first["since"]))
     if not known.filter(~is_csv).isEmpty():
-        raw = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.[xX][lL][sS]*").load(first["folder"])
+        raw = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.[xX][lL][sS]*")
+               .option("modifiedAfter", first["since"]).load(first["folder"])
                .withColumn("path", _local_path(F.col("path"))))
         raw = raw.join(known.filter(~is_csv).select(F.col("file_path").alias("path")), "path", "left_semi").select("path", "content")
         found.append(raw.mapInPandas(_parse_files, CELLS_SCHEMA))

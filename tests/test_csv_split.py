@@ -33,8 +33,11 @@ def test_ranges_equal_whole_files(spark, scratch, block):
     texts = {}
     for i in range(12):
         text = "".join(rng.choice(PIECES) for _ in range(rng.choice([0, 3, 40, 200])))
+        inside = False
+        for line in text.split("\n"):
+            inside = csv_split.inside_after(line.encode(), inside)
         try:
-            rows = want(text)
+            rows = want(text.removesuffix("\n") if inside else text)
         except csv.Error:
             rows = None
         if text.count('"') % 2 == 0:
