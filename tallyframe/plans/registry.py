@@ -516,14 +516,10 @@ def q_processed_with_rule(spark, sf_dir):
 @register("csv_statement_files", O.with_base("""
 SELECT path, row_number, is_valid, transaction_hash FROM hashed"""))
 def q_csv_statement_files(spark, sf_dir):
-    import os
-    import uuid
-
     from ..operators.statements import clean_statements
-    from ..session import ensure_checkpoint_dir
     from ..sources.derived import PROCESSOR_CURRENCIES, statement_cells, write_statement_csv
     from ..sources.statements import discover_files, read_statement_cells
-    folder = os.path.join(ensure_checkpoint_dir(spark), "statement-files", uuid.uuid4().hex)
+    folder = _scratch(spark, "statement-files")
     write_statement_csv(statement_cells(spark, sf_dir), folder)
     files = discover_files(spark, folder, "csv")
     cells, _bad = read_statement_cells(spark, files)
@@ -566,11 +562,8 @@ def q_ingest_skipped_rows(spark, sf_dir):
 
 
 def _scratch(spark, name: str) -> str:
-    import os
-    import uuid
-
-    from ..session import ensure_checkpoint_dir
-    return os.path.join(ensure_checkpoint_dir(spark), name, uuid.uuid4().hex)
+    from ..session import scratch_path
+    return scratch_path(spark, name)
 
 
 # ---- K4 + K5 + ST2: a run written twice under one id; the stored rows and the
@@ -816,3 +809,39 @@ def q_reviewed_later(spark, sf_dir):
             .join(names, "enum_id", "left")
             .select("transaction_hash", F.lit("processed").alias("outcome"), "reason", "transaction_category", "currency", "rule_name", "name",
                     "processing_status", "total", "processed", "skipped", "duplicates", "auto_skipped"))
+
+
+# ---- K4 (replace): a rule per market segment; three of them change rules that are there,
+# which keep their place in the order of matching ------------------------------------------
+@register("replaced_rules", O.with_base("""
+, segs AS (SELECT DISTINCT c_mktsegment AS seg FROM customer),
+changes AS (
+  SELECT 100 + row_number() OVER (ORDER BY seg) AS id,
+         CASE seg WHEN 'FURNITURE' THEN 'furniture_shop' WHEN 'MACHINERY' THEN 'machines' WHEN 'HOUSEHOLD' THEN 'household_off'
+              ELSE lower(seg) || '_segment' END AS enum_name, lower(seg) AS pattern FROM segs),
+old(id, enum_name, pattern, category, is_active) AS (VALUES
+  (1, 'furniture_shop', 'furniture', 'shopping', true), (2, 'machines', 'machin', 'utilities', true), (2, 'machines', 'nation_1', 'utilities', true),
+  (3, 'cars', 'automobile', 'transport', true), (3, 'cars', '-urgent', 'transport', true), (4, 'household_off', 'household', 'other', false),
+  (6, 'usd_payments', ' usd', 'transfer', true), (7, 'france_spend', 'never-printed', 'transfer', false)),
+pats AS (
+  SELECT id, enum_name, pattern, category FROM old WHERE is_active AND enum_name NOT IN (SELECT enum_name FROM changes)
+  UNION ALL
+  SELECT coalesce((SELECT min(o.id) FROM old o WHERE o.enum_name = c.enum_name), c.id), c.enum_name, c.pattern, 'segment' FROM changes c),
+best AS (SELECT t.transaction_hash, min(p.id) AS enum_id FROM txn t LEFT JOIN pats p ON contains(lower(t.description), p.pattern) GROUP BY t.transaction_hash)
+SELECT b.transaction_hash, b.enum_id, p.enum_name, p.category AS enum_category
+FROM best b LEFT JOIN (SELECT DISTINCT id, enum_name, category FROM pats) p ON p.id = b.enum_id""".replace("\n, segs", ", segs", 1)))
+def q_replaced_rules(spark, sf_dir):
+    from ..operators.numbering import dense_number
+    from ..operators.rules import match_rules
+    from ..sources.derived import PROCESSOR, derived_rules
+    from ..sources.tables import read_table
+    from . import sinks
+    seg = F.col("c_mktsegment")
+    name = (F.when(seg == "FURNITURE", F.lit("furniture_shop")).when(seg == "MACHINERY", F.lit("machines"))
+            .when(seg == "HOUSEHOLD", F.lit("household_off")).otherwise(F.concat(F.lower(seg), F.lit("_segment"))))
+    segments = read_table(spark, sf_dir, "customer").select("c_mktsegment").distinct()
+    changes = dense_number(segments, ["c_mktsegment"], "id", 100).select(
+        "id", name.alias("enum_name"), F.array(F.lower(seg)).alias("patterns"), F.lit("segment").alias("category"),
+        F.lit(PROCESSOR).alias("processor_type"), F.lit(True).alias("is_active"))
+    rules = sinks.upsert_rules(derived_rules(spark), changes)
+    return match_rules(derived.transactions(spark, sf_dir), rules, PROCESSOR).select("transaction_hash", "enum_id", "enum_name", "enum_category")

@@ -81,6 +81,19 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or configured
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path under the shared checkpoint folder, for files that are not wanted
+    after the session; it does not exist yet, the folder around it goes at the end."""
+    import uuid
+
+    around = os.path.join(ensure_checkpoint_dir(spark), name, uuid.uuid4().hex)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(around)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(folder)
+    fs.deleteOnExit(folder)
+    return os.path.join(around, "data")
+
+
 def stage(df, name: str = "stage"):
     """Cut the lineage of ``df`` at a natural staging point of a run.
 
