@@ -5,7 +5,7 @@ ignored.  Every window of a benchmark item is hashed under every mask over the
 positions that count; training windows with an equal hash are hits, although
 words at ignored positions differ.  Around each hit the item is laid over the
 document and the equal words are counted: a stretch of ``reach`` words beyond the seed
-with at least ``percent`` % equal words is a leak.
+with at least ``percent`` % equal words is a leak, and so are ``run`` equal words in a row.
 
 Of a training text only windows are hashed that hold, at the right place, the
 longest counting word of some benchmark window (its anchor), so nearly all
@@ -28,6 +28,8 @@ MASKS = ("1101111011", "101110111", "1110110111")
 SEED_BLOCK = 200_000
 REACH = 8
 PERCENT = 80
+#: Unbroken equal words that are a leak by themselves: the smallest passage that is caught.
+RUN = 13
 
 _SPACE = " \t\n\x0b\x0c\r"
 
@@ -74,13 +76,17 @@ def seeds(benchmark: DataFrame, masks: tuple[str, ...], reach: int, item_col: st
     return reduce(DataFrame.unionByName, out)
 
 
-def _stretches(reach: int, percent: int) -> Column:
+def _stretches(reach: int, percent: int, run: int) -> Column:
     """The best verified stretch around a hit as (percent, lo, hi), null if none.
 
     ``equal`` tells for the item's words from ``reach`` before the seed to ``reach``
     after it whether the document has them (null: beyond the item).  A stretch
-    must hold a seed and ``reach`` words, or the whole item."""
-    out = []
+    must hold a seed and ``reach`` words, or the whole item; ``run`` equal words in
+    a row are one as well."""
+    signs = F.array_join(F.transform("equal", lambda e: F.when(e, F.lit("1")).otherwise(F.lit("0"))), "")
+    begin, size = F.locate("1" * run, signs), F.length(F.regexp_extract(signs, "1{%d,}" % run, 0))
+    lo = F.col("q") - reach + begin - 1
+    out = [F.when(begin > 0, F.struct(F.lit(100).alias("percent"), lo.alias("lo"), (lo + size).alias("hi")))]
     for before, after in ((reach, 0), (0, reach), (reach // 2, reach - reach // 2), (reach, reach)):
         part = F.slice("equal", reach - before + 1, F.col("span") + before + after)
         inside = F.filter(part, lambda e: e.isNotNull())
@@ -93,14 +99,16 @@ def _stretches(reach: int, percent: int) -> Column:
 
 
 def benchmark_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
-                    item_text_col: str = "text", masks: tuple[str, ...] = MASKS, reach: int = REACH, percent: int = PERCENT) -> DataFrame:
+                    item_text_col: str = "text", masks: tuple[str, ...] = MASKS, reach: int = REACH, percent: int = PERCENT,
+                    run: int = RUN) -> DataFrame:
     """(doc_id, item_id, hits, matched_percent, first_word, last_word) for every
     document and benchmark item that share a leak.
 
     A leak is a seed hit that verifies over the seed and ``reach`` words before it,
     after it, half of them on either side, or as many on both: at least ``percent``
     % of the item's words there are the document's; words of the item beyond the
-    document's ends count as different.  ``first_word``/``last_word`` are the
+    document's ends count as different.  ``run`` unbroken equal words (no more than a
+    seed and ``reach`` words on both sides) are a leak wherever they stand.  ``first_word``/``last_word`` are the
     document's word positions that the verified stretches span.  Null or empty texts and
     null ids leak nothing; repeated rows of an id count as one document; other
     columns are not looked at.  An empty table on either side gives an empty
@@ -132,7 +140,7 @@ def benchmark_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id
     # one short array for each hit, then narrow rows alone
     flagged = hits.select("doc_id", "item_id", "n", "q", "span", (F.col("p") - F.col("q")).alias("diagonal"), equal.alias("equal"))
     # a filter on a generated column stays above the join, which thus stays in generated code
-    best = flagged.select("*", F.explode_outer(F.array(_stretches(reach, percent))).alias("best"))
+    best = flagged.select("*", F.explode_outer(F.array(_stretches(reach, percent, run))).alias("best"))
     verified = (best.filter("best is not null")
                 .select("doc_id", "item_id", F.col("best.percent").alias("percent"),
                         F.greatest(F.col("best.lo") + F.col("diagonal"), F.lit(0)).alias("first"), (F.col("best.hi") + F.col("diagonal") - 1).alias("last")))

@@ -143,6 +143,10 @@ def best_fit_packing(docs: DataFrame, capacity: int = CAPACITY, group_rows: int
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.col(text_col).alias("text"))
     rows = stage(rows.mapInArrow(_measure, "doc_id long, source string, words long, cluster long"), "sizes")
     groups = max(1, -(-rows.count() // group_rows))
-    # copies have ids of their own, which spread them
-    dealt = rows.withColumn("bin_group", F.pmod(F.xxhash64("doc_id", "source", "words", "cluster"), F.lit(groups)).cast("int"))
+    # copies have ids of their own, which spread them; rows that repeat whole are spread by their place
+    keyed = rows.withColumn("_key", F.xxhash64("doc_id", "source", "words", "cluster"))
+    often = keyed.groupBy("_key").count().filter(F.col("count") > group_rows // 64 + 1).select("_key", F.lit(True).alias("_often"))
+    dealt = keyed.withColumn("_place", F.monotonically_increasing_id()).join(often, "_key", "left")
+    spread = F.when(F.col("_often"), F.xxhash64("_key", "_place")).otherwise(F.col("_key"))
+    dealt = dealt.withColumn("bin_group", F.pmod(spread, F.lit(groups)).cast("int")).drop("_key", "_place", "_often")
     return dealt.groupBy("bin_group").applyInArrow(_pack_group(capacity), _OUT)

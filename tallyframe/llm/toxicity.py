@@ -9,7 +9,7 @@ evidence is the summed weight per (damped) length, squashed to 0..1.
 The lexicon can be learned from labelled texts: tasks count in how many toxic
 and clean texts each folded word and word beginning occurs,
 counts are added up by a grouped aggregation, and only terms that clearly lean to
-toxic texts travel on (``MAX_TERMS`` at most).  Rarer terms are then looked for in
+toxic texts travel on (the bounded sample bounds them).  Rarer terms are then looked for in
 the toxic texts that the terms so far do not explain, until none is significant;
 how far to go is chosen by cross-validation.  A last pass over the same texts
 finds exception phrases and the evidence at which to call a text toxic.
@@ -34,8 +34,6 @@ from tallyframe.session import stage
 
 #: Labelled texts that the lexicon is learned from (smallest hash first).
 MAX_LABELLED = 20_000
-#: Entries of a lexicon and of its exceptions.
-MAX_TERMS = 20_000
 #: Lengths of word beginnings.
 STEMS = range(4, 8)
 #: Parts of the labelled texts for cross-validation, by a hash of the text.
@@ -83,7 +81,7 @@ def fold(text: str) -> str:
 
 def _features(words: list[str]) -> set[str]:
     """Words `` w `` and beginnings `` stem``."""
-    own = {w for w in words if len(w) <= 40}
+    own = set(words)
     out = {f" {w} " for w in own}
     for n in STEMS:
         out.update(" " + w[:n] for w in own if len(w) > n)
@@ -235,7 +233,7 @@ def _rounds(rows: DataFrame, least_toxic: int, least_leaning: float, least_share
             table, seen, n_seen = counts.join(rest, "term"), [F.col(c) for c in left], [n_rest[c] for c in left]
         new = [_significant(table, seen[v], n_seen[v], clean[v], n_clean[v], toxic[v], n_toxic[v], least_toxic, bar, least_share)
                if n_seen[v] >= least_toxic and n_clean[v] else {} for v in range(FOLDS + 1)]
-        grown = [dict(list({**more, **old}.items())[:MAX_TERMS]) if len(old) < MAX_TERMS else old for old, more in zip(terms, new, strict=True)]
+        grown = [{**more, **old} for old, more in zip(terms, new, strict=True)]
         if out and len(grown[-1]) == len(terms[-1]):
             break
         terms = grown
@@ -249,7 +247,7 @@ def _significant(table: DataFrame, seen, n_seen: int, clean, n_clean: int, toxic
     leaning = _leaning(seen, clean, n_seen, n_clean)
     weight = F.log((toxic + 0.1) / (n_toxic + 1.0)) - F.log((clean + 0.1) / (n_clean + 1.0))
     kept = (table.filter((F.col("term") != "") & (seen >= least_toxic) & (seen * n_clean > clean * n_seen) & (weight > 0) & (leaning >= bar))
-            .select("term", weight.alias("w"), leaning.alias("leaning")).orderBy(F.desc("leaning"), "term").limit(MAX_TERMS)).collect()
+            .select("term", weight.alias("w"), leaning.alias("leaning")).orderBy(F.desc("leaning"), "term")).collect()  # of the bounded sample
     return {r.term: float(r.w) for r in kept if r.leaning >= least_share * kept[0].leaning}
 
 
@@ -299,7 +297,7 @@ def learn_lexicon(texts: DataFrame, text_col: str = "text", label_col: str = "la
         return Lexicon({})
     seen = stage(rows.mapInArrow(_second_look(terms), "label int, rate double, pairs array<string>"), "seen")
     pairs = (seen.select("label", F.explode("pairs").alias("pair")).groupBy("pair").agg(F.sum("label").alias("toxic"), F.count("*").alias("n"))
-             .filter("toxic = 0 and n >= 3").orderBy(F.desc("n"), "pair").limit(MAX_TERMS))
+             .filter("toxic = 0 and n >= 3"))
     return Lexicon(terms, frozenset(r.pair for r in pairs.collect()),
                    best_cut([(r.rate, r.label) for r in seen.select("rate", "label").limit(MAX_LABELLED).collect()]))
 

@@ -93,3 +93,21 @@ def test_plan_has_no_python_and_no_text_shuffle(spark):
     plan = benchmark_leaks(docs, bench)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
     assert F is not None
+
+
+def test_thirteen_words_in_a_row_are_a_leak(spark):
+    item = [f"b{i}" for i in range(40)]
+    docs = [(1, " ".join(["x"] * 20 + item[11:24] + ["y"] * 20)), (2, " ".join(item[3:16])), (3, " ".join(["x"] * 9 + item[11:23] + ["y"] * 9)),
+            (4, " ".join(item[0:13])), (5, " ".join(item[27:40]) + " z"), (6, " ".join(["x", *item[5:17], "y"]))]
+    got = benchmark_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")).collect()
+    assert {r.doc_id: r.matched_percent for r in got} == {1: 100, 2: 100, 4: 100, 5: 100}
+    words = {d: t.split() for d, t in docs}
+    for r in got:
+        assert set(item) & set(words[r.doc_id]) <= set(words[r.doc_id][r.first_word: r.last_word + 1])
+
+
+def test_rows_that_repeat_whole_are_spread(spark):
+    from pyspark.sql import functions as F
+    rows = spark.range(30_000).select(F.lit(5).cast("long").alias("doc_id"), F.lit("same text").alias("text"), F.lit("s").alias("source"))
+    got = best_fit_packing(rows).groupBy("bin_group").count().collect()
+    assert sum(r["count"] for r in got) == 30_000 and len(got) == 8 and max(r["count"] for r in got) < 4_300
