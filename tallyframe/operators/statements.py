@@ -154,23 +154,27 @@ def get_text(key_name: str) -> Column:
     return cell_text(name)
 
 
-def essential_fields() -> Column:
-    """A date value and at least one Python-parsable amount."""
+def essential_fields(lenient_amounts: bool = False) -> Column:
+    """A date value and at least one Python-parsable amount; ``lenient_amounts``
+    (D2): or one that F1 can read, with grouping commas or a currency sign."""
     def value(idx: str) -> Column:
         return F.when(F.col(idx).isNotNull(), F.try_element_at(F.col("cells"), F.col(idx)))
 
     def present(v: Column) -> Column:
         return F.coalesce(v.isNotNull() & ~py_strip(v).isin(*BLANK_TEXTS), F.lit(False))
 
+    def amount(v: Column) -> Column:
+        return is_py_float(v) | validate_amount(v).isNotNull() if lenient_amounts else is_py_float(v)
+
     d, w, c = value("p2_date"), value("p2_withdrawal"), value("p2_deposit")
-    return present(d) & ((present(w) & is_py_float(w)) | (present(c) & is_py_float(c)))
+    return present(d) & ((present(w) & amount(w)) | (present(c) & amount(c)))
 
 
-def valid_rows(rows: DataFrame) -> DataFrame:
+def valid_rows(rows: DataFrame, lenient_amounts: bool = False) -> DataFrame:
     """P1 = P2 and not P3 and P4, as one filter."""
     remarks = get_text(KEY_REMARKS)
     non_blank = ~F.lower(py_strip(remarks)).isin("nan", "none", "")
-    return rows.filter(essential_fields() & ~is_header_like(remarks) & non_blank)
+    return rows.filter(essential_fields(lenient_amounts) & ~is_header_like(remarks) & non_blank)
 
 
 def with_row_numbers(df: DataFrame, part: str = "path", order: str = "sheet_row",
@@ -274,9 +278,9 @@ def raw_json(keys="keys", cells="cells") -> Column:
     return F.to_json(F.map_from_entries(last))
 
 
-def clean_statements(cells: DataFrame, currencies: Sequence[str] = ("INR",)) -> DataFrame:
+def clean_statements(cells: DataFrame, currencies: Sequence[str] = ("INR",), lenient_amounts: bool = False) -> DataFrame:
     """S3-S6, P1, W1, P5-P7, F7 in one chain: every kept statement row with
     its row number, typed columns, validity and hash."""
     headers = detect_header_rows(cells)
-    rows = valid_rows(rows_after_header(cells, headers))
+    rows = valid_rows(rows_after_header(cells, headers), lenient_amounts)
     return typed_transactions(with_row_numbers(rows), currencies)

@@ -27,9 +27,9 @@ class Adapter:
     currencies: tuple[str, ...]
 
 
-def make_adapter(currencies, file_type: str = "excel") -> Adapter:
+def make_adapter(currencies, file_type: str = "excel", lenient_amounts: bool = False) -> Adapter:
     cur = tuple(normalize_currency_config(currencies))
-    return Adapter(extract=read_statement_cells, transform=partial(clean_statements, currencies=cur),
+    return Adapter(extract=read_statement_cells, transform=partial(clean_statements, currencies=cur, lenient_amounts=lenient_amounts),
                    file_type=file_type, currencies=cur)
 
 

@@ -121,11 +121,14 @@ sr AS (
 )"""
 
 
-def _kept() -> str:
+def _kept(lenient: bool = False) -> str:
     d, w, dp, r = py_text("txn_date"), py_text("withdrawal"), py_text("deposit"), py_text("remarks")
     has_date = f"({strip(d)} NOT IN ('', 'nan', 'None'))"
-    has_w = f"({strip(w)} NOT IN ('', 'nan', 'None') AND {is_py_float(w)})"
-    has_d = f"({strip(dp)} NOT IN ('', 'nan', 'None') AND {is_py_float(dp)})"
+    def amount(x: str) -> str:
+        return f"({is_py_float(x)} OR {validate_amount(x)} IS NOT NULL)" if lenient else is_py_float(x)
+
+    has_w = f"({strip(w)} NOT IN ('', 'nan', 'None') AND {amount(w)})"
+    has_d = f"({strip(dp)} NOT IN ('', 'nan', 'None') AND {amount(dp)})"
     indicators = ["transaction remarks", "transaction date", "withdrawal amount", "deposit amount",
                   "balance", "cheque number"]
     header_like = " OR ".join(f"contains(lower({r}), '{i}')" for i in indicators)
@@ -202,9 +205,9 @@ splits AS (
 )"""
 
 
-def with_base(select: str) -> str:
+def with_base(select: str, lenient: bool = False) -> str:
     """Full statement with the shared CTE chain in front of ``select``."""
-    return "WITH " + ",".join([STATEMENT_ROWS, _kept(), _typed()]) + "\n" + select
+    return "WITH " + ",".join([STATEMENT_ROWS, _kept(lenient), _typed()]) + "\n" + select
 
 
 MONEY = "CAST(round(sum(CAST({x} AS DECIMAL(38,6))), 2) AS DOUBLE)"

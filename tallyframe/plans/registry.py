@@ -50,6 +50,16 @@ def q_statement_clean(spark, sf_dir):
     return derived.cleaned(spark, sf_dir).select(*CLEAN_COLS)
 
 
+# ---- D2: the same with amounts that hold grouping commas or a currency sign --
+@register("statement_clean_lenient", O.with_base(f"SELECT {', '.join(CLEAN_COLS)} FROM hashed", lenient=True))
+def q_statement_clean_lenient(spark, sf_dir):
+    from ..operators.statements import clean_statements
+    from ..session import stage
+    from ..sources.derived import PROCESSOR_CURRENCIES, statement_cells
+    cells = stage(statement_cells(spark, sf_dir), "cells")
+    return clean_statements(cells, PROCESSOR_CURRENCIES, lenient_amounts=True).select(*CLEAN_COLS)
+
+
 # ---- S3/S6: header row per statement file ----------------------------------
 @register("statement_headers", f"""
 WITH files AS (
