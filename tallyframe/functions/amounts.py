@@ -11,7 +11,7 @@ from __future__ import annotations
 import sys
 import unicodedata
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._util import as_col
@@ -41,7 +41,10 @@ def py_float(c) -> Column:
 
 def _plain_number(s: Column) -> Column:
     """Number text without the white space around it, in ASCII digits."""
-    t = py_strip(s)
+    return _ascii_digits(py_strip(s))
+
+
+def _ascii_digits(t: Column) -> Column:
     return F.when(t.rlike(r"[^\x00-\x7F]"), F.translate(t, _DIGITS, _WORTH)).otherwise(t)
 
 
@@ -59,13 +62,25 @@ def is_py_float(c) -> Column:
 
 def validate_amount(c) -> Column:
     """strip ``, ₹ $ €``, parse, keep 0 <= x <= 1e12 (NaN/inf -> null)."""
-    s = as_col(c)
-    cleaned = _plain_number(F.translate(s, AMOUNT_STRIP_CHARS, ""))
-    v = F.when(cleaned.rlike(_PY_FLOAT_RE), _try_double(cleaned))
+    cleaned = _plain_number(F.translate(as_col(c), AMOUNT_STRIP_CHARS, ""))
+    return _in_range(F.when(cleaned.rlike(_PY_FLOAT_RE), _try_double(cleaned)))
+
+
+def _in_range(v: Column) -> Column:
     # ``between`` is false for NaN, so NaN and +-inf drop out here.
     return F.when(v.between(F.lit(0.0), F.lit(AMOUNT_LIMIT)) & ~F.isnan(v), v).cast("double")
 
 
+def with_amounts(df: DataFrame, amounts: dict[str, str]) -> DataFrame:
+    """F1 for several text columns (new column -> text column).  Built in stages: the
+    stripped text, the number text and the number are each computed once and
+    referenced, where ``validate_amount`` repeats them inside its conditions."""
+    stripped = df.withColumns({f"{new}_s": py_strip(F.translate(F.col(text), AMOUNT_STRIP_CHARS, "")) for new, text in amounts.items()})
+    plain = stripped.withColumns({f"{new}_n": _ascii_digits(F.col(f"{new}_s")) for new in amounts})
+    number = plain.withColumns({f"{new}_v": F.when(F.col(f"{new}_n").rlike(_PY_FLOAT_RE), _try_double(F.col(f"{new}_n"))) for new in amounts})
+    return number.withColumns({new: _in_range(F.col(f"{new}_v")) for new in amounts}).drop(*[f"{new}_{x}" for new in amounts for x in "snv"])
+
+
 def py_float_str(c) -> Column:
     """Python ``str(float)`` for a double Column (null stays null).
 

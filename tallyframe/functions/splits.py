@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._util import as_col
@@ -36,6 +36,23 @@ def split_total(items) -> Column:
     return F.aggregate(as_col(items), F.lit(0.0), lambda acc, s: acc + s["percentage"])
 
 
+def _split_status(s: Column, items: Column, total: Column) -> Column:
+    return (
+        F.when(F.length(s) == 0, F.lit("none"))
+        .when((F.size(items) == 0) | (total > 100.0), F.lit("rejected"))
+        .otherwise(F.lit("ok"))
+    )
+
+
+def with_splits(df: DataFrame, spec: str) -> DataFrame:
+    """F15 as the columns ``split_status`` and ``splits``; the pieces are parsed once
+    a row, where ``parse_splits`` repeats them in every field."""
+    out = df.withColumn("_spec", py_strip(F.coalesce(F.col(spec), F.lit(""))))
+    out = out.withColumn("_items", F.when(F.length("_spec") > 0, parse_split_items("_spec")))
+    out = out.withColumn("split_status", _split_status(F.col("_spec"), F.col("_items"), split_total("_items")))
+    return out.withColumn("splits", F.when(F.col("split_status") == "ok", F.col("_items"))).drop("_spec", "_items")
+
+
 def parse_splits(spec) -> Column:
     """struct(status, splits, own_share).
 
@@ -44,11 +61,7 @@ def parse_splits(spec) -> Column:
     s = py_strip(F.coalesce(as_col(spec), F.lit("")))
     items = parse_split_items(s)
     total = split_total(items)
-    status = (
-        F.when(F.length(s) == 0, F.lit("none"))
-        .when((F.size(items) == 0) | (total > 100.0), F.lit("rejected"))
-        .otherwise(F.lit("ok"))
-    )
+    status = _split_status(s, items, total)
     return F.struct(
         status.alias("status"),
         F.when(status == "ok", items).alias("splits"),

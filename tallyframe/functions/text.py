@@ -7,7 +7,7 @@ matching Python's ``re`` defaults.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._util import as_col
@@ -66,10 +66,22 @@ def sanitize_text(c, max_length: int | None = None) -> Column:
     x = py_strip(as_col(c))
     if max_length:
         x = F.substring(x, 1, int(max_length))
-    x = html_escape(x)
+    return F.coalesce(_block(html_escape(x)), F.lit(""))
+
+
+def _block(x: Column) -> Column:
     for pattern, replacement in BLOCKED_REPLACEMENTS:
         x = F.regexp_replace(x, "(?iU)" + pattern, replacement.replace("$", "\\$"))
-    return F.coalesce(x, F.lit(""))
+    return x
+
+
+def with_sanitized(df: DataFrame, out: str, text: str, max_length: int | None = None) -> DataFrame:
+    """F3 as a column, in two stages: a text without any of the patterns, as nearly all
+    are, takes one test instead of a replacement for each."""
+    x = py_strip(F.col(text))
+    escaped = df.withColumn("_escaped", html_escape(F.substring(x, 1, int(max_length)) if max_length else x))
+    risky = F.col("_escaped").rlike("(?iU)" + "|".join(pattern for pattern, _ in BLOCKED_REPLACEMENTS))
+    return escaped.withColumn(out, F.coalesce(F.when(risky, _block(F.col("_escaped"))).otherwise(F.col("_escaped")), F.lit(""))).drop("_escaped")
 
 
 def is_safe_for_display(c) -> Column:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.splits import parse_splits
+from ..functions.splits import with_splits
 from ..session import stage
 from . import rules as R
 
@@ -83,26 +83,24 @@ def ingest_outcomes(batch: DataFrame, stored_hashes: DataFrame, skipped_hashes:
                .when(F.col("is_valid") & ~is_first & (own == "skipped") & F.lit(not reprocess_skipped),
                      F.lit("auto_skipped"))
                .otherwise(own))
-    split = parse_splits(F.col("splits_spec"))
     # ``outcome`` is its own projection so the reason below references it
     # instead of re-inlining the whole precedence chain.
     decided = rows.select("*", outcome.alias("outcome"), F.coalesce(is_first, F.lit(False)).alias("first_copy"))
     o = F.col("outcome")
-    out = decided.select(
+    out = with_splits(decided.select(
         "*",
         F.when(o == "invalid", F.lit(R.INVALID_REASON)).when(o == "skipped", F.col("_skip_reason"))
         .alias("skip_reason"),
-        split.alias("_split"),
-    )
+    ), "splits_spec")
+    splits = ["split_status", "splits"]
     return out.select(
-        *[c for c in out.columns if not c.startswith("_")],
+        *[c for c in out.columns if not c.startswith("_") and c not in splits],
         F.col("_new_enum_name").alias("new_enum_name"),
         F.col("_new_pattern").alias("new_pattern"),
         F.col("_existing_id").alias("existing_enum_id"),
         # the rule that the row uses: the match, unless a new pattern was asked for
         F.when(F.col("_matched"), F.col("enum_id")).otherwise(F.col("_existing_id")).alias("used_enum_id"),
-        F.col("_split.status").alias("split_status"),
-        F.col("_split.splits").alias("splits"),
+        *splits,
     )
 
 

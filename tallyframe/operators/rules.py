@@ -167,9 +167,10 @@ def resolve_decisions(df: DataFrame, categories: Sequence[str], auto_match: bool
     has_decision = F.col("action").isNotNull()
     matched = F.col("enum_id").isNotNull() & (F.col("action").isNull() | (F.col("action") != "new_pattern"))
     reason = F.length(py_strip(F.coalesce(F.col("reason"), F.lit(""))))
-    pattern = F.lower(py_strip(F.coalesce(F.col("pattern"), F.lit(""))))
-    pattern = F.when(pattern == "", suggested_pattern(F.col("description"))).otherwise(pattern)
-    new_name = enum_name_default(F.coalesce(F.col("d_enum_name"), F.lit("")), pattern)
+    # only rows that make a rule are asked for its pattern, and each once
+    df = df.withColumn("_typed", F.when(~matched & has_decision & (F.col("action") != "skip"), F.lower(py_strip(F.coalesce(F.col("pattern"), F.lit(""))))))
+    df = df.withColumn("_new_pattern", F.when(F.col("_typed") == "", suggested_pattern(F.col("description"))).otherwise(F.col("_typed"))).drop("_typed")
+    new_name = enum_name_default(F.coalesce(F.col("d_enum_name"), F.lit("")), F.col("_new_pattern"))
     return df.select(
         "*",
         F.when(F.col("action") == "skip", F.lit("skipped"))
@@ -179,8 +180,7 @@ def resolve_decisions(df: DataFrame, categories: Sequence[str], auto_match: bool
         .otherwise(F.lit("processed")).alias("_decided"),
         F.when(matched, F.lit(MATCH_SKIP_REASON)).otherwise(F.lit(NO_PATTERN_SKIP_REASON)).alias("_skip_reason"),
         matched.alias("_matched"),
-        F.when(~matched & has_decision & (F.col("action") != "skip"), pattern).alias("_new_pattern"),
-        F.when(~matched & has_decision & (F.col("action") != "skip"), new_name).alias("_new_enum_name"),
+        F.when(F.col("_new_pattern").isNotNull(), new_name).alias("_new_enum_name"),
     )
 
 

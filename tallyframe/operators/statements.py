@@ -14,11 +14,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.amounts import is_py_float, validate_amount
+from ..functions.amounts import is_py_float, validate_amount, with_amounts
 from ..functions.currency import currency_tags, single_hit
 from ..functions.dates import parse_statement_date
 from ..functions.hashing import transaction_hash
-from ..functions.text import is_header_like, py_strip, sanitize_text
+from ..functions.text import is_header_like, py_strip, with_sanitized
 from ..session import stage
 from .numbering import dense_number
 
@@ -237,20 +237,19 @@ def typed_transactions(rows: DataFrame, currencies: Sequence[str] = ("INR",),
         "*",
         F.when((F.col("_date_txt") != "") & (F.col("_date_txt") != "nan"),
                parse_statement_date(F.col("_date_txt"))).alias("_date"),
-        validate_amount(F.col("_w_txt")).alias("_debit"),
-        validate_amount(F.col("_d_txt")).alias("_credit"),
-        validate_amount(F.col("_b_txt")).alias("_balance"),
     )
+    parsed = with_amounts(parsed, {"_debit": "_w_txt", "_credit": "_d_txt", "_balance": "_b_txt"})
     parsed = _with_currency(parsed, currencies, decided_currency)
     flagged = parsed.withColumn(
         "is_valid",
         F.col("_date").isNotNull() & (F.col("_remarks_txt") != "") & (F.col("_remarks_txt") != "nan"))
+    flagged = with_sanitized(flagged, "_description", "_remarks_txt", DESCRIPTION_MAX_LENGTH)
     v = F.col("is_valid")
     typed = flagged.select(
         *rows.columns,
         "is_valid",
         F.when(v, F.col("_date")).alias("transaction_date"),
-        F.when(v, sanitize_text(F.col("_remarks_txt"), DESCRIPTION_MAX_LENGTH)).alias("description"),
+        F.when(v, F.col("_description")).alias("description"),
         F.when(v, F.col("_debit")).alias("debit_amount"),
         F.when(v, F.col("_credit")).alias("credit_amount"),
         F.when(v, F.col("_balance")).alias("balance"),
