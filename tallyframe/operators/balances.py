@@ -93,9 +93,23 @@ def unsettled_transactions(transactions: DataFrame, splits: DataFrame, person: s
         F.desc("transaction_date"), "transaction_hash", "split_id")
 
 
+#: Month (yyyyMM) of a transaction, where a layout has it as a partition column.
+MONTH = "txn_month"
+
+
+def month_number(date: Column) -> Column:
+    return F.year(date) * 100 + F.month(date)
+
+
 def person_transactions(transactions: DataFrame, splits: DataFrame, person: str,
                         start_date=None, end_date=None) -> DataFrame:
-    """J5 + P11: all of a person's split rows, optional inclusive range."""
+    """J5 + P11: all of a person's split rows, optional inclusive range.  Where
+    transactions are laid out by month, the range is a partition filter, too."""
+    if MONTH in transactions.columns:
+        if start_date is not None:
+            transactions = transactions.filter(F.col(MONTH) >= month_number(F.lit(start_date).cast("timestamp")))
+        if end_date is not None:
+            transactions = transactions.filter(F.col(MONTH) <= month_number(F.lit(end_date).cast("timestamp")))
     j = _person_join(transactions, splits, person)
     if start_date is not None:
         j = j.filter(F.col("transaction_date") >= F.lit(start_date).cast("timestamp"))

@@ -22,6 +22,7 @@ from ..sources.statements import discover_files
 from ..sources.tables import category_template
 from . import sinks
 from .adapters import get_adapter
+from .layout import HISTORY, known_keys
 
 
 def process_files(spark: SparkSession, folder: str, root: str, processor: str, rules: DataFrame, decide,
@@ -57,7 +58,7 @@ def process_files(spark: SparkSession, folder: str, root: str, processor: str, r
         cells, bad = adapter.extract(spark, files)
     cleaned = stage(adapter.transform(cells), "cleaned")
     batch = with_pending(cleaned, root, run_id)
-    outcomes = stage(ingest_outcomes(batch, history("transactions"), history("skipped_transactions"),
+    outcomes = stage(ingest_outcomes(batch, *[known_keys(spark, root, table, batch, run_id) for table in HISTORY],
                                      decide(batch.filter("is_valid")), known, processor, categories,
                                      currencies=adapter.currencies, rules_at_once=rules_at_once, auto_match=auto_match), "outcomes")
 

@@ -855,3 +855,32 @@ def q_replaced_rules(spark, sf_dir):
         F.lit(PROCESSOR).alias("processor_type"), F.lit(True).alias("is_active"))
     rules = sinks.upsert_rules(derived_rules(spark), changes)
     return match_rules(derived.transactions(spark, sf_dir), rules, PROCESSOR).select("transaction_hash", "enum_id", "enum_name", "enum_category")
+
+
+# ---- P11 + J5: a person's history over transactions in a folder per month ----------------
+@register("person_history_by_month", ORACLE["person_history"])
+def q_person_history_by_month(spark, sf_dir):
+    from .layout import lay_out_by_month
+    t, s = _person_frames(spark, sf_dir)
+    t = lay_out_by_month(t, _scratch(spark, "by-month"))
+    return balances.person_transactions(t, s, PERSON, "1996-01-01", "1998-12-31").drop("split_id")
+
+
+# ---- J1: every stored transaction against a history that is compacted in part: runs of
+# the years before 1996, compacted, and a run of 1996 that came after ----------------------
+@register("compacted_history", O.with_base("""
+SELECT transaction_hash, transaction_date < TIMESTAMP '1997-01-01' AS known FROM txn"""))
+def q_compacted_history(spark, sf_dir):
+    import os
+
+    from . import sinks
+    from .layout import compact_history, known_keys
+    root = _scratch(spark, "store")
+    txn = derived.transactions(spark, sf_dir).select("transaction_hash", F.year("transaction_date").alias("y"))
+    for run, years in (("old", F.col("y") < 1996), ("new", F.col("y") == 1996)):
+        txn.filter(years).select("transaction_hash").write.parquet(os.path.join(root, "transactions", f"run_id={run}", "attempt=a1"))
+        sinks.publish(spark, root, run, "a1")
+        if run == "old":
+            compact_history(spark, root)
+    known = known_keys(spark, root, "transactions", txn).distinct().withColumn("_known", F.lit(True))
+    return txn.join(known, "transaction_hash", "left").select("transaction_hash", F.coalesce("_known", F.lit(False)).alias("known"))

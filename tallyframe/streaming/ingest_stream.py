@@ -36,6 +36,7 @@ from ..operators.outcomes import ingest_outcomes
 from ..operators.statements import clean_statements
 from ..plans import sinks
 from ..plans.file_pipeline import with_learned, with_pending
+from ..plans.layout import HISTORY, known_keys
 from ..schemas import CELLS, DECISIONS, TRANSACTION_SPLITS
 from ..session import stage
 
@@ -58,15 +59,12 @@ def start_ingest_stream(spark: SparkSession, inbox: str, root: str, checkpoint:
         s = batch.sparkSession
         run_id = f"stream-{query_id(s, checkpoint)}-{batch_id:08d}"
 
-        def history(table: str) -> DataFrame:
-            return sinks.read_table(s, root, table, without_run=run_id)
-
         if ends is not None:
             batch = _whole_files(s, batch, root, run_id, ends)
         learned = sinks.read_table(s, root, "transaction_enums", run_id, versions=True)
         known = with_learned(rules, learned)
         cleaned = with_pending(stage(clean_statements(batch, currencies), "cleaned"), root, run_id)
-        out = ingest_outcomes(cleaned, history("transactions"), history("skipped_transactions"), decide(cleaned.filter("is_valid")), known,
+        out = ingest_outcomes(cleaned, *[known_keys(s, root, table, cleaned, run_id) for table in HISTORY], decide(cleaned.filter("is_valid")), known,
                               processor, categories, currencies=currencies)
         sinks.write_run(out, root, run_id, rules=known, processor=processor)
 
