@@ -7,12 +7,15 @@ order of that bound and a node below the current k-th score is cut.  The k-th
 score is shared: a first pass answers every query from its own shard alone, and
 the score found there is the floor from which all other shards start.
 
-Vectors are integers (floor(256 x)); scores are exact.
+Vectors are integers (floor(256 x)); scores are exact at any size.  Where a score
+may pass 2**53 the vectors are cut into digits of ``DIGIT_BITS`` bits: the products
+of two digit planes are exact in doubles and add up in Python integers.
 """
 
 from __future__ import annotations
 
 import heapq
+from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +29,13 @@ LEAF = 128
 SHARD_ROWS = 20_000
 QUERY_ROWS = 2_000
 SCALE = 256
+#: Integers of a vector are cut to this size.
+LARGEST = 2**55
+#: Bits of a digit: products of two over a million dimensions stay under 2**53.
+DIGIT_BITS = 16
 
-_FOUND = "query_id long, vec_id long, score long"
+_SCORE = pa.decimal128(38, 0)
+_FOUND = "query_id long, vec_id long, score decimal(38,0)"
 
 
 class BallTree:
@@ -65,7 +73,8 @@ class BallTree:
         """(scores, ids) of the k best per query, ties to the smaller id, among
         those that reach ``floor``; missing ones have id -1."""
         nq = len(query_ids)
-        best = np.full((nq, k), -np.inf)
+        plain = _fits_double(self.x, queries)
+        best = np.full((nq, k), -np.inf, dtype=np.float64 if plain else object)
         best_id = np.full((nq, k), -1, dtype=np.int64)
         q = queries.astype(np.float64)
         length = np.sqrt((q**2).sum(axis=1))
@@ -75,7 +84,7 @@ class BallTree:
         heap = [(-float(bound[:, 0].max(initial=-np.inf)), 0)]
         while heap:
             _, node = heapq.heappop(heap)
-            kth = np.maximum(best[:, -1], floor)
+            kth = np.maximum(best[:, -1].astype(np.float64), floor)
             alive = np.flatnonzero(bound[:, node] >= kth)
             if not len(alive):
                 continue
@@ -86,12 +95,12 @@ class BallTree:
                 continue
             # a ball of one point ties at best: useless unless an id is smaller
             if self.radius[node] == 0:
-                exact = q[alive] @ self.x[lo].astype(np.float64)
+                exact = _products(queries[alive], self.x[lo: lo + 1], plain)[:, 0]
                 alive = alive[(exact > best[alive, -1]) | (self.least[node] < best_id[alive, -1]) | (best_id[alive, -1] < 0)]
                 if not len(alive):
                     continue
             ids = self.ids[lo:hi]
-            score = q[alive] @ self.x[lo:hi].astype(np.float64).T
+            score = _products(queries[alive], self.x[lo:hi], plain)
             score[ids[None, :] == query_ids[alive][:, None]] = -np.inf
             self._merge(best, best_id, alive, score, ids, k)
         return best, best_id
@@ -100,12 +109,12 @@ class BallTree:
     def _merge(best, best_id, alive, score, ids, k):
         score = np.concatenate([best[alive], score], axis=1)
         ids = np.concatenate([best_id[alive], np.broadcast_to(ids, (len(alive), len(ids)))], axis=1)
-        ids = np.where(np.isneginf(score), np.iinfo(np.int64).max, ids)
+        ids = np.where(score == -np.inf, np.iinfo(np.int64).max, ids)
         first = np.argsort(ids, axis=1, kind="stable")
         order = np.take_along_axis(first, np.argsort(-np.take_along_axis(score, first, 1), axis=1, kind="stable"), 1)[:, :k]
         best[alive] = np.take_along_axis(score, order, 1)
         got = np.take_along_axis(ids, order, 1)
-        best_id[alive] = np.where(np.isneginf(best[alive]), -1, got)
+        best_id[alive] = np.where(best[alive] == -np.inf, -1, got)
 
 
 def _matrix(column) -> np.ndarray:
@@ -115,13 +124,40 @@ def _matrix(column) -> np.ndarray:
     out = np.zeros((len(rows), max(width, 1)), dtype=np.int64)
     for i, v in enumerate(rows):
         out[i, : len(v)] = v
-    if len(rows) and float(np.abs(out.astype(np.float64)).max()) ** 2 * out.shape[1] >= 2**53:
-        raise OverflowError("scores beyond 2**53 are not exact in a double")
     return out
 
 
+def _digits(m: np.ndarray) -> list[np.ndarray]:
+    """Planes d with m = sum of d[i] << (i * DIGIT_BITS); the last has the sign."""
+    planes = []
+    while True:
+        high = m >> DIGIT_BITS
+        if not len(m) or ((high == 0) | (high == -1)).all():
+            return [*planes, m.astype(np.float64)]
+        planes.append((m & ((1 << DIGIT_BITS) - 1)).astype(np.float64))
+        m = high
+
+
+def _products(queries: np.ndarray, x: np.ndarray, exact_in_double: bool) -> np.ndarray:
+    """Inner products of all queries with all vectors, as doubles where these are
+    exact, else as Python integers."""
+    if exact_in_double:
+        return queries.astype(np.float64) @ x.astype(np.float64).T
+    out = np.zeros((len(queries), len(x)), dtype=object)
+    for i, a in enumerate(_digits(queries)):
+        for j, b in enumerate(_digits(x)):
+            out += (a @ b.T).astype(np.int64).astype(object) * (1 << (DIGIT_BITS * (i + j)))
+    return out
+
+
+def _fits_double(x: np.ndarray, q: np.ndarray) -> bool:
+    """Whether no partial sum of a score can pass 2**53."""
+    top = [max((abs(int(m.min(initial=0))), abs(int(m.max(initial=0))))) for m in (x, q)]
+    return top[0] * top[1] * x.shape[1] < 2**53
+
+
 def _answer(k: int, left: pa.Table, right: pa.Table) -> pa.Table:
-    empty = pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.int64())})
+    empty = pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], _SCORE)})
     if not len(left) or not len(right):
         return empty
     x, q = _matrix(left.column("v")), _matrix(right.column("w"))
@@ -135,8 +171,8 @@ def _answer(k: int, left: pa.Table, right: pa.Table) -> pa.Table:
     for lo in range(0, len(q), QUERY_ROWS):
         ids = query_ids[lo: lo + QUERY_ROWS]
         score, found = tree.search(ids, q[lo: lo + QUERY_ROWS], k, floor[lo: lo + QUERY_ROWS])
-        i, j = np.nonzero(~np.isneginf(score))
-        out.append(pa.table({"query_id": pa.array(ids[i], pa.int64()), "vec_id": pa.array(found[i, j], pa.int64()), "score": pa.array(score[i, j].astype(np.int64), pa.int64())}))
+        i, j = np.nonzero(score != -np.inf)
+        out.append(pa.table({"query_id": pa.array(ids[i], pa.int64()), "vec_id": pa.array(found[i, j], pa.int64()), "score": pa.array([Decimal(int(s)) for s in score[i, j]], _SCORE)}))
     return pa.concat_tables(out) if out else empty
 
 
@@ -148,7 +184,8 @@ def exact_top_k(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id"
     ``is_query`` is a condition on ``vec_id``.  Components become
     floor(256 x); shorter vectors count as filled with zeros.  Vectors that are
     null or hold a null or non-finite component, and rows without an id, take no
-    part.  A row that repeats (equal id and vector) counts once; an id's own rows
+    part.  Integers beyond 2**55 count as that; a score is an exact decimal of 38
+    digits.  A row that repeats (equal id and vector) counts once; an id's own rows
     are no candidates of it.  Fewer than ``k`` candidates: all of them.  Returns
     (query_id, rank, vec_id, score).
     """
@@ -157,7 +194,7 @@ def exact_top_k(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id"
     rows = (vectors.select(F.col(id_col).cast("long").alias("vec_id"), x.cast("array<double>").alias("x"))
             .filter("vec_id is not null and x is not null")
             .filter(~F.exists("x", lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf"))))
-            .select("vec_id", F.transform("x", lambda c: F.floor(c * SCALE).cast("long")).alias("v")).distinct())
+            .select("vec_id", F.transform("x", lambda c: F.floor(F.greatest(F.least(c * SCALE, F.lit(float(LARGEST))), F.lit(-float(LARGEST)))).cast("long")).alias("v")).distinct())
     n = rows.count()
     shards = max(1, -(-n // shard_rows))
     rows = stage(rows.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int")), "vectors")

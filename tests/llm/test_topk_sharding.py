@@ -37,6 +37,24 @@ def test_top_k_equals_brute_force(spark, shard_rows_):
     assert got == brute_top(rows, 5, 50)
 
 
+@pytest.mark.parametrize("size", [5e6, 1e12, 1e14])
+def test_scores_beyond_a_double_are_exact(spark, size):
+    rng = random.Random(7)
+    near = [size * rng.uniform(0.5, 1) for _ in range(6)]
+    rows = [(i, [x * rng.choice([1, 1 - 2**-40, -1]) for x in near]) for i in range(150)]
+    rows += [(i, rows[0][1]) for i in range(150, 160)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    ints = {i: [int(np.floor(256 * x)) for x in v] for i, v in rows}
+    want = [(q, r + 1, i, -n) for q in range(0, 160, 50)
+            for r, (n, i) in enumerate(sorted((-sum(x * y for x, y in zip(ints[q], b, strict=True)), i) for i, b in ints.items() if i != q)[:5])]
+    assert sorted(tuple(r) for r in exact_top_k(df, F.expr("vec_id % 50 = 0"), k=5, shard_rows=40).collect()) == sorted(want)
+
+
+def test_components_are_cut_at_the_largest(spark):
+    df = spark.createDataFrame([(0, [1e300]), (1, [-1e300]), (2, [1e300])], "vec_id long, embedding array<double>")
+    assert [tuple(r) for r in exact_top_k(df, F.expr("vec_id = 0")).collect()] == [(0, 1, 2, 2**110), (0, 2, 1, -(2**110))]
+
+
 def test_top_k_few_candidates_and_empty(spark):
     df = spark.createDataFrame([(0, [1.0]), (1, [2.0])], VECTORS)
     assert [tuple(r) for r in exact_top_k(df, F.expr("vec_id = 0")).collect()] == [(0, 1, 1, 256 * 512)]
@@ -59,6 +77,34 @@ def test_shards(spark):
     assert len({r.shard for r in got if r.doc_id is None}) == 1
 
 
+def placed(key, tree):
+    """The shard of a row in plain Python: at every level the least of the weighted draws."""
+    import hashlib
+    import math
+
+    live, path, level = [s for s in tree if s.weight > 0], "", 0
+    while level < 3:
+        parts = {}
+        for s in live:
+            parts.setdefault((s.region, s.rack, str(s.shard))[level], []).append(s)
+
+        def draw(node):
+            bits = int(hashlib.md5(f"{key}|{path}/{node}".encode()).hexdigest()[:13], 16)
+            return -math.log((bits + 0.5) / 2**52) / sum(s.weight for s in parts[node])
+
+        node = next(iter(parts)) if len(parts) == 1 else min(parts, key=draw)
+        live, path, level = parts[node], f"{path}/{node}", level + 1
+    return live[0].shard
+
+
+def test_placement_equals_plain_python(spark):
+    df = spark.range(-500, 1500).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"))
+    tree = [Shard(s.region, s.rack, s.shard, 0.25 + s.shard % 3) for s in even_tree(8)]
+    more = grown(tree, 0.5)
+    for r in shard_rows(df, tree, more).collect():
+        assert (r.shard, r.grown_shard) == (placed(r.doc_id, tree), placed(r.doc_id, more))
+
+
 def test_weights_move_rows_within_their_subtree(spark):
     df = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"))
     tree = even_tree(8)
