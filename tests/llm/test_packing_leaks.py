@@ -111,3 +111,38 @@ def test_rows_that_repeat_whole_are_spread(spark):
     rows = spark.range(30_000).select(F.lit(5).cast("long").alias("doc_id"), F.lit("same text").alias("text"), F.lit("s").alias("source"))
     got = best_fit_packing(rows).groupBy("bin_group").count().collect()
     assert sum(r["count"] for r in got) == 30_000 and len(got) == 8 and max(r["count"] for r in got) < 4_300
+
+
+def tightest(rows, capacity):
+    """Best fit in plain Python: of all open bins that a piece fits and does not clash
+    with the one with the least room, the longest unchanged first."""
+    pieces = []
+    for i, (d, n, _, _) in enumerate(rows):
+        cuts = [capacity] * ((n - 1) // capacity) if n else []
+        pieces += [(-size, d is None, d or 0, i, p) for p, size in enumerate([*cuts, n - sum(cuts)])]
+    bins, out = [], []  # a bin: [room, when last filled, sources, clusters]
+    for when, (size, _, _, i, p) in enumerate(sorted(pieces)):
+        _, _, source, cluster = rows[i]
+        fit = [(b[0], b[1], k) for k, b in enumerate(bins) if b[0] >= -size and source not in b[2] and cluster not in b[3]]
+        if fit:
+            k = min(fit)[2]
+        else:
+            k = len(bins)
+            bins.append([capacity, 0, set(), set()])
+        bins[k][0] += size
+        bins[k][1] = when
+        bins[k][2].add(source)
+        bins[k][3].add(cluster)
+        out.append((k, i, p, p * capacity, -size))
+    return out, [b[0] for b in bins]
+
+
+def test_packing_equals_plain_python():
+    import random
+
+    from tallyframe.llm.packing import pack
+    for seed in range(30):
+        rng = random.Random(seed)
+        rows = [(rng.choice([None, *range(60)]), rng.choice([0, 3, 3, rng.randrange(40), 20, rng.randrange(90)]), rng.choice([None, *"abcdef"]), rng.randrange(25))
+                for _ in range(rng.choice([0, 1, 30, 150]))]
+        assert pack(rows, 20) == tightest(rows, 20)
