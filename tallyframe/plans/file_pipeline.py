@@ -56,7 +56,7 @@ def process_files(spark: SparkSession, folder: str, root: str, processor: str, r
         bad = spark.createDataFrame([], "path string, error string")
     else:
         cells, bad = adapter.extract(spark, files)
-    cleaned = stage(adapter.transform(cells), "cleaned")
+    cleaned = adapter.transform(cells)  # staged there
     batch = with_pending(cleaned, root, run_id)
     outcomes = stage(ingest_outcomes(batch, *[known_keys(spark, root, table, batch, run_id) for table in HISTORY],
                                      decide(batch.filter("is_valid")), known, processor, categories,

@@ -63,7 +63,7 @@ def start_ingest_stream(spark: SparkSession, inbox: str, root: str, checkpoint:
             batch = _whole_files(s, batch, root, run_id, ends)
         learned = sinks.read_table(s, root, "transaction_enums", run_id, versions=True)
         known = with_learned(rules, learned)
-        cleaned = with_pending(stage(clean_statements(batch, currencies), "cleaned"), root, run_id)
+        cleaned = with_pending(clean_statements(batch, currencies), root, run_id)
         out = ingest_outcomes(cleaned, *[known_keys(s, root, table, cleaned, run_id) for table in HISTORY], decide(cleaned.filter("is_valid")), known,
                               processor, categories, currencies=currencies)
         sinks.write_run(out, root, run_id, rules=known, processor=processor)

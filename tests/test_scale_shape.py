@@ -73,3 +73,23 @@ def test_rule_blocks_agree(spark, monkeypatch):
     everything = rules.unionByName(spark.createDataFrame([(0, "all", [""], "other", "p", True)], TRANSACTION_ENUMS))
     assert {r["enum_id"] for r in R.match_rules(df, everything, "p").collect()} == {0, None}
     assert {r["enum_id"] for r in R.match_rules(df, rules.limit(0), "p").collect()} == {None}
+
+
+def test_cleaned_rows_are_built_once(spark):
+    """Rows are read, filtered and numbered in one staged pass: what callers read
+    neither numbers them again nor holds the header keys of every row."""
+    from tallyframe.operators.statements import ROW_BUCKET, clean_statements
+    from tallyframe.sources.derived import HEADER_CELLS
+
+    at = [3, 7, ROW_BUCKET - 1, ROW_BUCKET, ROW_BUCKET + 5, 3 * ROW_BUCKET + 2]
+    data = [(p, r, [None, f" {r}　", "01-02-2024", f"shop {r}\t", "1_0.50" if r == 7 else "10.50", None, "$5"])
+            for p in ("b.csv", "a.csv") for r in at]
+    cells = spark.createDataFrame([(p, 1, HEADER_CELLS) for p in ("a.csv", "b.csv")] + data, "path string, sheet_row long, cells array<string>")
+    out = clean_statements(cells.repartition(5), ["INR", "USD"])
+    assert "Window" not in _plan(out)
+    scanned = [line for line in out._jdf.queryExecution().optimizedPlan().toString().splitlines() if "transaction_hash" in line and "Relation" in line]
+    assert scanned and not any("keys" in line for line in scanned)
+    rows = out.orderBy("position").collect()
+    assert [(r["path"], r["sheet_row"], r["row_number"]) for r in rows] == [(p, s, i + 1) for p in ("a.csv", "b.csv") for i, s in enumerate(at)]
+    assert {(r["debit_amount"], r["balance"], r["currency"]) for r in rows} == {(10.5, 5.0, "INR")}
+    assert [(r["reference_number"], r["description"]) for r in rows[:2]] == [("3", "shop 3"), ("7", "shop 7")]
