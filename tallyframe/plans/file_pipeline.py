@@ -50,7 +50,7 @@ def process_files(spark: SparkSession, folder: str, root: str, processor: str, r
     done = recorded.filter(F.col("processing_status") != "failed")
     files = stage(discover_files(spark, folder, file_type, processed=done), "files")
     learned = sinks.read_table(spark, root, "transaction_enums", run_id, versions=True)
-    known = with_learned(rules, learned)
+    known = stage(with_learned(rules, learned), "known")  # of known size: rows that it is joined with need no shuffle
     if files.isEmpty():
         cells = spark.createDataFrame([], "path string, sheet_row long, cells array<string>")
         bad = spark.createDataFrame([], "path string, error string")
@@ -58,9 +58,9 @@ def process_files(spark: SparkSession, folder: str, root: str, processor: str, r
         cells, bad = adapter.extract(spark, files)
     cleaned = adapter.transform(cells)  # staged there
     batch = with_pending(cleaned, root, run_id)
-    outcomes = stage(ingest_outcomes(batch, *[known_keys(spark, root, table, batch, run_id) for table in HISTORY],
-                                     decide(batch.filter("is_valid")), known, processor, categories,
-                                     currencies=adapter.currencies, rules_at_once=rules_at_once, auto_match=auto_match), "outcomes")
+    outcomes = sinks.stage_outcomes(ingest_outcomes(batch, *[known_keys(spark, root, table, batch, run_id) for table in HISTORY],
+                                                    decide(batch.filter("is_valid")), known, processor, categories,
+                                                    currencies=adapter.currencies, rules_at_once=rules_at_once, auto_match=auto_match))
 
     own = outcomes.filter(~F.col("reentered")) if "reentered" in outcomes.columns else outcomes
     status = (run_counters(own).select(F.col("path").alias("file_path"), "file_status")
@@ -75,7 +75,7 @@ def process_files(spark: SparkSession, folder: str, root: str, processor: str, r
         F.coalesce("_created", now).alias("created_at"), now.alias("updated_at"))
     found = merge_categories(category_template(spark, list(categories)),
                              discovered_categories(known, outcomes.filter(F.col("outcome") == "processed")))
-    sinks.write_run(outcomes, root, run_id, institution_id, rules=known, processor=processor, started=start, others={
+    sinks.write_run(outcomes, root, run_id, institution_id, rules=known, processor=processor, started=start, staged=outcomes, others={
         "institutions": sinks.conform(new_institution, TABLES["institutions"]),
         "processed_files": sinks.conform(records, TABLES["processed_files"]),
         "bad_files": bad,
@@ -101,10 +101,10 @@ def settle_reviews(spark: SparkSession, root: str, processor: str, rules: DataFr
         return sinks.read_table(spark, root, table, without_run=run_id)
 
     start = time.time()
-    known = with_learned(rules, sinks.read_table(spark, root, "transaction_enums", run_id, versions=True))
+    known = stage(with_learned(rules, sinks.read_table(spark, root, "transaction_enums", run_id, versions=True)), "known")
     pending = stage(sinks.pending_rows(spark, root, run_id), "pending")
     nothing = pending.withColumn("position", F.col("file_position")).drop("batch_version", "file_position").limit(0)
     batch = stage(sinks.reenter(nothing, pending), "batch")
-    outcomes = stage(ingest_outcomes(batch, history("transactions"), history("skipped_transactions"), decide(batch), known,
-                                     processor, categories, currencies=currencies, auto_match=auto_match), "outcomes")
-    sinks.write_run(outcomes, root, run_id, rules=known, processor=processor, started=start)
+    outcomes = sinks.stage_outcomes(ingest_outcomes(batch, history("transactions"), history("skipped_transactions"), decide(batch), known,
+                                                    processor, categories, currencies=currencies, auto_match=auto_match))
+    sinks.write_run(outcomes, root, run_id, rules=known, processor=processor, started=start, staged=outcomes)
