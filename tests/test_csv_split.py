@@ -109,3 +109,21 @@ def test_a_workbook_that_breaks_off(spark, scratch):
     cells, bad = ST.read_statement_cells(spark, ST.discover_files(spark, scratch, "excel"))
     assert [os.path.basename(r["path"]) for r in bad.collect()] == ["cut.xlsx"]
     assert cells.filter("path like '%good.xlsx'").count() == 30
+
+
+def test_cells_are_not_shuffled_by_file(spark, scratch):
+    """Range starts and unreadable files are small frames of known size: neither lines
+    nor cells move to one task per file."""
+    from tallyframe.sources.statements import discover_files, read_statement_cells
+
+    folder = os.path.join(scratch, "in")
+    os.makedirs(folder)
+    with open(os.path.join(folder, "a.csv"), "w") as f:
+        f.write("x,\"two\nlines\",z\nplain,1,2\n")
+    with open(os.path.join(folder, "b.csv"), "wb") as f:
+        f.write(b"\xff\xfe\x00,bad\n")
+    cells, bad = read_statement_cells(spark, discover_files(spark, folder, "csv"))
+    plan = cells._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+    assert [(r["sheet_row"], r["cells"]) for r in cells.orderBy("sheet_row").collect()] == [(0, ["x", "two\nlines", "z"]), (1, ["plain", "1", "2"])]
+    assert [os.path.basename(r["path"]) for r in bad.collect()] == ["b.csv"]
