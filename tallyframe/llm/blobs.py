@@ -26,7 +26,8 @@ _ARROW = pa.schema([("bucket", pa.int32()), ("hash", pa.binary()), ("id", pa.bin
 class Combiner:
     """Gathers (hash, id) entries; ``flush`` yields one row per bucket.
 
-    Of entries with equal hash only the smallest id is sent.  The other ids are
+    Of entries with equal hash only the smallest id is sent (``keep="id"``: as many
+    of the smallest as ``most`` gives for the hashes).  The other ids are
     sent as (a, b) columns of some row, for they need no meeting with other
     tasks: ``b`` is the id, ``a`` is the hash or (``keep="id"``) the smallest id
     that it is connected with.  ``keep="lead"`` is the hash, with the smallest id of
@@ -34,8 +35,8 @@ class Combiner:
     ``lead`` adds the smallest id of a repeated hash to (a, b), too.
     """
 
-    def __init__(self, buckets: int, keep: str, lead: bool = False):
-        self.buckets, self.keep, self.lead = buckets, keep, lead
+    def __init__(self, buckets: int, keep: str, lead: bool = False, most=None):
+        self.buckets, self.keep, self.lead, self.most = buckets, keep, lead, most
         self.hashes: list[np.ndarray] = []
         self.ids: list[np.ndarray] = []
         self.size = 0
@@ -54,9 +55,14 @@ class Combiner:
             return
         h, d = np.concatenate(self.hashes), np.concatenate(self.ids)
         self.hashes, self.ids, self.size = [], [], 0
-        h, d, lead = grouped(h, d)
-        new = np.concatenate([[True], h[1:] != h[:-1]])
-        rest = d != lead
+        if self.keep == "id":
+            h, d, lead, place, _ = distinct(h, d)
+            rest = place >= (1 if self.most is None else self.most(h))
+            new = ~rest
+        else:
+            h, d, lead = grouped(h, d)
+            new = np.concatenate([[True], h[1:] != h[:-1]])
+            rest = d != lead
         if self.lead:
             group = np.cumsum(new) - 1
             repeated = np.zeros(group[-1] + 1, dtype=bool)
@@ -67,7 +73,7 @@ class Combiner:
         else:
             a, b = stars(lead[rest], d[rest])
         c = lead[rest]
-        h, d = h[new], lead[new]
+        h, d = h[new], d[new] if self.keep == "id" else lead[new]
         # hashes are sorted: a bucket is a range of them
         which = bucket_of(h, self.buckets)
         cut = np.searchsorted(which, np.arange(self.buckets + 1))
@@ -129,6 +135,24 @@ def grouped(h: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.nd
     return h, d, np.repeat(np.minimum.reduceat(d, at), np.diff(np.append(at, len(h))))
 
 
+def distinct(h: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, id, smallest id of the hash, place among its ids, number of its ids),
+    without repeats, in the order of hash and id."""
+    order = np.argsort(h)
+    h, d = h[order], d[order]
+    del order
+    same = h[1:] == h[:-1]
+    many = np.flatnonzero(np.concatenate([same, [False]]) | np.concatenate([[False], same])) if len(h) else np.zeros(0, np.int64)
+    d[many] = d[many][np.lexsort((d[many], h[many]))]  # most hashes have one id
+    again = np.flatnonzero(same & (d[1:] == d[:-1])) + 1
+    h, d = np.delete(h, again), np.delete(d, again)
+    if not len(h):
+        return h, d, d, np.zeros(0, np.int64), np.zeros(0, np.int64)
+    at = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+    size = np.diff(np.append(at, len(h)))
+    return h, d, np.repeat(d[at], size), np.arange(len(h)) - np.repeat(at, size), np.repeat(size, size)
+
+
 def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(smallest of its component, node) for the other nodes of the links (a, b)."""
     nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)

@@ -7,14 +7,18 @@ Which row blocks can hold a link at all is settled first, exactly:
    counter stands out are common.
 2. *Size-derived bound.*  A pair that links at similarity t differs in at most
    ``(1 - t) / (1 + t) * (|A| + |B|)`` columns.  The hash space is cut into more
-   parts than that, so a linked pair has an identical non-empty part, also when
-   common columns are left out; a document that is left with too few parts
+   parts than that, so a linked pair has a number of identical non-empty parts, also
+   when common columns are left out; a document that is left with too few parts
    uses its full parts as well.  Sizes are banded (ratio t), a document hashes
    its parts for its own band and for the next, so both sides of a pair meet in
-   the band of the larger one.  Documents with an equal part are chained to the
-   smallest id (combined before the shuffle, so a hot part costs one entry a
-   task) and the chains' connected components are the candidate clusters: no link
-   leaves one, and lines that many documents share chain nothing.
+   the band of the larger one.  How many equal parts a linked pair has at least
+   (the same for all parts of a band) travels in the low bits of their hashes.
+   Of parts that up to ``GROUP`` documents share, equal ones are counted by pair, and
+   pairs below that number are discarded; documents with a part that more share are
+   chained to the smallest id (combined before the shuffle, so a hot part costs a
+   few entries a task).  The connected components of both are the candidate
+   clusters: no link leaves one, and neither lines that many documents share nor
+   what two unrelated documents happen to share chains anything.
 3. Documents with equal n-gram sets are one class, only its smallest id goes on.
 4. A cluster is cut into blocks of bounded rows and columns (by size band and a
    hash).  For each pair of blocks whose bands are compatible, one task
@@ -27,7 +31,8 @@ Which row blocks can hold a link at all is settled first, exactly:
 from __future__ import annotations
 
 import math
-from fractions import Fraction
+import zlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -49,6 +54,10 @@ SLOTS = 1 << 21
 _SLOT_SHIFT = np.uint64(64 - SLOTS.bit_length() + 1)
 #: Rows that a task's counters are sent in.
 SLICES = 16
+#: Documents of an equal part whose pairs are counted; more are chained.
+GROUP = 8
+#: Low bits of a part's hash: the equal parts asked of a pair.
+_ASKED = np.uint64(63)
 
 
 def band_of(n: int, percent: int) -> int:
@@ -56,12 +65,18 @@ def band_of(n: int, percent: int) -> int:
     return int(math.log(n) / math.log(100 / (percent - 1)))
 
 
-def band_parts(band: int, percent: int) -> tuple[int, int]:
-    """(parts, most parts that may differ) for pairs whose larger is in ``band``."""
+@lru_cache(None)
+def band_parts(band: int, percent: int) -> tuple[int, int, int]:
+    """(parts, largest size, equal parts asked of a pair) for pairs whose larger is
+    in ``band``."""
     top = math.ceil((100 / (percent - 1)) ** (band + 1)) + 1
-    t = Fraction(percent, 100)
-    differ = math.floor((1 - t) / (1 + t) * 2 * top)
-    return math.ceil(differ * 1.1) + 3, differ
+    differ = (100 - percent) * 2 * top // (100 + percent)
+    return math.ceil(differ * 1.1) + 3, top, min(2 + differ // 16, int(_ASKED)) if differ else 1
+
+
+def asked(h: np.ndarray) -> np.ndarray:
+    """How many equal parts a pair must have to be linked, by a part's hash."""
+    return (h & _ASKED).astype(np.int64)
 
 
 def _parts_of(grams: np.ndarray, parts: int, tag: int) -> np.ndarray:
@@ -75,16 +90,31 @@ def _parts_of(grams: np.ndarray, parts: int, tag: int) -> np.ndarray:
 
 def part_hashes(grams: np.ndarray, common: np.ndarray, band: int, percent: int) -> np.ndarray:
     """Part hashes of a sorted set for pairs of ``band``: of the parts without
-    common columns, and where these are too few to be sure of an identical one,
-    of the full parts; if these are too few as well, one that such sets share."""
-    parts, differ = band_parts(band, percent)
-    out = _parts_of(grams[~common], parts, 3 * band)
-    if len(out) > differ:
-        return out
-    full = _parts_of(grams, parts, 3 * band + 1)
-    if len(full) <= differ:
-        full = np.append(full, mix(np.array([3 * band + 2], dtype=np.uint64)))
-    return np.concatenate([out, full])
+    common columns, and where these are too few to be sure of as many identical ones
+    as are asked, of the full parts; if these are too few as well, of the full parts
+    with a single one asked, and if not even that is sure, one that such sets share.
+
+    Of two linked sets, the one that stops first has so many parts of its last
+    kind that those asked are among the other's, whatever differs."""
+    parts, top, ask = band_parts(band, percent)
+    n = len(grams)
+    differ = (100 - percent) * (n + min(top, 100 * n // percent)) // (100 + percent)
+
+    def asking(h, number):
+        return (h & ~_ASKED) | np.uint64(number)
+
+    out = _parts_of(grams[~common], parts, 4 * band)
+    hashes = [asking(out, ask)]
+    if len(out) >= differ + ask:
+        return hashes[0]
+    full = _parts_of(grams, parts, 4 * band + 1)
+    hashes.append(asking(full, ask))
+    if len(full) < differ + ask:
+        if ask > 1:
+            hashes.append(asking(mix(full), 1))
+        if len(full) <= differ:
+            hashes.append(asking(mix(np.array([4 * band + 2], dtype=np.uint64)), 1))
+    return np.concatenate(hashes)
 
 
 def common_slots(counts: np.ndarray, entries: int) -> np.ndarray:
@@ -103,14 +133,24 @@ def _sets_of(batch: pa.RecordBatch, k: int):
             yield d, s
 
 
-_PROFILE = "doc_id long, n long, f1 long, f2 long, slice int, slots binary, counts binary"
+_PROFILE = "doc_id long, n long, f1 long, f2 long, slice int, counts binary"
 _PROFILE_ARROW = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()),
-                            ("slice", pa.int32()), ("slots", pa.binary()), ("counts", pa.binary())])
+                            ("slice", pa.int32()), ("counts", pa.binary())])
+
+
+def packed_counts(part: np.ndarray) -> bytes:
+    """Counters up to 65,535, as their low bytes and their high bytes, deflated: a
+    task's counters are mostly small and would be as large as its text."""
+    return zlib.compress(np.minimum(part, 65535).astype("<u2").view(np.uint8).reshape(-1, 2).T.tobytes(), 1)
+
+
+def unpacked_counts(raw) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zlib.decompress(raw), dtype=np.uint8).reshape(2, -1).T).view("<u2").ravel()
 
 
 def _profiles(k: int):
     """A row per document (size and fingerprint of its set), and at last the
-    task's counters that are not zero, in slices."""
+    task's counters, in slices (without those that are all zero)."""
     def run(batches):
         counts = np.zeros(SLOTS, dtype=np.uint32)
         waiting, held = [], 0
@@ -134,10 +174,8 @@ def _profiles(k: int):
         size = SLOTS // SLICES
         for i in range(SLICES):
             part = counts[i * size: (i + 1) * size]
-            at = np.flatnonzero(part).astype(np.uint32)
-            if len(at):
-                times = np.minimum(part[at], 65535).astype(np.uint16)
-                yield pa.RecordBatch.from_pylist([{"slice": i, "slots": at.tobytes(), "counts": times.tobytes()}], schema=_PROFILE_ARROW)
+            if part.any():
+                yield pa.RecordBatch.from_pylist([{"slice": i, "counts": packed_counts(part)}], schema=_PROFILE_ARROW)
     return run
 
 
@@ -151,8 +189,8 @@ def _common(entries: int):
     def run(table: pa.Table) -> pa.Table:
         size = SLOTS // SLICES
         total = np.zeros(size, dtype=np.int64)
-        for slots, counts in zip(table.column("slots"), table.column("counts"), strict=True):
-            total[np.frombuffer(slots.as_buffer(), dtype=np.uint32)] += np.frombuffer(counts.as_buffer(), dtype=np.uint16)
+        for counts in table.column("counts"):
+            total += unpacked_counts(counts.as_buffer())
         bits = np.packbits(common_slots(total, entries)).tobytes()
         return pa.table({"slice": table.column("slice").slice(0, 1), "bits": pa.array([bits], pa.binary())})
     return run
@@ -160,7 +198,7 @@ def _common(entries: int):
 
 def _parts(k: int, percent: int, buckets: int, slots):
     def run(batches):
-        box = blobs.Combiner(buckets, keep="id")
+        box = blobs.Combiner(buckets, keep="id", most=lambda h: np.where(asked(h) > 1, GROUP + 1, 1))
         stands_out = np.unpackbits(np.frombuffer(slots.value, dtype=np.uint8)).astype(bool)
         for batch in batches:
             for d, s in _sets_of(batch, k):
@@ -176,13 +214,39 @@ def _parts(k: int, percent: int, buckets: int, slots):
 
 
 def _chain(table: pa.Table) -> pa.Table:
-    """What a bucket's equal parts connect, as stars on the smallest ids."""
-    h, d, lead = blobs.grouped(blobs.unpack(table, "hash", np.uint64), blobs.unpack(table, "id", np.int64))
+    """What a bucket's equal parts connect, as stars on the smallest ids, and for
+    pairs that are still to be settled, how many equal parts they have here (``equal``)
+    and must have in all (``asked``)."""
+    h, d, lead, place, size = blobs.distinct(blobs.unpack(table, "hash", np.uint64), blobs.unpack(table, "id", np.int64))
+    shared = size > 1
+    h, d, lead, place, size = h[shared], d[shared], lead[shared], place[shared], size[shared]
+    ask = asked(h)
     del h
-    more = d != lead
-    root, node = blobs.stars(np.concatenate([blobs.unpack(table, "a", np.int64), lead[more]]),
-                             np.concatenate([blobs.unpack(table, "b", np.int64), d[more]]))
-    return pa.table({"a": pa.array(root, pa.int64()), "b": pa.array(node, pa.int64())})
+    pairs = (size <= GROUP) & (ask > 1)
+    x, y, number = [], [], []
+    for k in range(1, GROUP):
+        i = np.flatnonzero(pairs & (place + k < size))
+        x.append(d[i])
+        y.append(d[i + k])
+        number.append(ask[i])
+    x, y, number = np.concatenate(x), np.concatenate(y), np.concatenate(number)
+    order = np.lexsort((y, x))
+    x, y, number = x[order], y[order], number[order]
+    at = np.flatnonzero(np.concatenate([[True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])])) if len(x) else np.zeros(0, np.int64)
+    x, y, equal = x[at], y[at], np.diff(np.append(at, len(x)))
+    number = np.minimum.reduceat(number, at) if len(at) else number
+    more, sure = ~pairs & (place > 0), equal >= number
+    root, node = blobs.stars(np.concatenate([blobs.unpack(table, "a", np.int64), lead[more], x[sure]]),
+                             np.concatenate([blobs.unpack(table, "b", np.int64), d[more], y[sure]]))
+
+    def root_of(ids):
+        i = np.minimum(np.searchsorted(node, ids), max(len(node) - 1, 0))
+        return np.where(node[i] == ids, root[i], ids) if len(node) else ids
+
+    left = root_of(x) != root_of(y)
+    one = np.ones(len(root), dtype=np.int32)
+    return pa.table({"a": pa.array(np.concatenate([root, x[left]]), pa.int64()), "b": pa.array(np.concatenate([node, y[left]]), pa.int64()),
+                     "equal": pa.array(np.concatenate([one, equal[left]]), pa.int32()), "asked": pa.array(np.concatenate([one, number[left]]), pa.int32())})
 
 
 def overlaps(rows: list[np.ndarray], cols: list[np.ndarray]) -> np.ndarray:
@@ -292,7 +356,7 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     profile = stage(own.mapInArrow(_profiles(words), _PROFILE), "profiles")
     total = profile.agg(F.sum("n")).first()[0] or 0
-    bits = (profile.filter("slice is not null").select("slice", "slots", "counts").groupBy("slice")
+    bits = (profile.filter("slice is not null").select("slice", "counts").groupBy("slice")
             .applyInArrow(_common(total), "slice int, bits binary").collect())  # a bit a slot, whatever the input
     found = {r["slice"]: bytes(r["bits"]) for r in bits}
     slots = spark.sparkContext.broadcast(b"".join(found.get(i, bytes(SLOTS // SLICES // 8)) for i in range(SLICES)))
@@ -305,7 +369,9 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = blobs.n_buckets(total * (100 - percent) // 30, min(shuffles, 12))
-    chains = own.mapInArrow(_parts(words, percent, buckets, slots), blobs.SCHEMA).groupBy("bucket").applyInArrow(_chain, "a long, b long")
+    chains = (own.mapInArrow(_parts(words, percent, buckets, slots), blobs.SCHEMA).groupBy("bucket")
+              .applyInArrow(_chain, "a long, b long, equal int, asked int")
+              .groupBy("a", "b").agg(F.sum("equal").alias("equal"), F.min("asked").alias("asked")).filter("equal >= asked"))
     clusters = stage(connected_components(chains), "clusters")
 
     # members that stand for a class, with their blocks

@@ -102,3 +102,84 @@ def test_a_long_path_is_one_component(spark):
     links = spark.createDataFrame(list(zip(order, order[1:])), "a long, b long")
     got = connected_components(links).collect()
     assert len(got) == n and {r["component"] for r in got} == {0}
+
+
+def test_linked_sets_share_as_many_parts_as_are_asked():
+    rng = np.random.default_rng(2)
+    linked = 0
+    for k in range(600):
+        percent = (80, 85)[k % 2]
+        n = int(rng.integers(1, 600))
+        a = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64) * np.uint64(2))
+        drop = int(rng.uniform(0, 0.21) * len(a))
+        b = np.sort(np.concatenate([a[drop:], rng.integers(0, 2**63, int(rng.integers(0, drop + 1)), dtype=np.uint64)]))
+        both = len(np.intersect1d(a, b))
+        if 100 * both < percent * (len(a) + len(b) - both):
+            continue
+        linked += 1
+        some = rng.uniform(0, 1)  # this share of all columns is common
+        parts = [np.concatenate([similarity.part_hashes(s, similarity.mix(s) < np.uint64(int(some * 2**64)), similarity.band_of(len(s), percent) + i, percent) for i in (0, 1)])
+                 for s in (a, b)]
+        equal = np.intersect1d(*parts)
+        assert len(equal) and len(equal) >= similarity.asked(equal).min()
+    assert linked > 200
+
+
+def test_equal_parts_are_counted_over_flushes_and_buckets():
+    from tallyframe.llm import blobs
+    rng = np.random.default_rng(3)
+    ids = rng.integers(-2**62, 2**62, 60)
+    keys = {}  # key: (asked, ids); equal keys of a pair count, hot keys chain
+    for k in range(400):
+        number = (1, 2, 3, 5)[k % 4]
+        size = int(rng.integers(1, 5)) if k % 50 else 30
+        keys[(int(rng.integers(0, 2**58)) << 6) | number] = (number, {int(x) for x in rng.choice(ids[:40] if number > 1 else ids, size, replace=False)})
+    same, links = {}, set()
+    for number, members in keys.values():
+        m = sorted(members)
+        if number == 1 or len(m) > similarity.GROUP:
+            links |= {(m[0], x) for x in m[1:]}
+        else:
+            for i, x in enumerate(m):
+                for y in m[i + 1:]:
+                    n, r = same.get((x, y), (0, number))
+                    same[x, y] = (n + 1, min(r, number))
+    links |= {p for p, (n, r) in same.items() if n >= r}
+    want = dict(zip(*(x.tolist() for x in blobs.stars(*(np.array(c) for c in zip(*links)))[::-1])))
+    entries = [(h, d) for h, (_, m) in keys.items() for d in m] * 2  # rows that come twice
+    random.Random(4).shuffle(entries)
+    batches, box = [], blobs.Combiner(5, keep="id", most=lambda h: np.where(similarity.asked(h) > 1, similarity.GROUP + 1, 1))
+    for i in range(0, len(entries), 200):
+        h, d = zip(*entries[i: i + 200])
+        box.add(np.array(h, dtype=np.uint64), np.array(d, dtype=np.int64))
+        batches += box.flush()
+    pairs = {}
+    table = similarity.pa.Table.from_batches(batches)
+    for k in range(5):
+        out = similarity._chain(table.filter(similarity.pa.array([x == k for x in table.column("bucket").to_pylist()]))).to_pylist()
+        for r in out:
+            n, least = pairs.get((r["a"], r["b"]), (0, r["asked"]))
+            pairs[r["a"], r["b"]] = (n + r["equal"], min(least, r["asked"]))
+    found = [p for p, (n, r) in pairs.items() if n >= r]
+    assert dict(zip(*(x.tolist() for x in blobs.stars(*(np.array(c) for c in zip(*found)))[::-1]))) == want
+
+
+def test_documents_that_share_passages_make_no_cluster(spark, monkeypatch):
+    rng, staged = random.Random(6), {}
+    passages = [" ".join(f"p{rng.randrange(10**6)}" for _ in range(48)) for _ in range(1000)]
+    docs = {i: " ".join(passages[3 * i: 3 * i + 5]) for i in range(300)}  # two of five are the next document's
+    stage = similarity.stage
+    monkeypatch.setattr(similarity, "stage", lambda df, name: staged.setdefault(name, stage(df, name)))
+    got = {r.doc_id: r.component_id for r in ngram_jaccard_join(spark.createDataFrame(list(docs.items()), SCHEMA)).collect()}
+    assert got == {i: i for i in docs}
+    assert staged["members"].count() < 120  # 298 where one equal part chains
+
+
+def test_counters_are_sent_small():
+    rng = np.random.default_rng(5)
+    text = similarity.pa.array([" ".join(f"w{x}" for x in rng.integers(0, 10**6, 20_000)) for _ in range(20)])
+    batch = similarity.pa.RecordBatch.from_arrays([similarity.pa.array(range(20)), text], ["doc_id", "text"])
+    rows = [r for b in similarity._profiles(5)([batch]) for r in b.to_pylist() if r["slice"] is not None]
+    assert sum(len(x) for r in rows for x in r.values() if isinstance(x, bytes)) < 1_000_000
+    counts = np.array([0, 1, 255, 256, 65535, 70000], dtype=np.uint32)
+    assert similarity.unpacked_counts(similarity.packed_counts(counts)).tolist() == [0, 1, 255, 256, 65535, 65535]
