@@ -213,10 +213,45 @@ def _parts(k: int, percent: int, buckets: int, slots):
     return run
 
 
-def _chain(table: pa.Table) -> pa.Table:
-    """What a bucket's equal parts connect, as stars on the smallest ids, and for
-    pairs that are still to be settled, how many equal parts they have here (``equal``)
-    and must have in all (``asked``)."""
+_PAIRS = "lot int, a binary, b binary, equal binary, asked binary"
+_PAIRS_ARROW = pa.schema([("lot", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("equal", pa.binary()), ("asked", pa.binary())])
+
+
+def _chain(lots: int):
+    """What a bucket's equal parts connect, packed by lot of pairs."""
+    def run(table: pa.Table) -> pa.Table:
+        a, b, equal, ask = _chained(table)
+        lot = blobs.bucket_of(mix(mix(a.view(np.uint64)) + b.view(np.uint64)), lots)
+        order = np.lexsort((b, a, lot))
+        a, b, equal, ask = a[order], b[order], np.minimum(equal[order], 255).astype(np.uint8), ask[order].astype(np.uint8)
+        cut = np.searchsorted(lot[order], np.arange(lots + 1))
+        rows = [(k, blobs.planes(a[i:j]), blobs.planes(b[i:j]), equal[i:j].tobytes(), ask[i:j].tobytes()) for k, (i, j) in enumerate(zip(cut[:-1], cut[1:])) if i < j]
+        return pa.table([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(_PAIRS_ARROW)], schema=_PAIRS_ARROW)
+    return run
+
+
+def _settle(table: pa.Table) -> pa.Table:
+    """The pairs of a lot that have as many equal parts in all as are asked."""
+    a, b = (blobs.unpack(table, name, np.int64) for name in ("a", "b"))
+    equal, ask = (np.frombuffer(b"".join(table.column(name).to_pylist()), dtype=np.uint8).astype(np.int64) for name in ("equal", "asked"))
+    a, b, equal, ask = _summed(a, b, equal, ask)
+    enough = equal >= ask
+    return pa.table({"a": pa.array(a[enough], pa.int64()), "b": pa.array(b[enough], pa.int64())})
+
+
+def _summed(a, b, equal, ask):
+    """Each pair once: its equal parts in all, the least number asked."""
+    if not len(a):
+        return a, b, equal, ask
+    order = np.lexsort((b, a))
+    a, b, equal, ask = a[order], b[order], equal[order], ask[order]
+    at = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
+    return a[at], b[at], np.add.reduceat(equal, at), np.minimum.reduceat(ask, at)
+
+
+def _chained(table: pa.Table) -> tuple[np.ndarray, ...]:
+    """Stars on the smallest ids (one equal part, one asked), and pairs that are still
+    to be settled, with how many equal parts they have here and must have in all."""
     h, d, lead, place, size = blobs.distinct(blobs.unpack(table, "hash", np.uint64), blobs.unpack(table, "id", np.int64))
     shared = size > 1
     h, d, lead, place, size = h[shared], d[shared], lead[shared], place[shared], size[shared]
@@ -230,11 +265,7 @@ def _chain(table: pa.Table) -> pa.Table:
         y.append(d[i + k])
         number.append(ask[i])
     x, y, number = np.concatenate(x), np.concatenate(y), np.concatenate(number)
-    order = np.lexsort((y, x))
-    x, y, number = x[order], y[order], number[order]
-    at = np.flatnonzero(np.concatenate([[True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])])) if len(x) else np.zeros(0, np.int64)
-    x, y, equal = x[at], y[at], np.diff(np.append(at, len(x)))
-    number = np.minimum.reduceat(number, at) if len(at) else number
+    x, y, equal, number = _summed(x, y, np.ones(len(x), dtype=np.int64), number)
     more, sure = ~pairs & (place > 0), equal >= number
     root, node = blobs.stars(np.concatenate([blobs.unpack(table, "a", np.int64), lead[more], x[sure]]),
                              np.concatenate([blobs.unpack(table, "b", np.int64), d[more], y[sure]]))
@@ -244,9 +275,8 @@ def _chain(table: pa.Table) -> pa.Table:
         return np.where(node[i] == ids, root[i], ids) if len(node) else ids
 
     left = root_of(x) != root_of(y)
-    one = np.ones(len(root), dtype=np.int32)
-    return pa.table({"a": pa.array(np.concatenate([root, x[left]]), pa.int64()), "b": pa.array(np.concatenate([node, y[left]]), pa.int64()),
-                     "equal": pa.array(np.concatenate([one, equal[left]]), pa.int32()), "asked": pa.array(np.concatenate([one, number[left]]), pa.int32())})
+    one = np.ones(len(root), dtype=np.int64)
+    return tuple(np.concatenate(c) for c in ((root, x[left]), (node, y[left]), (one, equal[left]), (one, number[left])))
 
 
 def overlaps(rows: list[np.ndarray], cols: list[np.ndarray]) -> np.ndarray:
@@ -370,8 +400,7 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = blobs.n_buckets(total * (100 - percent) // 30, min(shuffles, 12))
     chains = (own.mapInArrow(_parts(words, percent, buckets, slots), blobs.SCHEMA).groupBy("bucket")
-              .applyInArrow(_chain, "a long, b long, equal int, asked int")
-              .groupBy("a", "b").agg(F.sum("equal").alias("equal"), F.min("asked").alias("asked")).filter("equal >= asked"))
+              .applyInArrow(_chain(max(min(shuffles, 12), buckets // 4)), _PAIRS).groupBy("lot").applyInArrow(_settle, "a long, b long"))
     clusters = stage(connected_components(chains), "clusters")
 
     # members that stand for a class, with their blocks

@@ -153,14 +153,13 @@ def test_equal_parts_are_counted_over_flushes_and_buckets():
         h, d = zip(*entries[i: i + 200])
         box.add(np.array(h, dtype=np.uint64), np.array(d, dtype=np.int64))
         batches += box.flush()
-    pairs = {}
-    table = similarity.pa.Table.from_batches(batches)
-    for k in range(5):
-        out = similarity._chain(table.filter(similarity.pa.array([x == k for x in table.column("bucket").to_pylist()]))).to_pylist()
-        for r in out:
-            n, least = pairs.get((r["a"], r["b"]), (0, r["asked"]))
-            pairs[r["a"], r["b"]] = (n + r["equal"], min(least, r["asked"]))
-    found = [p for p, (n, r) in pairs.items() if n >= r]
+    pa, table = similarity.pa, similarity.pa.Table.from_batches(batches)
+
+    def groups(table, key):
+        return [table.filter(pa.array([x == k for x in table.column(key).to_pylist()])) for k in sorted(set(table.column(key).to_pylist()))]
+
+    lots = pa.concat_tables([similarity._chain(3)(t) for t in groups(table, "bucket")])
+    found = [(r["a"], r["b"]) for t in groups(lots, "lot") for r in similarity._settle(t).to_pylist()]
     assert dict(zip(*(x.tolist() for x in blobs.stars(*(np.array(c) for c in zip(*found)))[::-1]))) == want
 
 
